@@ -165,8 +165,8 @@ def _blocks(queries: DataFrame) -> list[tuple[int, int]]:
 #: The same in DuckDB's SQL, for embeddings.
 SQL = """
 with e as (
-  select vec_id, list_transform(embedding, x -> floor(x::double * 256)) as v from embeddings
-  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)) as v from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
   select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
   from (select distinct vec_id, v from e where vec_id % 50 = 0) q join e c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
