@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cavitas.llm import audio, bpe, language_id, mixing, simhash, topk, warc
+from cavitas.llm import audio, bpe, huffman, language_id, mixing, simhash, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.read(huffman.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
