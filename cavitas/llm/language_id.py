@@ -23,10 +23,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cavitas.llm.shared import slices, stored, utf8
+from cavitas.llm.shared import held_out, slices, stored, utf8
 
 #: A maximal run of letters and their marks is a word.
 WORD = regex.compile(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*")
@@ -99,11 +99,6 @@ def words_of(text: str) -> list[str]:
     return found if all(len(w) <= LONGEST for w in found) else [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
 
 
-def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
-    """crc32 of the id as text, modulo folds, equals fold; a null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold
-
-
 def _passes(place: np.ndarray) -> Iterator[np.ndarray]:
     """The arcs, place after place."""
     order = np.argsort(place, kind="stable")
@@ -247,5 +242,5 @@ def predict(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray], kee
 
 def identify(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score; learns from the rows that are not held out."""
-    model = train(docs.where(~held_out()), path)
-    return predict(docs, path, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    model = train(docs.where(~held_out(4, 2)), path)
+    return predict(docs, path, model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
