@@ -60,15 +60,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return found.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def copies_of(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """doc_id, size, source, source_size, target and copies for every row of docs."""
+def copies_of(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep, size, source, source_size, target and copies for every row of docs."""
     spark = docs.sparkSession
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    narrow = stored(docs.select("doc_id", "source", size_of().alias("size")), "sizes")
+    narrow = stored(docs.select("doc_id", *keep, "source", size_of().alias("size")), "sizes")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keyed = narrow.withColumn("tie", F.md5(F.concat(F.lit(f"{seed}:"), id_text).cast("binary")))
     ranged = keyed.repartitionByRange(parts, "source", "size", "tie", "doc_id").sortWithinPartitions("source", "size", "tie", "doc_id")
-    ranged = stored(ranged.select("doc_id", "source", "size", F.monotonically_increasing_id().alias("at")), "ranged")
+    ranged = stored(ranged.select("doc_id", *keep, "source", "size", F.monotonically_increasing_id().alias("at")), "ranged")
     ranged = ranged.withColumn("part", F.shiftrightunsigned("at", 33))
     counts = ranged.groupBy("part", "source").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.sum("size").alias("size"))
     # one row per partition and source, so as many as partitions plus sources
@@ -81,7 +81,7 @@ def copies_of(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEI
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = F.expr("at - shift").cast("double")
     copies = F.floor(each * (rank + 1) + F.col("offset")) - F.floor(each * rank + F.col("offset"))
-    return rows.select("doc_id", "size", "r.source", "source_size", "target", copies.cast("long").alias("copies"))
+    return rows.select("doc_id", *keep, "size", "r.source", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -89,6 +89,14 @@ def mix(docs: DataFrame) -> DataFrame:
     return copies_of(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    taken = copies_of(rows, keep=("row",)).where("copies > 0").select("row", "copies")
+    repeated = rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*docs.columns)
+
+
 #: The same in DuckDB's SQL, for documents.
 SQL = r"""
 with d as (

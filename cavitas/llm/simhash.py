@@ -63,16 +63,15 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = np.asarray([fingerprint(t, shingle) for t in utf8(batch["text"])], np.uint64).view(np.int64)
-            keys = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keys), pa.array(found)], names=[*keys, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and the fingerprint fp as a signed long."""
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle), f"doc_id {kind}, fp long")
+    """The rows of docs and their fingerprint fp as a signed long."""
+    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    return docs.mapInArrow(_fingerprints(shingle), f"{kinds}, fp long")
 
 
 def _bands(at: list[int], n: int) -> list[list[int]]:
@@ -237,11 +236,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components: edges still change after {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fp (signed) and component_id for every row of docs."""
-    rows = stored(fingerprints(docs, shingle), "fingerprints")
+def classes(rows: DataFrame, radius: int = 4) -> DataFrame:
+    """fp, root and component_id for every fingerprint of rows (doc_id, fp)."""
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     root = components(links(fps.select("fp"), radius))
-    classes = fps.join(root, fps.fp == root.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(classes.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    found = fps.join(root, fps.fp == root.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return found.join(found.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """doc_id, fp (signed) and component_id for every row of docs."""
+    rows = stored(fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"), "fingerprints")
+    return rows.join(classes(rows, radius), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id, null last."""
+    rows = stored(fingerprints(docs, shingle).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).getField("row").alias("row")
+    chosen = rows.select("doc_id", "row", "fp").join(classes(rows, radius), "fp").groupBy("root").agg(first)
+    return rows.join(chosen.select("row"), "row", "left_semi").select(*docs.columns)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cavitas.llm import language_id
+from cavitas.llm import bpe, language_id, mixing, simhash, suffixes
 from cavitas.llm.shared import stored
 
 
@@ -16,7 +17,35 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where("lang_pred <> 'und'").selectExpr("doc_id", "text", "lang_pred as lang", "source", "n_chars")
 
 
-STAGES = [("language_id", identify_language)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that of the smallest id."""
+    return simhash.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document of a smaller id has, too, go; so do documents that consist of nothing else."""
+    rows = suffixes.remove(docs, ("doc_id", "lang", "source", "n_chars"))
+    left = rows.where((F.length("text") > 0) | (F.coalesce("n_chars", F.lit(0)) == 0))
+    return left.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their sources' target weights ask for."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digest of each document's tokens, and the digest of what they decode to."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mix_sources", mix_sources),
+    ("tokens", tokens),
+]
 
 #: The language model and the tokenizer's merges have no SQL form; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
