@@ -16,7 +16,6 @@ their ids; a null doc_id comes first. An empty table gives an empty result.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,15 +34,17 @@ LIMIT = 16
 #: Ids between two checkpoints, and ids from which a block is closed.
 EVERY, BLOCK = 128, 1 << 18
 #: Words whose ids a task remembers.
-MOST_KNOWN = 800_000
-_BLANK = re.compile(r"[ \n]+")
+MOST_KNOWN = 600_000
+MARKS = tuple(".,;:!?")
 
 
 class Tokens:
     """The library's tokenizer, asked once for each distinct word between blanks.
 
     Blanks and line feeds end a word for the tokenizer and leave no id, so the
-    ids of a text are those of its words, one after another.
+    ids of a text are those of its words, one after another. Words of ASCII
+    letters are asked for in lower case, and without a mark that ends them, as the
+    tokenizer lowers case and parts letters from marks itself.
     """
 
     def __init__(self, path: str):
@@ -53,15 +54,27 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        parts = []
+        for word in words:
+            core = word.lower() if word.isascii() else word
+            marked = core[-1:] in MARKS and core[:-1].isascii() and core[:-1].isalpha()
+            parts.append((core[:-1], core[-1]) if marked else (core, ""))
+        new = list({x for p in parts for x in p} - self.cores.keys())
+        for core, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.cores[core] = np.asarray(found.ids, "<u4").tobytes()
+        self.known.update((w, self.cores[a] + self.cores[b]) for w, (a, b) in zip(words, parts, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers, with the end id."""
-        words = [_BLANK.split(t) for t in texts]
+        words = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > MOST_KNOWN:
             self.known.clear()
-        new = list(set().union(*words) - self.known.keys()) if words else []
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.asarray(found.ids, "<u4").tobytes()
+        if len(self.cores) > MOST_KNOWN:
+            self.cores.clear()
+        self._learn(list(set().union(*words) - self.known.keys()) if words else [])
         end = np.asarray([END_ID], "<u4").tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) + end for ws in words]
