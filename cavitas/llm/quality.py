@@ -4,7 +4,7 @@ A document is the average of learned vectors, one for each hashed word and each
 hashed character n-gram (over UTF-8 bytes, of N_GRAMS lengths) of its whole text; a
 softmax over the average gives the score. The vectors are learned by stochastic
 gradient descent in numpy from at most SAMPLE labelled rows, those whose
-hashed id is least; their features are computed by tasks and sent to the driver as counts.
+hashed id is least; their features are counted by tasks, and one task learns from the counts.
 Scoring folds vectors and output weights into one number per bucket, so a text
 costs one table lookup per feature.
 
@@ -66,12 +66,23 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets and their counts of each text, as packed 32-bit integers."""
     for batch in slices(batches, "text"):
         found = []
         for text in utf8(batch["text"]):
             each = [b[lo[0] : hi[0]] for b, lo, hi in features(*_joined([text]))]
             found.append(np.unique(np.concatenate(each), return_counts=True))
-        yield pa.record_batch([batch["key"], pa.array([b.tolist() for b, _ in found], pa.list_(pa.int32())), pa.array([n.tolist() for _, n in found], pa.list_(pa.int32())), batch["quality"].cast(pa.int32())], names=["key", "bucket", "n", "quality"])
+        packed = [pa.array([x[k].astype("<u4").tobytes() for x in found], pa.binary()) for k in (0, 1)]
+        yield pa.record_batch([batch["key"], *packed, batch["quality"].cast(pa.int32())], names=["key", "bucket", "n", "quality"])
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The folded model from all rows of the one task that the bounded sample goes to."""
+    rows = [r for b in batches for r in zip(b["key"].to_pylist(), b["quality"].to_pylist(), b["bucket"].to_pylist(), b["n"].to_pylist(), strict=True)]
+    rows.sort(key=lambda r: r[:2])
+    take = lambda k: [np.frombuffer(r[k], "<u4") for r in rows]
+    weight, bias = descend(take(2), take(3), np.asarray([r[1] for r in rows], np.int64))
+    yield pa.record_batch([pa.array([weight.astype("<f8").tobytes()], pa.binary()), pa.array([bias])], names=["weight", "bias"])
 
 
 def _scores(model):
@@ -127,10 +138,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality").distinct()
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample rows
-    found = rows.select(F.xxhash64("doc_id", "text").alias("key"), "text", "quality").mapInArrow(_histograms, "key long, bucket array<int>, n array<int>, quality int").toPandas()
-    found = found.sort_values(["key", "quality"], kind="stable")
-    take = lambda c: [np.asarray(x, np.int64) for x in found[c]]
-    return descend(take("bucket"), take("n"), found["quality"].to_numpy(np.int64))
+    found = rows.select(F.xxhash64("doc_id", "text").alias("key"), "text", "quality").mapInArrow(_histograms, "key long, bucket binary, n binary, quality int")
+    model = found.repartition(1).mapInArrow(_fit, "weight binary, bias double").first()  # a bounded sample; one number per bucket comes back
+    return (np.frombuffer(model["weight"], "<f8"), model["bias"]) if model else descend([], [], np.zeros(0, np.int64))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
