@@ -32,6 +32,11 @@ def query(*needs: str, sql: str = "") -> Callable[[Query], Query]:
     return register
 
 
+def decimal_round(sql: str, places: int) -> str:
+    """Rounds the number's decimal text half up, as Spark does."""
+    return f"round(cast(cast({sql} as varchar) as decimal(38, 18)), {places})::double"
+
+
 def then(sql: str) -> str:
     """More WITH members after the derivations."""
     return ", " + sql
@@ -146,7 +151,7 @@ def drug_likeness(c: Carriers) -> DataFrame:
 CONFIDENCE = "c as (select *, case when volume > 80 and volume < 2500 then 1.0 else 0.6 end::double as cv, 0.8::double as ch, least(1.0::double, merged_vertices / 10.0::double) as ce, 0.9::double as cd from c_pockets), o as (select *, (cv + ch + ce + cd) / 4 as overall from c)"
 
 
-@query(P, sql=then(CONFIDENCE) + " select pdb_id, pocket_id, round(overall, 4) as overall, round(greatest(0, (volume_score * cv + hydrophobicity_score * ch + enclosure_score * ce + depth_score * cd) / (cv + ch + ce + cd) - 0.15 * (1 - overall)), 4) as score_lower from o")
+@query(P, sql=then(CONFIDENCE) + " select pdb_id, pocket_id, round(overall, 4) as overall, " + decimal_round("greatest(0::double, (volume_score * cv + hydrophobicity_score * ch + enclosure_score * ce + depth_score * cd) / (cv + ch + ce + cd) - 0.15::double * (1 - overall))", 4) + " as score_lower from o")
 def confidence(c: Carriers) -> DataFrame:
     metrics = {k: F.col(f"{k}_score") for k in ("volume", "hydrophobicity", "enclosure", "depth")}
     rows = c.base.withColumn("conf", S.confidence("merged_vertices", "volume", "hydrophobic_ratio", metrics))
@@ -433,13 +438,13 @@ def persistence(c: Carriers) -> DataFrame:
     return ensemble.persistence(hits, c.base.select("pdb_id", "frame").distinct())
 
 
-REFINED = "m as (select *, case when max(bio_score) over w - min(bio_score) over w < 1e-12 then 0.5 else (bio_score - min(bio_score) over w) / (max(bio_score) over w - min(bio_score) over w) end as bn, least(1, merged_vertices / greatest(max(merged_vertices) over w, 1)) as sn, case druggability_class when 'high' then 1 when 'medium' then 0.6 else 0.3 end as dn, 3 * sphericity as cs, 0.3 * sphericity as vc from c_pockets where rank <= 20 window w as (partition by pdb_id)), q as (select *, round(0.35 * bn + 0.25 * sn + 0.15 * dn + 0.15 * (1 - least(1, cs / 2)) + 0.1 * (1 - least(1, vc / 0.2)), 6) as rank_score, merged_vertices >= 2 and cs <= 2 and vc <= 0.2 as passes from m), k as (select *, bool_or(passes) over (partition by pdb_id) as any_passes from q)"
+REFINED = "m as (select *, case when max(bio_score) over w - min(bio_score) over w < 1e-12 then 0.5 else (bio_score - min(bio_score) over w) / (max(bio_score) over w - min(bio_score) over w) end as bn, least(1, merged_vertices / greatest(max(merged_vertices) over w, 1)) as sn, case druggability_class when 'high' then 1 when 'medium' then 0.6 else 0.3 end::double as dn, 3 * sphericity as cs, 0.3::double * sphericity as vc from c_pockets where rank <= 20 window w as (partition by pdb_id)), q as (select *, " + decimal_round("bn * 0.35::double + sn * 0.25::double + dn * 0.15::double + (1 - least(1, cs / 2)) * 0.15::double + (1 - least(1, vc / 0.2::double)) * 0.1::double", 6) + " as rank_score, merged_vertices >= 2 and cs <= 2 and vc <= 0.2 as passes from m), k as (select *, bool_or(passes) over (partition by pdb_id) as any_passes from q)"
 
 
-@query(P, sql=then(REFINED) + " select pdb_id, pocket_id, round(rank_score, 5) as rank_score from k where passes or not any_passes")
+@query(P, sql=then(REFINED) + " select pdb_id, pocket_id, rank_score from k where passes or not any_passes")
 def refined_rank(c: Carriers) -> DataFrame:
     rows = c.pockets.where("rank <= 20").withColumns({"support_frames": F.col("merged_vertices"), "center_stability": F.col("sphericity") * 3.0, "volume_cv": F.col("sphericity") * 0.3})
-    return ensemble.refined_rank(rows).select("pdb_id", "pocket_id", F.round("rank_score", 5).alias("rank_score"))
+    return ensemble.refined_rank(rows).select("pdb_id", "pocket_id", "rank_score")
 
 
 FRAMES = "fr as (select pdb_id, (res_id - 1) // 7 as frame, (res_id - 1) % 7 as r, x, y, z from c_atoms), z as (select pdb_id, r, x as x0, y as y0, z as z0 from fr where frame = 0)"
@@ -548,9 +553,9 @@ def feature_matrix(c: Carriers) -> DataFrame:
     return ml.features(c.base).select("pdb_id", "pocket_id", "volume", "radius_geom", "merged_vertices", "hydrophobic_ratio", "polar_atoms", "sphericity")
 
 
-@query(P, sql=" union all ".join(f"select '{f}' as feature, round(avg({f}), 6) as mean, round(stddev_pop({f}), 6) as std, round(min({f}), 6) as min, round(max({f}), 6) as max from c_pockets" for f in FEATS))
+@query(P, sql=" union all ".join(f"select '{f}' as feature, round(avg({f}), 3) as mean, round(stddev_pop({f}), 3) as std, round(min({f}), 3) as min, round(max({f}), 3) as max from c_pockets" for f in FEATS))
 def feature_summary(c: Carriers) -> DataFrame:
-    return ml.summary(c.base, FEATS)
+    return ml.summary(c.base, FEATS).select("feature", *(F.round(x, 3).alias(x) for x in ("mean", "std", "min", "max")))
 
 
 @query(P, sql="select pdb_id, pocket_id, round((volume - (select avg(volume) from c_pockets)) / (select stddev_pop(volume) from c_pockets), 5) as volume, round((polar_atoms - (select avg(polar_atoms) from c_pockets)) / (select stddev_pop(polar_atoms) from c_pockets), 5) as polar_atoms from c_pockets")
