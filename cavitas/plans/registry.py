@@ -341,7 +341,7 @@ def min_volume_sweep(c: Carriers) -> DataFrame:
     return validation.min_volume_sweep(c.base.select("volume"), [100, 500, 1000, 2000])
 
 
-EVID = "e as (select pdb_id, pocket_id, bio_score, pocket_id % 4 = 0 as known_match, pocket_id % 3 = 0 as ligand_nearby, pocket_id % 5 = 0 as tool_match, affinity < -6 as docking_validated, (pocket_id % 3)::int as sources from c_pockets where rank <= 20), w as (select *, round(0.2 * known_match::int + 0.3 * ligand_nearby::int + 0.3 * tool_match::int + 0.2 * docking_validated::int, 4) as weight from e), s as (select *, case when weight >= 0.3 then 'supported' when sources < 2 then 'unknown' else 'unsupported' end as status from w)"
+EVID = "e as (select pdb_id, pocket_id, bio_score, pocket_id % 4 = 0 as known_match, pocket_id % 3 = 0 as ligand_nearby, pocket_id % 5 = 0 as tool_match, affinity < -6 as docking_validated, (pocket_id % 3)::int as sources from c_pockets where rank <= 20), w as (select *, round(0.2 * known_match::int + 0.3 * ligand_nearby::int + 0.3 * tool_match::int + 0.2 * docking_validated::int, 4)::double as weight from e), s as (select *, case when weight >= 0.3 then 'supported' when sources < 2 then 'unknown' else 'unsupported' end as status from w)"
 
 
 def _evidence(c: Carriers) -> DataFrame:
