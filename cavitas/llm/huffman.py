@@ -34,8 +34,10 @@ LIMIT = 16
 #: Ids between two checkpoints, and ids from which a block is closed.
 EVERY, BLOCK = 128, 1 << 18
 #: Words whose ids a task remembers.
-MOST_KNOWN = 600_000
+MOST_KNOWN = 1_600_000
 MARKS = tuple(".,;:!?")
+#: What the vocabulary's tokens that end a word end in.
+WORD_END = "</w>"
 
 
 class Tokens:
@@ -54,26 +56,45 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+
+    def _together(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words of letters alone, asked for as running text: a word's last id is one that ends words."""
+        for i in range(0, len(words), 200):
+            some = words[i : i + 200]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):  # a letter that the tokenizer takes apart
+                yield from self._one_by_one(some)
+                continue
+            data, at = ids.tobytes(), (ends * 4).tolist()
+            yield from zip(some, (data[x:y] for x, y in zip([0, *at[:-1]], at, strict=True)), strict=True)
+
+    def _one_by_one(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            yield word, np.asarray(found.ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        parts = []
+        parts = {}
         for word in words:
-            core = word.lower() if word.isascii() else word
-            marked = core[-1:] in MARKS and core[:-1].isascii() and core[:-1].isalpha()
-            parts.append((core[:-1], core[-1]) if marked else (core, ""))
-        new = list({x for p in parts for x in p} - self.cores.keys())
-        for core, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cores[core] = np.asarray(found.ids, "<u4").tobytes()
-        self.known.update((w, self.cores[a] + self.cores[b]) for w, (a, b) in zip(words, parts, strict=True))
+            core = word if not word.isascii() or word.islower() else word.lower()
+            if core[-1:] in MARKS and core[:-1].isascii() and core[:-1].isalpha():
+                parts[word] = core[:-1], core[-1]
+            elif core != word:
+                parts[word] = core, ""
+        new = {*words, *(x for p in parts.values() for x in p)} - parts.keys() - self.known.keys()
+        plain = [x for x in new if x.isalpha()]
+        self.known.update(self._together(plain))
+        self.known.update(self._one_by_one(list(new.difference(plain))))
+        for word, (core, mark) in parts.items():
+            self.known[word] = self.known[core] + self.known[mark] if mark else self.known[core]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers, with the end id."""
         words = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > MOST_KNOWN:
             self.known.clear()
-        if len(self.cores) > MOST_KNOWN:
-            self.cores.clear()
         self._learn(list(set().union(*words) - self.known.keys()) if words else [])
         end = np.asarray([END_ID], "<u4").tobytes()
         get = self.known.__getitem__
