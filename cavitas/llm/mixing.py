@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cavitas.llm.shared import stored
+from cavitas.llm.shared import apart, stored
 
 #: Copies of one document at most; a target stops at so many times its source.
 MOST_COPIES = 3
@@ -91,10 +91,11 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    own, back = apart(docs, "row", "copies", "copy")
+    rows = stored(own.withColumn("row", F.monotonically_increasing_id()), "rows")
     taken = copies_of(rows, keep=("row",)).where("copies > 0").select("row", "copies")
     repeated = rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*docs.columns)
+    return repeated.select(*own.columns).withColumnsRenamed(back)
 
 
 #: The same in DuckDB's SQL, for documents.

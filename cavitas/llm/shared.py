@@ -42,6 +42,12 @@ def held_out(folds: int, fold: int, doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
+def apart(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns of these names out of the way, and the renaming that puts them back."""
+    back = {f"kept__{c}": c for c in df.columns if c.lower() in names}
+    return df.withColumnsRenamed({c: k for k, c in back.items()}), back
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

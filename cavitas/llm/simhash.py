@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cavitas.llm.shared import slices, stored, utf8
+from cavitas.llm.shared import apart, slices, stored, utf8
 
 BITS = 64
 SEED = 42
@@ -252,7 +252,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 
 def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, null last."""
-    rows = stored(fingerprints(docs, shingle).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    own, back = apart(docs, "fp", "row", "root")
+    rows = stored(fingerprints(own, shingle).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).getField("row").alias("row")
-    chosen = rows.select("doc_id", "row", "fp").join(classes(rows, radius), "fp").groupBy("root").agg(first)
-    return rows.join(chosen.select("row"), "row", "left_semi").select(*docs.columns)
+    chosen = rows.select("doc_id", "row", "fp").join(classes(rows.select("doc_id", "fp"), radius), "fp").groupBy("root").agg(first)
+    return rows.join(chosen.select("row"), "row", "left_semi").select(*own.columns).withColumnsRenamed(back)
