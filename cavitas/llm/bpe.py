@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame
 
 from cavitas.llm.shared import slices, utf8
 
-#: Distinct chunks of text whose ids a task remembers.
-MOST_KNOWN = 800_000
+#: Distinct chunks of text whose ids a task remembers, besides those of their words.
+MOST_KNOWN = 1_100_000
 #: A blank next to white space or to an end of the text; elsewhere blanks part the pattern's words.
 UNCLEAR = re.compile(r"\s (?=.)| \s|^ | $", re.DOTALL)
 PART = re.compile(r"(?<=\S)(?= \S)")
@@ -102,7 +103,8 @@ class Codec:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         left, right, into = zip(*merges, strict=True) if merges else ((), (), ())
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
@@ -146,12 +148,14 @@ class Codec:
         parts = [self.chunks(t) if t else [] for t in texts]
         if len(self.known) > MOST_KNOWN:
             self.known.clear()
+            self.words.clear()
         new = list(set().union(*parts) - self.known.keys())
-        cut = [[x.encode() for x in self.pattern.findall(c)] for c in new]
-        words = list(dict.fromkeys(x for c in cut for x in c))
-        ids = dict(zip(words, self.merge(words), strict=True))
-        for chunk, ws in zip(new, cut, strict=True):
-            self.known[chunk] = np.asarray([i for x in ws for i in ids[x]], "<i4").tobytes()
+        cut = [self.pattern.findall(c) for c in new]
+        words = list({x for c in cut for x in c} - self.words.keys())
+        for word, ids in zip(words, self.merge([x.encode() for x in words]), strict=True):
+            self.words[word] = array("i", ids).tobytes()
+        get = self.words.__getitem__
+        self.known.update((chunk, get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))) for chunk, ws in zip(new, cut, strict=True))
         return [np.frombuffer(b"".join([self.known[c] for c in p]), "<i4") for p in parts]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
