@@ -40,6 +40,10 @@ MARKS = tuple(".,;:!?")
 WORD_END = "</w>"
 
 
+def _width(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 class Tokens:
     """The library's tokenizer, asked once for each distinct word between blanks.
 
@@ -55,6 +59,7 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.width = _width(self.tokenizer.get_vocab_size())
         self.known: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
@@ -63,17 +68,17 @@ class Tokens:
         """Words of letters alone, asked for as running text: a word's last id is one that ends words."""
         for i in range(0, len(words), 200):
             some = words[i : i + 200]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.width)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some):  # a letter that the tokenizer takes apart
                 yield from self._one_by_one(some)
                 continue
-            data, at = ids.tobytes(), (ends * 4).tolist()
+            data, at = ids.tobytes(), (ends * ids.itemsize).tolist()
             yield from zip(some, (data[x:y] for x, y in zip([0, *at[:-1]], at, strict=True)), strict=True)
 
     def _one_by_one(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            yield word, np.asarray(found.ids, "<u4").tobytes()
+            yield word, np.asarray(found.ids, self.width).tobytes()
 
     def _learn(self, words: list[str]) -> None:
         parts = {}
@@ -91,12 +96,12 @@ class Tokens:
             self.known[word] = self.known[core] + self.known[mark] if mark else self.known[core]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers, with the end id."""
+        """Each text's ids, with the end id, as little-endian integers of the tokenizer's width."""
         words = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > MOST_KNOWN:
             self.known.clear()
         self._learn(list(set().union(*words) - self.known.keys()) if words else [])
-        end = np.asarray([END_ID], "<u4").tobytes()
+        end = np.asarray([END_ID], self.width).tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) + end for ws in words]
 
@@ -111,16 +116,11 @@ def _tokenise(path: str):
         own = tokens_of(path)
         for batch in slices(batches, "text"):
             ids = own.encode([t.decode("utf-8", "replace") for t in utf8(batch["text"])])
-            packed = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if own.tokenizer.get_vocab_size() <= 1 << 16 else x for x in ids]
-            yield pa.record_batch([batch["doc_id"], pa.array(packed, pa.binary())], names=["doc_id", "ids"])
+            yield pa.record_batch([batch["doc_id"], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return run
 
 
-def _width(size: int) -> str:
-    return "<u2" if size <= 1 << 16 else "<u4"
-
-
 def _count(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
