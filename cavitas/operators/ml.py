@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cavitas.functions import scalars as S
+from cavitas.operators import ordered
 from cavitas.operators.validation import leaks, rate, split
 
 #: Names of the seventeen features.
@@ -129,8 +130,10 @@ def ranking(rows: DataFrame) -> DataFrame:
     Both come from counts per distinct probability, so equal scores never need an order.
     """
     per = rows.groupBy("y_proba").agg(F.count("*").alias("n"), F.count_if(F.col("y_true") == 1).alias("pos"))
-    low, high = W.orderBy("y_proba").rowsBetween(W.unboundedPreceding, 0), W.orderBy(F.col("y_proba").desc()).rowsBetween(W.unboundedPreceding, 0)
-    per = per.withColumns({"rank": F.sum("n").over(low) - (F.col("n") - 1) / 2.0, "tp": F.sum("pos").over(high), "seen": F.sum("n").over(high)})
+    at = ordered.share_bucket(F.col("y_proba"))
+    per = ordered.running(per, "y_proba", at, {"upto": "n"})
+    per = ordered.running(per, "y_proba", at, {"tp": "pos", "seen": "n"}, descending=True)
+    per = per.withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2.0)
     one = per.agg(F.sum("pos").alias("p"), F.sum("n").alias("all"), F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("ap"))
     p, q = F.col("p"), F.col("all") - F.col("p")
     both = (p > 0) & (q > 0)

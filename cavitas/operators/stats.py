@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cavitas.operators import ordered
+
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
     """Rows numbered from 0 in the order of a key; meant for case-level tables."""
@@ -59,8 +61,8 @@ def wilcoxon(rows: DataFrame, column: str, mu: float = 0.0) -> DataFrame:
     """
     d = rows.select((F.col(column) - mu).alias("d")).where("d <> 0")
     sizes = d.groupBy(F.abs("d").alias("a")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
-    upto = F.sum("t").over(W.orderBy("a").rowsBetween(W.unboundedPreceding, 0))
-    ranks = sizes.withColumn("rank", upto - (F.col("t") - 1) / 2.0)
+    upto = ordered.running(sizes, "a", ordered.size_bucket(F.col("a")), {"upto": "t"})
+    ranks = upto.withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2.0)
     one = ranks.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     n = F.col("n").cast("double")
     z = (F.col("w") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (n * 2 + 1) / 24 - F.col("ties") / 48)

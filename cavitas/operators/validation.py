@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cavitas.functions import scalars as S
+from cavitas.operators import ordered
 from cavitas.operators.atlas import by, desc
 
 
@@ -149,9 +150,9 @@ def p95_latency(jobs: DataFrame) -> DataFrame:
     """sorted[int(0.95 (n - 1))] of the finished jobs' latencies, through counts per distinct value."""
     done = jobs.where(F.col("status").isin("succeeded", "failed") & F.col("latency").isNotNull())
     counts = done.groupBy("latency").agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(W.orderBy("latency").rowsBetween(W.unboundedPreceding, 0)))
-    total = F.sum("n").over(W.partitionBy())
-    return upto.withColumn("at", F.floor((total - 1) * 0.95)).where("upto > at").agg(F.round(F.min("latency"), 4).alias("p95_latency"))
+    upto = ordered.running(counts, "latency", ordered.size_bucket(F.col("latency")), {"upto": "n"})
+    total = counts.agg(F.sum("n").alias("total"))
+    return upto.crossJoin(total).where(F.col("upto") > F.floor((F.col("total") - 1) * 0.95)).agg(F.round(F.min("latency"), 4).alias("p95_latency"))  # one row
 
 
 def step_summary(steps: DataFrame) -> DataFrame:
