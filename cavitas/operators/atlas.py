@@ -221,3 +221,14 @@ def voids(rows: DataFrame, min_volume: float = 0.0, max_volume: float = 5000.0,
     first = by((F.col("clearance") > F.col("clearance_max")).asc(), "ordinal", partition=["pdb_id", *(f"_{c}" for c in "xyz")])
     rounded = kept.withColumns({f"_{c}": F.round(c, 2) for c in "xyz"})
     return rounded.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_x", "_y", "_z").orderBy(desc("volume"), "pdb_id", "ordinal")
+
+
+def chart_tables(pockets: DataFrame, n: int = 10) -> dict[str, DataFrame]:
+    """Q13, Q14: the tables behind the charts: mean score by rank, volume bins with scores, class counts, best proteins."""
+    bin_ = F.floor(F.col("volume") / 250).cast("int")
+    return {
+        "score_by_rank": pockets.groupBy("rank").agg(F.round(F.avg("bio_score"), 6).alias("avg_score"), F.count("*").alias("n")),
+        "volume_score": pockets.groupBy(bin_.alias("bin")).agg(F.round(F.avg("bio_score"), 6).alias("avg_score"), F.count("*").alias("n")),
+        "classes": class_distribution(pockets),
+        "best": leaders(pockets.groupBy("pdb_id").agg(F.max("bio_score").alias("top_bio_score")), n),
+    }

@@ -139,3 +139,9 @@ def bonferroni(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     limit = F.lit(alpha) / F.count("*").over(W.partitionBy())
     rows = tests.withColumn("threshold", F.round(limit, 6))
     return rows.withColumn("significant", F.coalesce(F.col("p") < F.col("threshold"), F.lit(False)))
+
+
+def fpr_stats(rows: DataFrame, b: int = 3000, seed: int = 42) -> DataFrame:
+    """The false-positive rate of judged candidates with its interval. rows: pdb_id, pocket_id, status."""
+    judged = rows.where("status <> 'unknown'").select(F.concat_ws(":", "pdb_id", F.col("pocket_id").cast("string")).alias("key"), (F.col("status") == "unsupported").cast("double").alias("wrong"))
+    return bootstrap(judged, "key", lambda: F.avg("wrong"), b, seed=seed)

@@ -273,3 +273,16 @@ def sources_of(sets: dict[str, DataFrame], key: str = "pdb_id") -> DataFrame:
         part = ids.select(S.norm_id(key).alias(key), F.lit(name).alias("source"))
         rows = part if rows is None else rows.unionByName(part)
     return rows.groupBy(key).agg(F.array_sort(F.collect_set("source")).alias("sources"))
+
+
+def case_subset(cases: DataFrame, types: Sequence[str]) -> DataFrame:
+    """The cases of some types."""
+    return cases.where(F.col("pocket_type").isin(*types))
+
+
+def as_results(runs: DataFrame, cases: DataFrame) -> DataFrame:
+    """Run rows in the validation's columns, name, type, centre and radius from the case table or defaults."""
+    info = cases.select("pdb_id", "name", "pocket_type", "x", "y", "z", "radius")
+    rows = runs.select("pdb_id", "matched", "best_distance").join(info, "pdb_id", "left")
+    defaults = {"name": F.col("pdb_id"), "pocket_type": F.lit("unknown"), "x": F.lit(0.0), "y": F.lit(0.0), "z": F.lit(0.0), "radius": F.lit(8.0)}
+    return rows.select("pdb_id", *(F.coalesce(c, d).alias(c) for c, d in defaults.items()), F.coalesce("matched", F.lit(False)).alias("matched"), "best_distance")

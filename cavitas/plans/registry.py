@@ -613,6 +613,36 @@ def permutation_test(c: Carriers) -> DataFrame:
     return stats.permutation(_overlap(c), b=200)
 
 
+@query(P, sql="select rank, round(avg(bio_score), 6) as avg_score, count(*) as n from c_pockets group by 1")
+def score_by_rank(c: Carriers) -> DataFrame:
+    return atlas.chart_tables(c.pockets)["score_by_rank"]
+
+
+@query("c_atoms", sql="select a.pdb_id, a.res_id, round(coalesce(f.x, a.x), 4) as x, round(coalesce(f.y, a.y), 4) as y, round(coalesce(f.z, a.z), 4) as z, f.x is not null as moved from c_atoms a left join c_atoms f on f.pdb_id = a.pdb_id and f.res_id = a.res_id + 7 and a.res_id <= 7 where a.res_id <= 14")
+def ca_displacement(c: Carriers) -> DataFrame:
+    """The first seven residues moved on to the places of the next seven."""
+    rows = c.atoms.where("res_id <= 14").withColumns({"chain_id": F.lit("A"), "ins_code": F.lit(""), "name": F.col("res_name"), "res_name": F.lit("ANY")})
+    frame = rows.where("res_id > 7").withColumn("res_id", F.col("res_id") - 7)
+    moved = spatial.displaced(rows, rows.where("res_id <= 7"), frame)
+    return moved.select("pdb_id", "res_id", *(F.round(a, 4).alias(a) for a in "xyz"), "moved")
+
+
+@query("c_jobs", sql="select client::varchar as key, count(*) as submitted, count(distinct status) > 1 as conflict, min(job_id) as job_id from c_jobs group by 1")
+def submission_conflicts(c: Carriers) -> DataFrame:
+    rows = c.jobs.select(F.col("client").cast("string").alias("key"), F.lit("scan").alias("job_type"), F.col("status").alias("payload"), "job_id")
+    return jobs.submissions(rows)
+
+
+@query(P, "c_known", sql=then(MATCH) + " select pdb_id, pocket_type, matched, best_distance from m where pocket_type in ('cryptic', 'interface')")
+def case_subset(c: Carriers) -> DataFrame:
+    return validation.case_subset(_matches(c), ("cryptic", "interface")).select("pdb_id", "pocket_type", "matched", "best_distance")
+
+
+@query()
+def fpr_interval(c: Carriers) -> DataFrame:
+    return stats.fpr_stats(_evidence(c), b=200)
+
+
 # Tables
 
 
