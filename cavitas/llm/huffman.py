@@ -182,10 +182,13 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes
     at = np.cumsum(size) - size
     word, shift = at >> 5, 64 - (at & 31) - size
     both = codes[ids] << shift.astype(np.uint64)
-    n = int(word[-1]) + 2 if len(ids) else 0
-    high = np.bincount(word, (both >> np.uint64(32)).astype(float), n)  # no two codes share a bit: sums are exact
-    high += np.bincount(word + 1, (both & np.uint64(0xFFFFFFFF)).astype(float), n)
-    return high.astype(">u4").tobytes(), at[::EVERY]
+    if not len(ids):
+        return b"", at
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    out = np.zeros(int(word[-1]) + 2, np.uint64)
+    out[word[first]] = np.add.reduceat(both >> np.uint64(32), first)  # no two codes share a bit
+    out[word[first] + 1] += np.add.reduceat(both & np.uint64(0xFFFFFFFF), first)
+    return out.astype(">u4").tobytes(), at[::EVERY]
 
 
 def unpack(bits: list[bytes], points: list[np.ndarray], sizes: list[int], table: np.ndarray) -> np.ndarray:
