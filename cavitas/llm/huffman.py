@@ -36,6 +36,8 @@ EVERY, BLOCK = 128, 1 << 18
 #: Words whose ids a task remembers.
 MOST_KNOWN = 1_600_000
 MARKS = tuple(".,;:!?")
+#: What added tokens start with; they are matched before the tokenizer lowers case.
+SPECIAL = "<|"
 #: What the vocabulary's tokens that end a word end in.
 WORD_END = "</w>"
 
@@ -50,7 +52,7 @@ class Tokens:
     Blanks and line feeds end a word for the tokenizer and leave no id, so the
     ids of a text are those of its words, one after another. Words of ASCII
     letters are asked for in lower case, and without a mark that ends them, as the
-    tokenizer lowers case and parts letters from marks itself.
+    tokenizer lowers case and parts letters from marks itself. Added tokens are one id each.
     """
 
     def __init__(self, path: str):
@@ -58,7 +60,6 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.width = _width(self.tokenizer.get_vocab_size())
         self.known: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -83,7 +84,7 @@ class Tokens:
     def _learn(self, words: list[str]) -> None:
         parts = {}
         for word in words:
-            core = word if not word.isascii() or word.islower() else word.lower()
+            core = word if not word.isascii() or word.islower() or SPECIAL in word else word.lower()
             if core[-1:] in MARKS and core[:-1].isascii() and core[:-1].isalpha():
                 parts[word] = core[:-1], core[-1]
             elif core != word:

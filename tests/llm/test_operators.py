@@ -261,6 +261,20 @@ def test_token_files_equal_the_library(docs, empty, spark):
     assert huffman.read(huffman.write(empty, WORDS)).count() == 0
 
 
+def test_token_files_hold_added_tokens_as_the_library_gives_them(spark):
+    lines = ["<|endoftext|>", "<|startoftext|>", "hello <|endoftext|> world", "a<|endoftext|>b.", "A<|startoftext|>B!", "<|EndOfText|>", "x <|STARTOFTEXT|>, <|endoftext|>\n<|startoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext| >", "ÄÖ<|endoftext|>É", "plain Words, here."]
+    own = Tokenizer.from_file(WORDS)
+    want, start = [], 0
+    for i, text in enumerate(lines):
+        ids = np.asarray(own.encode(text, add_special_tokens=False).ids + [1], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert bag(huffman.read(huffman.write(rows, WORDS)).collect()) == bag(want)
+    tokens = huffman.Tokens(WORDS)
+    assert np.frombuffer(tokens.encode(["hello <|endoftext|> world"])[0], tokens.width).tolist() == [3306, 49407, 1002, 1]
+
+
 def test_code_lengths_are_limited_and_best():
     rng = np.random.default_rng(9)
     counts = np.zeros(700, np.int64)
