@@ -28,7 +28,6 @@ other; repeated rows are treated each. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -126,12 +125,12 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray([NO_ID if x is None else x for x in batch["doc_id"].to_pylist()], np.int64)
 
 
-def _mark(text: bytes) -> int:
-    """Tells rows of one doc_id apart."""
-    return zlib.crc32(hashlib.md5(text).digest())
+def _mark(text: bytes) -> bytes:
+    """Tells rows of one doc_id apart: 128 bits, as a null or frequent id may have millions of texts."""
+    return hashlib.blake2b(text, digest_size=16).digest()
 
 
-ANCHOR: Fields = {"hash": "<u8", "doc": "<i8", "mark": "<u4", "at": "<u4"}
+ANCHOR: Fields = {"hash": "<u8", "doc": "<i8", "mark": "<u8", "mark2": "<u8", "at": "<u4"}
 
 
 def _deal_anchors(n: int):
@@ -140,7 +139,7 @@ def _deal_anchors(n: int):
             found = []
             for doc, text in zip(_ids(batch), utf8(batch["text"]), strict=True):
                 at, h = anchors(text)
-                found.append((h, np.full(len(at), doc), np.full(len(at), _mark(text), np.uint32), at.astype(np.uint32)))
+                found.append((h, np.full(len(at), doc), *(np.full(len(at), m) for m in np.frombuffer(_mark(text), "<u8")), at.astype(np.uint32)))
             h, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
             yield from _pack((h % np.uint64(n)).astype(np.int64), dict(zip(ANCHOR, [h, *rest], strict=True)))
 
@@ -151,16 +150,18 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """doc, mark and the places of anchors that another document has, too."""
     for _, x in _buckets(batches, ANCHOR):
         order = np.argsort(x["hash"], kind="stable")
-        x = {k: v[order] for k, v in x.items()}
-        first = np.flatnonzero(np.concatenate([[True], x["hash"][1:] != x["hash"][:-1]]))
+        h, doc = x["hash"][order], x["doc"][order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         sizes = np.diff(np.append(first, len(order)))
-        shared = np.repeat(np.minimum.reduceat(x["doc"], first) != np.maximum.reduceat(x["doc"], first), sizes)
-        doc, mark, at = (x[k][shared] for k in ("doc", "mark", "at"))
-        order = np.lexsort((at, mark, doc))
-        doc, mark, at = doc[order], mark[order], at[order]
-        edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])])) if len(doc) else np.zeros(0, int)
+        shared = order[np.repeat(np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), sizes)]
+        own = [x[k][shared] for k in ("doc", "mark", "mark2", "at")]
+        del x, h, order, doc
+        order = np.lexsort(own[::-1])
+        doc, mark, mark2, at = (v[order] for v in own)
+        edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (mark2[1:] != mark2[:-1])])) if len(doc) else np.zeros(0, int)
+        marks = [m.tobytes() for m in np.stack([mark[edges], mark2[edges]], axis=1)]
         places = [p.tobytes() for p in np.split(at, edges[1:])] if len(doc) else []
-        yield pa.record_batch([pa.array(doc[edges]), pa.array(mark[edges].astype(np.int64)), pa.array(places, pa.binary())], names=["doc", "mark", "places"])
+        yield pa.record_batch([pa.array(doc[edges]), pa.array(marks, pa.binary()), pa.array(places, pa.binary())], names=["doc", "mark", "places"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +177,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if b - a >= LENGTH:
                     rows.append((part, (part << 40) + used, doc, mark, a, text[a:b]))
                     used += b - a + 8
-        kinds = [pa.int64()] * 5 + [pa.binary()]
+        kinds = [*[pa.int64()] * 3, pa.binary(), pa.int64(), pa.binary()]
         if rows:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "base", "doc", "mark", "start", "bytes"])
 
 
-PIECE = "part long, base long, doc long, mark long, start long, bytes binary"
+PIECE = "part long, base long, doc long, mark binary, start long, bytes binary"
 
 
 class Batch:
@@ -352,9 +353,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = rows.mapInArrow(_deal_anchors(4 * parts), PACKED).repartition(parts, "bucket").mapInArrow(_shared_anchors, "doc long, mark long, places binary")
+    shared = rows.mapInArrow(_deal_anchors(4 * parts), PACKED).repartition(parts, "bucket").mapInArrow(_shared_anchors, "doc long, mark binary, places binary")
     shared = shared.groupBy("doc", "mark").agg(F.collect_list("places").alias("places"))
-    texts = rows.mapInArrow(_with_mark, "doc long, mark long, text string")
+    texts = rows.mapInArrow(_with_mark, "doc long, mark binary, text string")
     pieces = stored(texts.join(shared, ["doc", "mark"]).mapInArrow(_cut, PIECE), "pieces")
     total = pieces.agg(F.sum(F.length("bytes"))).first()[0] or 0
     n = max(1, -(-total // RANGE))
@@ -366,14 +367,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     merged = merged.applyInArrow(lambda k, p, r: _suffixes(limits)(k, p, r.rename_columns(["bucket", "n", "data"])), PACKED).repartition(max(parts, n), "bucket")
     found = merged.mapInArrow(_repeats, PACKED).withColumnRenamed("bucket", "part")
     own = pieces.select("part", "base", "doc", "mark", "start", F.length("bytes").cast("long").alias("size"))
-    spans = own.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(lambda k, p, f: _spans(k, p, f.rename_columns(["bucket", "n", "data"])), "doc long, mark long, starts binary")
+    spans = own.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(lambda k, p, f: _spans(k, p, f.rename_columns(["bucket", "n", "data"])), "doc long, mark binary, starts binary")
     return spans.groupBy("doc", "mark").agg(F.collect_list("starts").alias("starts"))
 
 
 def _with_mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         marks = [_mark(t) for t in utf8(batch["text"])]
-        yield pa.record_batch([pa.array(_ids(batch)), pa.array(marks, pa.int64()), batch["text"].cast(pa.string())], names=["doc", "mark", "text"])
+        yield pa.record_batch([pa.array(_ids(batch)), pa.array(marks, pa.binary()), batch["text"].cast(pa.string())], names=["doc", "mark", "text"])
 
 
 def covered(size: int, starts: list[bytes]) -> np.ndarray:
@@ -419,9 +420,9 @@ def _joined(docs: DataFrame) -> DataFrame:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             marks = [_mark(t) for t in utf8(batch["text"])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], names=[*batch.schema.names, "mark"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())], names=[*batch.schema.names, "mark"])
 
-    marked = docs.mapInArrow(mark, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", mark long")
+    marked = docs.mapInArrow(mark, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", mark binary")
     marked = marked.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))))
     return marked.join(found, ["doc", "mark"], "left").select(*kept.names, "starts")
 

@@ -169,6 +169,16 @@ def test_repeats_equal_brute_force(docs, empty, monkeypatch, reach):
     assert PASSAGE in left[34] and PASSAGE not in left[35] and left[36] == "x"
 
 
+def test_suffixes_tell_rows_of_a_null_id_apart(spark):
+    """Two texts without an id whose 32-bit checksums are equal: only one has a passage to remove."""
+    with_it, without = f"47261 is a number, and so on, before {PASSAGE}", "number 17524 shares no passage with any other of these texts at all"
+    assert len({zlib.crc32(hashlib.md5(t.encode()).digest()) for t in (with_it, without)}) == 1 and len(without) < len(with_it)
+    rows = spark.createDataFrame([(1, PASSAGE), (None, with_it), (None, without)], "doc_id long, text string")
+    got = {r["kept_sha256"]: (r["n_bytes"], r["n_removed"]) for r in suffixes.digest(rows).collect()}
+    want = [(PASSAGE, PASSAGE), (with_it, with_it.removesuffix(PASSAGE)), (without, without)]
+    assert got == {hashlib.sha256(kept.encode()).hexdigest(): (len(t), len(t) - len(kept)) for t, kept in want}
+
+
 def reference_fingerprint(text: str | None) -> int:
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     parts = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
