@@ -493,12 +493,12 @@ def support_depth(c: Carriers) -> DataFrame:
 
 @query()
 def void_lattice(c: Carriers) -> DataFrame:
-    return geometry.lattice_voids(c.atoms, step=6.0)
+    return geometry.lattice_voids(c.atoms)
 
 
 @query()
 def cavity_pipeline(c: Carriers) -> DataFrame:
-    return geometry.cavities(c.atoms, step=6.0, k=32).select("pdb_id", "cavity_id", "rank", "bio_score", "volume", "merged_vertices", "druggable")
+    return geometry.cavities(c.atoms).select("pdb_id", "cavity_id", "rank", "bio_score", "volume", "merged_vertices", "druggable")
 
 
 CONTACT = "pr as (select a.pdb_id, a.res_id, " + D.format("a.", "b.") + " as d from c_atoms a join c_atoms b on a.pdb_id = b.pdb_id and a.res_id <> b.res_id), g as (select pdb_id, res_id, count(*) filter (d < 8) as n_near, avg(d) filter (d < 8) as avg_near, count(*) filter (d > 8 and d < 15) as n_far from pr group by 1, 2)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 
+import numpy as np
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
@@ -40,3 +41,30 @@ def test_query_equals_sql(spark, tables, name):
 
 def test_flagship(spark):
     assert registry.flagship(spark, DATA).count() > 0
+
+
+class Few(registry.Carriers):
+    """Three of the structures."""
+
+    @property
+    def atoms(self):
+        return super().atoms.where("pdb_id in ('E1', 'E2', 'E3')")
+
+
+def test_voids_of_the_production_lattice_merge(spark):
+    few = Few(spark, DATA)
+    atoms = {}
+    for r in few.atoms.collect():
+        atoms.setdefault(r["pdb_id"], []).append((r["x"], r["y"], r["z"]))
+    want = set()
+    for key, rows in atoms.items():
+        xyz = np.asarray(rows)
+        low, size = xyz.min(axis=0), np.floor(np.ptp(xyz, axis=0) / 2).astype(int) + 1
+        at = np.stack(np.meshgrid(*map(np.arange, size), indexing="ij"), axis=-1)
+        near = np.sqrt(((low + at * 2.0)[..., None, :] - xyz) ** 2 @ np.ones(3)).min(axis=-1)
+        clear = np.pad(np.where(near <= 12, near, -1), 1, constant_values=-1)
+        around = np.max([np.roll(clear, d, axis=a) for a in range(3) for d in (1, -1)], axis=0)[1:-1, 1:-1, 1:-1]
+        want |= {(key, *np.round(low + p * 2.0, 3)) for p in at[(near <= 12) & (near >= around)]}
+    got = registry.QUERIES["void_lattice"](few).collect()
+    assert {(r["pdb_id"], *np.round((r["x"], r["y"], r["z"]), 3)) for r in got} == want and len(got) == len(want)
+    assert max(r["merged_vertices"] for r in registry.QUERIES["cavity_pipeline"](few).collect()) > 1
