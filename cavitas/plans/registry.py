@@ -582,7 +582,7 @@ def leakage_check(c: Carriers) -> DataFrame:
 @query()
 def train_rf(c: Carriers) -> DataFrame:
     rows = ml.dataset(c.base.select("pdb_id", "pocket_id", "bio_score", "druggable", *FEATS), 0.5, 0.45)
-    model = ml.train(rows.where("split = 'train'"), FEATS, "logistic")
+    model = ml.train(rows.where("split = 'train'"), FEATS)
     return ml.metrics(ml.predict(model, rows.where("split = 'test'"), FEATS))
 
 

@@ -68,3 +68,10 @@ def test_voids_of_the_production_lattice_merge(spark):
     got = registry.QUERIES["void_lattice"](few).collect()
     assert {(r["pdb_id"], *np.round((r["x"], r["y"], r["z"]), 3)) for r in got} == want and len(got) == len(want)
     assert max(r["merged_vertices"] for r in registry.QUERIES["cavity_pipeline"](few).collect()) > 1
+
+
+def test_train_rf_trains_a_forest(spark, monkeypatch):
+    fitted, own = [], registry.ml.train
+    monkeypatch.setattr(registry.ml, "train", lambda *a, **k: fitted.append(own(*a, **k)) or fitted[-1])
+    assert registry.QUERIES["train_rf"](registry.Carriers(spark, DATA)).count() == 1
+    assert [type(m).__name__ for m in fitted] == ["RandomForestClassificationModel"] and fitted[0].getNumTrees == 50
