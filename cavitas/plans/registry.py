@@ -605,12 +605,12 @@ def t_test(c: Carriers) -> DataFrame:
 @query()
 def bootstrap_recall_ci(c: Carriers) -> DataFrame:
     rows = _matches(c).select("pdb_id", F.col("matched").cast("double").alias("m"))
-    return stats.bootstrap(rows, "pdb_id", lambda: F.avg("m"), b=1000)
+    return stats.bootstrap(rows, "pdb_id", lambda: F.avg("m"))
 
 
 @query()
 def permutation_test(c: Carriers) -> DataFrame:
-    return stats.permutation(_overlap(c), b=200)
+    return stats.permutation(_overlap(c))
 
 
 @query(P, sql="select rank, round(avg(bio_score), 6) as avg_score, count(*) as n from c_pockets group by 1")
@@ -640,7 +640,7 @@ def case_subset(c: Carriers) -> DataFrame:
 
 @query()
 def fpr_interval(c: Carriers) -> DataFrame:
-    return stats.fpr_stats(_evidence(c), b=200)
+    return stats.fpr_stats(_evidence(c))
 
 
 # Tables

@@ -75,3 +75,13 @@ def test_train_rf_trains_a_forest(spark, monkeypatch):
     monkeypatch.setattr(registry.ml, "train", lambda *a, **k: fitted.append(own(*a, **k)) or fitted[-1])
     assert registry.QUERIES["train_rf"](registry.Carriers(spark, DATA)).count() == 1
     assert [type(m).__name__ for m in fitted] == ["RandomForestClassificationModel"] and fitted[0].getNumTrees == 50
+
+
+def test_intervals_rest_on_the_operators_own_draws(spark, monkeypatch):
+    made, own = [], registry.stats.draws
+    monkeypatch.setattr(registry.stats, "draws", lambda spark, b, n, seed: made.append(b) or own(spark, b, n, seed))
+    few = registry.Carriers(spark, DATA)
+    for name in ("bootstrap_recall_ci", "fpr_interval"):
+        assert registry.QUERIES[name](few).first()["n"] > 0
+    assert made == [3000, 3000]
+    assert registry.QUERIES["permutation_test"](few).first()["draws"] == 1000
