@@ -512,7 +512,7 @@ def contact_graph_features(c: Carriers) -> DataFrame:
 
 @query()
 def message_passing(c: Carriers) -> DataFrame:
-    return graph.pocket_residues(graph.passed(graph.node_features(c.atoms), graph.contacts(c.atoms)), 5)
+    return graph.pocket_residues(graph.passed(graph.node_features(c.atoms), graph.contacts(c.atoms)))
 
 
 @query()

@@ -85,3 +85,9 @@ def test_intervals_rest_on_the_operators_own_draws(spark, monkeypatch):
         assert registry.QUERIES[name](few).first()["n"] > 0
     assert made == [3000, 3000]
     assert registry.QUERIES["permutation_test"](few).first()["draws"] == 1000
+
+
+def test_message_passing_reports_the_best_twenty(spark):
+    """Each structure has 21 residues; all but the last of them are reported."""
+    got = registry.QUERIES["message_passing"](Few(spark, DATA)).collect()
+    assert sorted((r["pdb_id"], r["rank"]) for r in got) == [(f"E{k}", n) for k in (1, 2, 3) for n in range(1, 21)]
