@@ -1,37 +1,43 @@
-"""Operator 6, removal of repeated passages by a distributed difference-cover suffix sort.
+"""Operator 6, removal of repeated passages by difference-cover suffix sorts.
 
-Candidates. A text's anchors are the byte grams with the least hash in any
-window, chosen so that every string of LENGTH bytes holds one and equal strings hold equal
-ones. Only bytes within reach of an anchor that another document shares can be
-part of a repeat; they are cut out as pieces. This loses nothing and decides nothing.
+Candidates. Every string of LENGTH bytes has a least gram (GRAM bytes, by a hash), and equal
+strings have equal ones. Texts are stored once in blocks of about BLOCK bytes. Each block asks
+about the hashes of its least grams; a hash that one document alone has rules its
+strings out. The others go on as pieces: the bytes of successive starts with the same
+least gram. This loses nothing and decides nothing.
+
+Dealing. A piece goes to the task of its gram's hash, so equal strings meet. Equal pieces of a
+block travel once, with their smallest document. A gram of over HEAVY occurrences
+would fill one task; its strings are dealt one by one, by hashes of the strings themselves.
 
 Suffix sort. Letters are words of 8 bytes; a suffix goes on 8 bytes later. Of
 every three successive letters two begin sampled suffixes (a difference cover
-modulo 3). Triples of letters of the sampled suffixes are sorted and named;
-triples of names are sorted again, which ranks 72 bytes and ends the recursion, as
-only LENGTH bytes matter. The remaining suffixes are sorted by first letter and
-the rank of the sampled suffix that follows, and merged with the others by the
-difference-cover comparison. Neighbours in the order whose prefixes agree in
-LENGTH bytes form a group; a string is removed wherever its document is not the
-first of its group.
-
-Every sort is a shuffle: tasks deal packed arrays to ranges of keys, and
-sort them in numpy; names keep the range in their upper bits, so no global
-count is needed. Neither the driver nor a task sees a whole column; a range grows with the
-number of equal keys only.
+modulo 3). Triples of letters of the sampled suffixes are sorted and named, and triples
+of names again, until names are distinct or reach LENGTH bytes. The remaining suffixes are
+sorted by first letter and the rank of the sampled suffix that follows, and merged
+with the others by the difference-cover comparison. Neighbours in the order whose LENGTH bytes
+are equal, byte for byte, form a group; a string is removed wherever its document is not
+the smallest of its group. Each sort takes whole grams, about AT_ONCE pieces; grams
+with a single piece, or of a single document, have no neighbour and are left out.
+
+Why not one sort of all suffixes: its triples, names and ranks are some 130 bytes for each byte
+of the candidates, which exceeds four times the input on disk; pieces are about 4.
 
 Edge cases: a null text is empty; texts under LENGTH bytes are never touched; a null doc_id
 counts as larger than all others, and documents of equal id do not match each
-other; repeated rows are treated each. An empty table gives an empty result.
+other; repeated rows are treated each; doc_id has to be an integer, anything else is
+refused. Other columns of any name are kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,14 +47,20 @@ from cavitas.llm.shared import slices, stored, utf8
 LENGTH = 50
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
-#: Suffixes aimed at in one range, and keys drawn to set the ranges' limits.
-RANGE, DRAWN = 1 << 20, 1 << 15
+#: Bytes of text in a block, and bytes of text for each task that hashes or pieces go to.
+BLOCK, SHARE = 4 << 20, 1 << 25
+#: Pieces sorted at once, and occurrences from which a gram's strings are dealt one by one.
+AT_ONCE, HEAVY = 1 << 15, 1 << 14
 NO_ID = np.iinfo(np.int64).max
 _FACTOR = 0x9E3779B97F4A7C15
 _LETTERS = np.random.default_rng(6).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
-PACKED = "bucket long, n long, data binary"
-
-Fields = dict[str, str]
+#: A piece has at most WINDOW starts; letters are looked up to two letters past its end.
+LONGEST = LENGTH + WINDOW - 1
+WIDTH = LONGEST + 24
+SAMPLED = np.asarray([o for o in range(LONGEST) if o // 8 % 3])
+#: What goes from task to task: an answer's or a piece's block, and packed columns.
+DEALT = "bucket int, kind int, block long, columns binary, bytes binary"
+ANSWERS = "block long, bucket int, columns binary"
 
 
 def _powers(n: int) -> np.uint64:
@@ -68,7 +80,9 @@ def hashes(x: np.ndarray, length: int) -> np.ndarray:
             break
         have = have[:-n] * _powers(n) + have[n:] if len(have) > n else have[:0]
         n *= 2
-    return out[: max(0, len(x) - length + 1)]
+    out = out[: max(0, len(x) - length + 1)]
+    out = (out ^ out >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ out >> np.uint64(29)
 
 
 def _sliding(a: np.ndarray, width: int, f: Callable) -> np.ndarray:
@@ -78,209 +92,201 @@ def _sliding(a: np.ndarray, width: int, f: Callable) -> np.ndarray:
     return f(a[: len(a) - (width - n)], a[width - n :]) if width > n else a
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that are least in some window."""
-    if len(text) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = hashes(np.frombuffer(text, np.uint8), GRAM)
-    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    least = _sliding(h, WINDOW, np.minimum)
-    edge = np.zeros(WINDOW - 1, np.uint64)
-    at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), WINDOW, np.maximum) == h)
-    return at, h[at]
-
-
-def _pack(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Deal rows to buckets: one row of PACKED per bucket, its columns one after another."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, columns = bucket[order], {k: v[order] for k, v in columns.items()}
-    edges = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1 if len(bucket) else 0))
-    ends = np.append(edges[1:], len(bucket))
-    data = [b"".join(v[a:b].tobytes() for v in columns.values()) for a, b in zip(edges, ends, strict=True)] if len(bucket) else []
-    if data:
-        yield pa.record_batch([pa.array(bucket[edges].astype(np.int64)), pa.array((ends - edges).astype(np.int64)), pa.array(data, pa.binary())], names=["bucket", "n", "data"])
-
-
-def _unpack(n: int, data: bytes, fields: Fields) -> dict[str, np.ndarray]:
-    found, at = {}, 0
-    for name, kind in fields.items():
-        found[name] = np.frombuffer(data, kind, n, at)
-        at += n * np.dtype(kind).itemsize
-    return found
-
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal entries begin."""
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])) if len(columns[0]) else np.zeros(0, np.int64)
 
-def _buckets(batches: Iterator[pa.RecordBatch], fields: Fields) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """Each bucket of a task with its columns."""
-    parts: dict[int, list] = {}
-    for batch in batches:
-        for b, n, data in zip(batch["bucket"].to_pylist(), batch["n"].to_pylist(), batch["data"].to_pylist(), strict=True):
-            parts.setdefault(b, []).append((n, data))
-    for b in sorted(parts):
-        each = [_unpack(n, data, fields) for n, data in parts.pop(b)]
-        yield b, {k: np.concatenate([x[k] for x in each]) for k in fields}
 
+def press(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, byte by byte of their entries, compressed."""
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns]
+    return zstandard.compress(b"".join(planes), 3)
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return np.asarray([NO_ID if x is None else x for x in batch["doc_id"].to_pylist()], np.int64)
 
+def unpress(data: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, at, found = len(raw) // sum(sizes), 0, []
+    for kind, size in zip(kinds, sizes, strict=True):
+        found.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).reshape(-1).view(kind))
+        at += n * size
+    return found
 
-def _mark(text: bytes) -> bytes:
-    """Tells rows of one doc_id apart: 128 bits, as a null or frequent id may have millions of texts."""
-    return hashlib.blake2b(text, digest_size=16).digest()
 
+class Block:
+    """Rows of a stored block, and the runs of starts in them that share their least gram."""
+
+    def __init__(self, data: bytes):
+        self.batch = next(iter(pa.ipc.open_stream(data)))
+        texts = utf8(self.batch["text"])
+        self.docs = np.asarray([NO_ID if x is None else x for x in self.batch["doc_id"].to_pylist()], np.int64)
+        self.sizes = np.asarray([len(t) for t in texts], np.int64)
+        self.bytes = b"".join(texts)
+        self.x = np.frombuffer(self.bytes, np.uint8)
+
+    def runs(self) -> None:
+        """at, n, hash and doc of every run: its first start, its number of starts, the hash of its gram."""
+        total = len(self.x) - LENGTH + 1
+        if total <= 0:
+            self.at, self.n, self.hash, self.doc = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return
+        least = _sliding(hashes(self.x, GRAM), WINDOW, np.minimum)
+        ends = np.cumsum(self.sizes)
+        crossing = np.zeros(len(self.x) + 1, np.int32)  # starts whose string would leave its text
+        np.add.at(crossing, np.maximum(ends - self.sizes, ends - LENGTH + 1), 1)
+        np.add.at(crossing, ends, -1)
+        crossing = np.cumsum(crossing[:total]) > 0
+        new = np.concatenate([[True], (least[1:] != least[:-1]) | (crossing[1:] != crossing[:-1])])
+        edges = np.flatnonzero(new)
+        n = np.diff(np.append(edges, total))
+        inside = ~crossing[edges]
+        edges, n = edges[inside], n[inside]
+        pieces = -(-n // WINDOW)
+        nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        self.at = np.repeat(edges, pieces) + nth * WINDOW
+        self.n = np.minimum(np.repeat(n, pieces) - nth * WINDOW, WINDOW)
+        self.hash = least[self.at]
+        self.doc = self.docs[np.searchsorted(ends, self.at, side="right")]
+
+    def asked(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes, ascending and cut to their upper bits; where each run's is; occurrences << 1 | in several documents."""
+        short = self.hash >> np.uint64(64 - bits)
+        order = np.argsort(short, kind="stable")
+        first = _edges(short[order])
+        count = np.diff(np.append(first, len(order)))
+        several = np.minimum.reduceat(self.doc[order], first) != np.maximum.reduceat(self.doc[order], first) if len(first) else first > 0
+        place = np.empty(len(order), np.int64)
+        place[order] = np.repeat(np.arange(len(first)), count)
+        return short[order][first], place, (np.minimum(count, 0x7FFF) << 1 | several).astype("<u2")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with all their columns, as compressed Arrow streams of about BLOCK bytes of text."""
+    block = TaskContext.get().partitionId() << 33
+    packed = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+    for batch in slices(batches, "text", BLOCK):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=packed) as out:
+            out.write_batch(batch)
+        size = sum(map(len, utf8(batch["text"])))
+        yield pa.record_batch([pa.array([block], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "size", "data"])
+        block += 1
+
+
+def _limits(n: int, bits: int) -> np.ndarray:
+    return np.asarray([(k << bits) // n for k in range(1, n)], np.uint64)
+
+
+def _ask(n: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data in zip(batch["block"].to_pylist(), batch["data"], strict=True):
+                block = Block(data.as_py())
+                block.runs()
+                short, _, code = block.asked(bits)
+                cuts = [0, *np.searchsorted(short, _limits(n, bits)).tolist(), len(short)]
+                rows = [(k, number, press(np.diff(short[a:b], prepend=short[a] * 0), code[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]  # noqa: B905
+                if rows:
+                    bucket, own, columns = zip(*rows, strict=True)
+                    yield pa.record_batch([pa.array(own, pa.int64()), pa.array(bucket, pa.int32()), pa.array(columns, pa.binary())], names=["block", "bucket", "columns"])
 
-ANCHOR: Fields = {"hash": "<u8", "doc": "<i8", "mark": "<u8", "mark2": "<u8", "at": "<u4"}
+    return run
 
 
-def _deal_anchors(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
-            found = []
-            for doc, text in zip(_ids(batch), utf8(batch["text"]), strict=True):
-                at, h = anchors(text)
-                found.append((h, np.full(len(at), doc), *(np.full(len(at), m) for m in np.frombuffer(_mark(text), "<u8")), at.astype(np.uint32)))
-            h, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield from _pack((h % np.uint64(n)).astype(np.int64), dict(zip(ANCHOR, [h, *rest], strict=True)))
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch[c].to_pylist() for c in names), strict=True)
 
-    return run
 
+def _answer(heavy: int):
+    """For each hash that a block asked about: 0 no other document has it, 1 some has, 2 it is a heavy one."""
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, mark and the places of anchors that another document has, too."""
-    for _, x in _buckets(batches, ANCHOR):
-        order = np.argsort(x["hash"], kind="stable")
-        h, doc = x["hash"][order], x["doc"][order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        sizes = np.diff(np.append(first, len(order)))
-        shared = order[np.repeat(np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), sizes)]
-        own = [x[k][shared] for k in ("doc", "mark", "mark2", "at")]
-        del x, h, order, doc
-        order = np.lexsort(own[::-1])
-        doc, mark, mark2, at = (v[order] for v in own)
-        edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (mark2[1:] != mark2[:-1])])) if len(doc) else np.zeros(0, int)
-        marks = [m.tobytes() for m in np.stack([mark[edges], mark2[edges]], axis=1)]
-        places = [p.tobytes() for p in np.split(at, edges[1:])] if len(doc) else []
-        yield pa.record_batch([pa.array(doc[edges]), pa.array(marks, pa.binary()), pa.array(places, pa.binary())], names=["doc", "mark", "places"])
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces: the bytes within reach of shared anchors. base: an address of its own for each byte."""
-    part, used = TaskContext.get().partitionId(), 0
-    for batch in slices(batches, "text"):
-        rows = []
-        for doc, mark, places, text in zip(*(batch[c].to_pylist() for c in ("doc", "mark", "places")), utf8(batch["text"]), strict=True):
-            at = np.sort(np.concatenate([np.frombuffer(p, "<u4") for p in places]).astype(np.int64))
-            low, high = np.maximum(at - (LENGTH - GRAM), 0), np.minimum(at + LENGTH, len(text))
-            new = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
-            for a, b in zip(low[new].tolist(), np.append(high[new[1:] - 1], high[-1]).tolist(), strict=True):
-                if b - a >= LENGTH:
-                    rows.append((part, (part << 40) + used, doc, mark, a, text[a:b]))
-                    used += b - a + 8
-        kinds = [*[pa.int64()] * 3, pa.binary(), pa.int64(), pa.binary()]
-        if rows:
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "base", "doc", "mark", "start", "bytes"])
-
-
-PIECE = "part long, base long, doc long, mark binary, start long, bytes binary"
-
-
-class Batch:
-    """Pieces side by side: letters, addresses and where each suffix's piece ends."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        pieces = batch["bytes"].to_pylist()
-        sizes = np.asarray([len(p) for p in pieces])
-        self.bytes = np.frombuffer(b"".join(p + b"\0" * 8 for p in pieces) + b"\0" * 64, np.uint8)
-        first = np.cumsum(sizes + 8) - sizes - 8
-        local = np.arange(int((sizes + 8).sum())) - np.repeat(first, sizes + 8)
-        inside = local < np.repeat(sizes, sizes + 8)
-        self.at = np.flatnonzero(inside)
-        self.pos = np.repeat(batch["base"].to_numpy(), sizes + 8)[self.at] + local[self.at]
-        self.left = (np.repeat(sizes, sizes + 8) - local)[self.at]
-        self.doc = np.repeat(batch["doc"].to_numpy(), sizes + 8)[self.at]
-        self.phase = local[self.at] // 8 % 3
-        wide = self.bytes.astype(np.uint64)
-        word = wide[:-7] << np.uint64(56)
-        for k in range(1, 8):
-            word |= wide[k : len(wide) - 7 + k] << np.uint64(56 - 8 * k)
-        self.word = word
-
-    def letter(self, k: int) -> np.ndarray:
-        """The letter k letters on, 0 beyond the piece."""
-        ahead = np.minimum(self.at + 8 * k, len(self.word) - 1)
-        over = self.left - 8 * k  # bytes of the piece in this letter
-        keep = np.clip(over, 0, 8).astype(np.uint64)
-        mask = np.where(keep > 0, ~np.uint64(0) << (np.uint64(64) - np.maximum(keep, np.uint64(1)) * np.uint64(8)), np.uint64(0))
-        return self.word[ahead] & mask
-
-
-TRIPLE: Fields = {"a": "<u8", "b": "<u8", "c": "<u8", "pos": "<i8"}
-NAMED: Fields = {"pos": "<i8", "name": "<u8"}
-
-
-def _triples(limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "bytes"):
-            x = Batch(batch)
-            take = x.phase > 0
-            a, b, c = (x.letter(k)[take] for k in range(3))
-            yield from _pack(np.searchsorted(limits.value, a, side="right"), {"a": a, "b": b, "c": c, "pos": x.pos[take]})
+        for bucket, rows in groupby(_rows(batches, "bucket", "block", "columns"), key=lambda r: r[0]):
+            blocks, parts = zip(*((b, unpress(c, "<u8", "<u2")) for _, b, c in rows), strict=True)
+            short, code = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), np.concatenate([p[1] for p in parts])
+            order = np.argsort(short, kind="stable")
+            first = _edges(short[order])
+            sizes = np.diff(np.append(first, len(order)))
+            code = code[order].astype(np.int64)
+            shared = (sizes > 1) | (np.bitwise_or.reduceat(code, first) & 1 > 0)
+            found = np.where(shared, np.where(np.add.reduceat(code >> 1, first) > heavy, 2, 1), 0).astype(np.uint8)
+            out = np.empty(len(order), np.uint8)
+            out[order] = np.repeat(found, sizes)
+            each = np.split(out, np.cumsum([len(p[0]) for p in parts])[:-1])
+            yield pa.record_batch([pa.array(blocks, pa.int64()), pa.array([bucket] * len(blocks), pa.int32()), pa.array([press(x) for x in each], pa.binary())], names=["block", "bucket", "columns"])
 
     return run
 
 
-def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names in the order of the triples, sent to the partitions of their places."""
-    for bucket, x in _buckets(batches, TRIPLE):
-        order = np.lexsort((x["c"], x["b"], x["a"]))
-        a, b, c = (x[k][order] for k in "abc")
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
-        pos = x["pos"][order]
-        yield from _pack(pos >> 40, {"pos": pos, "name": (np.uint64(bucket) << np.uint64(40)) + np.cumsum(new).astype(np.uint64)})
-
-
-def _find(pos: np.ndarray, name: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The names at the wanted places, 0 where there is none. pos ascends."""
-    at = np.minimum(np.searchsorted(pos, wanted), max(0, len(pos) - 1))
-    return np.where(pos[at] == wanted, name[at], np.uint64(0)) if len(pos) else np.zeros(len(wanted), np.uint64)
+def _deal(n: int, bits: int):
+    """Pieces to the tasks of their grams, and to the block itself (kind 0) where each piece lies."""
+
+    def rows_of(number: int, data: bytes, answers: list) -> Iterator[tuple]:
+        block = Block(data)
+        block.runs()
+        _, place, _ = block.asked(bits)
+        found = np.concatenate([np.zeros(0, np.uint8), *(unpress(c, "u1")[0] for _, c in sorted(answers))])[place]
+        at, count, doc, key = block.at[found == 1], block.n[found == 1], block.doc[found == 1], block.hash[found == 1]
+        if (found == 2).any():
+            each, ends = block.n[found == 2], np.cumsum(block.n[found == 2])
+            alone = np.repeat(block.at[found == 2] - (ends - each), each) + np.arange(ends[-1])
+            at, count = np.concatenate([at, alone]), np.concatenate([count, np.ones(len(alone), np.int64)])
+            doc, key = np.concatenate([doc, np.repeat(block.doc[found == 2], each)]), np.concatenate([key, hashes(block.x, LENGTH)[alone]])
+        text, distinct = block.bytes, {}
+        index = np.asarray([distinct.setdefault(text[a:b], len(distinct)) for a, b in zip(at.tolist(), (at + count + LENGTH - 1).tolist(), strict=True)], np.int64)
+        least = np.full(len(distinct), NO_ID)
+        np.minimum.at(least, index, doc)
+        _, first = np.unique(index, return_index=True)
+        key, pieces = key[first], list(distinct)
+        yield number % n, 0, number, press(np.diff(at, prepend=0).astype("<i4"), index.astype("<u4"), count.astype(np.uint8), (doc > least[index]).astype(np.uint8)), None
+        bucket = (key % np.uint64(n)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = [*_edges(bucket[order]).tolist(), len(order)]
+        for a, b in zip(cuts, cuts[1:]):  # noqa: B905
+            own = order[a:b]
+            columns = press(np.diff(own, prepend=0).astype("<u4"), count[first][own].astype(np.uint8), (key[own] >> np.uint64(32)).astype("<u4"), least[own])
+            yield int(bucket[own[0]]), 1, number, columns, zstandard.compress(b"".join([pieces[k] for k in own.tolist()]), 3)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        for batch in batches:
+            for number, data, answers in zip(batch["block"].to_pylist(), batch["data"], batch["answers"].to_pylist(), strict=True):
+                rows = rows_of(number, data.as_py(), [(a["bucket"], a["columns"]) for a in answers])
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "kind", "block", "columns", "bytes"])
 
-def _triples_of_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, x in _buckets(batches, NAMED):
-        order = np.argsort(x["pos"])
-        pos, name = x["pos"][order], x["name"][order]
-        yield from _pack((name >> np.uint64(40)).astype(np.int64), {"a": name, "b": _find(pos, name, pos + 24), "c": _find(pos, name, pos + 48), "pos": pos})
+    return run
 
 
-SUFFIX: Fields = {"a": "<u8", "b": "<u8", "rank": "<u8", "rank1": "<u8", "rank2": "<u8", "hash": "<u8", "pos": "<i8", "doc": "<i8", "phase": "<i1"}
+def named(*keys: np.ndarray) -> np.ndarray:
+    """The rank, from 1, of each row of keys; equal rows share it."""
+    order = np.lexsort(keys[::-1])
+    sorted_keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in sorted_keys], axis=0)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
 
-def _suffixes(limits):
-    """All suffixes of LENGTH bytes or more with what the merge compares.
+def sampled_ranks(word: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Ranks (pieces, places) of the sampled suffixes, 0 elsewhere.
 
-    Pieces come with the ranks of their partition's sampled suffixes.
+    Triples of letters are named; triples of names are named again until all names
+    differ or stand for LENGTH bytes. Only what a start's comparison reaches is ranked at the end.
     """
-
-    def run(key, pieces: pa.Table, ranks: pa.Table) -> pa.Table:
-        out = []
-        pos, rank = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for batch in ranks.to_batches():
-            for _, x in _buckets(iter([batch]), NAMED):
-                pos, rank = np.concatenate([pos, x["pos"]]), np.concatenate([rank, x["name"]])
-        order = np.argsort(pos)
-        pos, rank = pos[order], rank[order]
-        for batch in slices(iter(pieces.to_batches()), "bytes"):
-            x = Batch(batch)
-            take = x.left >= LENGTH
-            a, b = x.letter(0)[take], x.letter(1)[take]
-            at = x.pos[take]
-            each = [a, b, *(_find(pos, rank, at + 8 * k) for k in range(3)), hashes(x.bytes, LENGTH)[x.at[take]], at, x.doc[take], x.phase[take].astype(np.int8)]
-            out += _pack(np.searchsorted(limits.value, a, side="right"), dict(zip(SUFFIX, each, strict=True)))
-        schema = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
-        return pa.Table.from_batches(out, schema)
-
-    return run
+    row, at = np.nonzero(sizes[:, None] > SAMPLED)
+    at, reach = SAMPLED[at], 24
+    names = np.zeros((len(word), WIDTH + 3 * LENGTH), np.int64)
+    names[row, at] = named(word[row, at], word[row, at + 8], word[row, at + 16])
+    while reach < LENGTH and len(at) > names.max(initial=0):
+        wanted = at < starts[row] + 16 if 3 * reach >= LENGTH else at >= 0
+        row, at = row[wanted], at[wanted]
+        found = named(*(names[row, at + k * reach] for k in range(3)))
+        names = np.zeros_like(names)
+        names[row, at] = found
+        reach *= 3
+    return names
 
 
 def merge_order(x: dict[str, np.ndarray]) -> np.ndarray:
@@ -311,130 +317,165 @@ def merge_order(x: dict[str, np.ndarray]) -> np.ndarray:
     return order
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places whose LENGTH bytes also start in a smaller document."""
-    for _, x in _buckets(batches, SUFFIX):
-        order = merge_order(x)
-        a, b, h, doc, pos = (x[k][order] for k in ("a", "b", "hash", "doc", "pos"))
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (h[1:] != h[:-1])])
-        first = np.flatnonzero(new)
-        least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(doc))))
-        found = pos[doc > least]
-        yield from _pack(found >> 40, {"pos": found})
-
-
-def _spans(key, pieces: pa.Table, found: pa.Table) -> pa.Table:
-    """Per piece the starts of its removed strings, as offsets in the text."""
-    pos = np.sort(np.concatenate([np.zeros(0, np.int64), *(x["pos"] for b in found.to_batches() for _, x in _buckets(iter([b]), {"pos": "<i8"}))]))
-    base, size = pieces["base"].to_numpy(), np.asarray(pieces["size"].to_numpy())
-    lo, hi = np.searchsorted(pos, base), np.searchsorted(pos, base + size)
-    some = np.flatnonzero(hi > lo)
-    starts = [(pos[lo[k] : hi[k]] - base[k] + pieces["start"][k].as_py()).astype("<u4").tobytes() for k in some.tolist()]
-    return pa.table({"doc": pieces["doc"].take(some), "mark": pieces["mark"].take(some), "starts": pa.array(starts, pa.binary())})
-
-
-def limits_of(pieces: DataFrame, n: int) -> np.ndarray:
-    """n - 1 limits of the first letters, from a bounded draw; they only balance the ranges."""
-    total = pieces.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    share = min(1.0, DRAWN / max(1, total))
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random = np.random.default_rng(TaskContext.get().partitionId())
-        for batch in slices(batches, "bytes"):
-            x = Batch(batch)
-            yield pa.record_batch([pa.array(x.letter(0)[random.random(len(x.at)) < share].view(np.int64))], names=["x"])
-
-    drawn = np.sort(pieces.mapInArrow(draw, "x long").toPandas()["x"].to_numpy(np.int64).view(np.uint64))
-    return np.unique(drawn[np.linspace(0, len(drawn) - 1, n + 1).astype(int)[1:-1]]) if len(drawn) and n > 1 else np.zeros(0, np.uint64)
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc, mark and starts: per document the offsets at which strings to remove start."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = rows.mapInArrow(_deal_anchors(4 * parts), PACKED).repartition(parts, "bucket").mapInArrow(_shared_anchors, "doc long, mark binary, places binary")
-    shared = shared.groupBy("doc", "mark").agg(F.collect_list("places").alias("places"))
-    texts = rows.mapInArrow(_with_mark, "doc long, mark binary, text string")
-    pieces = stored(texts.join(shared, ["doc", "mark"]).mapInArrow(_cut, PIECE), "pieces")
-    total = pieces.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    n = max(1, -(-total // RANGE))
-    limits = spark.sparkContext.broadcast(limits_of(pieces, n))
-    dealt = lambda df, f: df.mapInArrow(f, PACKED).repartition(max(parts, n), "bucket")
-    names = dealt(dealt(pieces, _triples(limits)), _name)
-    ranks = stored(dealt(dealt(names, _triples_of_names), _name), "ranks")
-    merged = pieces.groupBy("part").cogroup(ranks.withColumnRenamed("bucket", "part").groupBy("part"))
-    merged = merged.applyInArrow(lambda k, p, r: _suffixes(limits)(k, p, r.rename_columns(["bucket", "n", "data"])), PACKED).repartition(max(parts, n), "bucket")
-    found = merged.mapInArrow(_repeats, PACKED).withColumnRenamed("bucket", "part")
-    own = pieces.select("part", "base", "doc", "mark", "start", F.length("bytes").cast("long").alias("size"))
-    spans = own.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(lambda k, p, f: _spans(k, p, f.rename_columns(["bucket", "n", "data"])), "doc long, mark binary, starts binary")
-    return spans.groupBy("doc", "mark").agg(F.collect_list("starts").alias("starts"))
-
-
-def _with_mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        marks = [_mark(t) for t in utf8(batch["text"])]
-        yield pa.record_batch([pa.array(_ids(batch)), pa.array(marks, pa.binary()), batch["text"].cast(pa.string())], names=["doc", "mark", "text"])
-
-
-def covered(size: int, starts: list[bytes]) -> np.ndarray:
-    """Which of the bytes the strings that start there cover."""
-    turn = np.zeros(size + 1, np.int64)
-    at = np.unique(np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(s, "<u4") for s in starts)])).astype(np.int64)
-    np.add.at(turn, at, 1)
-    np.add.at(turn, at + LENGTH, -1)
+def repeated_starts(pieces: list[bytes], starts: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Per piece, bit by bit, whether the string at each start is also in a piece of a smaller document.
+
+    starts: number of starts of each piece, whose bytes end LENGTH - 1 after the last.
+    """
+    sizes = starts + LENGTH - 1
+    text = np.zeros((len(pieces), WIDTH + 7), np.uint8)
+    text[np.arange(WIDTH + 7) < sizes[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
+    word = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, 8, axis=1)).view(">u8")[:, :, 0].astype(np.uint64)
+    rank = sampled_ranks(word, sizes, starts)
+    row, at = np.nonzero(np.arange(WINDOW) < starts[:, None])
+    own = {"a": word[row, at], "b": word[row, at + 8], "phase": at // 8 % 3}
+    order = merge_order(own | {f"rank{k or ''}": rank[row, at + 8 * k] for k in range(3)})
+    row, at = row[order], at[order]
+    same = np.ones(max(0, len(order) - 1), bool)
+    for k in (*range(0, LENGTH - 7, 8), LENGTH - 8):  # all LENGTH bytes of neighbours, 8 at a time
+        w = word[row, at + k]
+        same &= w[1:] == w[:-1]
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    least = np.repeat(np.minimum.reduceat(docs[row], first), np.diff(np.append(first, len(row))))
+    gone = least < docs[row]
+    bits = np.zeros(len(pieces), np.uint32)
+    np.bitwise_or.at(bits, row[gone], np.uint32(1) << at[gone].astype(np.uint32))
+    return bits
+
+
+def _bucket(rows: list[tuple], at_once: int) -> Iterator[tuple[int, bytes]]:
+    """Answers to the blocks of one bucket's pieces: index and bits of the pieces with something to remove."""
+    distinct: dict[bytes, int] = {}
+    blocks, index, counts, classes, least, owner = [], [], [], [], [], []
+    for block, columns, data in rows:
+        own, count, part, doc = unpress(columns, "<u4", "u1", "<u4", "<i8")
+        ends = np.cumsum(count.astype(np.int64) + LENGTH - 1)
+        data = zstandard.decompress(data)
+        owner.append(np.asarray([distinct.setdefault(data[a:b], len(distinct)) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], np.int64))
+        blocks.append(block)
+        for column, value in ((index, np.cumsum(own, dtype=np.uint32)), (counts, count), (classes, part), (least, doc)):
+            column.append(value)
+    whose, doc = np.concatenate(owner), np.concatenate(least)
+    smallest = np.full(len(distinct), NO_ID)
+    np.minimum.at(smallest, whose, doc)
+    _, first = np.unique(whose, return_index=True)
+    count, part = np.concatenate(counts)[first].astype(np.int64), np.concatenate(classes)[first]
+    bits, pieces = np.zeros(len(distinct), np.uint32), list(distinct)
+    order = np.argsort(part, kind="stable")
+    edges = _edges(part[order])
+    sizes = np.diff(np.append(edges, len(order)))
+    mixed = np.minimum.reduceat(smallest[order], edges) < np.maximum.reduceat(smallest[order], edges)
+    order, sizes = order[np.repeat(mixed, sizes)], sizes[mixed]
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(order):  # whole grams, about at_once pieces at a time
+        b = int(ends[min(np.searchsorted(ends, a + at_once), len(ends) - 1)])
+        own = order[a:b]
+        bits[own] = repeated_starts([pieces[k] for k in own.tolist()], count[own], smallest[own])
+        a = b
+    for block, own, of, value in zip(blocks, index, owner, least, strict=True):
+        found = np.where(smallest[of] < value, (1 << count[of]) - 1, bits[of]).astype("<u4")
+        if found.any():
+            yield block, press(own[found > 0], found[found > 0])
+
+
+def _sort(at_once: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, names = [pa.int64(), pa.int32(), pa.binary()], ["block", "kind", "columns"]
+        for (_, kind), rows in groupby(_rows(batches, "bucket", "kind", "block", "columns", "bytes"), key=lambda r: r[:2]):
+            found = [(b, kind, c) for b, c in (_bucket([r[2:] for r in rows], at_once) if kind else ((r[2], r[3]) for r in rows))]
+            if found:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+
+    return run
+
+
+def covered(block: Block, parts: list[tuple[int, bytes]]) -> np.ndarray:
+    """Which bytes of the block's texts the removed strings cover."""
+    turn = np.zeros(len(block.x) + 1, np.int32)
+
+    def remove(at: np.ndarray, n: np.ndarray | int) -> None:
+        np.add.at(turn, at, 1)
+        np.add.at(turn, at + n + LENGTH - 1, -1)
+
+    for kind, columns in sorted(parts):
+        if not kind:
+            step, index, count, larger = unpress(columns, "<i4", "<u4", "u1", "u1")
+            at = np.cumsum(step, dtype=np.int64)
+            remove(at[larger > 0], count[larger > 0])
+            least = np.flatnonzero(larger == 0)
+            least = least[np.argsort(index[least], kind="stable")]
+        else:
+            wanted, bits = unpress(columns, "<u4", "<u4")
+            low, high = (np.searchsorted(index[least], wanted, side=s) for s in ("left", "right"))
+            row = least[np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low) + np.arange(int((high - low).sum()))]
+            bits = np.repeat(bits, high - low)
+            for k in range(WINDOW):
+                remove(at[row[bits >> np.uint32(k) & 1 > 0]] + k, 1)
     return np.cumsum(turn[:-1]) > 0
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        rows = []
-        for text, starts in zip(utf8(batch["text"]), batch["starts"].to_pylist(), strict=True):
-            gone = covered(len(text), starts or [])
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            rows.append((len(text), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.record_batch([batch["doc_id"], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _digests(block: Block, gone: np.ndarray) -> pa.RecordBatch:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of a block's rows."""
+    rows, ends = [], np.cumsum(block.sizes)
+    for a, b in zip((ends - block.sizes).tolist(), ends.tolist(), strict=True):
+        own = gone[a:b]
+        rows.append((b - a, int(own.sum()), int((np.diff(own.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(block.x[a:b][~own].tobytes()).hexdigest()))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    return pa.record_batch([block.batch["doc_id"], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def _kept(block: Block, gone: np.ndarray) -> pa.RecordBatch:
+    """A block's rows, their texts without the characters all of whose bytes are covered."""
+    if gone.any():
+        first = np.flatnonzero(block.x & 0xC0 != 0x80)
+        whole = np.logical_and.reduceat(gone, first)
+        stays = ~np.repeat(whole, np.diff(np.append(first, len(block.x))))
+        ends = np.cumsum(block.sizes)
+        texts = [block.x[a:b][stays[a:b]].tobytes().decode("utf-8", "replace") for a, b in zip((ends - block.sizes).tolist(), ends.tolist(), strict=True)]
+        text = pa.array([t if some else None for t, some in zip(texts, block.batch["text"].is_valid().to_pylist(), strict=True)], block.batch["text"].type)
+        columns = [text if c == "text" else block.batch[c] for c in block.batch.schema.names]
+        return pa.RecordBatch.from_arrays(columns, schema=block.batch.schema)
+    return block.batch
 
 
-def _kept_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the characters all of whose bytes are covered."""
-    for batch in slices(batches, "text"):
-        out = []
-        for text, starts in zip(utf8(batch["text"]), batch["starts"].to_pylist(), strict=True):
-            if starts:
-                x = np.frombuffer(text, np.uint8)
-                first = np.flatnonzero(x & 0xC0 != 0x80)
-                whole = np.logical_and.reduceat(covered(len(text), starts), first)
-                text = x[~np.repeat(whole, np.diff(np.append(first, len(x))))].tobytes()
-            out.append(text.decode("utf-8", "replace"))
-        names = [c for c in batch.schema.names if c not in ("text", "starts")]
-        yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(out, pa.string())], names=[*names, "text"])
+def _finish(give: Callable[[Block, np.ndarray], pa.RecordBatch]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, parts in zip(batch["data"], batch["parts"].to_pylist(), strict=True):
+                block = Block(data.as_py())
+                yield give(block, covered(block, [(p["kind"], p["columns"]) for p in parts or []]))
+
+    return run
 
 
-def _joined(docs: DataFrame) -> DataFrame:
-    """docs with starts, null where nothing goes."""
-    kept = docs.schema
-    found = repeats(docs)
+def _without_repeats(docs: DataFrame, give: Callable[[Block, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """give's rows for every block of docs and the bytes to remove from it."""
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("suffixes: doc_id has to be an integer, as documents are compared by it")
+    blocks = stored(docs.mapInArrow(_blocks, "block long, size long, data binary"), "blocks")
+    total = blocks.agg(F.sum("size")).first()[0] or 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(min(parts, 24), -(-total // SHARE))
+    bits = min(64, total.bit_length() + 8)  # so that few hashes agree by chance
+    blocks = blocks.select("block", "data")
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            marks = [_mark(t) for t in utf8(batch["text"])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())], names=[*batch.schema.names, "mark"])
+    def dealt(df: DataFrame, *order: str) -> DataFrame:
+        return df.repartition(n, "bucket").sortWithinPartitions("bucket", *order)
 
-    marked = docs.mapInArrow(mark, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", mark binary")
-    marked = marked.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))))
-    return marked.join(found, ["doc", "mark"], "left").select(*kept.names, "starts")
+    answers = dealt(blocks.mapInArrow(_ask(n, bits), ANSWERS)).mapInArrow(_answer(HEAVY), ANSWERS)
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "columns")).alias("answers"))
+    pieces = dealt(blocks.join(answers, "block").mapInArrow(_deal(n, bits), DEALT), "kind").mapInArrow(_sort(AT_ONCE), "block long, kind int, columns binary")
+    found = pieces.groupBy("block").agg(F.collect_list(F.struct("kind", "columns")).alias("parts"))
+    return blocks.join(found, "block", "left").mapInArrow(_finish(give), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     kind = dict(docs.dtypes)["doc_id"]
-    return _joined(docs.select("doc_id", "text")).mapInArrow(_digests, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _without_repeats(docs.select("doc_id", "text"), _digests, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep and the text without its repeated passages."""
-    rows = _joined(docs.select(*keep, "text"))
-    kept = "".join(f"`{c}` {t}, " for c, t in rows.dtypes if c not in ("text", "starts"))
-    return rows.mapInArrow(_kept_text, kept + "text string")
+def remove(docs: DataFrame) -> DataFrame:
+    """docs with all columns, their texts without repeated passages."""
+    return _without_repeats(docs, _kept, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))

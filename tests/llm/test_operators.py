@@ -147,26 +147,67 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
-@pytest.mark.parametrize("reach", [1 << 20, 2000])
-def test_repeats_equal_brute_force(docs, empty, monkeypatch, reach):
-    monkeypatch.setattr(suffixes, "RANGE", reach)
-    rows = [(suffixes.NO_ID if i is None else i, (t or "").encode()) for i, t, *_ in texts()]
-    low = {}
+def without_repeats(rows: list[tuple]) -> list[tuple]:
+    """Digests by brute force: every string of 50 bytes with its smallest document."""
+    rows = [(suffixes.NO_ID if i is None else i, (t or "").encode()) for i, t in rows]
+    low: dict[bytes, int] = {}
     for i, t in sorted(rows):
         for p in range(len(t) - 49):
             low.setdefault(t[p : p + 50], i)
-    want = []
+    found = []
     for i, t in rows:
         gone = np.zeros(len(t) + 1, bool)
         for p in range(len(t) - 49):
             if low[t[p : p + 50]] < i:
                 gone[p : p + 50] = True
         spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
-        want.append((None if i == suffixes.NO_ID else i, len(t), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone[:-1]].tobytes()).hexdigest()))
+        found.append((None if i == suffixes.NO_ID else i, len(t), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone[:-1]].tobytes()).hexdigest()))
+    return found
+
+
+@pytest.mark.parametrize(("at_once", "heavy"), [(suffixes.AT_ONCE, suffixes.HEAVY), (40, 3)])
+def test_repeats_equal_brute_force(docs, empty, monkeypatch, at_once, heavy):
+    """Sorts of few pieces, and grams that are dealt string by string, give the same."""
+    monkeypatch.setattr(suffixes, "AT_ONCE", at_once)
+    monkeypatch.setattr(suffixes, "HEAVY", heavy)
+    want = without_repeats([(i, t) for i, t, *_ in texts()])
     assert bag(suffixes.digest(docs).collect()) == bag(want)
     assert suffixes.digest(empty).count() == 0
     left = {r["doc_id"]: r["text"] for r in suffixes.remove(docs).collect()}
     assert PASSAGE in left[34] and PASSAGE not in left[35] and left[36] == "x"
+    assert left[30] is None and suffixes.remove(docs).columns == docs.columns and {r["copies"] for r in suffixes.remove(docs).collect()} == {"c"}
+    with pytest.raises(TypeError, match="integer"):
+        suffixes.digest(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_difference_cover_order_equals_sorting_the_strings():
+    rng = random.Random(3)
+    for _ in range(30):
+        base = bytes(rng.choice(b"ab\0") for _ in range(200))
+        pieces, starts, owners = [], [], []
+        for _ in range(rng.randint(1, 60)):
+            n = rng.randint(1, suffixes.WINDOW)
+            at = rng.randrange(0, 151 - n)
+            own = bytearray(base[at : at + n + 49])
+            own[rng.randrange(len(own))] = rng.choice(b"ab")
+            pieces.append(bytes(own))
+            starts.append(n)
+            owners.append(rng.randint(0, 9))
+        low: dict[bytes, int] = {}
+        for p, n, d in zip(pieces, starts, owners, strict=True):
+            for k in range(n):
+                low[p[k : k + 50]] = min(low.get(p[k : k + 50], d), d)
+        want = [sum((low[p[k : k + 50]] < d) << k for k in range(n)) for p, n, d in zip(pieces, starts, owners, strict=True)]
+        assert suffixes.repeated_starts(pieces, np.asarray(starts), np.asarray(owners)).tolist() == want
+
+
+def test_a_line_in_most_documents_equals_brute_force(spark):
+    """A hot line between texts that differ, runs of one letter, and a very long text."""
+    rng = random.Random(12)
+    line = " this line of more than fifty bytes is found in nearly all of the documents of this table "
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = [(k, noise(40) + line + noise(40)) for k in range(400)] + [(400, "z" * 3000), (401, "z" * 2000 + line), (402, noise(600_000) + line)]
+    assert bag(suffixes.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()) == bag(without_repeats(rows))
 
 
 def test_suffixes_tell_rows_of_a_null_id_apart(spark):
