@@ -24,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document of a smaller id has, too, go; so do documents that consist of nothing else."""
-    rows = suffixes.remove(docs, ("doc_id", "lang", "source", "n_chars"))
+    rows = suffixes.remove(docs)
     left = rows.where((F.length("text") > 0) | (F.coalesce("n_chars", F.lit(0)) == 0))
     return left.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
