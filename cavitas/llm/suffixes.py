@@ -49,6 +49,8 @@ GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text in a block, and bytes of text for each task that hashes or pieces go to.
 BLOCK, SHARE = 4 << 20, 1 << 25
+#: Starts hashed at once.
+HASHED = 1 << 18
 #: Pieces sorted at once, and occurrences from which a gram's strings are dealt one by one.
 AT_ONCE, HEAVY = 1 << 15, 1 << 14
 NO_ID = np.iinfo(np.int64).max
@@ -126,27 +128,32 @@ class Block:
 
     def runs(self) -> None:
         """at, n, hash and doc of every run: its first start, its number of starts, the hash of its gram."""
-        total = len(self.x) - LENGTH + 1
-        if total <= 0:
-            self.at, self.n, self.hash, self.doc = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            return
-        least = _sliding(hashes(self.x, GRAM), WINDOW, np.minimum)
-        ends = np.cumsum(self.sizes)
-        crossing = np.zeros(len(self.x) + 1, np.int32)  # starts whose string would leave its text
-        np.add.at(crossing, np.maximum(ends - self.sizes, ends - LENGTH + 1), 1)
-        np.add.at(crossing, ends, -1)
-        crossing = np.cumsum(crossing[:total]) > 0
-        new = np.concatenate([[True], (least[1:] != least[:-1]) | (crossing[1:] != crossing[:-1])])
-        edges = np.flatnonzero(new)
-        n = np.diff(np.append(edges, total))
-        inside = ~crossing[edges]
-        edges, n = edges[inside], n[inside]
-        pieces = -(-n // WINDOW)
-        nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        self.at = np.repeat(edges, pieces) + nth * WINDOW
-        self.n = np.minimum(np.repeat(n, pieces) - nth * WINDOW, WINDOW)
-        self.hash = least[self.at]
-        self.doc = self.docs[np.searchsorted(ends, self.at, side="right")]
+        total, ends = len(self.x) - LENGTH + 1, np.cumsum(self.sizes)
+        crossing = np.zeros(len(self.x) + 1, bool)  # starts whose string would leave its text
+        for a, b in zip((ends - self.sizes).tolist(), ends.tolist(), strict=True):
+            crossing[max(a, b - LENGTH + 1) : b] = True
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        for low in range(0, max(0, total), HASHED):
+            least = _sliding(hashes(self.x[low : low + HASHED + LENGTH - 1], GRAM), WINDOW, np.minimum)
+            out = crossing[low : low + len(least)]
+            edges = _edges(least, out)
+            n = np.diff(np.append(edges, len(least)))[~out[edges]]
+            edges = edges[~out[edges]]
+            pieces = -(-n // WINDOW)
+            nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            at = np.repeat(edges, pieces) + nth * WINDOW
+            found.append((low + at, np.minimum(np.repeat(n, pieces) - nth * WINDOW, WINDOW), least[at]))
+        self.at, self.n, self.hash = (np.concatenate(c) for c in zip(*found, strict=True))
+        self.doc = self.docs[np.searchsorted(ends, self.at, side="right")] if len(self.at) else self.at
+
+    def strings(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the strings that start there."""
+        out = np.empty(len(at), np.uint64)
+        for low in range(0, len(self.x), HASHED):
+            own = (at >= low) & (at < low + HASHED)
+            if own.any():
+                out[own] = hashes(self.x[low : low + HASHED + LENGTH - 1], LENGTH)[at[own] - low]
+        return out
 
     def asked(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes, ascending and cut to their upper bits; where each run's is; occurrences << 1 | in several documents."""
@@ -232,7 +239,7 @@ def _deal(n: int, bits: int):
             each, ends = block.n[found == 2], np.cumsum(block.n[found == 2])
             alone = np.repeat(block.at[found == 2] - (ends - each), each) + np.arange(ends[-1])
             at, count = np.concatenate([at, alone]), np.concatenate([count, np.ones(len(alone), np.int64)])
-            doc, key = np.concatenate([doc, np.repeat(block.doc[found == 2], each)]), np.concatenate([key, hashes(block.x, LENGTH)[alone]])
+            doc, key = np.concatenate([doc, np.repeat(block.doc[found == 2], each)]), np.concatenate([key, block.strings(alone)])
         text, distinct = block.bytes, {}
         index = np.asarray([distinct.setdefault(text[a:b], len(distinct)) for a, b in zip(at.tolist(), (at + count + LENGTH - 1).tolist(), strict=True)], np.int64)
         least = np.full(len(distinct), NO_ID)
