@@ -48,7 +48,7 @@ LENGTH = 50
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text in a block, and bytes of text for each task that hashes or pieces go to.
-BLOCK, SHARE = 4 << 20, 1 << 25
+BLOCK, SHARE = 1 << 20, 1 << 25
 #: Starts hashed at once.
 HASHED = 1 << 18
 #: Pieces sorted at once, and occurrences from which a gram's strings are dealt one by one.
