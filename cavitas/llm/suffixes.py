@@ -157,7 +157,8 @@ class Block:
 
     def asked(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes, ascending and cut to their upper bits; where each run's is; occurrences << 1 | in several documents."""
-        short = self.hash >> np.uint64(64 - bits)
+        spread = self.hash * np.uint64(_FACTOR)  # least hashes are small; after this they are even again
+        short = (spread ^ spread >> np.uint64(32)) * np.uint64(_FACTOR) >> np.uint64(64 - bits)
         order = np.argsort(short, kind="stable")
         first = _edges(short[order])
         count = np.diff(np.append(first, len(order)))
