@@ -8,6 +8,10 @@ training documents: word counts are a Spark aggregation, each round is one job
 over the distinct words, and what reaches the driver is one number per
 (language, piece), bounded by the vocabulary.
 
+Words are as long as the text has them: both passes carry a logarithm of what they have been
+divided by, so runs of letters of any length keep all their segmentations. Memory grows
+with the longest run, by some 300 bytes a letter.
+
 Edge cases: a text that is null or has no letter gets ``und`` and score 0;
 training rows without a language or a letter are ignored; without any training
 row every prediction is ``und``. Repeated rows are scored each.
@@ -30,10 +34,12 @@ from cavitas.llm.shared import held_out, slices, stored, utf8
 
 #: A maximal run of letters and their marks is a word.
 WORD = regex.compile(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*")
-#: Longer runs of letters are scored as successive words of so many letters.
-LONGEST = 30
-#: Distinct words a task holds before it passes its counts on or starts afresh.
-MOST_WORDS = 400_000
+#: Places of a word after which the passes are scaled again.
+RESCALE = 16
+#: Distinct words, and letters, a task holds before it passes its counts on or starts afresh.
+MOST_WORDS, MOST_LETTERS = 400_000, 1 << 26
+#: Letters of the words worked on at once.
+AT_ONCE = 1 << 19
 #: The probability of a character that no piece of the vocabulary covers.
 UNSEEN = 1e-9
 #: Added to the expected count of every piece in every language.
@@ -61,6 +67,7 @@ class Pieces:
         self.ends = np.asarray(ends)
         self.steps = pd.Index(np.asarray([(nodes[x[:-1]] << 21) | ord(x[-1]) for x in nodes if x]))
         self.child = np.asarray([n for x, n in nodes.items() if x])
+        self.longest = max(map(len, self.pieces), default=1)
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Where each word starts among the joined cells, and (from, to, piece, place of from in its word) of every piece that fits.
@@ -95,8 +102,7 @@ def vocabulary(path: str) -> Pieces:
 
 
 def words_of(text: str) -> list[str]:
-    found = WORD.findall(text.lower())
-    return found if all(len(w) <= LONGEST for w in found) else [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
+    return WORD.findall(text.lower())
 
 
 def _passes(place: np.ndarray) -> Iterator[np.ndarray]:
@@ -105,35 +111,64 @@ def _passes(place: np.ndarray) -> Iterator[np.ndarray]:
     yield from np.split(order, np.flatnonzero(np.diff(place[order])) + 1) if len(order) else ()
 
 
+def _pass(begin: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray, longest: int) -> np.ndarray:
+    """Logarithms of the sums over all ways from each word's begin to each of its cells.
+
+    begin and end: a word's outer cells, in the direction of the pass; a, b, p: from, to and
+    weight of each arc. Sums are divided by their greatest every RESCALE places.
+    """
+    sign = 1 if len(end) and end[0] > begin[0] else -1
+    size = (end - begin) * sign + 1
+    word = np.repeat(np.arange(len(size)), size)  # of each cell
+    place = np.abs(np.arange(len(word)) - begin[word])
+    steps = -(-size // RESCALE)
+    first_step = np.cumsum(steps) - steps
+    value, logs = np.zeros((len(word), p.shape[1])), np.zeros((int(steps.sum()), p.shape[1]))
+    value[begin] = 1
+    alive = np.arange(len(size))
+    for k, arcs in enumerate(_passes(place[a])):  # every cell but the last has an arc, so no place is left out
+        if k and k % RESCALE == 0:
+            alive = alive[size[alive] > k]
+            open_ = begin[alive, None] + sign * np.minimum(k + np.arange(longest + 1), size[alive, None] - 1)
+            most = value[open_].max(axis=1)
+            logs[first_step[alive] + k // RESCALE] = np.log(most)
+            value[open_] = value[open_] / most[:, None]
+        value[b[arcs]] += value[a[arcs]] * p[arcs]  # arcs from one place of a word lead to different cells
+    logs = np.cumsum(logs, axis=0)
+    with np.errstate(divide="ignore"):
+        return np.log(value) + logs[first_step[word] + place // RESCALE] - logs[first_step[word]]
+
+
 def log_likelihoods(words: list[str], pieces: Pieces, probs: np.ndarray) -> np.ndarray:
     """Per word and language, the log of the word's probability over all segmentations."""
-    first, a, b, piece, place = pieces.arcs(words)
+    first, a, b, piece, _ = pieces.arcs(words)
     last = np.append(first[1:], first[-1] + len(words[-1]) + 2) - 1
     p = np.vstack([probs, np.full((1, probs.shape[1]), UNSEEN)])[piece]
-    ahead = np.zeros((last[-1] + 1, probs.shape[1]))
-    ahead[first] = 1
-    for arcs in _passes(place):  # arcs from one place of a word lead to different cells
-        ahead[b[arcs]] += ahead[a[arcs]] * p[arcs]
-    return np.log(np.maximum(ahead[last], 1e-300))
+    return _pass(first, last, a, b, p, pieces.longest)[last]
 
 
 def expected_counts(words: list[str], column: np.ndarray, n: np.ndarray, pieces: Pieces, probs: np.ndarray) -> np.ndarray:
     """How often each piece is expected in the words, each in its language's column and n times."""
-    first, a, b, piece, place = pieces.arcs(words)
+    first, a, b, piece, _ = pieces.arcs(words)
     last = np.append(first[1:], first[-1] + len(words[-1]) + 2) - 1
     word = np.searchsorted(first, a, side="right") - 1
     p = np.vstack([probs, np.full((1, probs.shape[1]), UNSEEN)])[piece, column[word]]
-    ahead, behind = np.zeros(last[-1] + 1), np.zeros(last[-1] + 1)
-    ahead[first], behind[last] = 1, 1
-    for arcs in _passes(place):
-        ahead[b[arcs]] += ahead[a[arcs]] * p[arcs]
-    for arcs in _passes(first[word] - b):  # from the back; arcs to one place come from different cells
-        behind[a[arcs]] += behind[b[arcs]] * p[arcs]
-    share = n[word] * ahead[a] * p * behind[b] / np.maximum(ahead[last], 1e-300)[word]
+    ahead, behind = (_pass(x, y, i, j, p[:, None], pieces.longest)[:, 0] for x, y, i, j in ((first, last, a, b), (last, first, b, a)))
+    share = n[word] * np.exp(ahead[a] + np.log(p) + behind[b] - ahead[last][word])
     real = piece >= 0
     return np.bincount(piece[real] * probs.shape[1] + column[word[real]], share[real], probs.size).reshape(probs.shape)
 
 
+def _groups(words: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of words of about AT_ONCE letters."""
+    ends = np.cumsum([len(w) + 2 for w in words])
+    at = 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
+        yield at, to
+        at = to
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) of what a task has read; repeats are summed by Spark later."""
 
@@ -150,12 +185,14 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
     counts: dict[str, Counter] = {}
+    letters = 0
     for batch in batches:
         for lang, text in zip(batch["lang"].to_pylist(), utf8(batch["text"]), strict=True):
             counts.setdefault(lang, Counter()).update(text.decode("utf-8", "replace").split())
-            if sum(map(len, counts.values())) > MOST_WORDS:
+            letters += len(text)
+            if sum(map(len, counts.values())) > MOST_WORDS or letters > MOST_LETTERS:
                 yield out(counts)
-                counts = {}
+                counts, letters = {}, 0
     yield out(counts)
 
 
@@ -165,10 +202,9 @@ def _expected(path: str, langs: list[str], model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, probs, column = vocabulary(path), model.value, {x: k for k, x in enumerate(langs)}
         total = np.zeros(probs.shape)
-        for batch in batches:
+        for batch in slices(batches, "word", AT_ONCE):
             lang = np.asarray([column[x] for x in batch["lang"].to_pylist()], np.int64)
-            if len(lang):
-                total += expected_counts(batch["word"].to_pylist(), lang, batch["n"].to_numpy(), pieces, probs)
+            total += expected_counts(batch["word"].to_pylist(), lang, batch["n"].to_numpy(), pieces, probs)
         at = np.argwhere(total > 0)
         yield pa.record_batch([pa.array([langs[k] for _, k in at], pa.string()), pa.array(at[:, 0], pa.int32()), pa.array(total[at[:, 0], at[:, 1]])], names=["lang", "piece", "n"])
 
@@ -196,15 +232,15 @@ def _predict(path: str, langs: list[str], model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, probs = vocabulary(path), model.value
         known: dict[str, int] = {}  # chunk between white space -> row of scores, the last column its words
-        scores = np.zeros((0, len(langs) + 1))
+        scores, letters = np.zeros((0, len(langs) + 1)), 0
 
         def learn(chunks: list[str]) -> None:
             nonlocal scores
             words = [words_of(c) for c in chunks]
             flat = list(dict.fromkeys(w for ws in words for w in ws))
             each = np.zeros((len(flat) + 1, len(langs) + 1))
-            for i in range(0, len(flat) if langs else 0, 50_000):
-                each[i : i + 50_000][: len(flat) - i, :-1] = log_likelihoods(flat[i : i + 50_000], pieces, probs)
+            for i, k in _groups(flat) if langs else ():
+                each[i:k, :-1] = log_likelihoods(flat[i:k], pieces, probs)
             each[:-1, -1] = 1
             at = {w: k for k, w in enumerate(flat)}
             sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -214,11 +250,12 @@ def _predict(path: str, langs: list[str], model):
             scores = np.concatenate([scores, sums])
 
         for batch in slices(batches, "text", 16 << 20):
-            if len(known) > 2 * MOST_WORDS:
+            if len(known) > 2 * MOST_WORDS or letters > MOST_LETTERS:
                 known.clear()
-                scores = scores[:0]
+                scores, letters = scores[:0], 0
             texts = [t.decode("utf-8", "replace").split() for t in utf8(batch["text"])]
             if new := list(set().union(*texts) - known.keys()):
+                letters += sum(map(len, new))
                 learn(new)
             total = np.asarray([scores[[known[c] for c in t]].sum(axis=0) if t else np.zeros(len(langs) + 1) for t in texts])
             und = (total[:, -1] == 0) | (not langs)
