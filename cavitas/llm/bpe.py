@@ -3,14 +3,28 @@
 A task cuts its texts into words by the vocabulary's pattern and keeps the
 distinct ones. A recursive DuckDB query joins the words' token-position rows to
 the merge table and contracts, in every word, the leftmost pair of least rank
-until no pair is left. In words of over LONG bytes equal pairs go in the same
-step, from the left; for the ranks of a byte-pair vocabulary this is the same, as a
-new token never completes a pair of lower rank. Decoding joins the ids to the vocabulary and
+until no pair is left. Decoding joins the ids to the vocabulary and
 aggregates their bytes in order of position.
 
+In words of over LONG bytes one contraction a step would take too many steps. They are cut where
+no token of the vocabulary lies across, as no pair ever goes beyond such a place, and
+what is still longer contracts all pairs in one step that have the least rank among the
+pairs within `reach` places, reach being the bytes of the longest token found in the
+word. The result is that of one pair at a time:
+
+* What comes before such a pair in rank begins outside its reach, and touches it only through a
+  token that grew over all places between them, with more bytes than any token in the word has.
+* Contracting a pair makes only pairs of higher rank. Were the new token L and its neighbour x to
+  make a token T of lower rank, nothing could have crossed T's ends, so T's bytes would have been
+  merged as if alone; alone they give T by steps of rising ranks (a test checks this for
+  every token of the vocabulary), before L. So equal pairs that do not overlap go in any order.
+  Of a run of overlapping ones (aaaa) every other one goes, from the left, and only once the
+  whole run is least, so that nothing can take its first token away.
+
 Edge cases: a null or empty text has no tokens and decodes to nothing; a text
-of any length is cut into words whole; repeated rows are encoded each; rows keep
-their other columns out of the way, as only doc_id and text are read.
+of any length is cut into words whole, and a word of any length is encoded whole, in memory
+that grows by some 300 bytes for each of its bytes; repeated rows are encoded each; other columns
+are kept out of the way, as only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -18,9 +32,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import tempfile
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import duckdb
 import numpy as np
@@ -36,7 +51,7 @@ MOST_KNOWN = 1_100_000
 UNCLEAR = re.compile(r"\s (?=.)| \s|^ | $", re.DOTALL)
 PART = re.compile(r"(?<=\S)(?= \S)")
 
-#: Words of more bytes are merged by LONG_MERGE.
+#: Words of more bytes are cut between tokens, and parts that are still longer merged by LONG_MERGE.
 LONG = 64
 
 #: One contraction a step in each word: the pair of least rank, the leftmost of equal ones.
@@ -60,21 +75,22 @@ with recursive t(w, p, tok, nxt, done) as (
 select w, list(tok order by p) as ids from t where done group by w order by w
 """
 
-#: The same for long words: all pairs that equal the least one go in one step, overlapping ones from the left.
+#: The same for long words: every pair goes that is least among the {reach} pairs on either side of it.
 LONG_MERGE = """
 with recursive t(w, p, tok, done) as (
     select w, p, tok, false from start
   union all
-    select w, p, case when chosen then into_tok else tok end, best is null
+    select w, p, case when chosen then into_tok else tok end, not more
     from (
-      select *, coalesce(lag(chosen) over (partition by w order by p), false) as gone
+      select *, coalesce(lag(chosen) over (partition by w order by p), false) as gone, bool_or(rank is not null) over (partition by w) as more
       from (
-        select *, coalesce(rank = best and (tok <> nxt or run % 2 = 1), false) as chosen
+        select w, p, tok, into_tok, rank,
+          rank is not null and bool_and(least_rank) over (partition by w, run) and (tok <> nxt or row_number() over (partition by w, run order by p) % 2 = 1) as chosen
         from (
-          select *, case when rank = best then row_number() over (partition by w, rank, tok = nxt, k - q order by p) end as run
+          select *, coalesce(rank <= near, false) as least_rank, sum(case when same then 0 else 1 end) over (partition by w order by p) as run
           from (
-            select *, min(rank) over (partition by w) as best, row_number() over (partition by w order by p) as k,
-              row_number() over (partition by w, rank order by p) as q
+            select *, rank is not null and tok = nxt and coalesce(lag(tok) over (partition by w order by p) = tok, false) as same,
+              min(rank) over (partition by w order by p rows between {reach} preceding and {reach} following) as near
             from (
               select a.w, a.p, a.tok, a.nxt, m.rank, m.into_tok
               from (select w, p, tok, lead(tok) over (partition by w order by p) as nxt from t where not done) a
@@ -107,7 +123,8 @@ class Codec:
         self.words: dict[str, bytes] = {}
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         left, right, into = zip(*merges, strict=True) if merges else ((), (), ())
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})  # beyond that it spills to the task's own folder
+        self.db.execute("set temp_directory = ?", [tempfile.gettempdir()])
         self._load("merges", l=pa.array(left, pa.int32()), r=pa.array(right, pa.int32()), rank=pa.array(into, pa.int32()), into_tok=pa.array(into, pa.int32()))
         self._load("vocab", id=pa.array(self.ranks.values(), pa.int32()), chars=pa.array([t.decode("latin-1") for t in self.ranks], pa.string()))
         self.single = np.asarray([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
@@ -127,15 +144,40 @@ class Codec:
         self._load("start", w=pa.array(w), p=pa.array(p), tok=pa.array(flat), nxt=pa.array(nxt))
         return [ids for _, ids in self.db.execute(query).fetchall()]
 
+    @cached_property
+    def beginnings(self) -> set[bytes]:
+        """Every beginning of a token."""
+        return {t[:i] for t in self.ranks for i in range(1, len(t) + 1)}
+
+    def parts(self, word: bytes) -> tuple[list[bytes], int]:
+        """The word cut where no token lies across, and the bytes of the longest token in it."""
+        cuts, covered, longest = [0], 0, 1
+        for i in range(len(word)):
+            if i and covered <= i:
+                cuts.append(i)
+            j = i + 1
+            while j <= len(word) and word[i:j] in self.beginnings:
+                if word[i:j] in self.ranks:
+                    covered, longest = max(covered, j), max(longest, j - i)
+                j += 1
+        return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True)], longest
+
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word: itself if it is a token, else its bytes, contracted to the fixpoint."""
-        found: list = [[self.ranks[w]] if w in self.ranks else None for w in words]
-        for query, lengths in ((MERGE, range(1, LONG + 1)), (LONG_MERGE, range(LONG + 1, 1 << 62))):
-            rest = [k for k, ids in enumerate(found) if ids is None and len(words[k]) in lengths]
-            if rest:
-                for k, x in zip(rest, self._contract(query, [words[k] for k in rest]), strict=True):
-                    found[k] = x
-        return [x or [] for x in found]
+        found: list = [[self.ranks[w]] if w in self.ranks else [] for w in words]
+        short = [k for k, w in enumerate(words) if w not in self.ranks and 0 < len(w) <= LONG]
+        if short:
+            for k, ids in zip(short, self._contract(MERGE, [words[k] for k in short]), strict=True):
+                found[k] = ids
+        for k, w in enumerate(words):
+            if w not in self.ranks and len(w) > LONG:
+                parts, reach = self.parts(w)
+                small = {p for p in parts if len(p) <= LONG}
+                known = dict(zip(small, self._contract(MERGE, list(small)), strict=True)) if small else {}
+                for p in set(parts) - small:
+                    known[p] = self._contract(LONG_MERGE.format(reach=reach), [p])[0]
+                found[k] = [i for p in parts for i in known[p]]
+        return found
 
     def chunks(self, text: str) -> list[str]:
         """Parts of the text between which no word of the pattern runs on."""

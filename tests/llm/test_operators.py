@@ -63,11 +63,32 @@ def test_bpe_equals_tiktoken(docs, empty):
     assert sorted(bytes(r["bytes"] or b"") for r in back.collect()) == sorted((t or "").encode() for _, t, *_ in texts())
 
 
-def test_every_token_is_reached_by_merging_its_bytes():
-    """Merging equal pairs in one step needs ranks in which a new token completes no pair of lower rank."""
+def test_every_token_is_merged_from_its_bytes_in_the_order_of_ranks():
+    """What the joint contractions of long words rest on, for the whole vocabulary."""
     own = bpe.codec(BPE, public_tokenizers.PATTERN)
+    for token, rank in own.ranks.items():
+        parts, last = [token[k : k + 1] for k in range(len(token))], -1
+        while len(parts) > 1:
+            least, k = min((own.ranks.get(parts[k] + parts[k + 1], 1 << 30), k) for k in range(len(parts) - 1))
+            assert last <= least <= rank
+            parts[k : k + 2], last = [parts[k] + parts[k + 1]], least
+        assert parts == [token]
     some = [t for t in own.ranks if 2 <= len(t) <= 12][::40]
-    assert own._contract(bpe.MERGE, some) == own._contract(bpe.LONG_MERGE, some) == [[own.ranks[t]] for t in some]
+    assert own._contract(bpe.MERGE, some) == own._contract(bpe.LONG_MERGE.format(reach=12), some) == [[own.ranks[t]] for t in some]
+
+
+def test_long_words_equal_tiktoken():
+    """Words of up to 100,000 bytes: random letters, runs, text without blanks, other scripts."""
+    own = bpe.codec(BPE, public_tokenizers.PATTERN)
+    ref = tiktoken.Encoding("ref", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rng = random.Random(5)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    tokens = [t.decode() for t in own.ranks if t.isalpha() and t.isascii()]
+    words = [some("abcdefghijklmnopqrstuvwxyz", n) for n in (65, 200, 3000, 100_000)]
+    words += ["a" * 5000, "ab" * 700 + "a" * 333 + "b", some("ab", 3000), some("aé", 2000), some("日本語のテキスト", 2000), "".join(rng.choice(tokens) for _ in range(3000)), "=" * 777, some("-=", 900), "b" + "a" * 99 + "c" + "a" * 100]
+    words += [some("aaaab", rng.randint(65, 140)) for _ in range(60)]
+    for text, ids in zip(words, own.encode(words), strict=True):
+        assert ids.tolist() == ref.encode_ordinary(text), text[:80]
 
 
 def test_mix_equals_sql(spark, docs, empty):
