@@ -4,9 +4,10 @@ Texts are tokenised once; ids are counted over all documents (one number per id
 reaches the driver, so the vocabulary bounds it) and give a canonical
 Huffman code of at most LIMIT bits. The ids, range-partitioned by doc_id, are
 packed into independent blocks of whole documents, each with its documents'
-lengths and the bit offset of every EVERY-th id. A file is one Parquet file of such
-blocks; files and blocks ascend by doc_id. Reading decodes all stretches between
-checkpoints side by side, one table lookup per id.
+lengths and the bit offset of every EVERY-th id. The folder `blocks` holds Parquet files of such
+blocks, which ascend by doc_id; the folder `code` holds the bits of each id's code, from
+which a reader builds the canonical code. Nothing else is needed to read. Reading decodes all
+stretches between checkpoints side by side, one table lookup per id.
 
 Edge cases: a null or empty text is the end id alone; documents of any length
 stay in one block; repeated rows are kept each, those of one doc_id in the order of
@@ -22,11 +23,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cavitas.llm.shared import slices, stored, utf8
+from cavitas.llm.shared import scratch_path, slices, stored, utf8
 
 END_ID = 1
 #: Bits of the longest code; the decoding table has 2**LIMIT entries.
@@ -215,7 +216,7 @@ def unpack(bits: list[bytes], points: list[np.ndarray], sizes: list[int], table:
 
 def _write(size: int, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, lengths, _ = model.value
+        codes, lengths = model.value
         start, block, docs, sizes, waiting = 0, 0, [], [], []
 
         def close() -> pa.RecordBatch:
@@ -243,9 +244,9 @@ def _write(size: int, model):
     return run
 
 
-def _read(model):
+def _read(share):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.value[2]
+        table = share.value
         for batch in batches:
             for k in range(0, batch.num_rows, 4):
                 rows = batch.slice(k, 4)
@@ -261,16 +262,18 @@ def _read(model):
     return run
 
 
-class TokenFiles:
-    """Blocks as a DataFrame over the files, the code, and the column type of doc_id."""
-
-    def __init__(self, blocks: DataFrame, model, kind: str):
-        self.blocks, self.model, self.kind = blocks, model, kind
+def _lengths(rows: DataFrame) -> np.ndarray:
+    """Bits by id of the rows (id, bits); one row per id of the vocabulary reaches the driver."""
+    found = rows.toPandas()
+    lengths = np.zeros(int(found["id"].max()) + 1 if len(found) else 1, np.int64)
+    lengths[found["id"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return lengths
 
 
-def write(docs: DataFrame, path: str) -> TokenFiles:
-    """Tokenise docs with the tokenizer at path and write the files to the shared folder."""
+def write(docs: DataFrame, path: str, into: str | None = None) -> str:
+    """Tokenise docs with the tokenizer at path and write the files; returns their folder (one in the shared folder if not given)."""
     spark = docs.sparkSession
+    into = into or scratch_path(spark, "token_files")
     kind = dict(docs.dtypes)["doc_id"]
     size = tokens_of(path).tokenizer.get_vocab_size()
     tokens = stored(docs.select("doc_id", "text").mapInArrow(_tokenise(path), f"doc_id {kind}, ids binary"), "tokens")
@@ -278,20 +281,24 @@ def write(docs: DataFrame, path: str) -> TokenFiles:
     counts = np.zeros(size, np.int64)
     counts[found["id"].to_numpy()] = found["n"].to_numpy()
     lengths = code_lengths(counts)
-    codes, table = canonical(lengths)
-    model = spark.sparkContext.broadcast((codes, lengths, table))
+    model = spark.sparkContext.broadcast((canonical(lengths)[0], lengths))
+    spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths) if n], "id int, bits int").coalesce(1).write.parquet(f"{into}/code")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = tokens.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.length("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("ids"), "ids")
     schema = f"block long, start long, n long, docs array<{kind}>, sizes array<long>, bits binary, points array<long>"
     blocks = ranged.mapInArrow(_write(size, model), schema).withColumn("part", F.spark_partition_id())
-    return TokenFiles(stored(blocks, "token_files"), model, kind)
+    blocks.write.option("compression", "zstd").parquet(f"{into}/blocks")
+    return into
 
 
-def read(files: TokenFiles) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32, decoded from the files."""
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32, decoded from the files in the folder."""
+    files = spark.read.parquet(f"{path}/blocks")
+    kind = files.schema["docs"].dataType.elementType.simpleString()
+    table = spark.sparkContext.broadcast(canonical(_lengths(spark.read.parquet(f"{path}/code")))[1])
     # one row per file
-    totals = files.blocks.groupBy("part").agg(F.sum("n").alias("total"))
+    totals = files.groupBy("part").agg(F.sum("n").alias("total"))
     before = F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    blocks = files.blocks.join(totals.select("part", before.alias("before")), "part").withColumn("start", F.col("start") + F.col("before"))
+    blocks = files.join(totals.select("part", before.alias("before")), "part").withColumn("start", F.col("start") + F.col("before"))
     rows = blocks.select("start", "n", "docs", "sizes", "bits", "points")
-    return rows.mapInArrow(_read(files.model), f"doc_id {files.kind}, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(_read(table), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")

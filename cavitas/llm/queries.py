@@ -51,7 +51,7 @@ def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return huffman.read(huffman.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return huffman.read(spark, huffman.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

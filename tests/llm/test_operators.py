@@ -322,15 +322,46 @@ def test_resampling_and_pieces(monkeypatch):
 
 def test_token_files_equal_the_library(docs, empty, spark):
     own = Tokenizer.from_file(WORDS)
-    own.encode_special_tokens = True
     rows = sorted(((i is not None, i or 0, t or "") for i, t, *_ in texts()), key=lambda r: r[:2])
     coded = [(i if some else None, np.asarray(own.encode(t, add_special_tokens=False).ids + [1], "<u4")) for some, i, t in rows]
     want, start = [], 0
     for i, ids in coded:
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    assert bag(huffman.read(huffman.write(docs, WORDS)).collect()) == bag(want)
-    assert huffman.read(huffman.write(empty, WORDS)).count() == 0
+    assert bag(huffman.read(spark, huffman.write(docs, WORDS)).collect()) == bag(want)
+    assert huffman.read(spark, huffman.write(empty, WORDS)).count() == 0
+
+
+def test_token_files_are_read_from_their_folder_alone(spark, tmp_path):
+    """A very long text, nulls and repeats; decoded by plain Python from what the files hold."""
+    rng = random.Random(13)
+    long = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9))) for _ in range(60_000))
+    rows = [(3, long), (1, "Some words, then"), (1, "Some words, then"), (2, None), (4, "")]
+    huffman.write(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, str(tmp_path / "files"))
+    bits_of = {r["id"]: r["bits"] for r in spark.read.parquet(str(tmp_path / "files" / "code")).collect()}
+    code, last, words = 0, 0, {}
+    for n, i in sorted((n, i) for i, n in bits_of.items()):  # canonical: by length, then by id
+        code, last = code << (n - last), n
+        words[n, code] = i
+        code += 1
+    own = Tokenizer.from_file(WORDS)
+    want = {(i, tuple(own.encode(t or "", add_special_tokens=False).ids + [1])) for i, t in rows}
+    got = set()
+    for block in spark.read.parquet(str(tmp_path / "files" / "blocks")).collect():
+        text, ids, at = "".join(f"{b:08b}" for b in block["bits"]), [], 0
+        points = list(block["points"])
+        while len(ids) < block["n"]:
+            if len(ids) % huffman.EVERY == 0:
+                assert points[len(ids) // huffman.EVERY] == at
+            n = next(n for n in range(1, huffman.LIMIT + 1) if (n, int(text[at : at + n], 2)) in words)
+            ids.append(words[n, int(text[at : at + n], 2)])
+            at += n
+        for doc, size in zip(block["docs"], block["sizes"], strict=True):
+            got.add((doc, tuple(ids[:size])))
+            ids = ids[size:]
+    assert got == want
+    crc = {r["doc_id"]: r["ids_crc32"] for r in huffman.read(spark.newSession(), str(tmp_path / "files")).collect()}
+    assert all(crc[i] == zlib.crc32(np.asarray(ids, "<u4").tobytes()) for i, ids in want)
 
 
 def test_token_files_hold_added_tokens_as_the_library_gives_them(spark):
@@ -342,7 +373,7 @@ def test_token_files_hold_added_tokens_as_the_library_gives_them(spark):
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    assert bag(huffman.read(huffman.write(rows, WORDS)).collect()) == bag(want)
+    assert bag(huffman.read(spark, huffman.write(rows, WORDS)).collect()) == bag(want)
     tokens = huffman.Tokens(WORDS)
     assert np.frombuffer(tokens.encode(["hello <|endoftext|> world"])[0], tokens.width).tolist() == [3306, 49407, 1002, 1]
 
