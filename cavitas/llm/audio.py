@@ -1,11 +1,12 @@
 """Operator 8, audio columns: lossless 8-bit samples and features as fixed-shape Arrow tensors.
 
 A payload is stored as a WAV file of unsigned 8-bit samples at RATE. The
-features come from the stored bytes: a polyphase resampler takes the samples to
-half the rate, overlapping windows give log-mel bands, and an energy gate with
+features come from the stored bytes: a polyphase resampler takes the samples to UP / DOWN of
+the rate, overlapping windows give log-mel bands, and an energy gate with
 two thresholds (on above the higher, off below the lower) gives voiced segments.
-Log-mel frames are stored in patches of a fixed shape as an Arrow
-fixed-shape-tensor array, together with each patch's span of time.
+Log-mel frames are stored in patches of a fixed shape as an Arrow fixed-shape-tensor
+array of half floats, with each patch's span of time, beside the spans of the voiced
+segments. The digest's `feature` is computed from those stored tensors and spans.
 
 Edge cases: a null or empty text is one padding block of 576 bytes; texts of
 any length are worked through in pieces of PIECE samples, whose frames continue one
@@ -29,9 +30,9 @@ from cavitas.llm.shared import slices, stored, utf8
 RATE = 8000
 BLOCK = 576
 #: Up- and downsampling factors and the resampler's taps per phase.
-UP, DOWN, TAPS = 1, 2, 16
+UP, DOWN, TAPS = 3, 4, 12
 #: At the resampled rate: window, step, transform size, bands.
-WINDOW, STEP, FFT, BANDS = 100, 50, 128, 16
+WINDOW, STEP, FFT, BANDS = 192, 96, 256, 16
 #: Frames in a patch.
 PATCH = 32
 #: Energy gate, in dB below the loudest frame.
@@ -39,6 +40,8 @@ GATE_ON, GATE_OFF = 6.0, 12.0
 #: Samples transformed at once; a multiple of DOWN * STEP.
 PIECE = 1 << 18
 PIECE -= PIECE % (DOWN * STEP)
+#: Seconds from frame to frame.
+SECONDS = STEP * DOWN / (RATE * UP)
 
 
 def wav(payload: bytes) -> bytes:
@@ -58,9 +61,9 @@ def samples_of(media: bytes) -> bytes:
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The resampler's taps, the window and the mel filters."""
-    n = TAPS * max(UP, DOWN) + 1
-    t = np.arange(n) - n // 2
-    taps = np.sinc(t / max(UP, DOWN)) * np.hamming(n) * UP / max(UP, DOWN)
+    most = max(UP, DOWN)
+    n = TAPS * most + 1
+    taps = np.sinc((np.arange(n) - n // 2) / most) * np.hamming(n) * UP / most
     top = RATE * UP / DOWN / 2
     mel = lambda hz: 2595 * np.log10(1 + hz / 700)
     edges = 700 * (10 ** (np.linspace(0, mel(top), BANDS + 2) / 2595) - 1) / top * (FFT // 2)
@@ -70,18 +73,21 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def resample(x: np.ndarray) -> np.ndarray:
-    """x at UP / DOWN of its rate; each phase of the filter meets only the samples it needs."""
+    """x at UP / DOWN of its rate: what zeros between the samples, the filter and leaving out would give.
+
+    The output's phases go round every UP samples; each meets every UP-th tap and no zero.
+    """
     taps, _, _ = _tables()
     half = len(taps) // 2
-    n = -(-len(x) * UP // DOWN)
-    out = np.zeros(n)
-    for phase in range(UP):
-        own = taps[phase::UP]
-        padded = np.concatenate([np.zeros(half), x, np.zeros(half + DOWN)])
-        at = padded[phase * DOWN // UP :]
-        for k, tap in enumerate(own):
-            part = at[k :: DOWN][: len(out[phase::UP])]
-            out[phase::UP][: len(part)] += tap * part
+    out = np.zeros(-(-len(x) * UP // DOWN))
+    edge = len(taps) // UP + DOWN
+    padded = np.concatenate([np.zeros(edge), x, np.zeros(edge + DOWN)])
+    for r in range(UP):
+        own = out[r::UP]
+        first = (r * DOWN + half) % UP
+        at = edge + (r * DOWN + half - first) // UP
+        for k, tap in enumerate(taps[first::UP]):
+            own += tap * padded[at - k :: DOWN][: len(own)]
     return out
 
 
@@ -121,12 +127,11 @@ def segments(mel: np.ndarray) -> list[tuple[int, int]]:
 def tensors(mel: np.ndarray) -> bytes:
     """An Arrow stream: one row per patch with its span in milliseconds and its tensor (PATCH, BANDS)."""
     n = -(-len(mel) // PATCH)
-    data = np.zeros((n * PATCH, BANDS), np.float32)
+    data = np.zeros((n * PATCH, BANDS), np.float16)
     data[: len(mel)] = mel
     tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(data.reshape(n, PATCH, BANDS))
-    step = 1000 * STEP * DOWN / (RATE * UP)
-    start = np.arange(n) * PATCH * step
-    end = np.minimum(start + PATCH * step, len(mel) * step)
+    start = np.arange(n) * PATCH * SECONDS * 1000
+    end = np.minimum(start + PATCH * SECONDS * 1000, len(mel) * SECONDS * 1000)
     batch = pa.record_batch([pa.array(start), pa.array(end), tensor], names=["start_ms", "end_ms", "log_mel"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
@@ -147,42 +152,52 @@ def to_audio(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_store, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    step = STEP * DOWN / (RATE * UP)
-    for batch in slices(batches, "media", 1 << 20):
-        mels = [log_mel(samples_of(m)) for m in batch["media"].to_pylist()]
-        spans = [[{"start_s": a * step, "end_s": b * step} for a, b in segments(m)] for m in mels]
-        kind = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
-        mean = [m.mean(axis=0, dtype=float).tolist() for m in mels]
-        columns = [pa.array([len(m) for m in mels], pa.int64()), pa.array(mean, pa.list_(pa.float64())), pa.array(spans, kind), pa.array([tensors(m) for m in mels], pa.binary())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "n_frames", "mean_log_mel", "spans", "tensors"])
+def frames_of(stream: bytes, n: int) -> tuple[np.ndarray, int]:
+    """The n frames of a stored stream of tensors, and its number of patches."""
+    table = pa.ipc.open_stream(stream).read_all()
+    patches = table["log_mel"].combine_chunks().to_numpy_ndarray()
+    return patches.reshape(-1, BANDS)[:n], len(patches)
 
 
-def features(media: DataFrame) -> DataFrame:
-    """The rows of media with n_frames, mean_log_mel, spans (voiced segments) and tensors (an Arrow stream)."""
-    kept = "".join(f"`{c}` {t}, " for c, t in media.dtypes)
-    return media.mapInArrow(_features, kept + "n_frames long, mean_log_mel array<double>, spans array<struct<start_s: double, end_s: double>>, tensors binary")
+SPANS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "media", 1 << 20):
         rows = []
         for media in batch["media"].to_pylist():
             payload = samples_of(media)
             mel = log_mel(payload)
-            arrow = tensors(mel)
-            spans = segments(mel)
-            seconds = sum(b - a for a, b in spans) * STEP * DOWN / (RATE * UP)
-            patches = pa.ipc.open_stream(arrow).read_all().num_rows
-            feature = f"frames={len(mel)};patches={patches}x{PATCH}x{BANDS};segments={len(spans)};voiced_s={seconds:.3f};log_mel=" + ",".join(f"{x:.2f}" for x in mel.mean(axis=0, dtype=float))
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        yield pa.record_batch([batch["doc_id"], batch["n_bytes"], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "n_bytes", *names])
+            spans = [{"start_s": a * SECONDS, "end_s": b * SECONDS} for a, b in segments(mel)]
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), len(mel), spans, tensors(mel)))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), SPANS, pa.binary()]
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "spans", "tensors"]
+        kept = [c for c in batch.schema.names if c != "media"]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*kept, *names])
+
+
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, spans array<struct<start_s: double, end_s: double>>, tensors binary"
+
+
+def features(media: DataFrame) -> DataFrame:
+    """For each row of media what was read back (payload, media), n_frames, spans (voiced segments) and tensors (an Arrow stream)."""
+    kept = "".join(f"`{c}` {t}, " for c, t in media.dtypes if c != "media")
+    return media.mapInArrow(_features, kept + FEATURES)
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "tensors"):
+        found = []
+        for n, spans, stream in zip(*(batch[c].to_pylist() for c in ("n_frames", "spans", "tensors")), strict=True):
+            frames, patches = frames_of(stream, n)
+            voiced = sum(s["end_s"] - s["start_s"] for s in spans)
+            found.append(f"frames={n};patches={patches}x{PATCH}x{BANDS};segments={len(spans)};voiced_s={voiced:.3f};log_mel=" + ",".join(f"{x:.2f}" for x in frames.mean(axis=0, dtype=float)))
+        kept = [c for c in batch.schema.names if c not in ("n_frames", "spans", "tensors")]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(found, pa.string())], names=[*kept, "feature"])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Store every text as audio in the shared folder, read it back and describe it, per document."""
-    media = stored(to_audio(docs), "media")
-    kind = dict(docs.dtypes)["doc_id"]
-    return media.mapInArrow(_digests, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """Store every text as audio and its features as tensors in the shared folder; describe both as read back, per document."""
+    found = stored(features(stored(to_audio(docs), "media")), "features")
+    kept = "".join(f"`{c}` {t}, " for c, t in found.dtypes if c not in ("n_frames", "spans", "tensors"))
+    return found.mapInArrow(_described, kept + "feature string")

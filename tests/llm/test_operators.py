@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -155,6 +156,60 @@ def test_quality_learns_and_leaves_held_out_alone(spark):
     assert {r["score"] for r in none} == {0.5} and quality.classify(docs.where("false"), labels, out).count() == 0
 
 
+def direct_buckets(text: bytes) -> list[int]:
+    """Buckets of a text's grams and words, one after another, in plain integers."""
+    top = lambda h: (h * int(quality._MIX) & 0xFFFFFFFF) >> (32 - quality.BUCKET_BITS)
+    found = []
+    for n in quality.N_GRAMS:
+        for k in range(len(text) - n + 1):
+            h = 0
+            for i, b in enumerate(text[k : k + n]):
+                h ^= int(quality._BYTE[i][b])
+            found.append(top(h))
+    for word in re.findall(rb"[^\x09-\x0D\x20]+", text):
+        found.append(top(sum(int(quality._BYTE[1][b]) * int(quality._PLACE[i & 63]) for i, b in enumerate(word)) & 0xFFFFFFFF))
+    return found
+
+
+def direct_descent(texts: list[list[int]], labels: list[int], seed: int = 7):
+    """Vectors, output weights and bias by the same descent, text by text and bucket by bucket."""
+    random_, dim = np.random.default_rng(seed), quality.DIM
+    vectors, out = random_.uniform(-1 / dim, 1 / dim, (1 << quality.BUCKET_BITS, dim)), np.zeros((dim, 2))
+    bias = np.log([1 - np.mean(labels), np.mean(labels)])
+    steps, done = quality.EPOCHS * len(labels), 0
+    for _ in range(quality.EPOCHS):
+        for k in random_.permutation(len(labels)):
+            rate, done = quality.RATE * (1 - done / steps), done + 1
+            share = {b: texts[k].count(b) / len(texts[k]) for b in set(texts[k])}
+            mean = sum(n * vectors[b] for b, n in share.items())
+            p = np.exp(mean @ out + bias)
+            error = p / p.sum() - np.eye(2)[labels[k]]
+            back = out @ error
+            out, bias = out - rate * np.outer(mean, error), bias - rate * 0.1 * error
+            for b, n in share.items():
+                vectors[b] -= rate * n * len(share) * back
+    return vectors, out, bias
+
+
+def test_quality_equals_a_direct_version(spark):
+    """Features, descent and score: the folded score equals the softmax over the averaged vectors."""
+    rng = random.Random(14)
+    rows = [(k, " ".join(rng.choice(("fine", "good", "Ünder", "x") if k % 2 else ("bad", "$$", "n\tn")) for _ in range(rng.randint(1, 12)))) for k in range(24)]
+    texts_, labels = [direct_buckets(t.encode()) for _, t in rows], [k % 2 for k, _ in rows]
+    for (_, t), want in zip(rows, texts_, strict=True):
+        got = [b[lo[0] : hi[0]] for b, lo, hi in quality.features(*quality._joined([t.encode()]))]
+        assert sorted(np.concatenate(got).tolist()) == sorted(want)
+    counted = [np.unique(x, return_counts=True) for x in texts_]
+    weight, level = quality.descend([b for b, _ in counted], [n for _, n in counted], np.asarray(labels))
+    vectors, out, bias = direct_descent(texts_, labels)
+    df = spark.createDataFrame([*rows, (100, "w " * 300_000 + "good"), (101, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality.score(df, (weight, level)).collect()}
+    for k, _ in rows:
+        logits = np.mean([vectors[b] for b in texts_[k]], axis=0) @ out + bias if texts_[k] else bias
+        assert got[k] == pytest.approx(np.exp(logits[1]) / np.exp(logits).sum(), abs=1e-6)
+    assert got[101] == pytest.approx(1 / (1 + np.exp(-level))) and 0 < got[100] < 1
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(5)
     vectors = [(k, [float(x) for x in rng.normal(size=8) * (0.2 + k % 3)]) for k in range(400)]
@@ -292,31 +347,75 @@ def test_links_connect_the_same_components(spark, monkeypatch, small, large):
     assert spread(got) == spread([(a, b) for a in found for b in near[a]])
 
 
-def test_audio_is_lossless(docs, empty):
-    for r in audio.features(audio.to_audio(docs.select("doc_id", "text"))).collect():
-        payload = audio.samples_of(bytes(r["media"]))
-        assert len(payload) % 576 == 0 and len(payload) > 0 and payload[r["n_bytes"] :].strip(b"\xff") == b""
-        assert all(s["end_s"] > s["start_s"] for s in r["spans"])
-    got = audio.digest(docs).collect()
+def direct_log_mel(payload: bytes) -> np.ndarray:
+    """Zeros between the samples, one long filter, every DOWN-th kept; then frame by frame."""
+    taps, window, filters = audio._tables()
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    up = np.zeros(len(x) * audio.UP)
+    up[:: audio.UP] = x
+    y = np.convolve(up, taps)[len(taps) // 2 :][: len(up)][:: audio.DOWN]
+    found = []
+    for k in range(-(-len(y) // audio.STEP)):
+        part = np.zeros(audio.WINDOW)
+        part[: len(y[k * audio.STEP :][: audio.WINDOW])] = y[k * audio.STEP :][: audio.WINDOW]
+        power = np.abs(np.fft.rfft(part * window, audio.FFT)) ** 2
+        found.append([np.log(power @ filters[:, b] + 1e-6) for b in range(audio.BANDS)])
+    return np.asarray(found)
+
+
+def direct_segments(mel: np.ndarray) -> list[tuple[int, int]]:
+    loud, on, found = [10 * max(f) / np.log(10) for f in mel.astype(float)], None, []
+    for k, x in enumerate(loud):
+        if on is None and x >= max(loud) - audio.GATE_ON:
+            on = k
+        elif on is not None and x < max(loud) - audio.GATE_OFF:
+            found.append((on, k))
+            on = None
+    return found + ([(on, len(loud))] if on is not None else [])
+
+
+def test_audio_is_lossless_and_its_features_equal_a_direct_version(docs, empty):
     want = {}
     for _, t, *_ in texts():
         data = (t or "").encode()
         payload = data + b"\xff" * (-len(data) % 576 if data else 576)
-        want[hashlib.sha256(payload).hexdigest()] = (len(data), len(payload), zlib.crc32(payload[-32:]))
+        mel = direct_log_mel(payload)
+        want[hashlib.sha256(payload).hexdigest()] = (len(data), payload, mel)
+    for r in audio.features(audio.to_audio(docs.select("doc_id", "text"))).collect():
+        n_bytes, payload, mel = want[r["payload_sha256"]]
+        frames, patches = audio.frames_of(bytes(r["tensors"]), r["n_frames"])
+        assert len(frames) == len(mel) and np.allclose(frames, mel, rtol=2e-3, atol=1e-2) and patches == -(-len(mel) // audio.PATCH)
+        spans = [(a * audio.SECONDS, b * audio.SECONDS) for a, b in direct_segments(audio.log_mel(payload))]
+        assert np.allclose([(s["start_s"], s["end_s"]) for s in r["spans"]], spans)
+        assert n_bytes == r["n_bytes"] and r["media_sha256"] == hashlib.sha256(audio.wav(payload)).hexdigest() and audio.samples_of(audio.wav(payload)) == payload
+    got = audio.digest(docs).collect()
     assert len(got) == len(texts())
-    assert all(want[r["payload_sha256"]] == (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) for r in got)
+    for r in got:
+        n_bytes, payload, mel = want[r["payload_sha256"]]
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (n_bytes, len(payload), zlib.crc32(payload[-32:]))
+        means = [float(x) for x in r["feature"].rpartition("=")[2].split(",")]
+        assert f"frames={len(mel)};" in r["feature"] and means == pytest.approx(mel.mean(axis=0).tolist(), abs=0.02)
     assert len({r["payload_sha256"] for r in got}) == len({(r["payload_sha256"], r["media_sha256"], r["feature"]) for r in got})
     assert audio.digest(empty).count() == 0
 
 
-def test_resampling_and_pieces(monkeypatch):
-    rng = np.random.default_rng(8)
-    y = rng.normal(size=999)
-    taps = audio._tables()[0]
-    assert np.allclose(audio.resample(y), np.convolve(y, taps)[len(taps) // 2 :][::2][:500])
-    data = rng.integers(0, 256, 50_000).astype(np.uint8).tobytes()
+@pytest.mark.parametrize("ratio", [(3, 4), (1, 2), (2, 3), (5, 3)])
+def test_resampling_equals_zeros_filter_and_leaving_out(monkeypatch, ratio):
+    monkeypatch.setattr(audio, "UP", ratio[0])
+    monkeypatch.setattr(audio, "DOWN", ratio[1])
+    audio._tables.cache_clear()
+    y = np.random.default_rng(8).normal(size=997)
+    taps, up = audio._tables()[0], np.zeros(997 * ratio[0])
+    up[:: ratio[0]] = y
+    assert np.allclose(audio.resample(y), np.convolve(up, taps)[len(taps) // 2 :][: len(up)][:: ratio[1]])
+    audio._tables.cache_clear()
+
+
+def test_pieces_of_a_long_payload_go_on(monkeypatch):
+    data = np.random.default_rng(8).integers(0, 256, 50_000).astype(np.uint8).tobytes()
     whole = audio.log_mel(data)
-    monkeypatch.setattr(audio, "PIECE", 7_000)
+    assert np.allclose(whole, direct_log_mel(data), rtol=1e-4, atol=1e-4)
+    monkeypatch.setattr(audio, "PIECE", 20 * audio.DOWN * audio.STEP)
     assert np.allclose(audio.log_mel(data), whole)
 
 
@@ -409,6 +508,70 @@ def test_forward_pass_sums_all_segmentations():
         assert row == pytest.approx([np.log(total(language_id.START + w, c)) for c in (0, 1)])
 
 
+def segmentations(s: str, at: dict) -> list[list[int]]:
+    """Every way to cut s into pieces; -1 stands for a character without one."""
+    if not s:
+        return [[]]
+    known = [n for n in range(1, len(s) + 1) if s[:n] in at]
+    found = [[at[s[:n]], *rest] for n in known for rest in segmentations(s[n:], at)]
+    return found if 1 in known else found + [[-1, *rest] for rest in segmentations(s[1:], at)]
+
+
+def direct_model(rows: list[tuple[str, str]], pieces, rounds: int = 2) -> np.ndarray:
+    """Expectation-maximisation by listing all segmentations of all words."""
+    at, langs = {p: k for k, p in enumerate(pieces.pieces)}, sorted({x for x, _ in rows})
+    probs = np.full((len(at), len(langs)), 1 / len(at))
+    for _ in range(rounds):
+        total = np.full(probs.shape, language_id.SMOOTH)
+        for lang, text in rows:
+            c = langs.index(lang)
+            for w in language_id.words_of(text):
+                ways = segmentations(language_id.START + w, at)
+                weights = [np.prod([probs[k, c] if k >= 0 else language_id.UNSEEN for k in way]) for way in ways]
+                for way, x in zip(ways, weights, strict=True):
+                    for k in way:
+                        if k >= 0:
+                            total[k, c] += x / sum(weights)
+        probs = total / total.sum(axis=0)
+    return probs
+
+
+def test_the_learned_model_equals_listing_all_segmentations(spark):
+    pieces = language_id.vocabulary(PIECES)
+    rows = [("aa", "the house and the green"), ("bb", "das haus 日x und"), ("aa", "the their"), ("bb", "grün das")]
+    langs, probs = language_id.train(spark.createDataFrame(rows, "lang string, text string"), PIECES)
+    want = direct_model(rows, pieces)
+    assert langs == ["aa", "bb"] and np.allclose(probs, want, rtol=1e-9, atol=0)
+    docs = spark.createDataFrame([(1, "the house"), (2, "grün und"), (3, "!"), (4, None)], "doc_id long, text string")
+    at = {p: k for k, p in enumerate(pieces.pieces)}
+    for r in language_id.predict(docs, PIECES, (langs, probs)).collect():
+        words = language_id.words_of(r["text"] or "")
+        each = [sum(np.log(sum(np.prod([want[k, c] if k >= 0 else language_id.UNSEEN for k in way]) for way in segmentations(language_id.START + w, at))) for w in words) for c in (0, 1)]
+        assert (r["lang_pred"], r["score"]) == ((langs[int(np.argmax(each))], pytest.approx(np.exp(max(each)) / np.exp(each).sum())) if words else ("und", 0))
+
+
+def test_long_runs_of_letters_are_scored_whole():
+    """Against the same sum in exact fractions; both passes agree on how many pieces begin a word."""
+    pieces = language_id.vocabulary(PIECES)
+    at = {p: k for k, p in enumerate(pieces.pieces)}
+    probs = np.random.default_rng(3).random((len(at), 2)) / len(at)
+    words = ["the", "the" * 11, "straße" * 40, "日x" * 60, "q" * 700, "a"]
+    got = language_id.log_likelihoods(words, pieces, probs)
+    for w, row in zip(words, got, strict=True):
+        s = language_id.START + w
+        for c in (0, 1):
+            ways = [Fraction(1)] + [Fraction(0)] * len(s)
+            for i in range(len(s)):
+                for j in range(i + 1, len(s) + 1 if i + pieces.longest > len(s) else i + pieces.longest + 1):
+                    p = probs[at[s[i:j]], c] if s[i:j] in at else language_id.UNSEEN if j == i + 1 else 0
+                    ways[j] += ways[i] * Fraction(p)
+            n = ways[-1].denominator.bit_length() - ways[-1].numerator.bit_length()
+            assert row[c] == pytest.approx(np.log(float(ways[-1] * 2**n)) - n * np.log(2))
+    counts = language_id.expected_counts(words, np.zeros(len(words), np.int64), np.ones(len(words)), pieces, probs)
+    starting = sum(counts[k, 0] for p, k in at.items() if p.startswith(language_id.START))
+    assert starting == pytest.approx(len(words), abs=0.01) and counts[:, 1].sum() == 0
+
+
 def test_language_id(spark, docs, empty):
     rng = random.Random(1)
     words = {"aa": ("the", "and", "of", "house", "green"), "bb": ("der", "und", "von", "haus", "grün")}
