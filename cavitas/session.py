@@ -3,10 +3,26 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or else the context's checkpoint folder.
+
+    Only a session on one machine may do without either; it gets a temporary folder.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
+
+
 def local_session(name: str = "cavitas", cores: int | str | None = None, shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the library is tested under."""
     cores = cores or os.environ.get("BENCH_CPUS", "8")
