@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cavitas.session import shared_folder
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, removed when the driver's JVM ends.
 
-    The setting is read from the session; only where it is unset (tests, a
-    laptop) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Scratch folders of this process, in the order they were made.
+_made: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the folder that all executors share, removed when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    _made.append(path)
     return path
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders made inside are deleted at its end: what reads them has to be written by then."""
+    first = len(_made)
+    yield
+    for path in _made[first:]:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    del _made[first:]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
@@ -44,7 +54,10 @@ def held_out(folds: int, fold: int, doc_id: str = "doc_id") -> Column:
 
 def apart(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
     """df with its columns of these names out of the way, and the renaming that puts them back."""
-    back = {f"kept__{c}": c for c in df.columns if c.lower() in names}
+    taken, prefix = {c.lower() for c in df.columns}, "kept__"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    back = {prefix + c: c for c in df.columns if c.lower() in names}
     return df.withColumnsRenamed({c: k for k, c in back.items()}), back
 
 
