@@ -1,4 +1,8 @@
-"""A corpus pipeline over the documents table: STAGES in order, each stage's rows written and read by the next."""
+"""A corpus pipeline over the documents table: STAGES in order, each stage's rows written and read by the next.
+
+Columns beside those of documents are kept, whatever their names, up to the last stage. Nulls, empty
+and repeated rows go through each stage as its operator defines it.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cavitas.llm import bpe, language_id, mixing, simhash, suffixes
-from cavitas.llm.shared import stored
+from cavitas.llm.shared import apart, released, scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Set lang to the predicted language; documents without a letter go."""
+    """Set lang to the predicted language; documents without a letter (null and empty ones, too) have none and go."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    found = language_id.predict(docs, path, language_id.train(docs, path), ("doc_id", "source", "n_chars"))
-    return found.where("lang_pred <> 'und'").selectExpr("doc_id", "text", "lang_pred as lang", "source", "n_chars")
+    own, back = apart(docs, "lang_pred", "score")
+    found = language_id.predict(own, path, language_id.train(docs, path), tuple(c for c in own.columns if c != "text"))
+    return found.where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(*own.columns).withColumnsRenamed(back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +28,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that a document of a smaller id has, too, go; so do documents that consist of nothing else."""
-    rows = suffixes.remove(docs)
-    left = rows.where((F.length("text") > 0) | (F.coalesce("n_chars", F.lit(0)) == 0))
-    return left.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    """Passages that a document of a smaller id has, too, go; so do documents that have nothing else. n_chars is that of the text left."""
+    own, back = apart(docs, "before")
+    rows = suffixes.remove(own.withColumn("before", F.length("text")))
+    left = rows.where("coalesce(before, 0) = 0 or length(text) > 0").drop("before")
+    return left.withColumn("n_chars", F.length("text").cast("long")).withColumnsRenamed(back)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,14 +53,15 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: The language model and the tokenizer's merges have no SQL form; tests hold each stage against a brute-force version.
+#: The language model and the tokenizer's merges have no SQL form; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, name)
+        with released(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
