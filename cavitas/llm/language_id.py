@@ -39,7 +39,7 @@ RESCALE = 16
 #: Distinct words, and letters, a task holds before it passes its counts on or starts afresh.
 MOST_WORDS, MOST_LETTERS = 400_000, 1 << 26
 #: Letters of the words worked on at once.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 17
 #: The probability of a character that no piece of the vocabulary covers.
 UNSEEN = 1e-9
 #: Added to the expected count of every piece in every language.
@@ -249,7 +249,7 @@ def _predict(path: str, langs: list[str], model):
             known.update(zip(chunks, range(len(scores), len(scores) + len(chunks)), strict=True))
             scores = np.concatenate([scores, sums])
 
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             if len(known) > 2 * MOST_WORDS or letters > MOST_LETTERS:
                 known.clear()
                 scores, letters = scores[:0], 0
