@@ -48,11 +48,11 @@ LENGTH = 50
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text in a block, and bytes of text for each task that hashes or pieces go to.
-BLOCK, SHARE = 1 << 20, 1 << 25
+BLOCK, SHARE = 1 << 20, 1 << 24
 #: Starts hashed at once.
 HASHED = 1 << 18
 #: Pieces sorted at once, and occurrences from which a gram's strings are dealt one by one.
-AT_ONCE, HEAVY = 1 << 15, 1 << 14
+AT_ONCE, HEAVY = 1 << 12, 1 << 14
 NO_ID = np.iinfo(np.int64).max
 _FACTOR = 0x9E3779B97F4A7C15
 _LETTERS = np.random.default_rng(6).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -202,8 +202,10 @@ def _ask(n: int, bits: int):
 
 
 def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*(batch[c].to_pylist() for c in names), strict=True)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 32):
+            batch = whole.slice(at, 32)
+            yield from zip(*(batch[c].to_pylist() for c in names), strict=True)
 
 
 def _answer(heavy: int):
