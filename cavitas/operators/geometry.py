@@ -48,7 +48,7 @@ def hull_volume(points: DataFrame, step: float = 1.0, k: int = 64, key: tuple[st
     box = points.groupBy(*key).agg(*(f(c).alias(f"{n}{c}") for c in AXES for f, n in ((F.min, "lo"), (F.max, "hi"))))
     rows = box
     for c in AXES:
-        steps = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(f"hi{c}") - F.col(f"lo{c}")) / step)))
+        steps = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil((F.col(f"hi{c}") - F.col(f"lo{c}")) / step) - 1, F.lit(0))))
         rows = rows.withColumn("_i", steps).withColumn(c, F.col(f"lo{c}") + (F.col("_i") + 0.5) * step).drop("_i")
     hull = support(points, k, key)
     gaps = F.zip_with("h", _dots(k), lambda h, d: h - d)
@@ -166,8 +166,24 @@ def cavities(atoms: DataFrame, step: float = 2.0, k: int = 64, min_volume: float
     own = merged(atlas.thresholds(n, n_voids="n_voids", merge=merge), "merge_threshold")
     properties = spatial.cavity_properties(own, atoms.withColumn("serial", F.col("res_id"))).where(F.col("volume") <= 5000)
     hood = spatial.neighbourhood(properties, atoms).drop("n_residues")
-    depth = own.groupBy("pdb_id", "cavity_id").agg(F.max("to_surface").alias("to_surface"))
-    rows = properties.join(hood, ["pdb_id", "cavity_id"]).join(depth, ["pdb_id", "cavity_id"])
-    rows = rows.withColumn("enclosure_score", S.enclosure("merged_vertices", "radius_clear", "radius_geom", "volume", F.lit(None).cast("double")))
-    rows = rows.withColumn("depth_score", S.clamp(F.col("to_surface") / 15.0))
-    return atlas.ranked(atlas.scored(rows), tie="cavity_id")
+    rows = properties.join(hood, ["pdb_id", "cavity_id"])
+    return atlas.ranked(atlas.scored(shape_scores(rows, own, atoms, k)), tie="cavity_id")
+
+
+def shape_scores(cavities: DataFrame, vertices: DataFrame, atoms: DataFrame, k: int = 64) -> DataFrame:
+    """enclosure by the hull of a cavity's vertices, depth by its centre's place between the structure's centroid and its hull.
+
+    A hull without a lattice point counts as none.
+    """
+    key = ["pdb_id", "cavity_id"]
+    whole = atoms.groupBy("pdb_id").agg(*(F.avg(a).alias(f"mid_{a}") for a in AXES))
+    mid = [f"mid_{a}" for a in AXES]
+    reach = atoms.join(whole, "pdb_id").groupBy("pdb_id", *mid).agg(F.max(S.distance(AXES, mid)).alias("reach"))
+    centers = cavities.select(*key, *(F.col(f"center_{a}").alias(a) for a in AXES))
+    surface = buried(centers, support(atoms, k), k).select(*key, F.abs("to_surface").alias("to_surface"))
+    large = vertices.join(cavities.where("merged_vertices >= 4").select(*key), key, "left_semi").select(*key, *AXES)
+    hulls = hull_volume(large, k=k).select(*key, F.when(F.col("hull_volume") > 0, F.col("hull_volume")).alias("hull_volume"))
+    rows = cavities.join(reach, "pdb_id").join(surface, key).join(hulls, key, "left")
+    rows = rows.withColumn("enclosure_score", S.enclosure("merged_vertices", "radius_clear", "radius_geom", "volume", "hull_volume"))
+    rows = rows.withColumn("depth_score", S.depth(S.distance([f"center_{a}" for a in AXES], mid), "reach", "to_surface"))
+    return rows.drop(*mid, "reach", "to_surface", "hull_volume")

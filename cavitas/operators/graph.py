@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,6 +10,7 @@ from cavitas.functions import scalars as S
 from cavitas.operators import spatial
 from cavitas.operators.atlas import by, desc
 from cavitas.operators.spatial import AXES
+from cavitas.session import shared_folder
 
 FEATURES = ("hydrophobicity", "is_hydrophobic", "is_polar", "is_charged", "relative_position", "contact_count", "avg_contact_dist", "local_density", "exposure")
 
@@ -62,30 +63,32 @@ def pocket_residues(nodes: DataFrame, top_k: int = 20) -> DataFrame:
     return rows.where(F.col("rank") <= top_k).select("pdb_id", "res_id", "res_name", "pocket_score", "rank")
 
 
-def _labels(spark: SparkSession, nodes: DataFrame, edges: DataFrame, most_rounds: int) -> DataFrame:
-    """Least node of each component within structures, by spreading minima; every round cuts its lineage."""
+def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Least node of each component within structures.
+
+    Minima spread to neighbours, and each label then becomes its node's own label, so chains take
+    rounds by the logarithm of their length. Labels only fall, so it ends; every round cuts its lineage.
+    """
     labels = nodes.select("pdb_id", "res_id", F.col("res_id").alias("label")).checkpoint()
-    for _ in range(most_rounds):
+    while True:
         offered = edges.join(labels.withColumnRenamed("res_id", "src"), ["pdb_id", "src"]).groupBy("pdb_id", F.col("dst").alias("res_id")).agg(F.min("label").alias("offer"))
         new = labels.join(offered, ["pdb_id", "res_id"], "left").select("pdb_id", "res_id", F.least("label", F.coalesce("offer", "label")).alias("label"), (F.col("offer") < F.col("label")).alias("moved")).checkpoint()
-        labels = new.drop("moved")
         if new.where("moved").isEmpty():
-            return labels
-    raise RuntimeError(f"labels still change after {most_rounds} rounds")
+            return new.drop("moved")
+        further = new.select("pdb_id", F.col("res_id").alias("label"), F.col("label").alias("next"))
+        labels = new.join(further, ["pdb_id", "label"]).select("pdb_id", "res_id", F.col("next").alias("label"))
 
 
-def clusters(residues: DataFrame, eps: float = 6.0, least: int = 3, score: str = "score", most_rounds: int = 200) -> DataFrame:
+def clusters(residues: DataFrame, eps: float = 6.0, least: int = 3, score: str = "score") -> DataFrame:
     """Density clusters: cores by neighbours including themselves, their components, borders to the least label; noise goes."""
     spark = residues.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     found = spatial.pairs(residues.select("pdb_id", "res_id", *AXES), eps, "res_id", strict=False)
     edges = found.select("pdb_id", F.col("a_res_id").alias("src"), F.col("b_res_id").alias("dst"))
     cores = edges.groupBy("pdb_id", F.col("src").alias("res_id")).agg(F.count("*").alias("n")).where(F.col("n") + 1 >= least).select("pdb_id", "res_id")
     inner = edges.join(cores.withColumnRenamed("res_id", "src"), ["pdb_id", "src"], "left_semi").join(cores.withColumnRenamed("res_id", "dst"), ["pdb_id", "dst"], "left_semi")
-    labels = _labels(spark, cores, inner, most_rounds)
+    labels = _labels(cores, inner)
     border = edges.join(labels.withColumnRenamed("res_id", "src"), ["pdb_id", "src"]).join(cores.withColumnRenamed("res_id", "dst"), ["pdb_id", "dst"], "left_anti").groupBy("pdb_id", F.col("dst").alias("res_id")).agg(F.min("label").alias("label"))
     rows = labels.unionByName(border).join(residues, ["pdb_id", "res_id"])
     center = rows.groupBy("pdb_id", "label").agg(F.count("*").alias("n"), *(F.avg(a).alias(f"c{a}") for a in AXES), F.avg(score).alias("avg_score"), F.max(score).alias("max_score"))

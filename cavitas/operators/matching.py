@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cavitas.functions import scalars as S
+from cavitas.operators import ordered
 from cavitas.operators.atlas import CENTER, ranked
 
 SITE = ("x", "y", "z")
@@ -202,8 +203,14 @@ def calibrated(values: DataFrame, source: DataFrame, target: DataFrame, least: i
 
 def nearest_rank(rows: DataFrame, column: str, shares: dict[str, float], key: str | None = None) -> DataFrame:
     """Nearest-rank percentiles, sorted[round((n - 1) p)], rounding half to even."""
-    values = F.array_sort(F.collect_list(column))
-    grouped = rows.groupBy(key) if key else rows.groupBy()
-    pick = lambda p: F.element_at("v", F.bround((F.size("v") - 1) * p).cast("int") + 1)
-    found = grouped.agg(values.alias("v")).where(F.size("v") > 0)
-    return found.select(*([key] if key else []), *(F.round(pick(p), 4).alias(n) for n, p in shares.items()))
+    group = [key] if key else []
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*group, column).agg(F.count("*").alias("_n"))
+    if key:
+        counts = counts.withColumn("_upto", F.sum("_n").over(W.partitionBy(key).orderBy(column)))
+    else:
+        counts = ordered.running(counts, column, ordered.size_bucket(F.col(column)), {"_upto": "_n"})
+    total = counts.groupBy(*group).agg(F.sum("_n").alias("_total")).where("_total > 0")  # one row, or one for each key
+    joined = counts.join(total, key) if key else counts.join(F.broadcast(total))
+    pick = lambda p: F.min(F.when(F.col("_upto") > F.bround((F.col("_total") - 1) * p), F.col(column)))
+    found = joined.groupBy(*group).agg(F.count("*").alias("_n"), *(F.round(pick(p), 4).alias(n) for n, p in shares.items()))
+    return found.where("_n > 0").drop("_n")

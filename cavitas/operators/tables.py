@@ -93,16 +93,22 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.withColumn("timestamp", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")).write.mode("append").json(path)
 
 
-def elite_csv(pockets: DataFrame, path: str, min_score: float = 0.6) -> None:
-    """K10."""
-    rows = atlas.elite(pockets, min_score).select("pdb_id", "pocket_id", "rank", "bio_score", "volume", "druggability_class", *atlas.CENTER)
+#: The columns of the two CSV exports.
+ELITE_COLUMNS = ("pdb_id", "pocket_id", "rank", "bio_score", "volume", "druggability_class", "hydrophobic_ratio", "enclosure_score", "depth_score")
+SEARCH_COLUMNS = ("pdb_id", "pocket_id", "rank", "bio_score", "volume", "druggability_class", "druggable", "hydrophobic_ratio", "enclosure_score", "depth_score", "profile_used")
+
+
+def elite_csv(pockets: DataFrame, path: str, min_score: float = 0.6) -> int:
+    """Returns the number of rows written."""
+    rows = atlas.elite(pockets, min_score).select(*ELITE_COLUMNS)
     rows.write.mode("overwrite").option("header", True).csv(path)
+    return rows.sparkSession.read.option("header", True).csv(path).count()
 
 
 def search_csv(pockets: DataFrame, path: str, limit: int = 5000, **conditions) -> None:
     """K11."""
     rows = atlas.search(pockets, limit=limit, **conditions)
-    rows.select("pdb_id", "pocket_id", "rank", "bio_score", "volume", "druggable", "druggability_class", "hydrophobic_ratio", *atlas.CENTER).write.mode("overwrite").option("header", True).csv(path)
+    rows.select(*SEARCH_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
 
 
 def csv_lines(rows: DataFrame) -> DataFrame:

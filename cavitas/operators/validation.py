@@ -134,8 +134,9 @@ def clearance_volume(frames: DataFrame, stride: int = 1) -> DataFrame:
 def crawl_summary(log: DataFrame) -> DataFrame:
     """Totals, shares, throughput and the first failures."""
     n = lambda k: F.count_if(F.col("status") == k)
-    failed = F.slice(F.array_sort(F.collect_list(F.when(F.col("status") != "success", F.col("pdb_id")))), 1, 50)
-    return log.agg(F.count("*").alias("total"), n("success").alias("success"), n("error").alias("error"), n("timeout").alias("timeout"), rate(n("success") * 100, F.count("*"), 2).alias("success_pct"), F.round(F.sum("runtime"), 4).alias("runtime"), failed.alias("first_failures"))
+    first = log.where("status <> 'success'").select("pdb_id").orderBy("pdb_id").limit(50).agg(F.array_sort(F.collect_list("pdb_id")).alias("first_failures"))
+    totals = log.agg(F.count("*").alias("total"), n("success").alias("success"), n("error").alias("error"), n("timeout").alias("timeout"), rate(n("success") * 100, F.count("*"), 2).alias("success_pct"), F.round(F.sum("runtime"), 4).alias("runtime"))
+    return totals.crossJoin(first)  # one row each
 
 
 def job_metrics(jobs: DataFrame) -> DataFrame:

@@ -132,10 +132,10 @@ def worth_storing(c: Carriers) -> DataFrame:
 # Scoring
 
 
-@query(P, sql="select pdb_id, pocket_id, round(0.15 * volume_score + 0.2 * hydrophobicity_score + 0.35 * enclosure_score + 0.3 * depth_score, 6) as enzyme, round(0.35 * volume_score + 0.35 * hydrophobicity_score + 0.1 * enclosure_score + 0.2 * depth_score, 6) as ppi from c_pockets")
+@query(P, sql="select pdb_id, pocket_id, " + decimal_round("0.15 * volume_score + 0.2 * hydrophobicity_score + 0.35 * enclosure_score + 0.3 * depth_score", 4) + " as enzyme, " + decimal_round("0.35 * volume_score + 0.35 * hydrophobicity_score + 0.1 * enclosure_score + 0.2 * depth_score", 4) + " as ppi from c_pockets")
 def bio_score(c: Carriers) -> DataFrame:
-    each = {p: F.round(sum((F.lit(w) * S.clamp(F.col(f"{k}_score")) for k, w in S.PROFILES[p].items()), F.lit(0.0)), 6) for p in ("enzyme", "ppi")}
-    return c.base.select("pdb_id", "pocket_id", *(x.alias(p) for p, x in each.items()))
+    metrics = [F.col(m) for m in METRICS]
+    return c.base.select("pdb_id", "pocket_id", *(S.bio_score(*metrics, profile=p).alias(p) for p in ("enzyme", "ppi")))
 
 
 @query(P, sql="select pdb_id, pocket_id, rank from c_pockets where rank <= 10")
@@ -171,21 +171,20 @@ def label_policy(c: Carriers) -> DataFrame:
     return c.base.groupBy(S.label_policy("bio_score", "druggable").alias("y")).agg(F.count("*").alias("n"))
 
 
-@query(P, sql="select pdb_id, pocket_id, center_x as x, center_y as y, center_z as z from c_pockets where rank <= 5")
+@query(P, sql="select pdb_id, pocket_id, center_x as x, center_y as y, center_z as z from c_pockets")
 def parse_center_text(c: Carriers) -> DataFrame:
     text = F.concat(F.lit("["), F.concat_ws(", ", *(F.col(a).cast("string") for a in atlas.CENTER)), F.lit("]"))
-    rows = atlas.ranked(c.base, 5).withColumn("c", S.parse_center(text))
+    rows = c.base.withColumn("c", S.parse_center(text))
     return rows.select("pdb_id", "pocket_id", *(F.col("c")[k].alias(a) for k, a in enumerate("xyz")))
 
 
-@query(P, sql=then("a as (select * from (select pdb_id, pocket_id, center_x as x, center_y as y, center_z as z, depth_score, enclosure_score, bio_score, row_number() over (partition by pdb_id order by volume desc, pocket_id) as ord from c_pockets where tool = 'A') where ord <= 20), r as (select * from (select pdb_id, pocket_id, center_x as x, center_y as y, center_z as z, row_number() over (partition by pdb_id order by volume desc, pocket_id) as ord from c_pockets where tool = 'R') where ord <= 20), n as (select a.pdb_id, a.pocket_id, min(" + D.format("a.", "r.") + ") as d from a left join r on a.pdb_id = r.pdb_id group by all)") + " select a.pdb_id, a.pocket_id, round(least(1, greatest(0, depth_score * 0.3 + enclosure_score * 0.3 + bio_score * 0.2 + case when d is null or d > 8 then 0.2 else 0.2 * (d / 8) end)), 3) as novelty from a join n on a.pdb_id = n.pdb_id and a.pocket_id = n.pocket_id")
+@query(P, sql=then("a as (select * from (select pdb_id, pocket_id, center_x as x, center_y as y, center_z as z, depth_score, enclosure_score, bio_score, row_number() over (partition by pdb_id order by volume desc, pocket_id) as ord from c_pockets where tool = 'A') where ord <= 20), r as (select * from (select pdb_id, pocket_id, center_x as x, center_y as y, center_z as z, row_number() over (partition by pdb_id order by volume desc, pocket_id) as ord from c_pockets where tool = 'R') where ord <= 20), n as (select a.pdb_id, a.pocket_id, min(" + D.format("a.", "r.") + ") as d from a left join r on a.pdb_id = r.pdb_id group by all)") + " select a.pdb_id, a.pocket_id, " + decimal_round("least(1, greatest(0, depth_score * 0.3 + enclosure_score * 0.3 + bio_score * 0.2 + case when d is null or d > 8 then 0.2 else 0.2 * (d / 8) end))", 4) + " as novelty from a join n on a.pdb_id = n.pdb_id and a.pocket_id = n.pocket_id")
 def novelty(c: Carriers) -> DataFrame:
     rows = atlas.ranked(c.base.where("tool = 'A'"), 20, score="volume")
     rival = matching.tool_lists(c.base, "R").select("pdb_id", *(F.col(x).alias(f"r_{x}") for x in atlas.CENTER), F.col("ord").alias("r_ord"))
     near = spatial.nearest(rows, rival, "pdb_id", ["pocket_id"], [f"r_{x}" for x in atlas.CENTER], list(atlas.CENTER), ["r_ord"], "r_ord")
     found = rows.join(near.select("pdb_id", "pocket_id", F.col("dist").alias("d")), ["pdb_id", "pocket_id"], "left")
-    d = F.when(F.col("d").isNull() | (F.col("d") > 8), 0.2).otherwise(0.2 * (F.col("d") / 8))
-    return found.select("pdb_id", "pocket_id", F.round(S.clamp(F.col("depth_score") * 0.3 + F.col("enclosure_score") * 0.3 + F.col("bio_score") * 0.2 + d), 3).alias("novelty"))
+    return found.select("pdb_id", "pocket_id", S.novelty("depth_score", "enclosure_score", "bio_score", "d").alias("novelty"))
 
 
 # Spatial joins and matching
@@ -438,12 +437,12 @@ def persistence(c: Carriers) -> DataFrame:
     return ensemble.persistence(hits, c.base.select("pdb_id", "frame").distinct())
 
 
-REFINED = "m as (select *, case when max(bio_score) over w - min(bio_score) over w < 1e-12 then 0.5 else (bio_score - min(bio_score) over w) / (max(bio_score) over w - min(bio_score) over w) end as bn, least(1, merged_vertices / greatest(max(merged_vertices) over w, 1)) as sn, case druggability_class when 'high' then 1 when 'medium' then 0.6 else 0.3 end::double as dn, 3 * sphericity as cs, 0.3::double * sphericity as vc from c_pockets where rank <= 20 window w as (partition by pdb_id)), q as (select *, " + decimal_round("bn * 0.35::double + sn * 0.25::double + dn * 0.15::double + (1 - least(1, cs / 2)) * 0.15::double + (1 - least(1, vc / 0.2::double)) * 0.1::double", 6) + " as rank_score, merged_vertices >= 2 and cs <= 2 and vc <= 0.2 as passes from m), k as (select *, bool_or(passes) over (partition by pdb_id) as any_passes from q)"
+REFINED = "m as (select *, case when max(bio_score) over w - min(bio_score) over w < 1e-12 then 0.5 else (bio_score - min(bio_score) over w) / (max(bio_score) over w - min(bio_score) over w) end as bn, least(1, merged_vertices / greatest(max(merged_vertices) over w, 1)) as sn, case druggability_class when 'high' then 1 when 'medium' then 0.6 else 0.3 end::double as dn, 3 * sphericity as cs, 0.3::double * sphericity as vc from c_pockets window w as (partition by pdb_id)), q as (select *, " + decimal_round("bn * 0.35::double + sn * 0.25::double + dn * 0.15::double + (1 - least(1, cs / 2)) * 0.15::double + (1 - least(1, vc / 0.2::double)) * 0.1::double", 6) + " as rank_score, merged_vertices >= 2 and cs <= 2 and vc <= 0.2 as passes from m), k as (select *, bool_or(passes) over (partition by pdb_id) as any_passes from q)"
 
 
 @query(P, sql=then(REFINED) + " select pdb_id, pocket_id, rank_score from k where passes or not any_passes")
 def refined_rank(c: Carriers) -> DataFrame:
-    rows = c.pockets.where("rank <= 20").withColumns({"support_frames": F.col("merged_vertices"), "center_stability": F.col("sphericity") * 3.0, "volume_cv": F.col("sphericity") * 0.3})
+    rows = c.pockets.withColumns({"support_frames": F.col("merged_vertices"), "center_stability": F.col("sphericity") * 3.0, "volume_cv": F.col("sphericity") * 0.3})
     return ensemble.refined_rank(rows).select("pdb_id", "pocket_id", "rank_score")
 
 
@@ -460,16 +459,18 @@ def frame_subset(c: Carriers) -> DataFrame:
     return ensemble.even_frames(c.base.select("pdb_id", "frame").distinct(), 3)
 
 
-@query("c_atoms", sql="select pdb_id, res_id, 1 as mode, a::double as amplitude, f::int as frame, round(x + a * sin(f * (2 * pi() / 10)) * 0.1, 4) as x, round(y, 4) as y, round(z, 4) as z from c_atoms, (select unnest([2.0, 3.0, 5.0]) as a), (select unnest(range(10)) as f) where res_id <= 3")
+@query("c_atoms", sql="select pdb_id, res_id, 1 as mode, a::double as amplitude, f::int as frame, round(x + a * sin(f * (2 * pi() / 10)) * 0.1, 4) as x, round(y, 4) as y, round(z, 4) as z from c_atoms, (select unnest([2.0, 3.0, 5.0]) as a), (select unnest(range(10)) as f)")
 def generate_frames(c: Carriers) -> DataFrame:
-    rows = c.atoms.where("res_id <= 3").select("pdb_id", "res_id", *"xyz")
+    rows = c.atoms.select("pdb_id", "res_id", *"xyz")
     modes = rows.select("pdb_id", "res_id", F.lit(1).alias("mode"), F.lit(0.1).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
     return ensemble.generated(rows, modes).select("pdb_id", "res_id", "mode", "amplitude", "frame", *(F.round(a, 4).alias(a) for a in "xyz"))
 
 
-@query(P, sql="select pdb_id, pocket_id, count(*) as docks, count(*) as successes, 1.0::double as success_share, round(avg(affinity), 4) as avg_affinity, round(stddev_pop(affinity), 4) as std_affinity, least(0, min(affinity)) as best_affinity, true as stable from (select pdb_id, polar_atoms::bigint as pocket_id, affinity from c_pockets) group by 1, 2")
+@query(P, sql="select pdb_id, pocket_id, count(*) as docks, count(affinity) as successes, round(count(affinity) / count(*), 4) as success_share, round(avg(affinity), 4) as avg_affinity, round(stddev_pop(affinity), 4) as std_affinity, least(0, min(affinity)) as best_affinity, count(affinity) / count(*) >= 0.6 as stable from (select pdb_id, polar_atoms::bigint as pocket_id, case when (frame + polar_atoms) % 3 <> 0 then affinity end as affinity from c_pockets) group by 1, 2")
 def docking_consistency(c: Carriers) -> DataFrame:
-    return ensemble.docking_consistency(c.base.select("pdb_id", F.col("polar_atoms").cast("long").alias("pocket_id"), "affinity"))
+    """Some frames fail to dock: they have no affinity."""
+    rows = c.base.withColumn("affinity", F.when((F.col("frame") + F.col("polar_atoms")) % 3 != 0, F.col("affinity")))
+    return ensemble.docking_consistency(rows.select("pdb_id", F.col("polar_atoms").cast("long").alias("pocket_id"), "affinity"))
 
 
 # Geometry and graphs
@@ -574,9 +575,14 @@ def protein_split(c: Carriers) -> DataFrame:
     return validation.split(c.base.select("pdb_id").distinct())
 
 
-@query(sql="select 0::bigint as leaked")
+LEAKY = "lab as (select pdb_id, pocket_id from c_pockets where (bio_score >= 0.65 and druggable) or bio_score <= 0.3), i as (select pdb_id, row_number() over (order by substr(h, 1, 2), h, pdb_id) as place, count(*) over () as n from (select distinct pdb_id, sha256('split:' || upper(pdb_id)) as h from lab)), s as (select pdb_id, case when pocket_id % 50 = 0 then 'test' when place <= floor(n * 0.7) then 'train' when place <= floor(n * 0.7) + floor(n * 0.15) then 'val' else 'test' end as split from lab join i using (pdb_id))"
+
+
+@query(P, sql=then(LEAKY) + " select count(*) as leaked from (select pdb_id from s group by 1 having count(distinct split) > 1)")
 def leakage_check(c: Carriers) -> DataFrame:
-    return ml.leakage(ml.dataset(c.base))
+    """Every fiftieth pocket is put into the test split whatever its protein's is."""
+    rows = ml.dataset(c.base)
+    return ml.leakage(rows.withColumn("split", F.when(F.col("pocket_id") % 50 == 0, "test").otherwise(F.col("split"))))
 
 
 @query()
@@ -618,11 +624,11 @@ def score_by_rank(c: Carriers) -> DataFrame:
     return atlas.chart_tables(c.pockets)["score_by_rank"]
 
 
-@query("c_atoms", sql="select a.pdb_id, a.res_id, round(coalesce(f.x, a.x), 4) as x, round(coalesce(f.y, a.y), 4) as y, round(coalesce(f.z, a.z), 4) as z, f.x is not null as moved from c_atoms a left join c_atoms f on f.pdb_id = a.pdb_id and f.res_id = a.res_id + 7 and a.res_id <= 7 where a.res_id <= 14")
+@query("c_atoms", sql="select a.pdb_id, a.res_id, round(coalesce(f.x, a.x), 4) as x, round(coalesce(f.y, a.y), 4) as y, round(coalesce(f.z, a.z), 4) as z, f.x is not null as moved from c_atoms a left join c_atoms f on f.pdb_id = a.pdb_id and f.res_id = a.res_id + 7 and a.res_id <= 7")
 def ca_displacement(c: Carriers) -> DataFrame:
-    """The first seven residues moved on to the places of the next seven."""
-    rows = c.atoms.where("res_id <= 14").withColumns({"chain_id": F.lit("A"), "ins_code": F.lit(""), "name": F.col("res_name"), "res_name": F.lit("ANY")})
-    frame = rows.where("res_id > 7").withColumn("res_id", F.col("res_id") - 7)
+    """The first seven residues moved on to the places of the next seven; the others have no match and stay."""
+    rows = c.atoms.withColumns({"chain_id": F.lit("A"), "ins_code": F.lit(""), "name": F.col("res_name"), "res_name": F.lit("ANY")})
+    frame = rows.where("res_id between 8 and 14").withColumn("res_id", F.col("res_id") - 7)
     moved = spatial.displaced(rows, rows.where("res_id <= 7"), frame)
     return moved.select("pdb_id", "res_id", *(F.round(a, 4).alias(a) for a in "xyz"), "moved")
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from cavitas.functions import scalars as S
 
-#: Solvents and ions that are no ligands.
-NOT_LIGANDS = ("HOH", "WAT", "DOD", "NA", "CL", "K", "MG", "CA", "ZN", "MN", "FE", "CU", "SO4", "PO4", "GOL", "EDO", "PEG", "ACT", "DMS", "FMT", "NO3", "IOD", "BR", "CD")
+#: Solvents and ions that are no ligands.
+NOT_LIGANDS = ("HOH", "WAT", "DOD", "SOL", "H2O", "NA", "CL", "K", "MG", "CA", "ZN", "MN", "FE", "CU", "CO", "NI", "CD", "HG", "SO4", "PO4", "GOL", "PEG", "EDO", "ACT")
 
 CAVITY = "struct<id: long, rank: int, bio_score: double, volume: double, druggable: boolean, druggability_class: string, center: array<double>, hydrophobic_ratio: double, polar_atoms: int, merged_vertices: int, score_components: struct<volume_score: double, hydrophobicity_score: double, enclosure_score: double, depth_score: double, sphericity: double>>"
 REPORT = f"pdb_id string, n_frames int, scoring_profile string, runtime_seconds double, cavities array<{CAVITY}>"
@@ -142,25 +142,32 @@ def mean_centers(atoms: DataFrame) -> DataFrame:
 
 def pose_table(rows: DataFrame) -> DataFrame:
     """Mode, affinity and both RMSD bounds of table lines."""
-    line = r"^\s*(\d+)\s+(-?\d+\.?\d*)\s+(\d+\.?\d*)\s+(\d+\.?\d*)\s*$"
+    fields = F.split(F.trim("value"), r"\s+")
     names = (("mode", "int"), ("affinity", "double"), ("rmsd_lb", "double"), ("rmsd_ub", "double"))
-    found = rows.select(*(c for c in rows.columns if c != "value"), *(F.regexp_extract("value", line, k + 1).try_cast(t).alias(n) for k, (n, t) in enumerate(names)))
-    return found.where("mode is not null")
+    found = rows.where(F.size(fields) == 4).select(*(c for c in rows.columns if c != "value"), *(F.get(fields, F.lit(k)).try_cast(t).alias(n) for k, (n, t) in enumerate(names)))
+    return found.dropna(subset=[n for n, _ in names])
 
 
 def pose_remarks(rows: DataFrame) -> DataFrame:
     """The same of REMARK lines; the mode is their number in the file."""
-    line = r"REMARK VINA RESULT:\s+(-?\d+\.?\d*)\s+(\d+\.?\d*)\s+(\d+\.?\d*)"
-    found = rows.where(F.col("value").rlike(line)).withColumn("mode", F.row_number().over(W.partitionBy("file").orderBy("line_no")))
-    return found.select("file", "mode", *(F.regexp_extract("value", line, k + 1).try_cast("double").alias(n) for k, n in enumerate(("affinity", "rmsd_lb", "rmsd_ub"))))
+    key, names = "REMARK VINA RESULT:", ("affinity", "rmsd_lb", "rmsd_ub")
+    fields = F.split(F.trim(F.substring_index("value", ":", -1)), r"\s+")
+    found = rows.where(F.ltrim("value").startswith(key)).select("file", "line_no", *(F.get(fields, F.lit(k)).try_cast("double").alias(n) for k, n in enumerate(names)))
+    return found.dropna(subset=list(names)).select("file", F.row_number().over(W.partitionBy("file").orderBy("line_no")).alias("mode"), *names)
 
 
 def tool_blocks(text: DataFrame) -> DataFrame:
     """Pocket number, score and volume of the blocks of one text column, value."""
-    block = r"(?s)Pocket\s+(\d+)\s*:.*?Score\s*:\s*(-?[\d.]+).*?Volume\s*:\s*(-?[\d.]+)"
-    each = F.arrays_zip(*(F.regexp_extract_all("value", F.lit(block), F.lit(k)).alias(n) for k, n in ((1, "pocket_id"), (2, "score"), (3, "volume"))))
-    rows = text.select(*(c for c in text.columns if c != "value"), F.explode(each).alias("b"))
-    return rows.select(*(c for c in rows.columns if c != "b"), F.col("b.pocket_id").try_cast("int").alias("pocket_id"), F.col("b.score").try_cast("double").alias("score"), F.col("b.volume").try_cast("double").alias("volume"))
+    kept = [c for c in text.columns if c != "value"]
+    rows = text.select(*kept, F.explode(F.split("value", "Pocket ")).alias("block")).select(*kept, F.split("block", r"\r?\n").alias("lines"))
+
+    def field(key: str) -> Column:
+        """The number after the first line of that key."""
+        own = F.filter("lines", lambda x: F.trim(F.substring_index(F.translate(x, "\t", " "), ":", 1)) == key)
+        return F.trim(F.translate(F.substring_index(F.get(own, F.lit(0)), ":", -1), "\t", " ")).try_cast("double")
+
+    number = F.trim(F.substring_index(F.get("lines", F.lit(0)), ":", 1)).try_cast("int")
+    return rows.select(*kept, number.alias("pocket_id"), field("Score").alias("score"), field("Volume").alias("volume")).dropna(subset=["pocket_id", "score", "volume"])
 
 
 def id_list(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

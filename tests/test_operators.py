@@ -148,3 +148,54 @@ def test_neighbourhood_without_residues(spark):
     residues = spark.createDataFrame([("P", 1, "LEU", 50.0, 0.0, 0.0)], "pdb_id string, res_id int, res_name string, x double, y double, z double")
     r = spatial.neighbourhood(cavity, residues).first()
     assert (r["hydrophobic_ratio"], r["polar_atoms"], r["druggable"]) == (0, 0, False)
+
+
+def test_shape_scores_of_hand_computed_cavities(spark):
+    """A cube of atoms around the origin: one cavity at its centre, one near a face, one of the eight corners of a small cube."""
+    from cavitas.operators import geometry
+
+    atoms = spark.createDataFrame([("A", x * 10.0, y * 10.0, z * 10.0) for x in (-1, 1) for y in (-1, 1) for z in (-1, 1)], "pdb_id string, x double, y double, z double")
+    small = [("A", 3, 4.0 * x, 4.0 * y, 4.0 * z) for x in (0, 1) for y in (0, 1) for z in (0, 1)]
+    vertices = spark.createDataFrame([("A", 1, 0.0, 0.0, 0.0), ("A", 2, 8.0, 0.0, 0.0), *small], "pdb_id string, cavity_id int, x double, y double, z double")
+    rows = [("A", 1, 0.0, 0.0, 0.0, 1, 3.0, 0.0, 113.0), ("A", 2, 8.0, 0.0, 0.0, 2, 2.0, 4.0, 67.0), ("A", 3, 2.0, 2.0, 2.0, 8, 1.0, 3.5, 32.0)]
+    cavities = spark.createDataFrame(rows, "pdb_id string, cavity_id int, center_x double, center_y double, center_z double, merged_vertices int, radius_clear double, radius_geom double, volume double")
+    got = {r["cavity_id"]: r for r in geometry.shape_scores(cavities, vertices, atoms).collect()}
+    assert [got[k]["enclosure_score"] for k in (1, 2)] == [0.5, 0.5] and got[3]["enclosure_score"] == 32 / 64
+    raw = 1 - 8 / 300**0.5  # the true distance to the face is 2; few directions can only give more
+    assert got[1]["depth_score"] == 1 and raw * 2 / 5 - 1e-9 <= got[2]["depth_score"] < raw
+    assert abs(got[3]["depth_score"] - (1 - 12**0.5 / 300**0.5)) < 0.01
+
+
+def test_chains_of_residues_are_one_cluster(spark):
+    """Longer than any fixed number of rounds of one step each would reach."""
+    from cavitas.operators import graph
+
+    rows = [("A", k, 5.0 * k, 0.0, 0.0, 1.0) for k in range(1, 301)] + [("A", 500 + k, 5.0 * k, 90.0, 0.0, 1.0) for k in range(1, 6)] + [("B", 1, 0.0, 0.0, 0.0, 1.0)]
+    got = graph.clusters(spark.createDataFrame(rows, "pdb_id string, res_id int, x double, y double, z double, score double")).collect()
+    assert sorted((r["pdb_id"], r["label"], r["n"]) for r in got) == [("A", 2, 300), ("A", 502, 5)]
+
+
+def test_exports_have_their_columns(spark, tmp_path):
+    from cavitas.operators import tables
+
+    row = ("P1", 1, 1, 0.9, 500.0, True, "high", 0.4, 0.5, 0.6, "default", 1.0, 2.0, 3.0)
+    names = "pdb_id string, pocket_id long, rank int, bio_score double, volume double, druggable boolean, druggability_class string, hydrophobic_ratio double, enclosure_score double, depth_score double, profile_used string, center_x double, center_y double, center_z double"
+    pockets = spark.createDataFrame([row, ("P2", *row[1:3], 0.1, *row[4:])], names)
+    assert tables.elite_csv(pockets, str(tmp_path / "elite")) == 1
+    tables.search_csv(pockets, str(tmp_path / "search"))
+    head = lambda name: next((tmp_path / name).glob("*.csv")).read_text().splitlines()[0]
+    assert head("elite") == "pdb_id,pocket_id,rank,bio_score,volume,druggability_class,hydrophobic_ratio,enclosure_score,depth_score"
+    assert head("search") == "pdb_id,pocket_id,rank,bio_score,volume,druggability_class,druggable,hydrophobic_ratio,enclosure_score,depth_score,profile_used"
+
+
+def test_nearest_rank_and_crawl_summary(spark):
+    from cavitas.operators import matching, validation
+
+    rows = spark.createDataFrame([(k % 2, float(v)) for k, v in enumerate((5, 5, 1, 2, 9, 9, 9, 3, 4, 7))] + [(0, None)], "k int, v double")
+    v = sorted((5, 5, 1, 2, 9, 9, 9, 3, 4, 7))
+    assert matching.nearest_rank(rows, "v", {"a": 0.1, "b": 0.5, "c": 0.9}).first()[:] == tuple(float(v[round(9 * p)]) for p in (0.1, 0.5, 0.9))
+    by = {r["k"]: r["b"] for r in matching.nearest_rank(rows, "v", {"b": 0.5}, "k").collect()}
+    assert by == {0: 5.0, 1: 5.0} and matching.nearest_rank(rows.where("false"), "v", {"b": 0.5}).count() == 0
+    log = spark.createDataFrame([(f"P{k:03}", "error" if k % 3 else "success", 1.0) for k in range(90)], "pdb_id string, status string, runtime double")
+    got = validation.crawl_summary(log).first()
+    assert got["total"] == 90 and got["error"] == 60 and got["first_failures"] == [f"P{k:03}" for k in range(90) if k % 3][:50]
