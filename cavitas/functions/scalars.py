@@ -22,6 +22,8 @@ HYDROPATHY = {"ALA": 1.8, "ARG": -4.5, "ASN": -3.5, "ASP": -3.5, "CYS": 2.5, "GL
 HYDROPHOBIC = ("ALA", "VAL", "ILE", "LEU", "MET", "PHE", "TRP", "PRO")
 POLAR = ("SER", "THR", "ASN", "GLN", "TYR", "CYS")
 CHARGED = ("ARG", "LYS", "ASP", "GLU", "HIS")
+#: Force-field atom types of elements.
+ATOM_TYPES = {"C": "C", "N": "NA", "O": "OA", "S": "SA", "P": "P", "F": "F", "CL": "Cl", "BR": "Br", "I": "I", "ZN": "Zn", "FE": "Fe", "MG": "Mg", "CA": "Ca", "MN": "Mn", "CU": "Cu", "NA": "Na", "K": "K"}
 
 
 def col(x: Column | str) -> Column:
@@ -222,6 +224,12 @@ def label_policy(score: Column | str, druggable: Column | str, positive: float |
     return F.when((col(score) >= positive) & col(druggable), 1).when(col(score) <= negative, 0).otherwise(-1)
 
 
+def atom_type(element: Column | str) -> Column:
+    """the force-field type of an element; an unknown one's first two letters."""
+    table = F.create_map(*(F.lit(x) for kv in ATOM_TYPES.items() for x in kv))
+    return F.coalesce(F.try_element_at(table, F.upper(col(element))), F.substring(col(element), 1, 2))
+
+
 def hash_key(*parts: Column | str) -> Column:
     """SHA-256 of the parts joined by colons."""
     return F.sha2(F.concat_ws(":", *(col(p) for p in parts)).cast("binary"), 256)
@@ -230,7 +238,7 @@ def hash_key(*parts: Column | str) -> Column:
 def hydropathy(res_name: Column | str) -> Column:
     """F26."""
     table = F.create_map(*(F.lit(x) for kv in HYDROPATHY.items() for x in kv))
-    return F.coalesce(F.element_at(table, col(res_name)), F.lit(0.0))
+    return F.coalesce(F.try_element_at(table, col(res_name)), F.lit(0.0))
 
 
 def json_number(text: Column | str, path: str, default: float = 0.0) -> Column:

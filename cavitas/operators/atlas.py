@@ -19,6 +19,11 @@ def desc(c: str) -> Column:
     return F.col(c).desc_nulls_last()
 
 
+def desc_number(c: str) -> Column:
+    """Falling numbers, those that are NaN or missing last."""
+    return F.nanvl(F.col(c), F.lit(None).cast("double")).desc_nulls_last()
+
+
 def scored(pockets: DataFrame, profile="default") -> DataFrame:
     """component scores, bio_score and class of every cavity."""
     metrics = [S.normalize_volume("volume"), S.normalize_hydrophobicity("hydrophobic_ratio"), S.clamp(F.col("enclosure_score")), S.clamp(F.col("depth_score"))]
@@ -28,7 +33,7 @@ def scored(pockets: DataFrame, profile="default") -> DataFrame:
 
 def ranked(pockets: DataFrame, top_n: int | None = None, score: str = "bio_score", key: str = "pdb_id", tie: str = "pocket_id") -> DataFrame:
     """Rank by score within each protein, ties by id; the first top_n of each if given."""
-    rows = pockets.withColumn("rank", F.row_number().over(by(desc(score), tie, partition=key)))
+    rows = pockets.withColumn("rank", F.row_number().over(by(desc_number(score), tie, partition=key)))
     return rows if top_n is None else rows.where(F.col("rank") <= top_n)
 
 

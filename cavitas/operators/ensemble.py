@@ -164,6 +164,17 @@ def generated(atoms: DataFrame, modes: DataFrame, n: int = 10, amplitudes: tuple
     return rows.select("pdb_id", "res_id", "mode", "amplitude", "frame", *((F.col(c) + swing * F.col(f"d{c}")).alias(c) for c in "xyz"))
 
 
+def frame_statistics(pockets: DataFrame, frames: DataFrame) -> DataFrame:
+    """Of every frame the number of pockets and of druggable ones, and its error where it has one.
+
+    frames: pdb_id, frame and error, null for frames that could be analysed.
+    """
+    counts = pockets.groupBy("pdb_id", "frame").agg(F.count("*").alias("n_pockets"), F.count_if("druggable").alias("n_druggable"))
+    rows = frames.join(counts, ["pdb_id", "frame"], "left").fillna(0, ["n_pockets", "n_druggable"])
+    good = F.col("error").isNull()
+    return rows.select("pdb_id", "frame", *(F.when(good, F.col(c)).alias(c) for c in ("n_pockets", "n_druggable")), "error")
+
+
 def mapped(frames: DataFrame, mapper: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """Frames through a caller's transformation."""
     return frames if mapper is None else frames.transform(mapper)

@@ -128,6 +128,12 @@ def merged(voids: DataFrame, threshold: float | str = 3.0) -> DataFrame:
     return rows.groupBy("pdb_id").applyInPandas(run, schema)
 
 
+def unmerged(voids: DataFrame) -> DataFrame:
+    """P10: every void as a cavity of its own."""
+    own = voids.withColumnsRenamed({a: f"center_{a}" for a in AXES} | {"clearance": "radius_clear"})
+    return own.withColumns({"cavity_id": F.col("ordinal"), "merged_vertices": F.lit(1), "radius_geom": F.lit(0.0)})
+
+
 def network_blocks(atoms: DataFrame, cutoff: float = 15.0, gamma: float = 1.0) -> DataFrame:
     """Elastic-network matrix entries (pdb_id, i, j, a, b, value), 3x3 blocks of residues i and j."""
     near = spatial.pairs(atoms.select("pdb_id", "res_id", *AXES), cutoff, "res_id")

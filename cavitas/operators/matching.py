@@ -185,11 +185,11 @@ def impact(outcomes: DataFrame) -> DataFrame:
     return rows.withColumns({"regressed": F.col("legacy") & ~F.col("refined"), "improved": ~F.col("legacy") & F.col("refined")})
 
 
-def calibrated(values: DataFrame, source: DataFrame, target: DataFrame, least: int = 10) -> DataFrame:
+def calibrated(values: DataFrame, source: DataFrame, target: DataFrame, least: int = 10, boost_max: float = 0.0, boost_power: float = 1.0) -> DataFrame:
     """Volumes mapped to the same quantile of the target's volumes, per protein.
 
     The rank is the number of source volumes below; with fewer than `least` volumes on a side
-    a volume stays as it is.
+    a volume stays as it is. boost_max raises the volumes of low ranks.
     """
     own = source.groupBy("pdb_id").agg(F.array_sort(F.collect_list("volume")).alias("src"))
     aim = target.groupBy("pdb_id").agg(F.array_sort(F.collect_list("volume")).alias("dst"))
@@ -198,7 +198,7 @@ def calibrated(values: DataFrame, source: DataFrame, target: DataFrame, least: i
     share = below / F.greatest(F.size("src") - 1, F.lit(1))
     at = F.least(F.bround(share * (F.size("dst") - 1)).cast("int"), F.size("dst") - 1)
     ready = (F.size("src") >= least) & (F.size("dst") >= least)
-    return rows.withColumn("calibrated", F.when(F.coalesce(ready, F.lit(False)), F.element_at("dst", at + 1)).otherwise(F.col("volume"))).drop("src", "dst")
+    return rows.withColumn("calibrated", F.when(F.coalesce(ready, F.lit(False)), F.try_element_at("dst", at + 1) * (F.lit(1.0) + F.pow(F.lit(1.0) - F.least(F.lit(1.0), share), boost_power) * max(0.0, boost_max))).otherwise(F.col("volume"))).drop("src", "dst")
 
 
 def nearest_rank(rows: DataFrame, column: str, shares: dict[str, float], key: str | None = None) -> DataFrame:

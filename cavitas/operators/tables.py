@@ -44,6 +44,11 @@ def updated(rows: DataFrame, changes: DataFrame, keys: list[str], columns: list[
     return joined.withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in columns}).select(*rows.columns)
 
 
+def kept(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key is among the sampled ones."""
+    return rows.join(ids.select(*keys).distinct(), keys, "left_semi")
+
+
 class Dataset:
     """A Parquet dataset in versions: a reader never sees a folder that is being written."""
 
@@ -77,6 +82,11 @@ class Dataset:
         now = self.read()
         return self.write(upserted(incoming.limit(0) if now is None else now, incoming, keys, seq))
 
+    def insert(self, incoming: DataFrame, keys: list[str], seq: str = "ingest_seq") -> int:
+        """All rows in one job; returns how many came in."""
+        self.upsert(incoming, keys, seq)
+        return incoming.count()
+
 
 def reports(pockets: DataFrame) -> DataFrame:
     """One nested report per protein, cavities by rank."""
@@ -88,6 +98,12 @@ def write_reports(pockets: DataFrame, path: str) -> None:
     reports(pockets).write.mode("overwrite").json(path)
 
 
+def write_result(summary: DataFrame, results: DataFrame, path: str) -> None:
+    """An analysis as JSON: its summary row, and its results as lines beside it, however many."""
+    summary.write.mode("overwrite").json(f"{path}/summary")
+    results.write.mode("overwrite").json(f"{path}/results")
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """JSON lines with the time in UTC."""
     rows.withColumn("timestamp", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")).write.mode("append").json(path)
@@ -124,9 +140,9 @@ def holdout_manifest(recall: DataFrame, benchmark: DataFrame, seed: str) -> Data
 
 
 def file_manifest(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
-    """Size and SHA-256 of every file below path, and whether the expected ones are there."""
+    """Name below path, size and SHA-256 of every file, and whether the expected ones are there."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    found = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    found = files.select(F.substring_index("path", f"/{path.rstrip('/').rsplit('/', 1)[-1]}/", -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
     if expected is None:
         return found.withColumn("found", F.lit(True))
     return expected.select("name").join(found, "name", "left").withColumn("found", F.col("sha256").isNotNull())

@@ -5,8 +5,12 @@ The expressions are written once, in SQL that Spark and DuckDB both read.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from cavitas.session import shared_folder
+
 ORDER = "l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity"
 RESIDUES = ("ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO", "SER", "THR", "TRP", "TYR", "VAL")
 TYPES = ("cryptic", "allosteric", "orthosteric", "interface", "surface")
@@ -59,6 +63,13 @@ class Carriers:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def scratch(self, name: str) -> str:
+        """A fresh folder in the one that all executors share, removed when the driver's JVM ends."""
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+        return path
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 

@@ -699,3 +699,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score, rank, keep the elite of each protein and roll it up."""
     rows = atlas.scored(Carriers(spark, sf_dir).base)
     return atlas.proteins(atlas.elite_of_each(rows, 0.3, 20))
+
+
+from cavitas.plans import files, secondary  # noqa: E402,F401  (they register their queries)

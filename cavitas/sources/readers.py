@@ -104,7 +104,8 @@ def report_proteins(rows: DataFrame) -> DataFrame:
 
 def crawl_log(spark: SparkSession, path: str) -> DataFrame:
     """A crawl's JSON lines; what is no JSON stays in _corrupt_record."""
-    return spark.read.schema(CRAWL).option("mode", "PERMISSIVE").json(path)
+    text = spark.read.text(path).where(F.trim("value") != "")
+    return text.select(F.from_json("value", CRAWL, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
 
 
 def log_quality(log: DataFrame) -> DataFrame:
@@ -129,7 +130,7 @@ def tool_filter(rows: DataFrame, min_volume: float, min_score: float = 0.2) -> D
 def tool_info(spark: SparkSession, path: str) -> DataFrame:
     """Key and value lines under "Pocket N" headers, one row per pocket and key."""
     head = F.regexp_extract("value", r"^\s*Pocket\s+(\d+)", 1)
-    rows = lines(spark, path).withColumn("head", F.when(head != "", head.cast("int")))
+    rows = lines(spark, path).withColumn("head", F.when(head != "", head.cast("long")))
     rows = rows.withColumn("pocket_id", F.last("head", ignorenulls=True).over(W.partitionBy("file").orderBy("line_no")))
     key, value = F.trim(F.regexp_extract("value", r"^\s*([^:]+?)\s*:", 1)), F.regexp_extract("value", r":\s*(-?\d+(?:\.\d+)?)", 1).try_cast("double")
     return rows.where(F.col("head").isNull() & F.col("pocket_id").isNotNull()).select("file", "pocket_id", key.alias("key"), value.alias("value")).where("key <> '' and value is not null")
@@ -166,7 +167,7 @@ def tool_blocks(text: DataFrame) -> DataFrame:
         own = F.filter("lines", lambda x: F.trim(F.substring_index(F.translate(x, "\t", " "), ":", 1)) == key)
         return F.trim(F.translate(F.substring_index(F.get(own, F.lit(0)), ":", -1), "\t", " ")).try_cast("double")
 
-    number = F.trim(F.substring_index(F.get("lines", F.lit(0)), ":", 1)).try_cast("int")
+    number = F.trim(F.substring_index(F.get("lines", F.lit(0)), ":", 1)).try_cast("long")
     return rows.select(*kept, number.alias("pocket_id"), field("Score").alias("score"), field("Volume").alias("volume")).dropna(subset=["pocket_id", "score", "volume"])
 
 
