@@ -418,7 +418,10 @@ def recent_failures(c: Carriers) -> DataFrame:
     return jobs.recent(c.jobs, "failed").select("job_id", "client", "status")
 
 
-@query()
+LIMITED = "r as (select client, job_id, epoch_us(ts) / 1e6 as t, row_number() over (partition by client order by ts, job_id) as k from c_jobs), walk as (select client, 0::bigint as k, null::bigint as job_id, []::double[] as acc, true as allowed, 0::double as retry_after from (select distinct client from r) union all select client, k, job_id, case when len(f) < 3 then list_append(f, t) else f end, len(f) < 3, case when len(f) < 3 then 0 else round(3600 - (t - f[1]), 3) end::double from (select w.client, r.k, r.job_id, r.t, list_filter(w.acc, lambda x: r.t - x < 3600) as f from walk w join r on r.client = w.client and r.k = w.k + 1) s)"
+
+
+@query("c_jobs", sql=then(LIMITED) + " select client, job_id, allowed, retry_after from walk where k > 0")
 def rate_limit(c: Carriers) -> DataFrame:
     return jobs.rate_limited(c.jobs, 3, 3600.0)
 

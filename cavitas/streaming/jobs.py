@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,26 +55,28 @@ def submissions(rows: DataFrame) -> DataFrame:
 def rate_limited(rows: DataFrame, limit: int, seconds: float) -> DataFrame:
     """Each client's requests in order; those beyond `limit` accepted ones of the last seconds are rejected.
 
-    Rejected requests do not count, so the rule is sequential per client; a
-    client's state is the times of at most `limit` accepted requests.
+    Rejected requests do not count, so the rule is sequential per client. A task reads its clients' requests
+    sorted, batch by batch, and holds the times of at most `limit` accepted ones, however many a client makes.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        accepted: list[float] = []
-        ok, wait = [], []
-        group = group.sort_values(["t", "job_id"], kind="stable")
-        for t in group["t"]:
-            accepted = [x for x in accepted if t - x < seconds]
-            good = len(accepted) < limit
-            ok.append(good)
-            wait.append(0.0 if good else round(seconds - (t - accepted[0]), 3))
-            if good:
-                accepted.append(t)
-        return group.assign(allowed=ok, retry_after=wait)[["client", "job_id", "allowed", "retry_after"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, accepted = object(), []
+        for batch in batches:
+            ok, wait = [], []
+            for client, t in zip(batch["client"].to_pylist(), batch["t"].to_pylist(), strict=True):
+                if client != last:
+                    last, accepted = client, []
+                accepted = [x for x in accepted if t - x < seconds]
+                good = len(accepted) < limit
+                ok.append(good)
+                wait.append(0.0 if good else round(seconds - (t - accepted[0]), 3))
+                if good:
+                    accepted.append(t)
+            yield pa.RecordBatch.from_arrays([batch["client"], batch["job_id"], pa.array(ok, pa.bool_()), pa.array(wait, pa.float64())], names=["client", "job_id", "allowed", "retry_after"])
 
     kinds = dict(rows.dtypes)
     timed = rows.select("client", "job_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    return timed.groupBy("client").applyInPandas(run, f"client {kinds['client']}, job_id {kinds['job_id']}, allowed boolean, retry_after double")
+    return timed.repartition("client").sortWithinPartitions("client", "t", "job_id").mapInArrow(run, f"client {kinds['client']}, job_id {kinds['job_id']}, allowed boolean, retry_after double")
 
 
 def request_counts(stream: DataFrame, width: str = "1 minute", slide: str = "30 seconds", delay: str = "5 minutes") -> DataFrame:
