@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cavitas.llm import audio, bpe, huffman, language_id, mixing, quality, simhash, suffixes, topk, warc
+from cavitas.llm import alignment, audio, bpe, huffman, language_id, line_rules, mixing, quality, resample, simhash, suffixes, topk, warc
 from cavitas.llm.shared import held_out
 
 
@@ -58,9 +58,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(_table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.linked(_table(spark, sf_dir, "documents"), a, b)
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": mixing.SQL, "op3_warc": warc.SQL, "op5_top_k": topk.SQL}
+    return {"op2_mix": mixing.SQL, "op3_warc": warc.SQL, "op5_top_k": topk.SQL, "op11_line_rules": line_rules.SQL}
