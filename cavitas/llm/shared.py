@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,28 +14,41 @@ from pyspark.sql import functions as F
 from cavitas.session import shared_folder
 
 
-#: Scratch folders of this process, in the order they were made.
-_made: list[str] = []
+#: Scratch folders made inside the innermost `released`, if any; threads and coroutines have their own.
+_made: ContextVar[list[str] | None] = ContextVar("scratch folders", default=None)
+
+
+def _in_hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder in the folder that all executors share, removed when the driver's JVM ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    _made.append(path)
+    files, place = _in_hadoop(spark, path)
+    files.deleteOnExit(place)
+    own = _made.get()
+    if own is not None:
+        own.append(path)
     return path
 
 
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
-    """Scratch folders made inside are deleted at its end: what reads them has to be written by then."""
-    first = len(_made)
-    yield
-    for path in _made[first:]:
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-    del _made[first:]
+    """Scratch folders made inside are deleted at its end, also after an error: what reads them has to be written by then.
+
+    Folders of other threads, which have lists of their own, stay.
+    """
+    own: list[str] = []
+    outer = _made.set(own)
+    try:
+        yield
+    finally:
+        _made.reset(outer)
+        for path in own:
+            files, place = _in_hadoop(spark, path)
+            files.delete(place, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

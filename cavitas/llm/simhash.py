@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -210,16 +210,16 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return rows.mapInArrow(_links(radius), "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): for every node of the edges (a, b) the smallest node it is connected to.
 
-    Alternates the two star contractions until the edges no longer change;
-    every round is written to the shared folder, so no lineage piles up.
+    Alternates the two star contractions until the edges no longer change, however many rounds that takes: each
+    round lowers an edge's end or leaves all as they are, so it ends. Every round is written to the shared folder, so no lineage piles up.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
-    for k in range(most_rounds):
+    for k in count():
         if k % 2 == 0:  # large star: a node's larger neighbours go to its smallest
             near = both(edges)
             low = near.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
@@ -233,7 +233,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         if k % 2:
             state = now
-    raise RuntimeError(f"components: edges still change after {most_rounds} rounds")
 
 
 def classes(rows: DataFrame, radius: int = 4) -> DataFrame:

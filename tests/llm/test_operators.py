@@ -583,3 +583,41 @@ def test_language_id(spark, docs, empty):
     assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for k, r in got.items())
     assert language_id.identify(docs, PIECES).count() == len(texts()) and language_id.identify(empty, PIECES).count() == 0
     assert {r["lang_pred"] for r in language_id.identify(df.withColumn("lang", F.lit(None).cast("string")), PIECES).collect()} == {"und"}
+
+
+def test_a_long_chain_is_one_component(spark):
+    """No bound on rounds: a path of nodes that are no neighbours in number."""
+    n = 3000
+    place = list(range(n))
+    random.Random(4).shuffle(place)
+    edges = spark.createDataFrame(list(zip(place, place[1:], strict=False)), "a long, b long")
+    got = simhash.components(edges).collect()
+    assert len(got) == n - 1 and {r["root"] for r in got} == {0}
+
+
+def test_released_deletes_its_own_folders_alone(spark):
+    """Two pipelines at once, and one that fails."""
+    import threading
+    from pathlib import Path
+
+    from cavitas.llm import shared
+
+    rows, ready, checked, kept = spark.range(5), threading.Event(), threading.Event(), []
+
+    def other():
+        with shared.released(spark):
+            kept.append(shared.stored(rows, "other"))
+            ready.set()
+            checked.wait(60)
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    ready.wait(60)
+    path = []
+    with pytest.raises(ValueError, match="stop"), shared.released(spark):
+        path.append(shared.scratch_path(spark, "mine"))
+        rows.write.parquet(path[0])
+        raise ValueError("stop")
+    assert not Path(path[0].removeprefix("file:")).exists() and kept[0].count() == 5
+    checked.set()
+    thread.join()
