@@ -69,10 +69,6 @@ def wilcoxon(rows: DataFrame, column: str, mu: float = 0.0) -> DataFrame:
     return one.select("n", F.round("w", 4).alias("w_plus"), F.when(n >= 10, F.round(z, 4)).alias("z"))
 
 
-def normal_tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
 def _beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function, by its continued fraction."""
     if x <= 0 or x >= 1:

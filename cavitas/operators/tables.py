@@ -16,7 +16,11 @@ def upserted(existing: DataFrame, incoming: DataFrame, keys: list[str], seq: str
 
     A key's rows meet in one task; a key has as many rows as it was ingested.
     """
-    rows = existing.unionByName(incoming, allowMissingColumns=True)
+    return newest(existing.unionByName(incoming, allowMissingColumns=True), keys, seq, created)
+
+
+def newest(rows: DataFrame, keys: list[str], seq: str = "ingest_seq", created: str | None = "created_at") -> DataFrame:
+    """The row of each key with the largest seq, with the key's first creation time."""
     last = F.max_by(F.struct(*rows.columns), F.coalesce(F.col(seq), F.lit(-1)))
     found = rows.groupBy(*keys).agg(last.alias("_last"), *([F.min(created).alias("_created")] if created in rows.columns else []))
     flat = found.select("_last.*", *(["_created"] if created in rows.columns else []))

@@ -8,7 +8,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cavitas.operators import atlas, store
 from cavitas.session import shared_folder
 
 ORDER = "l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity"
@@ -57,6 +59,10 @@ def with_sql(*names: str) -> str:
     return "with recursive " + ", ".join(f"{n} as ({SQL[n]})" for n in dict.fromkeys(names)) + "\n"
 
 
+#: Atlases written by this process: by application, folder, and length and time of the table they come from.
+_ATLASES: dict[tuple, store.Atlas] = {}
+
+
 class Carriers:
     """The derived tables of one folder of supplied tables, as DataFrames."""
 
@@ -70,6 +76,18 @@ class Carriers:
         place.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(place)
         return path
 
+    def atlas(self) -> store.Atlas:
+        """The pockets and proteins as a bucketed atlas, written once per session for each state of the folder."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/lineitem.parquet")
+        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, files.getContentSummary(place).getLength(), files.getFileStatus(place).getModificationTime())
+        if key not in _ATLASES:
+            made = store.Atlas(self.spark, self.scratch("atlas"))
+            once = [df.withColumn("ingest_seq", F.lit(1).cast("long")) for df in (atlas.proteins(self.base), self.pockets)]
+            made.commit(dict(zip(("proteins", "pockets"), once, strict=True)))
+            _ATLASES[key] = made
+        return _ATLASES[key]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cavitas.functions import scalars as S
-from cavitas.operators import atlas, ensemble, geometry, graph, matching, ml, spatial, stats, tables, validation
+from cavitas.operators import atlas, ensemble, geometry, graph, matching, ml, spatial, stats, store, tables, validation
 from cavitas.plans.carriers import Carriers, with_sql
 from cavitas.sources import readers
 from cavitas.streaming import jobs
@@ -44,6 +44,8 @@ def then(sql: str) -> str:
 
 # Atlas
 
+#: The mean of scores of four places to six places, in integers.
+EXACT_MEAN = "((sum(round(bio_score * 10000)::bigint) * 200 + count(*)) // (2 * count(*)))::double / 1000000"
 P = "c_pockets"
 TOP = ("pdb_id", "pocket_id", "bio_score", "volume")
 
@@ -85,7 +87,12 @@ def search_pockets(c: Carriers) -> DataFrame:
 
 @query(P, sql="select pdb_id, pocket_id, rank, bio_score from c_pockets where pdb_id = 'P000003' order by rank")
 def pockets_of_protein(c: Carriers) -> DataFrame:
-    return atlas.lookup(c.pockets, " p000003 ").select("pdb_id", "pocket_id", "rank", "bio_score")
+    return store.pockets_of(c.atlas(), " p000003 ").select("pdb_id", "pocket_id", "rank", "bio_score")
+
+
+@query(P, sql="select pdb_id, count(*) as total_cavities, count(*) filter (druggable) as druggable_count, max(bio_score) as top_bio_score from c_pockets where pdb_id = 'P000003' group by 1")
+def protein_of_atlas(c: Carriers) -> DataFrame:
+    return store.protein(c.atlas(), "p000003").select("pdb_id", "total_cavities", "druggable_count", "top_bio_score")
 
 
 @query(P, sql="select distinct pdb_id from c_pockets")
@@ -622,7 +629,7 @@ def permutation_test(c: Carriers) -> DataFrame:
     return stats.permutation(_overlap(c))
 
 
-@query(P, sql="select rank, round(avg(bio_score), 6) as avg_score, count(*) as n from c_pockets group by 1")
+@query(P, sql=f"select rank, {EXACT_MEAN} as avg_score, count(*) as n from c_pockets group by 1")
 def score_by_rank(c: Carriers) -> DataFrame:
     return atlas.chart_tables(c.pockets)["score_by_rank"]
 
@@ -704,4 +711,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return atlas.proteins(atlas.elite_of_each(rows, 0.3, 20))
 
 
-from cavitas.plans import files, secondary  # noqa: E402,F401  (they register their queries)
+from cavitas.plans import files, secondary, stateful  # noqa: E402,F401  (they register their queries)

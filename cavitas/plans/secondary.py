@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cavitas.functions import scalars as S
 from cavitas.operators import atlas, ensemble, geometry, matching, ml, spatial, stats, tables, validation
 from cavitas.plans.carriers import Carriers
-from cavitas.plans.registry import D, FEATS, FRAMES, LISTS, MATCH, P, PAIRED, _lists, _matches, decimal_round, query, then
+from cavitas.plans.registry import D, EXACT_MEAN, FEATS, FRAMES, LISTS, MATCH, P, PAIRED, _lists, _matches, decimal_round, query, then
 from cavitas.streaming import jobs
 
 # Predicates and scalars
@@ -131,7 +131,7 @@ def best_with_fallback(c: Carriers) -> DataFrame:
     return atlas.best_of_each(c.base.where("pdb_id >= 'P000005' and tool = 'A'"), c.base.where("tool = 'R'")).select("pdb_id", "pocket_id")
 
 
-@query(P, sql="select floor(volume / 250)::int as bin, round(avg(bio_score), 6) as avg_score, count(*) as n from c_pockets group by 1")
+@query(P, sql=f"select floor(volume / 250)::int as bin, {EXACT_MEAN} as avg_score, count(*) as n from c_pockets group by 1")
 def score_by_volume(c: Carriers) -> DataFrame:
     return atlas.chart_tables(c.pockets)["volume_score"]
 

@@ -91,15 +91,15 @@ def reports(spark: SparkSession, path: str) -> DataFrame:
     return report_pockets(spark.read.schema(REPORT).json(path))
 
 
-def report_pockets(rows: DataFrame) -> DataFrame:
-    flat = rows.select(S.norm_id("pdb_id").alias("pdb_id"), F.posexplode_outer("cavities").alias("pos", "c"))
+def report_pockets(rows: DataFrame, *keep: str) -> DataFrame:
+    flat = rows.select(S.norm_id("pdb_id").alias("pdb_id"), *keep, F.posexplode_outer("cavities").alias("pos", "c"))
     center = F.col("c.center")
-    return flat.select("pdb_id", F.coalesce("c.id", F.col("pos").cast("long")).alias("pocket_id"), *(F.col(f"c.{n}").alias(n) for n in ("rank", "bio_score", "volume", "druggable", "druggability_class", "hydrophobic_ratio", "polar_atoms", "merged_vertices")), *(F.coalesce(F.get(center, F.lit(k)), F.lit(0.0)).alias(f"center_{a}") for k, a in enumerate("xyz")))
+    return flat.select("pdb_id", *keep, F.coalesce("c.id", F.col("pos").cast("long")).alias("pocket_id"), *(F.col(f"c.{n}").alias(n) for n in ("rank", "bio_score", "volume", "druggable", "druggability_class", "hydrophobic_ratio", "polar_atoms", "merged_vertices")), *(F.coalesce(F.get(center, F.lit(k)), F.lit(0.0)).alias(f"center_{a}") for k, a in enumerate("xyz")))
 
 
-def report_proteins(rows: DataFrame) -> DataFrame:
+def report_proteins(rows: DataFrame, *keep: str) -> DataFrame:
     """The protein rows of run reports."""
-    return rows.select(S.norm_id("pdb_id").alias("pdb_id"), "n_frames", "scoring_profile", F.coalesce(F.size("cavities"), F.lit(0)).alias("total_cavities"), F.array_max(F.transform("cavities", lambda c: c["bio_score"])).alias("top_bio_score"))
+    return rows.select(S.norm_id("pdb_id").alias("pdb_id"), *keep, "n_frames", "scoring_profile", F.coalesce(F.size("cavities"), F.lit(0)).alias("total_cavities"), F.array_max(F.transform("cavities", lambda c: c["bio_score"])).alias("top_bio_score"))
 
 
 def crawl_log(spark: SparkSession, path: str) -> DataFrame:

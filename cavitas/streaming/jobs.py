@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -11,25 +11,46 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cavitas.functions import scalars as S
-from cavitas.operators import tables
+from cavitas.operators import store, tables
 from cavitas.sources import readers
 
 
-def ingest_reports(spark: SparkSession, source: str, target: tables.Dataset, checkpoint: str) -> None:
-    """All new report files into the pockets dataset, the last report of a pocket winning.
+def ingest_reports(spark: SparkSession, source: str, target: store.Atlas | tables.Dataset, checkpoint: str) -> None:
+    """All new report files into the atlas, the last report of a pocket or protein winning.
 
-    The checkpoint remembers the files, so a restart goes on where it ended; the
-    batch number orders repeated pockets, so a repeated batch changes nothing.
+    The checkpoint remembers the files, so a restart goes on where it ended. Among the files of one batch the one that was
+    changed last is the last, then the greater name, then the later line. Proteins and pockets are committed together;
+    the batch number orders batches, so a repeated one changes nothing. A plain Dataset takes pockets alone.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = readers.report_pockets(batch).where("pocket_id is not null").withColumn("ingest_seq", F.lit(batch_id).cast("long"))
-        target.upsert(tables.latest(rows, tables.KEYS["pockets"], "bio_score"), tables.KEYS["pockets"])
+        seq = F.lit(batch_id).cast("long")
+        batch = batch.withColumn("_order", F.struct("_changed", "_file", "_block", F.monotonically_increasing_id())).where("pdb_id is not null")
+        pockets = readers.report_pockets(batch, "_order").where("pocket_id is not null")
+        pockets = tables.latest(pockets, tables.KEYS["pockets"], "_order").drop("_order").withColumn("ingest_seq", seq)
+        if isinstance(target, tables.Dataset):
+            target.upsert(pockets, tables.KEYS["pockets"])
+            return
+        proteins = tables.latest(readers.report_proteins(batch, "_order", "runtime_seconds"), tables.KEYS["proteins"], "_order").drop("_order")
+        proteins = proteins.withColumns({"ingest_seq": seq, "created_at": F.current_timestamp()})
+        totals = batch.agg(F.count("*").cast("double").alias("reports"), F.coalesce(F.sum("runtime_seconds"), F.lit(0.0)).alias("runtime_seconds")).first().asDict()
+        target.commit({"proteins": proteins, "pockets": pockets}, batch_id, totals)
 
     stream = spark.readStream.schema(readers.REPORT).json(source)
+    stream = stream.withColumns({"_changed": F.col("_metadata.file_modification_time"), "_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")})
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def crawl_progress(cases: DataFrame, target: store.Atlas) -> DataFrame:
+    """Ids of the list, those done and those left, with the reports and seconds of all runs so far. The total is the present list's, not that of a run before."""
+    done = target.read("proteins")
+    ids = cases.select(S.norm_id("pdb_id").alias("pdb_id")).distinct()
+    flagged = ids.withColumn("done", F.lit(False)) if done is None else ids.join(done.select("pdb_id", F.lit(True).alias("done")), "pdb_id", "left")
+    sums = target.totals()
+    counts = flagged.agg(F.count("*").alias("total"), F.count_if(F.coalesce("done", F.lit(False))).alias("done"))
+    return counts.select("total", "done", (F.col("total") - F.col("done")).alias("left"), F.lit(int(sums.get("reports", 0))).cast("long").alias("reports"), F.lit(float(sums.get("runtime_seconds", 0))).alias("runtime_seconds"))
+
+
 def status_counts(stream: DataFrame) -> DataFrame:
     """Results by status, for batch or stream."""
     return stream.groupBy("status").agg(F.count("*").alias("n"))
@@ -41,11 +62,6 @@ def run_available(rows: DataFrame, name: str, mode: str, checkpoint: str) -> Dat
     return rows.sparkSession.table(name)
 
 
-def idempotent(stream: DataFrame, key: str = "key", ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """The first submission of each key within the delay."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
-
-
 def submissions(rows: DataFrame) -> DataFrame:
     """Y04 in batch: per key the number of submissions, and whether payloads differ."""
     payload = S.hash_key("job_type", "payload")
@@ -134,8 +150,3 @@ def recent(jobs: DataFrame, status: str | None = None, limit: int = 50) -> DataF
     """T07."""
     rows = jobs if status is None else jobs.where(F.col("status") == status)
     return rows.orderBy(F.col("ts").desc(), "job_id").limit(limit)
-
-
-def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """A caller's function for every batch of what is there now."""
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
