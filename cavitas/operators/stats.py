@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,33 +15,85 @@ from pyspark.sql import functions as F
 from cavitas.operators import ordered
 
 
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """Rows numbered from 0 in the order of a key; meant for case-level tables."""
-    return rows.withColumn("i", F.row_number().over(W.orderBy(key)) - 1)
+#: Cells of fewer rows draw their weights from Poisson's distribution itself, larger ones from the normal one of the same mean and variance.
+SMALL, TERMS = 12, 40
 
 
-def draws(spark, b: int, n: int, seed: int) -> DataFrame:
-    """b x n resampling indices (b, i), each a hash of seed, draw and place."""
-    return spark.range(b * n).select(F.floor(F.col("id") / n).alias("b"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("i"))
+def poisson_table() -> list[list[float]]:
+    """For means 1 to SMALL - 1 the probability of at most 0, 1, ... TERMS - 1."""
+    each = [[math.exp(j * math.log(m) - m - math.lgamma(j + 1)) for j in range(TERMS)] for m in range(1, SMALL)]
+    return [list(accumulate(row)) for row in each]
 
 
-def bootstrap(rows: DataFrame, key: str, statistic: Callable[[], Column], b: int = 3000, level: float = 0.95, seed: int = 42) -> DataFrame:
+def _uniform(digest: Column, first: int) -> Column:
+    """A number in (0, 1) from eight hexadecimal digits."""
+    return (F.conv(F.substring(digest, first, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+
+def draws(cells: DataFrame, b: int, n: int, seed: int) -> DataFrame:
+    """Each cell in each of b resamples of n rows: draw, and weight, how many rows the resample takes of the cell.
+
+    cells: cell, its name, and size, how many rows have its values. Weights are Poisson draws, a hash of seed, n, draw and cell; so a
+    resample has n rows on average, and the statistics have to be ratios of sums. No row is numbered and none is joined.
+    """
+    each = cells.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    digest = F.sha2(F.concat(F.lit(f"{seed}:{n}:"), F.col("draw").cast("string"), F.lit(":"), F.col("cell")).cast("binary"), 256)
+    each = each.withColumn("_u", F.struct(_uniform(digest, 1).alias("a"), _uniform(digest, 9).alias("b")))
+    below = F.array(*(F.array(*map(F.lit, row)) for row in poisson_table()))
+    small = F.size(F.filter(F.element_at(below, F.least("size", F.lit(SMALL - 1)).cast("int")), lambda c: F.col("_u.a") > c))
+    size = F.col("size").cast("double")
+    normal = F.round(size + F.sqrt(size) * F.sqrt(F.log("_u.a") * -2.0) * F.cos(F.col("_u.b") * (2 * math.pi)))
+    return each.withColumn("weight", F.when(F.col("size") < SMALL, small.cast("double")).otherwise(F.greatest(F.lit(0.0), normal))).drop("_u")
+
+
+@dataclass(frozen=True)
+class Ratio:
+    """A statistic that follows from sums over the rows: formula gets the sums of `parts` by name."""
+
+    parts: dict[str, Column]
+    formula: Callable[[dict[str, Column]], Column]
+
+    def of(self, weight: Column | None = None) -> Column:
+        sums = {k: F.sum(c if weight is None else c * weight) for k, c in self.parts.items()}
+        return self.formula(sums)
+
+
+def mean_of(column: str) -> Ratio:
+    return Ratio({"x": F.col(column), "n": F.lit(1.0)}, lambda t: F.try_divide(t["x"], t["n"]))
+
+
+def ratio_of(above: str, below: str) -> Ratio:
+    return Ratio({"a": F.col(above), "b": F.col(below)}, lambda t: F.try_divide(t["a"], t["b"]))
+
+
+def bootstrap(rows: DataFrame, key: str, statistic: Ratio | Callable[[], Column], b: int = 3000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """The statistic, and its percentile interval over b resamples of the rows.
 
-    statistic: an aggregate over the columns of rows. One row goes to the driver: their number.
+    Of a Ratio, rows of equal values are one cell, so b resamples of any number of rows cost b times the distinct values; sums are
+    kept per draw in each task, and b rows a task are shuffled. Any other aggregate that does not change when all rows are doubled takes each row as a
+    cell of its own, named by its key. One number goes to the driver, that of the rows.
     """
     n = rows.count()
-    own = rows.agg(statistic().alias("estimate"))
+    own = rows.agg((statistic.of() if isinstance(statistic, Ratio) else statistic()).alias("estimate"))
     if not n:
         return own.select("estimate", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(0).cast("long").alias("n"))
-    each = draws(rows.sparkSession, b, n, seed).join(numbered(rows, key), "i").groupBy("b").agg(statistic().alias("s"))
+    if isinstance(statistic, Ratio):
+        values = [c.alias(k) for k, c in statistic.parts.items()]
+        names = list(statistic.parts)
+        cells = rows.select(*values).groupBy(*names).agg(F.count("*").alias("size")).withColumn("cell", F.concat_ws(",", *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in names)))
+        drawn = draws(cells, b, n, seed)
+        each = drawn.groupBy("draw").agg(Ratio({k: F.col(k) for k in names}, statistic.formula).of(F.col("weight")).alias("s"))
+    else:
+        cells = rows.withColumns({"cell": F.col(key).cast("string"), "size": F.lit(1)})
+        drawn = draws(cells, b, n, seed).where("weight > 0")
+        each = drawn.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))).groupBy("draw").agg(statistic().alias("s"))
     tail = (1 - level) / 2
     ci = each.agg(F.percentile("s", tail).alias("low"), F.percentile("s", 1 - tail).alias("high"))
     return own.crossJoin(ci).select(F.round("estimate", 4).alias("estimate"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), F.lit(n).cast("long").alias("n"))  # one row each
 
 
 def dice() -> Column:
-    """X02's ratio of sums over proteins."""
+    """X02's ratio of sums over proteins; `ratio_of` with doubled matches is its form for resampling."""
     return F.sum("matched") * 2.0 / (F.sum("n_a") + F.sum("n_b"))
 
 
@@ -103,12 +157,15 @@ def t_test(rows: DataFrame, column: str, mu: float = 0.0) -> DataFrame:
 
 
 def permutation(per: DataFrame, b: int = 1000, seed: int = 42) -> DataFrame:
-    """Label-swap test of the global Dice; as a swap leaves both sums' total as it is, every draw equals the observed value."""
-    n = per.count()
-    coins = per.sparkSession.range(b * n).select(F.floor(F.col("id") / max(1, n)).alias("b"), (F.col("id") % max(1, n)).alias("i"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(2)) == 0).alias("swap"))
-    rows = coins.join(numbered(per, "pdb_id"), "i").withColumns({"p": F.when(F.col("swap"), F.col("n_b")).otherwise(F.col("n_a")), "q": F.when(F.col("swap"), F.col("n_a")).otherwise(F.col("n_b"))})
-    each = rows.groupBy("b").agg((F.sum("matched") * 2.0 / (F.sum("p") + F.sum("q"))).alias("s"))
-    return each.crossJoin(per.agg(dice().alias("observed"))).agg(F.round(F.first("observed"), 4).alias("observed"), F.count("*").alias("draws"), F.round(F.avg((F.col("s") >= F.col("observed") - 1e-12).cast("double")), 4).alias("p"))
+    """Label-swap test of the global Dice; as a swap leaves both sums' total as it is, every draw equals the observed value.
+
+    Coins are hashes of draw and protein; each task adds up its proteins' sums for every draw.
+    """
+    coin = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string"), F.lit(":"), "pdb_id").cast("binary"), 256), 1, 1) < "8"
+    rows = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("swap", coin)
+    sums = {"p": F.sum(F.when(F.col("swap"), F.col("n_b")).otherwise(F.col("n_a"))), "q": F.sum(F.when(F.col("swap"), F.col("n_a")).otherwise(F.col("n_b")))}
+    each = rows.groupBy("draw").agg((F.sum("matched") * 2.0 / (sums["p"] + sums["q"])).alias("s"))
+    return each.crossJoin(F.broadcast(per.agg(dice().alias("observed")))).agg(F.round(F.first("observed"), 4).alias("observed"), F.count("*").alias("draws"), F.round(F.avg((F.col("s") >= F.col("observed") - 1e-12).cast("double")), 4).alias("p"))  # one row
 
 
 def mcnemar(pairs: DataFrame) -> DataFrame:
@@ -140,4 +197,4 @@ def bonferroni(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
 def fpr_stats(rows: DataFrame, b: int = 3000, seed: int = 42) -> DataFrame:
     """The false-positive rate of judged candidates with its interval. rows: pdb_id, pocket_id, status."""
     judged = rows.where("status <> 'unknown'").select(F.concat_ws(":", "pdb_id", F.col("pocket_id").cast("string")).alias("key"), (F.col("status") == "unsupported").cast("double").alias("wrong"))
-    return bootstrap(judged, "key", lambda: F.avg("wrong"), b, seed=seed)
+    return bootstrap(judged, "key", mean_of("wrong"), b, seed=seed)

@@ -613,18 +613,36 @@ def wilcoxon(c: Carriers) -> DataFrame:
     return stats.wilcoxon(rows, "d")
 
 
-@query()
+TAIL = "a as (select count(s)::double as n, avg(s) as mean, stddev_samp(s) as sd from (select avg(bio_score) as s from c_pockets group by pdb_id)), t as (select *, (mean - 0.4) / (sd / sqrt(n)) as t, n - 1 as v from a), g as (select i, t * i / 4000 as x, case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end as w from t, (select unnest(range(4001)) as i)), p as (select 0.5 - sum(w * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * pow(1 + x * x / v, -(v + 1) / 2)) * any_value(t.t) / 12000 as p from g, t)"
+
+
+@query(P, sql=then(TAIL) + " select n::bigint as n, round(mean, 4) as mean, round(t, 4) as t, round(p, 6) + 0 as p from t, p")
 def t_test(c: Carriers) -> DataFrame:
     return stats.t_test(c.base.groupBy("pdb_id").agg(F.avg("bio_score").alias("s")), "s", 0.4)
 
 
-@query()
+def resampled(cells: str, draws: int = 3000, seed: int = 42) -> str:
+    """WITH members: cells (x, size), then the percentiles of the mean over draws, weighted as stats.draws weighs them."""
+    below = "[" + ", ".join("[" + ", ".join(f"{p!r}::double" for p in row) + "]" for row in stats.poisson_table()) + "]"
+    return (
+        f"cells as ({cells}), total as (select sum(size)::bigint as n, sum(x * size) / sum(size) as estimate from cells), "
+        f"hashed as (select draw, x, size, sha256('{seed}:' || n || ':' || draw || ':' || x || ',1.0') as h from cells, total, (select unnest(range({draws})) as draw)), "
+        "u as (select *, (('0x' || substr(h, 1, 8))::bigint + 0.5::double) / 4294967296 as a, (('0x' || substr(h, 9, 8))::bigint + 0.5::double) / 4294967296 as b from hashed), "
+        f"weighed as (select *, case when size < {stats.SMALL} then len(list_filter(({below})[least(size, {stats.SMALL - 1})], lambda c: a > c))::double else greatest(0, round(size + sqrt(size) * sqrt(ln(a) * -2) * cos(b * 2 * pi()))) end as weight from u), "
+        "each as (select draw, sum(x * weight) / nullif(sum(weight), 0) as s from weighed group by 1)"
+    )
+
+
+INTERVAL = " select (select round(estimate, 4) from total) as estimate, (select round(quantile_cont(s, 0.025), 4) from each) as low, (select round(quantile_cont(s, 0.975), 4) from each) as high, (select n from total) as n"
+
+
+@query(P, "c_known", sql=then(MATCH + ", " + resampled("select matched::double as x, count(*) as size from m group by 1")) + INTERVAL)
 def bootstrap_recall_ci(c: Carriers) -> DataFrame:
     rows = _matches(c).select("pdb_id", F.col("matched").cast("double").alias("m"))
-    return stats.bootstrap(rows, "pdb_id", lambda: F.avg("m"))
+    return stats.bootstrap(rows, "pdb_id", stats.mean_of("m"))
 
 
-@query()
+@query(P, sql=then(GREEDY) + ", coins as (select draw, matched, case when coin then n_b else n_a end as p, case when coin then n_a else n_b end as q from (select *, substr(sha256('42:' || draw || ':' || pdb_id), 1, 1) < '8' as coin from o, (select unnest(range(1000)) as draw))), each as (select draw, sum(matched) * 2.0::double / (sum(p) + sum(q)) as s from coins group by 1), seen as (select sum(matched) * 2.0::double / sum(n_a + n_b) as observed from o) select (select round(observed, 4) from seen) as observed, count(*) as draws, round(avg((s >= observed - 1e-12)::int), 4) as p from each, seen")
 def permutation_test(c: Carriers) -> DataFrame:
     return stats.permutation(_overlap(c))
 
@@ -654,7 +672,7 @@ def case_subset(c: Carriers) -> DataFrame:
     return validation.case_subset(_matches(c), ("cryptic", "interface")).select("pdb_id", "pocket_type", "matched", "best_distance")
 
 
-@query()
+@query(P, sql=then(EVID + ", " + resampled("select (status = 'unsupported')::int::double as x, count(*) as size from s where status <> 'unknown' group by 1")) + INTERVAL)
 def fpr_interval(c: Carriers) -> DataFrame:
     return stats.fpr_stats(_evidence(c))
 
