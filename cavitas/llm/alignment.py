@@ -25,7 +25,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +34,46 @@ from pyspark.sql import functions as F
 
 from cavitas.llm.shared import slices, stored, utf8
 
-#: Before a blank that follows anything but white space; no token of either vocabulary lies across.
-CUT = re.compile(r"(?<=\S)(?= )")
+#: A blank that follows anything but white space; no token of either vocabulary lies across its front.
+CUT = re.compile(r"(?<=\S) ")
+#: Where a text, after the blank before it, has others.
+UNCLEAR = re.compile(r"(?:^|\s) ")
 #: B's blank.
 MARK = "▁"
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-#: Bytes of chunks a task remembers, those of one chunk at most, and what a chunk's entry takes besides.
-MOST_KNOWN, LONGEST_KNOWN, ENTRY = 160 << 20, 256, 400
+#: Bytes that a task's remembered chunks take, about; what one takes beside its text and ids; chunks encoded in one go.
+MOST_KNOWN, ENTRY, TOGETHER = 160 << 20, 160, 1000
+#: Ends compared one by one before stretches are.
+SINGLY = 8
 #: Pairs of ids whose counts all tasks hold.
 MOST_HELD = 1 << 19
 
 
-class Encoded(tuple):
-    """a_ids, a_lengths, b_ids, b_lengths as bytes of 32-bit numbers, and whether both give the text back."""
+class Rows:
+    """Rows of numbers of different lengths, one after another in one array that grows."""
+
+    def __init__(self):
+        self.data, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.rows = 0
+
+    @staticmethod
+    def room(array: np.ndarray, size: int) -> np.ndarray:
+        return array if size <= len(array) else np.concatenate([array, np.zeros(max(len(array), size - len(array)), array.dtype)])
+
+    def add(self, numbers: np.ndarray, sizes: np.ndarray) -> None:
+        """Rows of these sizes; numbers has all of them."""
+        first = int(self.ends[self.rows])
+        self.data = self.room(self.data, first + len(numbers))
+        self.ends = self.room(self.ends, self.rows + len(sizes) + 1)
+        self.data[first : first + len(numbers)] = numbers
+        self.ends[self.rows + 1 : self.rows + len(sizes) + 1] = first + np.cumsum(sizes)
+        self.rows += len(sizes)
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the rows `at`, one row after another, and the size of each."""
+        sizes = self.ends[at + 1] - self.ends[at]
+        shift = self.ends[at] - (np.cumsum(sizes) - sizes)
+        return self.data[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))], sizes
 
 
 class Vocabularies:
@@ -74,46 +101,100 @@ class Vocabularies:
         #: No piece may hold B's blank after another character, or chunks would not be independent.
         self.cuts = not any(MARK in self.b.id_to_piece(i).lstrip(MARK) for i in range(self.size_b) if not self.b.is_control(i) and not self.b.is_unknown(i))
         self.a_length, self.b_length = (np.asarray([len(t) for t in own], np.uint32) for own in (self.a_bytes, self.b_bytes))
-        self.a_text, self.b_text = list(map(str, range(len(self.a_bytes)))), list(map(str, range(self.size_b)))
-        self.known: dict[str, Encoded] = {}
+        #: Each id as text of one width, before a comma or what stands after the last one of a group.
+        self.width = len(str(max(len(self.a_bytes), self.size_b))) + 1
+        self.a_text, self.b_text = (np.asarray([[f"{i}{after}" for i in range(n)] for after in (",", last)], f"S{self.width}") for n, last in ((len(self.a_bytes), "|"), (self.size_b, ";")))
+        self._forget()
+
+    def _forget(self) -> None:
+        #: The number of each chunk that is remembered; `wrong` has those that are not given back.
+        self.known: dict[str, int] = {}
+        self.a_rows, self.b_rows, self.wrong = Rows(), Rows(), set()
+        self.uses = np.zeros(1 << 14, np.int32)
         self.held = 0
 
-    def _encode(self, chunks: list[str]) -> Iterator[Encoded]:
-        """Each chunk begins with the blank that B adds itself."""
-        alone = self.b.piece_to_id(MARK)
-        ours = [x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        theirs = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        for chunk, a, b in zip(chunks, ours, theirs, strict=True):
-            b = b or [alone]
-            data = chunk.encode()
-            right = b"".join([self.a_bytes[i] for i in a]) == data == b"".join([self.b_bytes[i] for i in b])
-            ia, ib = np.asarray(a, np.uint32), np.asarray(b, np.uint32)
-            yield Encoded((ia.tobytes(), self.a_length[ia].tobytes(), ib.tobytes(), self.b_length[ib].tobytes(), right))
+    def _forget_most(self) -> None:
+        """Keeps the chunks that were met more than once, unless they are many, too."""
+        names, used = list(self.known), np.flatnonzero(self.uses[: len(self.known)] > 1)
+        (ia, na), (ib, nb), wrong = self.a_rows.take(used), self.b_rows.take(used), self.wrong
+        self._forget()
+        chunks = [names[k] for k in used.tolist()]
+        if sum(map(len, chunks)) + ENTRY * len(chunks) + 4 * (len(ia) + len(ib)) < MOST_KNOWN // 2:
+            self._add(chunks, ia, na, ib, nb, [k not in wrong for k in used.tolist()])
+
+    def _one(self, chunk: str) -> tuple[list[int], list[int], bool]:
+        """A chunk is a stretch of text after a blank, which B adds itself."""
+        a = self.a.encode(" " + chunk, add_special_tokens=False).ids
+        b = self.b.encode(chunk) or [self.b.piece_to_id(MARK)]
+        data = b" " + chunk.encode()
+        return a, b, b"".join([self.a_bytes[i] for i in a]) == data == b"".join([self.b_bytes[i] for i in b])
+
+    def _cut(self, ids: np.ndarray, own: list[bytes], length: np.ndarray, data: bytes, ends: np.ndarray) -> np.ndarray | None:
+        """How many ids each chunk has, or None if the ids don't give the chunks back."""
+        after = np.cumsum(length[ids])
+        if not len(ids) or after[-1] != len(data) or b"".join([own[i] for i in ids.tolist()]) != data:
+            return None
+        at = np.searchsorted(after, ends)
+        return np.diff(at + 1, prepend=0) if (after[at] == ends).all() else None
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Many chunks side by side are a text in which they are parted; those that end in white space would not be."""
+        plain = [c for c in chunks if self.cuts and c and not c[-1].isspace()]
+        alone = [c for c in chunks if not self.cuts or not c or c[-1].isspace()]
+        blocks = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+        texts = [" ".join(block) for block in blocks]
+        ours = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        theirs = self.b.encode(texts, num_threads=1)
+        for block, text, a, b in zip(blocks, texts, ours, theirs, strict=True):
+            ia, ib, data = np.asarray(a.ids, np.int32), np.asarray(b, np.int32), b" " + text.encode()
+            ends = np.cumsum([len(c.encode()) + 1 for c in block])
+            na, nb = self._cut(ia, self.a_bytes, self.a_length, data, ends), self._cut(ib, self.b_bytes, self.b_length, data, ends)
+            if na is None or nb is None:
+                alone += block
+                continue
+            self._add(block, ia, na, ib, nb, [True] * len(block))
+        if alone:
+            a, b, right = zip(*map(self._one, alone), strict=True)
+            flat = [np.asarray([i for x in own for i in x], np.int32) for own in (a, b)]
+            self._add(alone, flat[0], np.asarray(list(map(len, a))), flat[1], np.asarray(list(map(len, b))), list(right))
+
+    def _add(self, chunks: list[str], ia: np.ndarray, na: np.ndarray, ib: np.ndarray, nb: np.ndarray, right: list[bool]) -> None:
+        first = len(self.known)
+        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        self.wrong.update(first + k for k, good in enumerate(right) if not good)
+        self.a_rows.add(ia, na)
+        self.b_rows.add(ib, nb)
+        self.held += sum(map(len, chunks)) + ENTRY * len(chunks) + 4 * (len(ia) + len(ib))
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        """The chunks of a text where a blank may follow white space, which is no cut."""
+        return CUT.split(text)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, ...] | None]:
         """a_ids, a_ends, b_ids, b_ends of each text, or None where it has no tokens."""
-        chunks = [CUT.split(" " + t) if self.cuts else [" " + t] for t in texts]
         if self.held > MOST_KNOWN:
-            self.known.clear()
-            self.held = 0
-        known = dict.fromkeys(c for own in chunks for c in own)
-        new = [c for c in known if c not in self.known]
-        passing = {}
-        for chunk, found in zip(new, self._encode(new), strict=True):
-            size = sum(map(len, found[:4])) + 4 * len(chunk)
-            if size <= 16 * LONGEST_KNOWN:
-                self.known[chunk] = found
-                self.held += size + ENTRY
-            else:
-                passing[chunk] = found
-        result = []
-        for text, own in zip(texts, chunks, strict=True):
-            parts = [self.known[c] if c in self.known else passing[c] for c in own]
-            if not text or not all(p[4] for p in parts):
+            self._forget_most()
+        parts = [[t] if not self.cuts else t.split(" ") if not UNCLEAR.search(t) else self._split(t) for t in texts]
+        chunks = list(chain.from_iterable(parts))
+        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self._learn(list(dict.fromkeys(chunks[k] for k in new)))
+            at[new] = [self.known[chunks[k]] for k in new]
+        self.uses = Rows.room(self.uses, len(self.known))
+        self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
+        first = np.cumsum([0, *map(len, parts)])
+        wrong = set(np.repeat(np.arange(len(texts)), np.diff(first))[np.isin(at, list(self.wrong))].tolist()) if self.wrong else ()
+        (ia, na), (ib, nb) = self.a_rows.take(at), self.b_rows.take(at)
+        ends_a, ends_b = (np.concatenate([[0], np.cumsum(n)])[first] for n in (na, nb))
+        result: list[tuple[np.ndarray, ...] | None] = []
+        for k, text in enumerate(texts):
+            if not text or k in wrong:
                 result.append(None)
                 continue
-            ia, la, ib, lb = (np.frombuffer(b"".join(x), np.uint32) for x in list(zip(*parts, strict=True))[:4])
-            result.append((ia, np.cumsum(la, dtype=np.int64), ib, np.cumsum(lb, dtype=np.int64)))
+            a, b = ia[ends_a[k] : ends_a[k + 1]], ib[ends_b[k] : ends_b[k + 1]]
+            result.append((a, np.cumsum(self.a_length[a], dtype=np.int64), b, np.cumsum(self.b_length[b], dtype=np.int64)))
         return result
 
 
@@ -129,28 +210,36 @@ def vocabularies(bpe: str, pieces: str) -> Vocabularies:
     return Vocabularies(bpe, pieces)
 
 
-def groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[list[int], list[int]]:
+def groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each group of tokens the number of A's and of B's tokens up to its end. Both arrays rise to the same last end."""
     a, b = a_ends.tolist(), b_ends.tolist()
     wide_a, wide_b = a_ends.astype("<i8").tobytes(), b_ends.astype("<i8").tobytes()
     n, m = len(a), len(b)
     i = j = 0  # the shift is j - i
-    to_a: list[int] = []
-    to_b: list[int] = []
+    starts: list[int] = []  # of each stretch of one-to-one groups, or irregular group: its first end in a and in b, and how many there are
+    shifted: list[int] = []
+    runs: list[int] = []
     while i < n:
         if a[i] == b[j]:
-            run, step = 1, 1
+            run, step = 1, SINGLY
             most = min(n - i, m - j)
-            while run + step <= most and wide_a[8 * (i + run) : 8 * (i + run + step)] == wide_b[8 * (j + run) : 8 * (j + run + step)]:
+            few = min(most, SINGLY)
+            while run < few and a[i + run] == b[j + run]:
+                run += 1
+            if run < SINGLY:
+                step = 1
+            while step > 1 and run + step <= most and wide_a[8 * (i + run) : 8 * (i + run + step)] == wide_b[8 * (j + run) : 8 * (j + run + step)]:
                 run += step
                 step *= 2
             while step > 1:  # the first difference lies within the next `step`
                 step //= 2
                 if run + step <= most and wide_a[8 * (i + run) : 8 * (i + run + step)] == wide_b[8 * (j + run) : 8 * (j + run + step)]:
                     run += step
-            to_a.extend(range(i + 1, i + run + 1))
-            to_b.extend(range(j + 1, j + run + 1))
-            i, j = i + run, j + run
+            starts.append(i)
+            shifted.append(j)
+            runs.append(run)
+            i += run
+            j += run
             if i == n:
                 break
         x, y = a[i], b[j]
@@ -161,22 +250,25 @@ def groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[list[int], list[int]
             else:
                 j += 1
                 y = b[j]
-        i, j = i + 1, j + 1
-        to_a.append(i)
-        to_b.append(j)
-    return to_a, to_b
+        starts.append(i)
+        shifted.append(j)
+        runs.append(1)
+        i += 1
+        j += 1
+    size = np.asarray(runs, np.int64)
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + 1
+    return np.repeat(np.asarray(starts, np.int64), size) + within, np.repeat(np.asarray(shifted, np.int64), size) + within
 
 
-def written(ours: list[str], theirs: list[str], to_a: list[int], to_b: list[int]) -> str:
+def written(own: Vocabularies, ia: np.ndarray, ib: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> bytes:
     """The groups as text: ids of A, a bar, ids of B; semicolons between groups."""
-    found, i, j = [], 0, 0
-    for p, q in zip(to_a, to_b, strict=True):
-        if p - i == 1 and q - j == 1:
-            found.append(f"{ours[i]}|{theirs[j]}")
-        else:
-            found.append(f"{','.join(ours[i:p])}|{','.join(theirs[j:q])}")
-        i, j = p, q
-    return ";".join(found)
+    last_a, last_b = np.zeros(len(ia), np.int8), np.zeros(len(ib), np.int8)
+    last_a[to_a - 1] = last_b[to_b - 1] = 1
+    before_b = np.concatenate([[0], to_b[:-1]])
+    found = np.empty(len(ia) + len(ib), f"S{own.width}")
+    found[np.arange(len(ia)) + np.repeat(before_b, np.diff(to_a, prepend=0))] = own.a_text[last_a, ia]
+    found[np.arange(len(ib)) + np.repeat(to_a, np.diff(to_b, prepend=0))] = own.b_text[last_b, ib]
+    return found.tobytes().translate(None, b"\0")[:-1]
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
@@ -195,7 +287,7 @@ def _align(bpe: str, pieces: str):
                     continue
                 ia, ea, ib, eb = found
                 to_a, to_b = groups(ea, eb)
-                rows.append((ia.tolist(), ib.tolist(), to_a, to_b))
+                rows.append((ia, ib, to_a, to_b))
             columns = [pa.array(x, pa.list_(pa.int32())) for x in zip(*rows, strict=True)]
             rest = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != "text"]
             yield pa.RecordBatch.from_arrays([*rest, *columns], names=[*(x for x in batch.schema.names if x != "text"), "a_ids", "b_ids", "a_ends", "b_ends"])
@@ -223,13 +315,12 @@ def _digest(bpe: str, pieces: str):
                     continue
                 ia, ea, ib, eb = found
                 to_a, to_b = groups(ea, eb)
-                key, n = np.unique(ia[np.asarray(to_a) - 1].astype(np.int64) * own.size_b + ib[np.asarray(to_b) - 1], return_counts=True)
+                key, n = np.unique(ia[to_a - 1].astype(np.int64) * own.size_b + ib[to_b - 1], return_counts=True)
                 pairs.append(key)
                 times.append(n)
                 ends.append(len(key))
                 numbers.append((len(ia), len(ib), len(to_a)))
-                text = written([own.a_text[k] for k in ia.tolist()], [own.b_text[k] for k in ib.tolist()], to_a, to_b)
-                digests.append(hashlib.sha256(text.encode()).hexdigest())
+                digests.append(hashlib.sha256(written(own, ia, ib, to_a, to_b)).hexdigest())
             at = pa.array(list(accumulate(ends)), pa.int32())
             flat = [pa.array(np.concatenate(x) if x else np.zeros(0), pa.int64()) for x in (pairs, times)]
             columns = [*map(pa.array, zip(*numbers, strict=True)), pa.array(digests), *(pa.ListArray.from_arrays(at, x) for x in flat)]
