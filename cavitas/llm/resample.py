@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -47,11 +48,33 @@ def _turned(x: np.ndarray, by: int) -> np.ndarray:
     return x << np.uint64(by) | x >> np.uint64(64 - by)
 
 
+#: Longest word, and its blank, whose CRC is joined by a table.
+JOINED = 64
+
+
+@lru_cache(maxsize=1)
+def _zeros() -> np.ndarray:
+    """[n, k, b]: what becomes of byte k of a CRC, b, when n zero bytes follow."""
+    step = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        step = np.where(step & 1, step >> 1 ^ np.uint32(0xEDB88320), step >> 1).astype(np.uint32)
+    tables = [np.arange(256, dtype=np.uint32) << np.arange(0, 32, 8, dtype=np.uint32)[:, None]]
+    for _ in range(JOINED):
+        tables.append(tables[-1] >> 8 ^ step[tables[-1] & 255])
+    return np.stack(tables)
+
+
+def joined_crc(crc: np.ndarray, other: np.ndarray | int, size: np.ndarray | int) -> np.ndarray:
+    """The crc32 of two byte strings in a row from those of either and the second one's size, JOINED at most."""
+    t = _zeros()
+    return t[size, 0, crc & 255] ^ t[size, 1, crc >> 8 & 255] ^ t[size, 2, crc >> 16 & 255] ^ t[size, 3, crc >> 24] ^ other
+
+
 class Stretches:
-    """Stretches (start, length) of one buffer, read eight bytes at a time."""
+    """Stretches (start, length) of one buffer, read eight bytes at a time; each is a run of words, from word `first` to word `last`."""
 
-    def __init__(self, buffer: bytes, start: np.ndarray, length: np.ndarray):
-        self.buffer, self.start, self.length = buffer, start, length
+    def __init__(self, buffer: bytes, start: np.ndarray, length: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None):
+        self.buffer, self.start, self.length, self.first, self.last = buffer, start, length, first, last
         data = np.zeros(len(buffer) + 8, np.uint8)
         data[: len(buffer)] = np.frombuffer(buffer, np.uint8)
         self.data = data
@@ -124,12 +147,37 @@ class Interned:
             self.slot[left[same]] = at[same]
             left, at = left[~same], (at[~same] + 1) & (size - 1)
         used = np.flatnonzero(first >= 0)
-        view, crc = memoryview(grams.buffer), zlib.crc32
         self.bucket = np.zeros(size, np.int64)
-        starts, lengths = grams.start[first[used]].tolist(), grams.length[first[used]].tolist()
-        self.bucket[used] = np.fromiter((crc(view[a : a + k]) for a, k in zip(starts, lengths, strict=True)), np.int64, len(used)) % buckets
+        self.bucket[used] = self._crc(grams, first, used)[used] % buckets
         self.count = np.bincount(self.slot, minlength=size)
 
+    def _crc(self, grams: Stretches, gram: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """The crc32 of each used slot's n-gram: of different words it is computed, of runs of words joined."""
+        found, view = np.zeros(len(gram), np.uint32), memoryview(grams.buffer)
+        size = grams.last[gram[used]] - grams.first[gram[used]]
+
+        def direct(slots: np.ndarray) -> None:
+            where = zip(grams.start[gram[slots]].tolist(), grams.length[gram[slots]].tolist(), strict=True)
+            found[slots] = np.fromiter((zlib.crc32(view[a : a + k]) for a, k in where), np.uint32, len(slots))
+
+        direct(used[size == 0])
+        single = np.flatnonzero(grams.last == grams.first)
+        words = int(grams.last.max(initial=-1)) + 1
+        crc, length = np.zeros(words, np.uint32), np.full(words, JOINED, np.int64)  # a word that begins no run counts as long
+        crc[grams.first[single]], length[grams.first[single]] = found[self.slot[single]], grams.length[single]
+        blank = np.uint32(zlib.crc32(b" "))
+        for k in range(1, int(size.max(initial=0)) + 1):
+            slots = used[size == k]
+            at = grams.first[gram[slots]]
+            short = np.max([length[at + j] for j in range(k + 1)], axis=0) < JOINED
+            direct(slots[~short])
+            slots, at = slots[short], at[short]
+            run = crc[at]
+            for j in range(1, k + 1):
+                run = joined_crc(joined_crc(run, blank, 1), crc[at + j], length[at + j])
+            found[slots] = run
+        return found
+
 
 def pieces(text: bytes, most: int = LONGEST) -> Iterator[tuple[bytes, int]]:
     """The words of a text, parted by one blank, in pieces of about BATCH bytes, and how many words are a piece's own.
@@ -170,13 +218,15 @@ def grams(group: list[tuple[int, bytes, int]], most: int = LONGEST) -> tuple[Str
     start, end = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(buffer)]])
     piece = np.repeat(np.arange(len(lines)), words)
     begins = np.arange(len(piece)) - np.repeat(np.cumsum(words) - words, words) < np.asarray(own)[piece]
-    starts, lengths, owners = [], [], []
+    starts, lengths, owners, firsts, lasts = [], [], [], [], []
     for k in range(1, min(most, len(piece)) + 1):
         i = np.flatnonzero(begins[: len(piece) - k + 1] & (piece[: len(piece) - k + 1] == piece[k - 1 :]))
         starts.append(start[i])
         lengths.append(end[i + k - 1] - start[i])
         owners.append(np.asarray(texts)[piece[i]])
-    return Stretches(buffer, np.concatenate(starts), np.concatenate(lengths)), np.concatenate(owners)
+        firsts.append(i)
+        lasts.append(i + k - 1)
+    return Stretches(buffer, *map(np.concatenate, (starts, lengths, firsts, lasts))), np.concatenate(owners)
 
 
 def _count(buckets: int, most: int):
