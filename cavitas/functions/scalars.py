@@ -17,11 +17,11 @@ PROFILES: dict[str, dict[str, float]] = {
     "gpcr": {"volume": 0.20, "hydrophobicity": 0.15, "enclosure": 0.30, "depth": 0.35},
     "default": {"volume": 0.25, "hydrophobicity": 0.25, "enclosure": 0.25, "depth": 0.25},
 }
-#: Kyte-Doolittle hydropathy and residue classes.
+#: Kyte-Doolittle hydropathy, and the three residue classes in the order of their names.
 HYDROPATHY = {"ALA": 1.8, "ARG": -4.5, "ASN": -3.5, "ASP": -3.5, "CYS": 2.5, "GLN": -3.5, "GLU": -3.5, "GLY": -0.4, "HIS": -3.2, "ILE": 4.5, "LEU": 3.8, "LYS": -3.9, "MET": 1.9, "PHE": 2.8, "PRO": -1.6, "SER": -0.8, "THR": -0.7, "TRP": -0.9, "TYR": -1.3, "VAL": 4.2}
-HYDROPHOBIC = ("ALA", "VAL", "ILE", "LEU", "MET", "PHE", "TRP", "PRO")
-POLAR = ("SER", "THR", "ASN", "GLN", "TYR", "CYS")
-CHARGED = ("ARG", "LYS", "ASP", "GLU", "HIS")
+HYDROPHOBIC = ("ALA", "ILE", "LEU", "MET", "PHE", "PRO", "TRP", "VAL")
+POLAR = ("ASN", "CYS", "GLN", "SER", "THR", "TYR")
+CHARGED = ("ARG", "ASP", "GLU", "HIS", "LYS")
 #: Force-field atom types of elements.
 ATOM_TYPES = {"C": "C", "N": "NA", "O": "OA", "S": "SA", "P": "P", "F": "F", "CL": "Cl", "BR": "Br", "I": "I", "ZN": "Zn", "FE": "Fe", "MG": "Mg", "CA": "Ca", "MN": "Mn", "CU": "Cu", "NA": "Na", "K": "K"}
 

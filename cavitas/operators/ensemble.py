@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,22 +13,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cavitas.functions import scalars as S
+from cavitas.operators import geometry
 from cavitas.operators.atlas import CENTER, by, desc
+from cavitas.session import stored
 
 CONSENSUS = "pdb_id string, cluster int, center_x double, center_y double, center_z double, pocket_id long, bio_score double, druggable boolean, support_frames int, support_ratio double, center_stability double, volume_mean double, volume_std double, volume_cv double, consensus_score double, frame_hits array<int>, rank int"
 
 
-def consensus(pockets: DataFrame, top_n: int = 50, min_support: int = 2, reach: float = 6.0, stability_max: float = 4.0, cv_max: float = 0.35, with_all: bool = False) -> DataFrame:
+def consensus(pockets: DataFrame, top_n: int = 50, min_support: int = 2, reach: float = 6.0, stability_max: float = 4.0, cv_max: float = 0.35, with_all: bool = False, frames: DataFrame | None = None) -> DataFrame:
     """Pockets of all frames joined into clusters in frame order, then scored and ranked per structure.
 
     Each pocket joins the nearest cluster whose running mean is within reach, else it starts one.
-    The group of a structure is bounded by frames x top_n. The number of frames is
-    that of the structure's distinct frames.
+    The group of a structure is bounded by frames x top_n. frames: pdb_id and frame of all frames that were analysed, those without a
+    pocket, too; without it the frames are those that `pockets` names, whether their pockets have a centre or not.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["frame", "frame_rank"], kind="stable")
-        n_frames = group["frame"].nunique()
+        n_frames = int(group["n_frames"].iloc[0])
         points = group[list(CENTER)].to_numpy()
         means = np.empty((len(points), 3))
         sizes = np.zeros(len(points), int)
@@ -49,7 +53,9 @@ def consensus(pockets: DataFrame, top_n: int = 50, min_support: int = 2, reach:
             xyz = part[list(CENTER)].to_numpy()
             center = xyz.mean(axis=0)
             stability = float(np.sqrt(((xyz - center) ** 2).sum(axis=1)).mean())
-            mean, std = float(part["volume"].mean()), float(part["volume"].std(ddof=0))
+            volumes = part["volume"].tolist()
+            mean = math.fsum(volumes) / len(volumes)  # whatever the order
+            std = math.sqrt(math.fsum((v - mean) ** 2 for v in volumes) / len(volumes))
             cv = std / mean if mean > 1e-8 else float("inf")
             steady = 0.5 * max(0.0, 1 - stability / stability_max) + 0.5 * max(0.0, 1 - cv / cv_max)
             score = round(0.65 * float(part["bio_score"].mean()) + 0.25 * support / n_frames + 0.10 * steady, 4)
@@ -59,9 +65,10 @@ def consensus(pockets: DataFrame, top_n: int = 50, min_support: int = 2, reach:
         out = out.sort_values(["consensus_score", "bio_score", "support_frames", "cluster"], ascending=[False, False, False, True])
         return out.assign(rank=range(1, len(out) + 1))
 
-    rows = pockets.where(S.valid_center(F.array(*CENTER)))
+    total = (pockets if frames is None else frames).groupBy("pdb_id").agg(F.count_distinct("frame").alias("n_frames"))
+    rows = pockets.where(S.valid_center(F.array(*CENTER))).join(total, "pdb_id")
     rows = rows.withColumn("frame_rank", F.row_number().over(by(desc("bio_score"), "pocket_id", partition=["pdb_id", "frame"]))).where(F.col("frame_rank") <= top_n)
-    return rows.select("pdb_id", "frame", "frame_rank", "pocket_id", "bio_score", "volume", "druggable", *CENTER).groupBy("pdb_id").applyInPandas(run, CONSENSUS)
+    return rows.select("pdb_id", "frame", "frame_rank", "n_frames", "pocket_id", "bio_score", "volume", "druggable", *CENTER).groupBy("pdb_id").applyInPandas(run, CONSENSUS)
 
 
 def consensus_stats(rows: DataFrame) -> DataFrame:
@@ -175,9 +182,34 @@ def frame_statistics(pockets: DataFrame, frames: DataFrame) -> DataFrame:
     return rows.select("pdb_id", "frame", *(F.when(good, F.col(c)).alias(c) for c in ("n_pockets", "n_druggable")), "error")
 
 
-def mapped(frames: DataFrame, mapper: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
-    """Frames through a caller's transformation."""
-    return frames if mapper is None else frames.transform(mapper)
+@dataclass(frozen=True)
+class Run:
+    """What an ensemble run gives: cavities by frame, the frames with counts and errors, consensus clusters, and their persistence."""
+
+    cavities: DataFrame
+    frames: DataFrame
+    consensus: DataFrame
+    persistence: DataFrame
+
+
+def run(frames: DataFrame, mapper: Callable[[DataFrame], DataFrame] | None = None, least: int = 50, min_support: int = 2, **settings) -> Run:
+    """Frames of any number of structures through cavities, consensus and persistence, in one job.
+
+    frames: pdb_id, frame, res_id, res_name, element and coordinates. mapper: a caller's transformation of them, which may
+    add columns that hold for a whole frame and begin with meta_; they come along in `frames`. A frame that fails is a row with its error. The cavities are
+    stored once.
+    """
+    rows = frames if mapper is None else frames.transform(mapper)
+    meta = [c for c in rows.columns if c.startswith("meta_")]
+    found, state = geometry.cavities_by_frame(rows.drop(*meta), least=least, **settings)
+    found = stored(found.withColumnRenamed("cavity_id", "pocket_id").withColumn("pocket_id", F.col("pocket_id").cast("long")), "cavities")
+    counts = frame_statistics(found, state)
+    if meta:
+        counts = counts.join(rows.groupBy("pdb_id", "frame").agg(*(F.first(c, ignorenulls=True).alias(c) for c in meta)), ["pdb_id", "frame"], "left")
+    analysed = state.where("error is null").select("pdb_id", "frame")
+    clusters = consensus(found, min_support=min_support, frames=analysed)
+    hits = clusters.select("pdb_id", F.col("cluster").alias("pocket_id"), F.explode("frame_hits").alias("frame"))
+    return Run(found, counts, clusters, persistence(hits, analysed))
 
 
 def docking_consistency(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from cavitas.functions import scalars as S
 from cavitas.operators import spatial
 from cavitas.operators.spatial import AXES
+from cavitas.session import stored
 
 
 def directions(k: int) -> list[tuple[float, float, float]]:
@@ -99,28 +102,59 @@ def lattice_voids(atoms: DataFrame, step: float = 2.0, reach: float = 12.0) -> D
     return kept.select("pdb_id", ordinal.alias("ordinal"), *AXES, F.round("clearance", 4).alias("clearance"), F.round(S.sphere_volume("clearance"), 4).alias("volume"))
 
 
+def linkage(xyz: np.ndarray, limit: float) -> np.ndarray:
+    """The cluster of each point by complete linkage up to a limit, named by its first point.
+
+    Always the two closest clusters join, of equal ones those of the smallest names. Only clusters of which every pair of points is within the limit
+    can ever join, so each holds its distances to those alone: pairs come from cells of the limit's size, and a joined cluster keeps the
+    neighbours that both parts had. Memory is that of the pairs within the limit.
+    """
+    n = len(xyz)
+    own = np.arange(n)
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    cells: dict[tuple[int, ...], list[int]] = {}
+    places = [tuple(c) for c in np.floor(xyz / (limit * 1.000001)).astype(int).tolist()] if limit > 0 else [tuple(p) for p in xyz.tolist()]
+    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)] if limit > 0 else [(0, 0, 0)]
+    for i, at in enumerate(places):  # points before i are in the cells already
+        others = [j for a, b, c in steps for j in cells.get((at[0] + a, at[1] + b, at[2] + c), ())]
+        if others:
+            d = np.sqrt(((xyz[others] - xyz[i]) ** 2).sum(axis=1))
+            for j, x in zip(others, d.tolist(), strict=True):
+                if x <= limit:
+                    near[i][j] = near[j][i] = x
+        cells.setdefault(at, []).append(i)
+    heap = [(d, i, j) for i in range(n) for j, d in near[i].items() if i < j]
+    heapq.heapify(heap)
+    alive = [True] * n
+    while heap:
+        d, i, j = heapq.heappop(heap)
+        if not (alive[i] and alive[j] and near[i].get(j) == d):
+            continue
+        alive[j] = False
+        own[own == j] = i
+        both = near[i].keys() & near[j].keys()
+        for k in near[j]:
+            near[k].pop(j, None)
+        for k in [k for k in near[i] if k not in both]:
+            near[k].pop(i, None)
+        near[i] = {k: max(near[i][k], near[j][k]) for k in both}
+        near[j] = {}
+        for k, x in near[i].items():
+            near[k][i] = x
+            heapq.heappush(heap, (x, *sorted((i, k))))
+    return own
+
+
 def merged(voids: DataFrame, threshold: float | str = 3.0) -> DataFrame:
     """Voids of one structure joined by complete linkage: cavity_id per void.
 
-    threshold: a number, or the name of a column with each structure's own.
+    threshold: a number, or the name of a column with each structure's own. A structure is one group, which holds its pairs of
+    voids within the threshold.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ordinal", ignore_index=True)
-        limit = float(group["_t"].iloc[0])
-        xyz = group[list(AXES)].to_numpy()
-        d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(axis=2))
-        np.fill_diagonal(d, np.inf)
-        own = np.arange(len(xyz))
-        while len(xyz) > 1:
-            at = int(d.argmin())
-            i, j = divmod(at, len(xyz))
-            if not d[i, j] <= limit:
-                break
-            i, j = min(i, j), max(i, j)
-            d[i] = d[:, i] = np.maximum(d[i], d[j])
-            d[j] = d[:, j] = d[i, i] = np.inf
-            own[own == j] = i
+        own = linkage(group[list(AXES)].to_numpy(float), float(group["_t"].iloc[0]))
         return group.drop(columns="_t").assign(cavity_id=pd.factorize(own)[0] + 1)
 
     rows = voids.withColumn("_t", F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold)))
@@ -159,9 +193,10 @@ def mode_checks(modes: DataFrame) -> DataFrame:
 
 
 def cavities(atoms: DataFrame, step: float = 2.0, k: int = 64, min_volume: float = 60.0, merge: float = 3.0) -> DataFrame:
-    """Voids, merged into cavities with their properties, scored and ranked, for all structures at once.
+    """Voids, merged into cavities with their properties and sphericity (F07), scored and ranked, for all structures at once.
 
-    atoms: pdb_id, res_id, res_name, element and coordinates.
+    atoms: pdb_id, res_id, res_name, element and coordinates. The merged voids and their
+    properties, from which several properties follow each, are stored once.
     """
     from cavitas.operators import atlas
 
@@ -169,13 +204,34 @@ def cavities(atoms: DataFrame, step: float = 2.0, k: int = 64, min_volume: float
     found = lattice_voids(atoms, step).join(sizes.select("pdb_id", "clearance_max", "volume_min", "n_atoms"), "pdb_id")
     found = buried(atlas.voids(found.where("volume >= volume_min")), support(atoms, k), k).where("inside")
     n = found.withColumn("n_voids", F.count("*").over(W.partitionBy("pdb_id")))
-    own = merged(atlas.thresholds(n, n_voids="n_voids", merge=merge), "merge_threshold")
-    properties = spatial.cavity_properties(own, atoms.withColumn("serial", F.col("res_id"))).where(F.col("volume") <= 5000)
+    own = stored(merged(atlas.thresholds(n, n_voids="n_voids", merge=merge), "merge_threshold"), "merged_voids")
+    properties = stored(spatial.cavity_properties(own, atoms.withColumn("serial", F.col("res_id"))).where(F.col("volume") <= 5000), "cavity_properties")
     hood = spatial.neighbourhood(properties, atoms).drop("n_residues")
-    rows = properties.join(hood, ["pdb_id", "cavity_id"])
+    rows = properties.join(hood, ["pdb_id", "cavity_id"]).join(sphericity(own), ["pdb_id", "cavity_id"])
     return atlas.ranked(atlas.scored(shape_scores(rows, own, atoms, k)), tie="cavity_id")
 
 
+#: Parts a structure's name from its frame in a key.
+FRAME = "\u0001"
+
+
+def cavities_by_frame(atoms: DataFrame, least: int = 50, most: int = 100_000, **settings) -> tuple[DataFrame, DataFrame]:
+    """The cavities of every frame of every structure, and pdb_id, frame and error of all frames.
+
+    atoms: those of `cavities`, and frame. A frame is a structure of its own in every step; frames that P06 does not admit
+    have the reason as their error and no cavities.
+    """
+    from cavitas.operators import atlas
+
+    keyed = atoms.withColumn("pdb_id", F.concat("pdb_id", F.lit(FRAME), F.col("frame").cast("string")))
+    kind = dict(atoms.dtypes)["frame"]
+    apart = {"frame": F.substring_index("pdb_id", FRAME, -1).cast(kind), "pdb_id": F.substring_index("pdb_id", FRAME, 1)}
+    tested = atlas.admitted(keyed, least, most).select("pdb_id", F.col("reason").alias("error"))
+    good = stored(keyed.drop("frame").join(tested.where("error is null").select("pdb_id"), "pdb_id", "left_semi"), "admitted")
+    found = cavities(good, **settings)
+    return found.withColumns(apart), tested.withColumns(apart).select("pdb_id", "frame", "error")
+
+
 def shape_scores(cavities: DataFrame, vertices: DataFrame, atoms: DataFrame, k: int = 64) -> DataFrame:
     """enclosure by the hull of a cavity's vertices, depth by its centre's place between the structure's centroid and its hull.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -87,9 +87,10 @@ class Dataset:
         return self.write(upserted(incoming.limit(0) if now is None else now, incoming, keys, seq))
 
     def insert(self, incoming: DataFrame, keys: list[str], seq: str = "ingest_seq") -> int:
-        """All rows in one job; returns how many came in."""
-        self.upsert(incoming, keys, seq)
-        return incoming.count()
+        """Returns how many rows came in, counted while they are written."""
+        seen = Observation()
+        self.upsert(incoming.observe(seen, F.count("*").alias("n")), keys, seq)
+        return int(seen.get["n"])
 
 
 def reports(pockets: DataFrame) -> DataFrame:

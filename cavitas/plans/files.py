@@ -89,6 +89,18 @@ def tool_info_files(c: Carriers) -> DataFrame:
     return rows.groupBy("pocket_id").agg(pick("score"), pick("volume"))
 
 
+@query(P, sql=f"select {NUMBER} as pocket_id, case when pocket_id % 3 <> 0 then bio_score end as druggability_score, volume::decimal(20, 4)::double as volume, affinity as score from c_pockets")
+def tool_pocket_values(c: Carriers) -> DataFrame:
+    """Files of two wordings: each second pocket has another header, a volume score beside the volume and no tabs; each third no druggability."""
+    path = c.scratch("info")
+    number = lambda x, kind="decimal(20,4)": F.col(x).cast(kind).cast("string")
+    drugg = lambda key: F.when(F.col("pocket_id") % 3 != 0, F.concat(F.lit(f"{key} : "), F.col("bio_score").cast("string"), F.lit("\n"))).otherwise("")
+    first = F.concat(F.lit("Pocket "), F.col("n").cast("string"), F.lit(" :\n\tScore : \t"), number("affinity"), F.lit("\n\t"), drugg("Druggability Score"), F.lit("\tVolume : \t"), number("volume"), F.lit("\n"))
+    second = F.concat(F.lit("HEADER pocket"), F.col("n").cast("string"), F.lit("\n0 - SCORE: 7\n"), drugg("1 - drugg. score"), F.lit("Volume score : 3.5\nReal volume (approx. 99): "), number("volume"), F.lit("\n  score: "), number("affinity"), F.lit("\n"))
+    _numbered(c).select(F.when(F.col("pocket_id") % 2 == 0, second).otherwise(first).alias("value")).write.text(path)
+    return readers.tool_pockets(c.spark, path).drop("file")
+
+
 @query(P, sql=f"select pdb_id, {NUMBER} as pocket_id, bio_score as score, volume::decimal(20, 4)::double as volume from c_pockets")
 def tool_block_text(c: Carriers) -> DataFrame:
     return readers.tool_blocks(_numbered(c).select("pdb_id", _info().alias("value")))
@@ -221,6 +233,15 @@ def batch_insert(c: Carriers) -> DataFrame:
     return data.read().groupBy("pdb_id").agg(F.count("*").alias("n"), F.count_if(F.col("ingest_seq") == 2).alias("newer"))
 
 
+@query(P, sql="select 1 as batch, count(*) as inserted from c_pockets union all select 2, count(*) from c_pockets where pocket_id % 7 = 0")
+def insert_counts(c: Carriers) -> DataFrame:
+    """What two inserts say came in."""
+    data = tables.Dataset(c.spark, c.scratch("atlas"))
+    rows = c.base.select("pdb_id", "pocket_id", "bio_score", F.lit(1).cast("long").alias("ingest_seq"))
+    found = [(k, data.insert(some, tables.KEYS["pockets"])) for k, some in ((1, rows), (2, rows.where("pocket_id % 7 = 0")))]
+    return c.spark.createDataFrame(found, "batch int, inserted long")
+
+
 @query(P, sql="select 'hashes_equal' as \"check\", count(distinct tool) < 2 as pass from c_pockets union all select 'none_missing', count(distinct tool) < 2 from c_pockets")
 def manifest_checks(c: Carriers) -> DataFrame:
     """A manifest of all tools' files against those of the first tool alone."""

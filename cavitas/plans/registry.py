@@ -436,9 +436,18 @@ def rate_limit(c: Carriers) -> DataFrame:
 # Ensembles
 
 
-@query()
+WALK = "p as (select *, row_number() over (partition by pdb_id order by frame, frame_rank) as k from (select pdb_id, frame, pocket_id, bio_score, volume, druggable, center_x as x, center_y as y, center_z as z, row_number() over (partition by pdb_id, frame order by bio_score desc, pocket_id) as frame_rank from c_pockets) where frame_rank <= 50), walk as (select pdb_id, 0::bigint as k, 0::bigint as own, []::double[] as xs, []::double[] as ys, []::double[] as zs, []::bigint[] as ns from (select distinct pdb_id from p) union all select pdb_id, k, own, {} from (select *, case when len(ds) > 0 and list_min(ds) <= 6 then list_position(ds, list_min(ds)) else len(ds) + 1 end as own from (select w.pdb_id, p.k, p.x, p.y, p.z, w.xs, w.ys, w.zs, w.ns, list_transform(range(1, len(w.ns) + 1), lambda i: sqrt((w.xs[i] - p.x) ** 2 + (w.ys[i] - p.y) ** 2 + (w.zs[i] - p.z) ** 2)) as ds from walk w join p on p.pdb_id = w.pdb_id and p.k = w.k + 1)))".format(
+    ", ".join(f"case when own > len(ns) then list_append({v}s, {v}) else list_transform({v}s, lambda m, i: case when i = own then (m * ns[i] + {v}) / (ns[i] + 1) else m end) end" for v in "xyz") + ", case when own > len(ns) then list_append(ns, 1) else list_transform(ns, lambda n, i: case when i = own then n + 1 else n end) end"
+)
+CLUSTERED = WALK + ", j as (select p.*, w.own - 1 as cluster from p join walk w on p.pdb_id = w.pdb_id and p.k = w.k), g as (select pdb_id, cluster, avg(x) as cx, avg(y) as cy, avg(z) as cz, list(pocket_id order by bio_score desc, k)[1] as pocket_id, max(bio_score) as bio_score, avg(bio_score) as mean_score, bool_or(druggable) as druggable, count(distinct frame) as support, fsum(volume) / count(*) as vm, stddev_pop(volume) as vs, string_agg(distinct frame::varchar, ',' order by frame::varchar) as frame_hits from j group by 1, 2), t as (select g.*, (select count(distinct frame) from c_pockets) as n_frames, (select avg(sqrt((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)) from j where j.pdb_id = g.pdb_id and j.cluster = g.cluster) as stability from g where support >= 2), u as (select *, printf('%.4f', 0.65 * mean_score + 0.25 * support / n_frames + 0.1 * (0.5 * greatest(0, 1 - stability / 4) + 0.5 * greatest(0, 1 - vs / vm / 0.35)))::double as consensus_score from t)"
+
+
+@query(P, sql=then(CLUSTERED) + " select pdb_id, cluster::int as cluster, round(cx, 4) as center_x, round(cy, 4) as center_y, round(cz, 4) as center_z, pocket_id, bio_score, druggable, support::int as support_frames, printf('%.4f', support / n_frames)::double as support_ratio, printf('%.4f', stability)::double as center_stability, printf('%.4f', vm)::double as volume_mean, printf('%.4f', vs)::double as volume_std, printf('%.4f', vs / vm)::double as volume_cv, consensus_score, frame_hits, row_number() over (partition by pdb_id order by consensus_score desc, bio_score desc, support desc, cluster)::int as rank from u")
 def frame_consensus(c: Carriers) -> DataFrame:
-    return ensemble.consensus(c.base)
+    """All frames of the table were analysed for every protein."""
+    frames = c.base.select("pdb_id").distinct().crossJoin(F.broadcast(c.base.select("frame").distinct()))  # seven frames
+    found = ensemble.consensus(c.base, frames=frames).withColumns({a: F.round(a, 4) for a in atlas.CENTER})
+    return found.withColumn("frame_hits", F.array_join("frame_hits", ","))
 
 
 @query(P, sql=then("h as (select distinct pdb_id, concat(ligand_name, '-', polar_atoms) as pocket_id, frame from c_pockets), fr as (select pdb_id, frame, row_number() over (partition by pdb_id order by frame) - 1 as idx, count(*) over (partition by pdb_id) as total from (select distinct pdb_id, frame from c_pockets)), g as (select h.pdb_id, pocket_id, idx, total, idx - row_number() over (partition by h.pdb_id, pocket_id order by idx) as island from h join fr on h.pdb_id = fr.pdb_id and h.frame = fr.frame), r as (select pdb_id, pocket_id, total, island, count(*) as n, min(idx) as lo, max(idx) as hi from g group by all), s as (select pdb_id, pocket_id, total, sum(n)::bigint as hit_count, min(lo) as first, max(hi) as last, max(n) as longest, count(*) - 1 as flicker from r group by 1, 2, 3)") + " select pdb_id, pocket_id, hit_count, first, last, last - first + 1 as span, longest, flicker, round(0.5 * hit_count / total + 0.3 * longest / total + 0.2 * (1 - least(1, flicker / hit_count)), 4) as persistence_score from s")
@@ -491,12 +500,21 @@ def network_blocks(c: Carriers) -> DataFrame:
     return geometry.network_blocks(c.atoms).withColumn("value", F.round("value", 6))
 
 
-@query()
+BLOCKS = "pr as (select a.pdb_id, a.res_id as i, b.res_id as j, b.x - a.x as dx, b.y - a.y as dy, b.z - a.z as dz, " + D.format("a.", "b.") + " as d from c_atoms a join c_atoms b on a.pdb_id = b.pdb_id and a.res_id <> b.res_id), o as (select pdb_id, i, j, p as a, q as b, -[dx, dy, dz][p + 1] * [dx, dy, dz][q + 1] / (d * d) as value from pr, (select unnest([0, 1, 2]) as p), (select unnest([0, 1, 2]) as q) where d < 15), bl as (select * from o union all select pdb_id, i, i, a, b, -sum(value) from o group by 1, 2, 3, 4, 5)"
+
+
+@query("c_atoms", sql=then(BLOCKS) + ", g as (select x.pdb_id, round(max(abs(x.value - coalesce(y.value, 0))), 6) as asymmetry, count(*) as entries from bl x left join bl y on x.pdb_id = y.pdb_id and x.i = y.j and x.j = y.i and x.a = y.b and x.b = y.a group by 1), r as (select pdb_id, round(max(abs(s)), 6) as row_sum_error from (select pdb_id, i, a, b, sum(value) as s from bl group by all) group by 1) select * from g join r using (pdb_id)")
 def network_checks(c: Carriers) -> DataFrame:
     return geometry.network_checks(geometry.network_blocks(c.atoms))
 
 
-@query()
+@query("c_atoms", sql="select pdb_id, res_id as mode, x as eigenvalue, x >= -1e-6 and coalesce(x >= lag(x) over (partition by pdb_id order by res_id) - 1e-9, true) as ok from c_atoms")
+def mode_order(c: Carriers) -> DataFrame:
+    """One coordinate in the place of eigenvalues: of a structure's modes, those that are negative or do not ascend are marked."""
+    return geometry.mode_checks(c.atoms.select("pdb_id", F.col("res_id").alias("mode"), F.col("x").alias("eigenvalue")))
+
+
+@query("c_atoms", sql=then("dirs as (select sqrt(1 - w * w) * cos(t) as a, sqrt(1 - w * w) * sin(t) as b, w as c, i from (select i, 1 - 2 * (i + 0.5::double) / 64 as w, pi() * (1 + sqrt(5)) * (i + 0.5::double) as t from (select unnest(range(64)) as i))), dots as (select pdb_id, res_id, i, x * a + y * b + z * c as dot from c_atoms, dirs), h as (select pdb_id, i, max(dot) as h from dots group by 1, 2)") + " select d.pdb_id, d.res_id, round(min(h.h - d.dot), 4) as to_surface, min(h.h - d.dot) >= 0 as inside from dots d join h on d.pdb_id = h.pdb_id and d.i = h.i group by 1, 2")
 def support_depth(c: Carriers) -> DataFrame:
     rows = c.atoms.select("pdb_id", "res_id", *"xyz")
     return geometry.buried(rows, geometry.support(rows)).select("pdb_id", "res_id", F.round("to_surface", 4).alias("to_surface"), "inside")
@@ -521,12 +539,30 @@ def contact_graph_features(c: Carriers) -> DataFrame:
     return graph.node_features(c.atoms).select("pdb_id", "res_id", *(F.round(n, 6).alias(n) for n in names))
 
 
-@query()
+def _passes(n: int = 3) -> str:
+    """WITH members n0 to n3: each residue's features, halved and joined with half of its neighbours' mean."""
+    names, among = graph.FEATURES, lambda some: "(res_name in (" + ", ".join(f"'{r}'" for r in some) + "))::int::double"
+    hydropathy = "case res_name " + " ".join(f"when '{k}' then {v}" for k, v in S.HYDROPATHY.items()) + " else 0 end / 4.5::double"
+    own = (hydropathy, among(S.HYDROPHOBIC), among(S.POLAR), among(S.CHARGED), "(res_id - 1) / 20", "n_near / 21", "coalesce(avg_near / 8, 1)", "n_near / 20", "1 - n_far / 21")
+    members = ["e as materialized (select pdb_id, a.res_id as src, b.res_id as dst from c_atoms a join c_atoms b using (pdb_id) where a.res_id <> b.res_id and " + D.format("a.", "b.") + " < 8)"]
+    members.append("n0 as (select pdb_id, res_id, res_name, " + ", ".join(f"({v})::double as {k}" for k, v in zip(names, own, strict=True)) + " from c_atoms join g using (pdb_id, res_id))")
+    for k in range(n):
+        mean = ", ".join(f"avg({f}) as {f}" for f in names)
+        half = ", ".join(f"n.{f} * 0.5 + coalesce(m.{f}, 0) * 0.5 as {f}" for f in names)
+        members.append(f"m{k} as (select e.pdb_id, e.src as res_id, {mean} from e join n{k} x on x.pdb_id = e.pdb_id and x.res_id = e.dst group by 1, 2)")
+        members.append(f"n{k + 1} as (select n.pdb_id, n.res_id, n.res_name, {half} from n{k} n left join m{k} m on m.pdb_id = n.pdb_id and m.res_id = n.res_id)")
+    return ", ".join(members)
+
+
+@query("c_atoms", sql=then(CONTACT + ", " + _passes()) + ", s as (select *, " + decimal_round("greatest(0, hydrophobicity) * 0.3::double + is_hydrophobic * 0.2::double + (1 - exposure) * 0.2::double + local_density * 0.15::double + contact_count * 0.15::double", 4) + " as pocket_score from n3), k as (select *, row_number() over (partition by pdb_id order by pocket_score desc, res_id)::int as rank from s) select pdb_id, res_id, res_name, pocket_score, rank from k where rank <= 20")
 def message_passing(c: Carriers) -> DataFrame:
     return graph.pocket_residues(graph.passed(graph.node_features(c.atoms), graph.contacts(c.atoms)))
 
 
-@query()
+CLUSTERS = "e as materialized (select a.pdb_id, a.res_id as src, b.res_id as dst from c_atoms a join c_atoms b on a.pdb_id = b.pdb_id and a.res_id <> b.res_id and " + D.format("a.", "b.") + " <= 6), core as (select pdb_id, src as res_id from e group by 1, 2 having count(*) >= 2), inner_e as (select e.* from e join core a on a.pdb_id = e.pdb_id and a.res_id = e.src join core b on b.pdb_id = e.pdb_id and b.res_id = e.dst), reach as (select pdb_id, res_id, res_id as other from core union select r.pdb_id, r.res_id, i.dst from reach r join inner_e i on i.pdb_id = r.pdb_id and i.src = r.other), lab as (select pdb_id, res_id, min(other) as label from reach group by 1, 2), every as (select * from lab union all select e.pdb_id, e.dst, min(label) from e join lab l on l.pdb_id = e.pdb_id and l.res_id = e.src where not exists (select 1 from core c where c.pdb_id = e.pdb_id and c.res_id = e.dst) group by 1, 2), placed as (select every.pdb_id, label, x, y, z, a.res_id / 21.0::double as score from every join c_atoms a on a.pdb_id = every.pdb_id and a.res_id = every.res_id), c as (select pdb_id, label, count(*) as n, avg(x) as cx, avg(y) as cy, avg(z) as cz, avg(score) as s, max(score) as t from placed group by 1, 2)"
+
+
+@query("c_atoms", sql=then(CLUSTERS) + " select c.pdb_id, c.label, any_value(n) as n, round(any_value(cx), 4) as center_x, round(any_value(cy), 4) as center_y, round(any_value(cz), 4) as center_z, round(max(sqrt((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)), 4) as radius, round(any_value(s), 4) as avg_score, round(any_value(t), 4) as max_score from c join placed p on p.pdb_id = c.pdb_id and p.label = c.label group by 1, 2")
 def residue_clusters(c: Carriers) -> DataFrame:
     return graph.clusters(c.atoms.withColumn("score", F.col("res_id") / 21.0))
 

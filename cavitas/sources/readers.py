@@ -70,16 +70,34 @@ def select_atoms(atoms: DataFrame, kind: str) -> DataFrame:
 
 
 def pose_atoms(spark: SparkSession, path: str, k: int = 0) -> DataFrame:
-    """Atoms of the k-th model of each file, of the first if there is no k-th."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    parts = F.filter(F.split("value", r"MODEL\s+\d+"), lambda p: p.contains("ATOM"))
-    one = F.coalesce(F.get(parts, F.lit(k)), F.get(parts, F.lit(0)))
-    rows = text.withColumn("value", one).where("value is not null")
-    return atom_columns(rows.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value")))
+    """Atoms of the k-th model of each file that has atoms, counted from 0, of the first if there is no k-th."""
+    in_file = W.partitionBy("file")
+    rows = lines(spark, path).withColumn("model", F.count_if(F.col("value").rlike(r"^\s*MODEL\s")).over(in_file.orderBy("line_no")))
+    rows = rows.where(F.substring("value", 1, 6).isin("ATOM  ", "HETATM")).withColumn("ordinal", F.dense_rank().over(in_file.orderBy("model")) - 1)
+    chosen = F.when(F.max("ordinal").over(in_file) >= k, k).otherwise(0)
+    return atom_columns(rows.withColumn("chosen", chosen).where("ordinal = chosen").select("file", "line_no", "value"))
+
+
+#: The sites that stand in for a missing file.
+BUILT_IN_SITES = (
+    ("1CBS", "Retinoic acid binding", "side-chain_flip", 12.5, 22.0, 18.5),
+    ("3C79", "TEM-1 Beta-Lactamase", "loop_rearrangement", 15.2, 35.8, 22.4),
+    ("1F41", "Interleukin-2", "side-chain_flip", 28.5, 12.0, 45.2),
+    ("1YET", "Bcl-xL", "helix_displacement", 41.2, -46.55, 65.6),
+    ("1G4E", "p38 MAP Kinase", "loop_rearrangement", 32.5, 18.0, 42.5),
+)
+
+
+def built_in_sites(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(BUILT_IN_SITES, "pdb_id string, name string, pocket_type string, x double, y double, z double")
+    return rows.withColumns({"radius": F.lit(8.0), "known_ligand": F.lit(None).cast("string")})
 
 
 def known_sites(spark: SparkSession, path: str) -> DataFrame:
-    """The test cases of a known-site file, with defaults."""
+    """The test cases of a known-site file, with defaults; the built-in sites if there is no file."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place):
+        return built_in_sites(spark)
     case = "struct<pdb_id: string, name: string, pocket_type: string, cryptic_pocket_center: array<double>, radius: double, known_ligand: string>"
     rows = spark.read.schema(f"test_cases array<{case}>").json(path, multiLine=True).select(F.explode("test_cases").alias("t")).select("t.*")
     center = F.col("cryptic_pocket_center")
@@ -127,13 +145,27 @@ def tool_filter(rows: DataFrame, min_volume: float, min_score: float = 0.2) -> D
     return rows.where((F.nanvl("volume", F.lit(0.0)) >= min_volume) & (F.nanvl("score", F.lit(0.0)) >= min_score))
 
 
-def tool_info(spark: SparkSession, path: str) -> DataFrame:
-    """Key and value lines under "Pocket N" headers, one row per pocket and key."""
-    head = F.regexp_extract("value", r"^\s*Pocket\s+(\d+)", 1)
+def _under_headers(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with the pocket of the last header above them or in them: "pocket" and a number, in any case."""
+    head = F.regexp_extract("value", r"(?i)pocket\s*(\d+)", 1)
     rows = lines(spark, path).withColumn("head", F.when(head != "", head.cast("long")))
-    rows = rows.withColumn("pocket_id", F.last("head", ignorenulls=True).over(W.partitionBy("file").orderBy("line_no")))
+    return rows.withColumn("pocket_id", F.last("head", ignorenulls=True).over(W.partitionBy("file").orderBy("line_no"))).where("pocket_id is not null")
+
+
+def tool_info(spark: SparkSession, path: str) -> DataFrame:
+    """Key and value lines under pocket headers as they are, one row per pocket and key."""
     key, value = F.trim(F.regexp_extract("value", r"^\s*([^:]+?)\s*:", 1)), F.regexp_extract("value", r":\s*(-?\d+(?:\.\d+)?)", 1).try_cast("double")
-    return rows.where(F.col("head").isNull() & F.col("pocket_id").isNotNull()).select("file", "pocket_id", key.alias("key"), value.alias("value")).where("key <> '' and value is not null")
+    return _under_headers(spark, path).where("head is null").select("file", "pocket_id", key.alias("key"), value.alias("value")).where("key <> '' and value is not null")
+
+
+def tool_pockets(spark: SparkSession, path: str) -> DataFrame:
+    """druggability_score, volume and score of each pocket of each file: the last number of the last line that names them, whatever the version's wording."""
+    text = F.lower("value")
+    kind = F.when(text.contains("drugg") & text.contains("score"), "druggability_score").when(text.contains("volume") & ~text.contains("volume score"), "volume").when(F.trim(F.translate(text, "\t", " ")).startswith("score"), "score")
+    number = F.element_at(F.regexp_extract_all("value", F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), -1).cast("double")
+    rows = _under_headers(spark, path).select("file", "pocket_id", "line_no", kind.alias("kind"), F.when(F.col("value").rlike(r"\d"), number).alias("number"))
+    last = lambda k: F.max_by("number", F.when((F.col("kind") == k) & F.col("number").isNotNull(), F.col("line_no"))).alias(k)
+    return rows.groupBy("file", "pocket_id").agg(*map(last, ("druggability_score", "volume", "score")))
 
 
 def mean_centers(atoms: DataFrame) -> DataFrame:
