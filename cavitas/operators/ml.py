@@ -99,7 +99,10 @@ def predict(model, rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 
 def calibrated(rows: DataFrame, names: tuple[str, ...], kind: str = "rf", folds: int = 3):
-    """Isotonic regression on scores that models without the row's fold give. Returns the fitted regression."""
+    """Isotonic regression on scores that models without the row's fold give. Returns the fitted regression.
+
+    Scores are rounded to four places, so it has 10001 boundaries at most.
+    """
     from pyspark.ml.regression import IsotonicRegression
 
     rows = rows.withColumn("_fold", F.pmod(F.xxhash64("pdb_id"), F.lit(folds)))
@@ -107,7 +110,7 @@ def calibrated(rows: DataFrame, names: tuple[str, ...], kind: str = "rf", folds:
     for k in range(folds):
         part = predict(train(rows.where(F.col("_fold") != k), names, kind), rows.where(F.col("_fold") == k), names)
         scored = part if scored is None else scored.unionByName(part)
-    return IsotonicRegression(labelCol="y_true", featuresCol="y_proba").fit(scored.withColumn("y_true", F.col("y_true").cast("double")))
+    return IsotonicRegression(labelCol="y_true", featuresCol="y_proba").fit(scored.withColumns({"y_true": F.col("y_true").cast("double"), "y_proba": F.round("y_proba", 4)}))
 
 
 def importances(model, names: tuple[str, ...], spark) -> DataFrame:

@@ -443,7 +443,7 @@ def feature_importances(c: Carriers) -> DataFrame:
 @query()
 def calibrated_model(c: Carriers) -> DataFrame:
     """Boundaries of the isotonic regression and what it predicts at them."""
-    model = ml.calibrated(_parts(c)[0], FEATS, "logistic")
+    model = ml.calibrated(_parts(c)[0], FEATS)
     pairs = list(zip(map(float, model.boundaries), map(float, model.predictions), strict=True))
     return c.spark.createDataFrame(pairs, "boundary double, prediction double")
 
@@ -451,4 +451,4 @@ def calibrated_model(c: Carriers) -> DataFrame:
 @query()
 def feature_ablation(c: Carriers) -> DataFrame:
     train, test = _parts(c)
-    return ml.ablation(train, test, FEATS, lambda rows, names: ml.train(rows, names, "logistic"))
+    return ml.ablation(train, test, FEATS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cavitas.operators import store, tables
+from cavitas.operators import ensemble, store, tables
 from cavitas.plans.carriers import Carriers
 from cavitas.plans.registry import P, query, then
 from cavitas.streaming import jobs, state
@@ -40,3 +40,15 @@ def report_ingest(c: Carriers) -> DataFrame:
     tops = target.read("proteins").select("pdb_id", "top_bio_score")
     reports = F.lit(int(target.totals()["reports"])).cast("long").alias("reports")
     return target.read("pockets").join(tops, "pdb_id").select("pdb_id", "pocket_id", "bio_score", "top_bio_score", reports)
+
+
+@query()
+def frame_pipeline(c: Carriers) -> DataFrame:
+    """Two generated frames of every structure through cavities and consensus; the second frame of ids that end in 3 has lost most residues."""
+    atoms = c.atoms.select("pdb_id", "res_id", "res_name", "element", *"xyz")
+    modes = atoms.select("pdb_id", "res_id", F.lit(1).alias("mode"), F.lit(0.1).alias("dx"), F.lit(0.05).alias("dy"), F.lit(0.0).alias("dz"))
+    moved = ensemble.generated(atoms.select("pdb_id", "res_id", *"xyz"), modes, n=2, amplitudes=(2.0,)).join(atoms.select("pdb_id", "res_id", "res_name", "element"), ["pdb_id", "res_id"])
+    frames = moved.where("not (frame = 1 and pdb_id like '%3' and res_id > 10)").drop("mode", "amplitude")
+    got = ensemble.run(frames, mapper=lambda rows: rows.withColumn("meta_file", F.concat("pdb_id", F.lit("_frame"), "frame")), least=20)
+    clusters = got.consensus.groupBy("pdb_id").agg(F.count("*").alias("n_clusters"))
+    return got.frames.join(clusters, "pdb_id", "left").fillna(0, ["n_clusters"])
