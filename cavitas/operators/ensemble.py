@@ -20,6 +20,11 @@ from cavitas.session import stored
 CONSENSUS = "pdb_id string, cluster int, center_x double, center_y double, center_z double, pocket_id long, bio_score double, druggable boolean, support_frames int, support_ratio double, center_stability double, volume_mean double, volume_std double, volume_cv double, consensus_score double, frame_hits array<int>, rank int"
 
 
+def half_up(x: float, places: int = 4) -> float:
+    """Rounds a number that is not negative, ties up: what the order of summing does to its last bits does not show."""
+    return round(x * (1 + 1e-12), places)
+
+
 def consensus(pockets: DataFrame, top_n: int = 50, min_support: int = 2, reach: float = 6.0, stability_max: float = 4.0, cv_max: float = 0.35, with_all: bool = False, frames: DataFrame | None = None) -> DataFrame:
     """Pockets of all frames joined into clusters in frame order, then scored and ranked per structure.
 
@@ -58,9 +63,9 @@ def consensus(pockets: DataFrame, top_n: int = 50, min_support: int = 2, reach:
             std = math.sqrt(math.fsum((v - mean) ** 2 for v in volumes) / len(volumes))
             cv = std / mean if mean > 1e-8 else float("inf")
             steady = 0.5 * max(0.0, 1 - stability / stability_max) + 0.5 * max(0.0, 1 - cv / cv_max)
-            score = round(0.65 * float(part["bio_score"].mean()) + 0.25 * support / n_frames + 0.10 * steady, 4)
+            score = half_up(0.65 * float(part["bio_score"].mean()) + 0.25 * support / n_frames + 0.10 * steady)
             best = part.loc[part["bio_score"].idxmax()]
-            rows.append((group["pdb_id"].iloc[0], c, *center, int(best["pocket_id"]), float(best["bio_score"]), bool(part["druggable"].any()), support, round(support / n_frames, 4), round(stability, 4), round(mean, 4), round(std, 4), round(cv, 4), score, sorted(set(part["frame"].astype(int))), 0))
+            rows.append((group["pdb_id"].iloc[0], c, *center, int(best["pocket_id"]), float(best["bio_score"]), bool(part["druggable"].any()), support, *map(half_up, (support / n_frames, stability, mean, std, cv)), score, sorted(set(part["frame"].astype(int))), 0))
         out = pd.DataFrame(rows, columns=[f.split()[0] for f in CONSENSUS.split(", ")])
         out = out.sort_values(["consensus_score", "bio_score", "support_frames", "cluster"], ascending=[False, False, False, True])
         return out.assign(rank=range(1, len(out) + 1))

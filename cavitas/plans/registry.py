@@ -267,7 +267,11 @@ def global_overlap(c: Carriers) -> DataFrame:
     return matching.global_overlap(_overlap(c))
 
 
-@query()
+#: By Koenig's theorem a largest matching is as large as the least vertex cover: over all sets of A's pockets left out, those kept and all neighbours of those left out.
+COVER = "nb as (select pdb_id, a, bit_or(1::bigint << b) as mask, row_number() over (partition by pdb_id order by a) - 1 as i from pr where d <= 8 group by 1, 2), ks as (select pdb_id, count(*) as k from nb group by 1), sets as (select pdb_id, k, unnest(range(1::bigint << k)) as s from ks), covers as (select s.pdb_id, s.s, any_value(s.k) - bit_count(s.s) + bit_count(bit_or(case when (s.s >> nb.i) & 1 = 1 then nb.mask else 0 end)) as size from sets s join nb on nb.pdb_id = s.pdb_id group by 1, 2)"
+
+
+@query(P, sql=then(LISTS + ", " + COVER) + " select pdb_id, min(size)::int as size from covers group by 1")
 def maximum_matching(c: Carriers) -> DataFrame:
     return matching.most_matches(matching.candidate_pairs(*_lists(c)))
 
@@ -439,10 +443,10 @@ def rate_limit(c: Carriers) -> DataFrame:
 WALK = "p as (select *, row_number() over (partition by pdb_id order by frame, frame_rank) as k from (select pdb_id, frame, pocket_id, bio_score, volume, druggable, center_x as x, center_y as y, center_z as z, row_number() over (partition by pdb_id, frame order by bio_score desc, pocket_id) as frame_rank from c_pockets) where frame_rank <= 50), walk as (select pdb_id, 0::bigint as k, 0::bigint as own, []::double[] as xs, []::double[] as ys, []::double[] as zs, []::bigint[] as ns from (select distinct pdb_id from p) union all select pdb_id, k, own, {} from (select *, case when len(ds) > 0 and list_min(ds) <= 6 then list_position(ds, list_min(ds)) else len(ds) + 1 end as own from (select w.pdb_id, p.k, p.x, p.y, p.z, w.xs, w.ys, w.zs, w.ns, list_transform(range(1, len(w.ns) + 1), lambda i: sqrt((w.xs[i] - p.x) ** 2 + (w.ys[i] - p.y) ** 2 + (w.zs[i] - p.z) ** 2)) as ds from walk w join p on p.pdb_id = w.pdb_id and p.k = w.k + 1)))".format(
     ", ".join(f"case when own > len(ns) then list_append({v}s, {v}) else list_transform({v}s, lambda m, i: case when i = own then (m * ns[i] + {v}) / (ns[i] + 1) else m end) end" for v in "xyz") + ", case when own > len(ns) then list_append(ns, 1) else list_transform(ns, lambda n, i: case when i = own then n + 1 else n end) end"
 )
-CLUSTERED = WALK + ", j as (select p.*, w.own - 1 as cluster from p join walk w on p.pdb_id = w.pdb_id and p.k = w.k), g as (select pdb_id, cluster, avg(x) as cx, avg(y) as cy, avg(z) as cz, list(pocket_id order by bio_score desc, k)[1] as pocket_id, max(bio_score) as bio_score, avg(bio_score) as mean_score, bool_or(druggable) as druggable, count(distinct frame) as support, fsum(volume) / count(*) as vm, stddev_pop(volume) as vs, string_agg(distinct frame::varchar, ',' order by frame::varchar) as frame_hits from j group by 1, 2), t as (select g.*, (select count(distinct frame) from c_pockets) as n_frames, (select avg(sqrt((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)) from j where j.pdb_id = g.pdb_id and j.cluster = g.cluster) as stability from g where support >= 2), u as (select *, printf('%.4f', 0.65 * mean_score + 0.25 * support / n_frames + 0.1 * (0.5 * greatest(0, 1 - stability / 4) + 0.5 * greatest(0, 1 - vs / vm / 0.35)))::double as consensus_score from t)"
+CLUSTERED = WALK + ", j as (select p.*, w.own - 1 as cluster from p join walk w on p.pdb_id = w.pdb_id and p.k = w.k), g as (select pdb_id, cluster, avg(x) as cx, avg(y) as cy, avg(z) as cz, list(pocket_id order by bio_score desc, k)[1] as pocket_id, max(bio_score) as bio_score, avg(bio_score) as mean_score, bool_or(druggable) as druggable, count(distinct frame) as support, fsum(volume) / count(*) as vm, stddev_pop(volume) as vs, string_agg(distinct frame::varchar, ',' order by frame::varchar) as frame_hits from j group by 1, 2), t as (select g.*, (select count(distinct frame) from c_pockets) as n_frames, (select avg(sqrt((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)) from j where j.pdb_id = g.pdb_id and j.cluster = g.cluster) as stability from g where support >= 2), u as (select *, printf('%.4f', (0.65 * mean_score + 0.25 * support / n_frames + 0.1 * (0.5 * greatest(0, 1 - stability / 4) + 0.5 * greatest(0, 1 - vs / vm / 0.35))) * (1 + 1e-12))::double as consensus_score from t)"
 
 
-@query(P, sql=then(CLUSTERED) + " select pdb_id, cluster::int as cluster, round(cx, 4) as center_x, round(cy, 4) as center_y, round(cz, 4) as center_z, pocket_id, bio_score, druggable, support::int as support_frames, printf('%.4f', support / n_frames)::double as support_ratio, printf('%.4f', stability)::double as center_stability, printf('%.4f', vm)::double as volume_mean, printf('%.4f', vs)::double as volume_std, printf('%.4f', vs / vm)::double as volume_cv, consensus_score, frame_hits, row_number() over (partition by pdb_id order by consensus_score desc, bio_score desc, support desc, cluster)::int as rank from u")
+@query(P, sql=then(CLUSTERED) + " select pdb_id, cluster::int as cluster, round(cx, 4) as center_x, round(cy, 4) as center_y, round(cz, 4) as center_z, pocket_id, bio_score, druggable, support::int as support_frames, printf('%.4f', (support / n_frames) * (1 + 1e-12))::double as support_ratio, printf('%.4f', (stability) * (1 + 1e-12))::double as center_stability, printf('%.4f', (vm) * (1 + 1e-12))::double as volume_mean, printf('%.4f', (vs) * (1 + 1e-12))::double as volume_std, printf('%.4f', (vs / vm) * (1 + 1e-12))::double as volume_cv, consensus_score, frame_hits, row_number() over (partition by pdb_id order by consensus_score desc, bio_score desc, support desc, cluster)::int as rank from u")
 def frame_consensus(c: Carriers) -> DataFrame:
     """All frames of the table were analysed for every protein."""
     frames = c.base.select("pdb_id").distinct().crossJoin(F.broadcast(c.base.select("frame").distinct()))  # seven frames
@@ -520,7 +524,11 @@ def support_depth(c: Carriers) -> DataFrame:
     return geometry.buried(rows, geometry.support(rows)).select("pdb_id", "res_id", F.round("to_surface", 4).alias("to_surface"), "inside")
 
 
-@query()
+LATTICE = "box as (select pdb_id, min(x) as lx, min(y) as ly, min(z) as lz, floor((max(x) - min(x)) / 2)::int as nx, floor((max(y) - min(y)) / 2)::int as ny, floor((max(z) - min(z)) / 2)::int as nz, list(x) as xs, list(y) as ys, list(z) as zs from c_atoms group by 1), s0 as (select *, unnest(range(nx + 1)) as i0 from box), s1 as (select *, unnest(range(ny + 1)) as i1 from s0), s2 as (select *, unnest(range(nz + 1)) as i2, lx + i0 * 2.0::double as x, ly + i1 * 2.0::double as y from s1), pt as (select pdb_id, i0, i1, i2, x, y, lz + i2 * 2.0::double as z, xs, ys, zs from s2), near as (select pdb_id, i0, i1, i2, x, y, z, list_min(list_transform(range(1, len(xs) + 1), lambda n: sqrt((x - xs[n]) * (x - xs[n]) + (y - ys[n]) * (y - ys[n]) + (z - zs[n]) * (z - zs[n])))) as dist from pt), c as (select *, case when dist <= 12 then dist end as d from near), m as (select *, greatest(AROUND) as other from c window w0 as (partition by pdb_id, i1, i2 order by i0), w1 as (partition by pdb_id, i0, i2 order by i1), w2 as (partition by pdb_id, i0, i1 order by i2))"
+LATTICE = LATTICE.replace("AROUND", ", ".join(f"coalesce({f}(d) over w{k}, -1)" for k in range(3) for f in ("lag", "lead")))
+
+
+@query("c_atoms", sql=then(LATTICE) + " select pdb_id, (row_number() over (partition by pdb_id order by i0, i1, i2))::int as ordinal, x, y, z, round(d, 4) as clearance, round(4 / 3.0::double * pi() * d ** 3, 4) as volume from m where d is not null and d >= other")
 def void_lattice(c: Carriers) -> DataFrame:
     return geometry.lattice_voids(c.atoms)
 
