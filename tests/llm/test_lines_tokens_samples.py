@@ -15,7 +15,6 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cavitas.llm import alignment, line_rules, resample
