@@ -76,6 +76,11 @@ def threshold_sweep(row: DataFrame, metric: str, limits: Sequence[float]) -> Dat
 EVIDENCE = {"known_match": 0.2, "ligand_nearby": 0.3, "tool_match": 0.3, "docking_validated": 0.2}
 
 
+def candidates(pockets: DataFrame, top_n: int = 20) -> DataFrame:
+    """A17's input: the best top_n of each protein are judged, by their rank."""
+    return pockets.where(F.col("rank") <= top_n)
+
+
 def evidence_status(rows: DataFrame, threshold: float = 0.3, min_sources: int = 2) -> DataFrame:
     """Weighted evidence, then supported, unsupported or unknown with a reason.
 

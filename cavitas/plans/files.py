@@ -242,6 +242,14 @@ def insert_counts(c: Carriers) -> DataFrame:
     return c.spark.createDataFrame(found, "batch int, inserted long")
 
 
+@query(P, sql="select pdb_id, pocket_id, case when pocket_id % 5 = 0 then 1.5 else center_x end::double as center_x, case when pocket_id % 10 = 0 then 2.5 else center_y end::double as center_y from c_pockets")
+def conditional_update(c: Carriers) -> DataFrame:
+    """Each fifth pocket gets a new x, each tenth a new y, too."""
+    rows = c.base.select("pdb_id", "pocket_id", "center_x", "center_y")
+    changes = rows.where("pocket_id % 5 = 0").select("pdb_id", "pocket_id", F.lit(1.5).alias("center_x"), F.when(F.col("pocket_id") % 10 == 0, 2.5).alias("center_y"))
+    return tables.updated(rows, changes, tables.KEYS["pockets"], ["center_x", "center_y"])
+
+
 @query(P, sql="select 'hashes_equal' as \"check\", count(distinct tool) < 2 as pass from c_pockets union all select 'none_missing', count(distinct tool) < 2 from c_pockets")
 def manifest_checks(c: Carriers) -> DataFrame:
     """A manifest of all tools' files against those of the first tool alone."""

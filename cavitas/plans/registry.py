@@ -355,7 +355,7 @@ EVID = "e as (select pdb_id, pocket_id, bio_score, pocket_id % 4 = 0 as known_ma
 
 
 def _evidence(c: Carriers) -> DataFrame:
-    rows = c.pockets.where("rank <= 20").selectExpr("pdb_id", "pocket_id", "bio_score", "pocket_id % 4 = 0 as known_match", "pocket_id % 3 = 0 as ligand_nearby", "pocket_id % 5 = 0 as tool_match", "affinity < -6 as docking_validated", "cast(pocket_id % 3 as int) as sources", "true as center_ok")
+    rows = validation.candidates(c.pockets).selectExpr("pdb_id", "pocket_id", "bio_score", "pocket_id % 4 = 0 as known_match", "pocket_id % 3 = 0 as ligand_nearby", "pocket_id % 5 = 0 as tool_match", "affinity < -6 as docking_validated", "cast(pocket_id % 3 as int) as sources", "true as center_ok")
     return validation.evidence_status(rows)
 
 
