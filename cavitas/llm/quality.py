@@ -1,7 +1,7 @@
 """Operator 4, a quality classifier on averaged subword embeddings.
 
 A document is the average of learned vectors, one for each hashed word and each
-hashed character n-gram (over UTF-8 bytes, of N_GRAMS lengths) of its whole text; a
+hashed character n-gram (of N_GRAMS lengths, in code points) of its whole text; a
 softmax over the average gives the score. The vectors are learned by stochastic
 gradient descent in numpy from at most SAMPLE labelled rows, those whose
 hashed id is least; their features are counted by tasks, and one task learns from the counts.
@@ -10,7 +10,8 @@ costs one table lookup per feature.
 
 Edge cases: null labels and labels other than 0 and 1 teach nothing; a null or
 empty text scores as the bias alone; without labels of both classes every score is
-the share of 1 among the labels (0.5 without any); repeated rows are scored each.
+the share of 1 among the labels (0.5 without any); repeated rows are scored each; a text
+of any length is scored whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,25 +31,32 @@ BUCKET_BITS = 18
 N_GRAMS = (3, 4)
 DIM, EPOCHS, RATE = 8, 6, 0.5
 _random = np.random.default_rng(20240101)
-_BYTE = _random.integers(0, 1 << 32, (max(N_GRAMS), 256), np.uint32)
+_LOW = _random.integers(0, 1 << 32, (max(N_GRAMS), 256), np.uint32)
 _PLACE = _random.integers(0, 1 << 32, 64, np.uint32) | np.uint32(1)
+_HIGH = _random.integers(0, 1 << 32, max(N_GRAMS), np.uint32) | np.uint32(1)
 _MIX = np.uint32(2654435769)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
+def _hashed(x: np.ndarray, place: int) -> np.ndarray:
+    """Hashes of characters at a place of a gram."""
+    found = _LOW[place][x & 255]
+    return found if x.dtype == np.uint8 else found ^ (x >> 8) * _HIGH[place]
+
+
 def features(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per kind of feature its buckets and, per text, where its buckets start and end.
 
-    x: bytes of several texts, each from starts to ends and followed by a blank.
+    x: characters of several texts, each from starts to ends and followed by a blank.
     """
     shift = np.uint32(32 - BUCKET_BITS)
-    gram = _BYTE[0][x]
+    gram = _hashed(x, 0)
     for n in range(2, max(N_GRAMS) + 1):
-        gram = gram[:-1] ^ _BYTE[n - 1][x[n - 1 :]]
+        gram = gram[:-1] ^ _hashed(x[n - 1 :], n - 1)
         if n in N_GRAMS:
             yield (gram * _MIX) >> shift, starts, np.maximum(starts, ends - n + 1)
-    blank = _BLANK[x]
+    blank = _BLANK[np.minimum(x, 255)]
     first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     if not len(first):
         yield np.zeros(0, np.uint32), np.zeros(len(starts), int), np.zeros(len(starts), int)
@@ -56,20 +64,31 @@ def features(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tu
     begin = np.zeros(len(x), np.int64)
     begin[first] = np.diff(first, prepend=0)
     place = np.arange(len(x)) - np.cumsum(begin)
-    part = np.where(blank, np.uint32(0), _BYTE[1][x] * _PLACE[place & 63])
+    part = np.where(blank, np.uint32(0), _hashed(x, 1) * _PLACE[place & 63])
     yield (np.add.reduceat(part, first, dtype=np.uint32) * _MIX) >> shift, np.searchsorted(first, starts), np.searchsorted(first, ends)
 
 
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' characters, in bytes if all fit, and where each text starts and ends."""
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-    return np.frombuffer(b" ".join(texts) + b" " * max(N_GRAMS), np.uint8), ends - [len(t) for t in texts], ends
+    joined = " ".join(texts) + " " * max(N_GRAMS)
+    try:
+        x = np.frombuffer(joined.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        x = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    return x, ends - [len(t) for t in texts], ends
+
+
+def _characters(column: pa.Array) -> list[str]:
+    """The texts of an Arrow column; null counts as empty, bytes that are no UTF-8 as U+FFFD."""
+    return [t.decode("utf-8", "replace") for t in utf8(column)]
 
 
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets and their counts of each text, as packed 32-bit integers."""
     for batch in slices(batches, "text"):
         found = []
-        for text in utf8(batch["text"]):
+        for text in _characters(batch["text"]):
             each = [b[lo[0] : hi[0]] for b, lo, hi in features(*_joined([text]))]
             found.append(np.unique(np.concatenate(each), return_counts=True))
         packed = [pa.array([x[k].astype("<u4").tobytes() for x in found], pa.binary()) for k in (0, 1)]
@@ -89,7 +108,7 @@ def _scores(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = model.value
         for batch in slices(batches, "text", 1 << 19):
-            x, starts, ends = _joined(utf8(batch["text"]))
+            x, starts, ends = _joined(_characters(batch["text"]))
             total, n = np.zeros(len(starts)), np.zeros(len(starts))
             for bucket, lo, hi in features(x, starts, ends):
                 value, some = weight[bucket], hi > lo
