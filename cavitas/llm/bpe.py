@@ -36,6 +36,7 @@ import tempfile
 from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from sys import getsizeof
 
 import duckdb
 import numpy as np
@@ -45,8 +46,8 @@ from pyspark.sql import DataFrame
 
 from cavitas.llm.shared import slices, utf8
 
-#: Distinct chunks of text whose ids a task remembers, besides those of their words.
-MOST_KNOWN = 1_100_000
+#: Bytes that a task holds at most in chunks and words and their ids before it forgets them, and bytes of an entry besides these.
+MOST_HELD, ENTRY = 320 << 20, 80
 #: A blank next to white space or to an end of the text; elsewhere blanks part the pattern's words.
 UNCLEAR = re.compile(r"\s (?=.)| \s|^ | $", re.DOTALL)
 PART = re.compile(r"(?<=\S)(?= \S)")
@@ -121,6 +122,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         left, right, into = zip(*merges, strict=True) if merges else ((), (), ())
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})  # beyond that it spills to the task's own folder
@@ -188,16 +190,19 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self.chunks(t) if t else [] for t in texts]
-        if len(self.known) > MOST_KNOWN:
+        if self.held > MOST_HELD:
             self.known.clear()
             self.words.clear()
+            self.held = 0
         new = list(set().union(*parts) - self.known.keys())
         cut = [self.pattern.findall(c) for c in new]
         words = list({x for c in cut for x in c} - self.words.keys())
         for word, ids in zip(words, self.merge([x.encode() for x in words]), strict=True):
             self.words[word] = array("i", ids).tobytes()
+            self.held += getsizeof(word) + getsizeof(self.words[word]) + ENTRY
         get = self.words.__getitem__
         self.known.update((chunk, get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))) for chunk, ws in zip(new, cut, strict=True))
+        self.held += sum(map(getsizeof, new)) + sum(getsizeof(self.known[c]) for c, ws in zip(new, cut, strict=True) if len(ws) != 1) + ENTRY * len(new)
         return [np.frombuffer(b"".join([self.known[c] for c in p]), "<i4") for p in parts]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:

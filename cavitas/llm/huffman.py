@@ -20,6 +20,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ END_ID = 1
 LIMIT = 16
 #: Ids between two checkpoints, and ids from which a block is closed.
 EVERY, BLOCK = 128, 1 << 18
-#: Words whose ids a task remembers.
-MOST_KNOWN = 1_600_000
+#: Bytes that a task holds at most in words and their ids before it forgets them, and bytes of an entry besides these.
+MOST_HELD, ENTRY = 272 << 20, 80
 MARKS = tuple(".,;:!?")
 #: What added tokens start with; they are matched before the tokenizer lowers case.
 SPECIAL = "<|"
@@ -63,6 +64,7 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = _width(self.tokenizer.get_vocab_size())
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
 
@@ -96,12 +98,15 @@ class Tokens:
         self.known.update(self._one_by_one(list(new.difference(plain))))
         for word, (core, mark) in parts.items():
             self.known[word] = self.known[core] + self.known[mark] if mark else self.known[core]
+        for some in (new, parts):
+            self.held += sum(map(getsizeof, some)) + sum(map(getsizeof, map(self.known.__getitem__, some))) + ENTRY * len(some)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, with the end id, as little-endian integers of the tokenizer's width."""
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > MOST_KNOWN:
+        if self.held > MOST_HELD:
             self.known.clear()
+            self.held = 0
         self._learn(list(set().union(*words) - self.known.keys()) if words else [])
         end = np.asarray([END_ID], self.width).tobytes()
         get = self.known.__getitem__
