@@ -6,8 +6,9 @@ r + 2 bands of bits, so each fingerprint is dealt to one bucket per pair of
 bands; within a bucket the bit planes are stored vertically, carry-save
 counters add up the differing planes of many pairs at once, and a block is
 abandoned once every pair in it exceeds the radius. Buckets above
-LARGE_BUCKET are first dealt out anew by bands of their remaining bits, which loses
-no link. A bucket gives the links of a spanning forest of its own, never all
+LARGE_BUCKET are dealt out anew by bands of their remaining bits, which loses no link,
+for as long as that lowers the rows in such buckets; what it cannot part lies close
+together, and a spanning forest reaches it in few steps. A bucket gives the links of a spanning forest of its own, never all
 pairs of a group; components then grow by alternating star contractions.
 
 Edge cases: a null or word-free text has fingerprint zero and links like any
@@ -82,6 +83,10 @@ def _mask(bits: list[int]) -> int:
     return sum(1 << int(b) for b in bits)
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> BITS - 1 else mask
+
+
 def _planes(fp: np.ndarray) -> np.ndarray:
     """(64, n) bits, the highest first."""
     return np.unpackbits(fp.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).T
@@ -182,6 +187,26 @@ def _links(radius: int):
     return run
 
 
+def _anew(radius: int):
+    """Rows of large buckets, dealt by bands of the bits outside the bucket's own.
+
+    These bits of two linked fingerprints differ in radius places at most, so one of radius + 1 bands agrees.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch["mask"].to_numpy()
+            for mask in np.unique(held):
+                rows = batch.filter(pa.array(held == mask))
+                own = int(mask) % (1 << BITS)
+                for k, band in enumerate(_bands([b for b in range(BITS) if not own >> b & 1], radius + 1)):
+                    wider = pa.array(np.full(rows.num_rows, _signed(own | _mask(band)), np.int64))
+                    turn = pa.array(np.full(rows.num_rows, k, np.int32))
+                    yield pa.record_batch([rows["fp"], rows["bucket"], turn, wider], names=["fp", "of", "t", "mask"])
+
+    return run
+
+
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """(a, b) links between distinct fingerprints: enough of them to connect each component.
 
@@ -190,22 +215,20 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     groups = _bands(list(range(BITS)), radius + 2)
     masks = [_mask(x + y) for x, y in combinations(groups, 2)]
 
-    def deal(df: DataFrame, masks: list[tuple[int, int]], key: list[str]) -> DataFrame:
-        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-        bucket = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(signed)))
-        return df.select(*key, "fp", F.explode(bucket).alias("of"))
-
-    dealt = deal(fps, masks, []).select("fp", F.xxhash64("of.t", "of.v").alias("bucket"), F.col("of.t").alias("t"))
-    heavy = stored(dealt.groupBy("bucket").count().where(F.col("count") > LARGE_BUCKET).select("bucket"), "heavy")
-    if not heavy.isEmpty():
-        # the bits outside the bucket's own differ in radius places at most: one of radius + 1 bands agrees
-        cases = F.array()
-        for t, m in enumerate(masks):
-            rest = _bands([b for b in range(BITS) if not m >> b & 1], radius + 1)
-            signed = [x - (1 << 64) if x >> 63 else x for x in map(_mask, rest)]
-            cases = F.when(F.col("t") == t, F.array(*(F.xxhash64("bucket", F.lit(k), F.col("fp").bitwiseAND(F.lit(x))) for k, x in enumerate(signed)))).otherwise(cases)
-        again = dealt.join(heavy, "bucket", "left_semi").select("fp", F.explode(cases).alias("bucket"))
-        dealt = dealt.join(heavy, "bucket", "left_anti").select("fp", "bucket").unionByName(again)
+    cases = F.array(*(F.struct(F.lit(k).alias("t"), F.lit(_signed(m)).alias("mask")) for k, m in enumerate(masks)))
+    dealt = fps.select("fp", F.explode(cases).alias("of")).select("fp", F.xxhash64("of.t", F.col("fp").bitwiseAND(F.col("of.mask"))).alias("bucket"), "of.mask")
+    done, before = [], None
+    while True:
+        heavy = stored(dealt.groupBy("bucket").count().where(F.col("count") > LARGE_BUCKET), "heavy")
+        now = heavy.agg(F.sum("count")).first()[0]
+        if now is None or before is not None and now >= before:
+            break
+        done.append(dealt.join(heavy, "bucket", "left_anti"))
+        again = dealt.join(heavy, "bucket", "left_semi").mapInArrow(_anew(radius), "fp long, of long, t int, mask long")
+        dealt = stored(again.select("fp", F.xxhash64("of", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "mask"), "dealt")
+        before = now
+    for part in done:
+        dealt = dealt.unionByName(part)
     rows = dealt.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket", "fp")
     return rows.mapInArrow(_links(radius), "a long, b long").distinct()
 

@@ -78,6 +78,20 @@ def test_every_token_is_merged_from_its_bytes_in_the_order_of_ranks():
     assert own._contract(bpe.MERGE, some) == own._contract(bpe.LONG_MERGE.format(reach=12), some) == [[own.ranks[t]] for t in some]
 
 
+def test_caches_are_bounded_in_bytes(monkeypatch):
+    """Long chunks count by their bytes; what was forgotten is learned again."""
+    rng = random.Random(21)
+    texts_ = ["".join(rng.choice("abcdefgh") for _ in range(3000)) + f" word{k} und {k} ,mark." for k in range(12)] * 2
+    monkeypatch.setattr(bpe, "MOST_HELD", 20_000)
+    monkeypatch.setattr(huffman, "MOST_HELD", 20_000)
+    coder, tokens, library = bpe.Codec(BPE, public_tokenizers.PATTERN), huffman.Tokens(WORDS), Tokenizer.from_file(WORDS)
+    ref = tiktoken.Encoding("ref", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    for text in texts_:
+        assert coder.encode([text])[0].tolist() == ref.encode_ordinary(text)
+        assert np.frombuffer(tokens.encode([text])[0], tokens.width).tolist() == [*library.encode(text, add_special_tokens=False).ids, huffman.END_ID]
+        assert coder.held < 80_000 and len(coder.known) < 40 and tokens.held < 80_000 and len(tokens.known) < 60
+
+
 def test_long_words_equal_tiktoken():
     """Words of up to 100,000 bytes: random letters, runs, text without blanks, other scripts."""
     own = bpe.codec(BPE, public_tokenizers.PATTERN)
@@ -152,22 +166,26 @@ def test_quality_learns_and_leaves_held_out_alone(spark):
     swapped = labels.withColumn("quality", F.when(out, 1 - F.col("quality")).otherwise(F.col("quality")))
     again = {r["doc_id"]: r["score"] for r in quality.classify(docs, swapped, out).collect()}
     assert all(again[k] == pytest.approx(r["score"]) for k, r in got.items())
+    twice = docs.union(docs.where("doc_id < 5")).selectExpr("*", "1 as score", "'k' as key", "0 as quality", "2 as predicted")
+    more = quality.classify(twice, labels.selectExpr("*", "'x' as text", "3 as key"), out).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("score").alias("values")).collect()
+    assert {(r["doc_id"], r["n"], r["values"]) for r in more} == {(k, 2 if k < 5 else 1, 1) for k in got}
     none = quality.classify(docs, labels.where("false"), out).collect()
     assert {r["score"] for r in none} == {0.5} and quality.classify(docs.where("false"), labels, out).count() == 0
 
 
-def direct_buckets(text: bytes) -> list[int]:
-    """Buckets of a text's grams and words, one after another, in plain integers."""
+def direct_buckets(text: str) -> list[int]:
+    """Buckets of a text's character grams and words, one after another, in plain integers."""
+    hashed = lambda c, place: int(quality._LOW[place][ord(c) % 256]) ^ (ord(c) // 256 * int(quality._HIGH[place]) & 0xFFFFFFFF)
     top = lambda h: (h * int(quality._MIX) & 0xFFFFFFFF) >> (32 - quality.BUCKET_BITS)
     found = []
     for n in quality.N_GRAMS:
         for k in range(len(text) - n + 1):
             h = 0
-            for i, b in enumerate(text[k : k + n]):
-                h ^= int(quality._BYTE[i][b])
+            for i, c in enumerate(text[k : k + n]):
+                h ^= hashed(c, i)
             found.append(top(h))
-    for word in re.findall(rb"[^\x09-\x0D\x20]+", text):
-        found.append(top(sum(int(quality._BYTE[1][b]) * int(quality._PLACE[i & 63]) for i, b in enumerate(word)) & 0xFFFFFFFF))
+    for word in re.findall(r"[^\x09-\x0D\x20]+", text):
+        found.append(top(sum(hashed(c, 1) * int(quality._PLACE[i & 63]) for i, c in enumerate(word)) & 0xFFFFFFFF))
     return found
 
 
@@ -194,10 +212,11 @@ def direct_descent(texts: list[list[int]], labels: list[int], seed: int = 7):
 def test_quality_equals_a_direct_version(spark):
     """Features, descent and score: the folded score equals the softmax over the averaged vectors."""
     rng = random.Random(14)
-    rows = [(k, " ".join(rng.choice(("fine", "good", "Ünder", "x") if k % 2 else ("bad", "$$", "n\tn")) for _ in range(rng.randint(1, 12)))) for k in range(24)]
-    texts_, labels = [direct_buckets(t.encode()) for _, t in rows], [k % 2 for k, _ in rows]
+    rows = [(k, " ".join(rng.choice(("fine", "good", "Ünder", "x", "品质很好", "😀") if k % 2 else ("bad", "$$", "n\tn")) for _ in range(rng.randint(1, 12)))) for k in range(24)]
+    texts_, labels = [direct_buckets(t) for _, t in rows], [k % 2 for k, _ in rows]
+    assert len(direct_buckets("品质很好")) == 2 + 1 + 1  # grams of characters, not of bytes
     for (_, t), want in zip(rows, texts_, strict=True):
-        got = [b[lo[0] : hi[0]] for b, lo, hi in quality.features(*quality._joined([t.encode()]))]
+        got = [b[lo[0] : hi[0]] for b, lo, hi in quality.features(*quality._joined([t]))]
         assert sorted(np.concatenate(got).tolist()) == sorted(want)
     counted = [np.unique(x, return_counts=True) for x in texts_]
     weight, level = quality.descend([b for b, _ in counted], [n for _, n in counted], np.asarray(labels))
@@ -320,7 +339,7 @@ def test_simhash_equals_brute_force(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
-@pytest.mark.parametrize(("small", "large"), [(48, 20_000), (2, 20_000), (48, 5)])
+@pytest.mark.parametrize(("small", "large"), [(48, 20_000), (2, 20_000), (48, 5), (2, 1)])
 def test_links_connect_the_same_components(spark, monkeypatch, small, large):
     monkeypatch.setattr(simhash, "SMALL_BUCKET", small)
     monkeypatch.setattr(simhash, "LARGE_BUCKET", large)
