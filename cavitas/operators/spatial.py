@@ -25,10 +25,11 @@ def around(rows: DataFrame, size: float, axes=AXES, name: str = "cell") -> DataF
 def within(left: DataFrame, right: DataFrame, radius: float, key: str = "pdb_id", how: str = "inner", left_axes=AXES, right_axes=AXES) -> DataFrame:
     """Pairs of one key no further apart than radius; the columns of both sides must differ but for the key.
 
-    The right side, which should be the smaller, is repeated to the cells around it.
+    The right side, which should be the smaller, is repeated to the cells around it. Spark takes it for as small as it was before that,
+    so the join is told to sort and merge: a broadcast would bring 27 rows for each of its rows to the driver.
     """
     a = cells(left, radius, left_axes, "_cell").alias("a")
-    b = around(right, radius, right_axes, "_cell").withColumnRenamed(key, "_key").alias("b")
+    b = around(right, radius, right_axes, "_cell").withColumnRenamed(key, "_key").alias("b").hint("merge")
     d = S.distance([f"a.{x}" for x in left_axes], [f"b.{x}" for x in right_axes])
     on = (F.col(f"a.{key}") == F.col("b._key")) & (F.col("a._cell") == F.col("b._cell")) & (d <= radius)
     return a.join(b, on, how).withColumn("dist", d).drop("_cell", "_key")
