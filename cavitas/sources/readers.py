@@ -145,6 +145,10 @@ def tool_filter(rows: DataFrame, min_volume: float, min_score: float = 0.2) -> D
     return rows.where((F.nanvl("volume", F.lit(0.0)) >= min_volume) & (F.nanvl("score", F.lit(0.0)) >= min_score))
 
 
+#: A number as text, with an exponent or without: small ones are written as 1.0E-4.
+NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+
+
 def _under_headers(spark: SparkSession, path: str) -> DataFrame:
     """Lines with the pocket of the last header above them or in them: "pocket" and a number, in any case."""
     head = F.regexp_extract("value", r"(?i)pocket\s*(\d+)", 1)
@@ -154,7 +158,7 @@ def _under_headers(spark: SparkSession, path: str) -> DataFrame:
 
 def tool_info(spark: SparkSession, path: str) -> DataFrame:
     """Key and value lines under pocket headers as they are, one row per pocket and key."""
-    key, value = F.trim(F.regexp_extract("value", r"^\s*([^:]+?)\s*:", 1)), F.regexp_extract("value", r":\s*(-?\d+(?:\.\d+)?)", 1).try_cast("double")
+    key, value = F.trim(F.regexp_extract("value", r"^\s*([^:]+?)\s*:", 1)), F.regexp_extract("value", rf":\s*({NUMBER})", 1).try_cast("double")
     return _under_headers(spark, path).where("head is null").select("file", "pocket_id", key.alias("key"), value.alias("value")).where("key <> '' and value is not null")
 
 
@@ -162,7 +166,7 @@ def tool_pockets(spark: SparkSession, path: str) -> DataFrame:
     """druggability_score, volume and score of each pocket of each file: the last number of the last line that names them, whatever the version's wording."""
     text = F.lower("value")
     kind = F.when(text.contains("drugg") & text.contains("score"), "druggability_score").when(text.contains("volume") & ~text.contains("volume score"), "volume").when(F.trim(F.translate(text, "\t", " ")).startswith("score"), "score")
-    number = F.element_at(F.regexp_extract_all("value", F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), -1).cast("double")
+    number = F.element_at(F.regexp_extract_all("value", F.lit(NUMBER), F.lit(0)), -1).cast("double")
     rows = _under_headers(spark, path).select("file", "pocket_id", "line_no", kind.alias("kind"), F.when(F.col("value").rlike(r"\d"), number).alias("number"))
     last = lambda k: F.max_by("number", F.when((F.col("kind") == k) & F.col("number").isNotNull(), F.col("line_no"))).alias(k)
     return rows.groupBy("file", "pocket_id").agg(*map(last, ("druggability_score", "volume", "score")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cavitas.operators import graph, spatial
+from cavitas.sources import readers
 
 
 def plan(df) -> str:
@@ -19,3 +20,11 @@ def test_neighbour_searches_bring_no_rows_of_cells_to_the_driver(spark):
     near = spatial.nearest_within(centers, spatial.renamed(rows, "a_"), 9.0, "pdb_id", ["res_id"], ["cx", "cy", "cz"], ["a_x", "a_y", "a_z"], ["a_res_id"], "a_res_id")
     for found in (graph.contacts(rows), near):
         assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
+
+
+def test_small_scores_in_tool_files_keep_their_exponent(spark, tmp_path):
+    (tmp_path / "one").write_text("Pocket 7 :\n\tScore : \t1.0E-4\n\tDruggability Score : 2.5e-05\n\tVolume : \t81.0125\n")
+    info = {r["key"]: r["value"] for r in readers.tool_info(spark, str(tmp_path)).collect()}
+    assert info == {"Score": 1e-4, "Druggability Score": 2.5e-5, "Volume": 81.0125}
+    row = readers.tool_pockets(spark, str(tmp_path)).drop("file").first()
+    assert row.asDict() == {"pocket_id": 7, "druggability_score": 2.5e-5, "volume": 81.0125, "score": 1e-4}
