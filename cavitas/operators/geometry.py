@@ -6,6 +6,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,13 +50,12 @@ def buried(points: DataFrame, hull: DataFrame, k: int = 64, key: str = "pdb_id")
 def hull_volume(points: DataFrame, step: float = 1.0, k: int = 64, key: tuple[str, ...] = ("pdb_id", "cavity_id")) -> DataFrame:
     """Number of lattice points inside the hull times the cell's volume."""
     box = points.groupBy(*key).agg(*(f(c).alias(f"{n}{c}") for c in AXES for f, n in ((F.min, "lo"), (F.max, "hi"))))
-    rows = box
+    rows = box.join(support(points, k, key), list(key))  # one row per key; the lattice comes after, where it is counted
     for c in AXES:
         steps = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil((F.col(f"hi{c}") - F.col(f"lo{c}")) / step) - 1, F.lit(0))))
         rows = rows.withColumn("_i", steps).withColumn(c, F.col(f"lo{c}") + (F.col("_i") + 0.5) * step).drop("_i")
-    hull = support(points, k, key)
     gaps = F.zip_with("h", _dots(k), lambda h, d: h - d)
-    inside = rows.join(hull, list(key)).where(F.array_min(gaps) >= 0)
+    inside = rows.where(F.array_min(gaps) >= 0)
     return box.select(*key).join(inside.groupBy(*key).agg((F.count("*") * step**3).alias("hull_volume")), list(key), "left").fillna(0.0, ["hull_volume"])
 
 
@@ -80,24 +80,54 @@ def sphericity(points: DataFrame, key: tuple[str, ...] = ("pdb_id", "cavity_id")
     return m.select(*key, F.round(value, 6).alias("sphericity"))
 
 
-def lattice_voids(atoms: DataFrame, step: float = 2.0, reach: float = 12.0) -> DataFrame:
+#: Lattice points along each side of the blocks in which clearances are computed.
+BLOCK = 32
+
+
+def lattice_voids(atoms: DataFrame, step: float = 2.0, reach: float = 12.0, block: int = BLOCK) -> DataFrame:
     """Lattice points of every structure's box with their clearance, those of locally largest clearance.
 
-    Distances come from cells of the reach, so points beyond it from every atom are no voids.
+    Points beyond the reach of every atom are no voids. Each atom goes to the blocks of the lattice that it reaches; a block
+    computes the clearances of its points and of those next to it, so that its own can be compared, and lattice points are never shuffled.
     """
-    box = atoms.groupBy("pdb_id").agg(*(f(c).alias(f"{n}{c}") for c in AXES for f, n in ((F.min, "lo"), (F.max, "hi"))))
-    rows = box
+    whole = W.partitionBy("pdb_id")
+    rows = atoms.select("pdb_id", *AXES, *(F.min(c).over(whole).alias(f"lo{c}") for c in AXES), *(F.max(c).over(whole).alias(f"hi{c}") for c in AXES)).dropna(subset=AXES)
     for k, c in enumerate(AXES):
-        rows = rows.withColumn(f"i{k}", F.explode(F.sequence(F.lit(0), F.floor((F.col(f"hi{c}") - F.col(f"lo{c}")) / step).cast("int")))).withColumn(c, F.col(f"lo{c}") + F.col(f"i{k}") * step)
-    points = rows.select("pdb_id", "i0", "i1", "i2", *AXES)
-    other = spatial.renamed(atoms.select("pdb_id", "res_id", *AXES), "a_")
-    near = spatial.nearest_within(points, other, reach, "pdb_id", ["i0", "i1", "i2", *AXES], AXES, ("a_x", "a_y", "a_z"), ["a_res_id"], "a_res_id")
-    near = near.where(F.col("dist").isNotNull()).select("pdb_id", "i0", "i1", "i2", *AXES, F.col("dist").alias("clearance"))
-    # a point is kept unless one of its six neighbours has a larger clearance
-    moves = F.array(*(F.array(*map(F.lit, d)) for d in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))))
-    offered = near.withColumn("_m", F.explode(moves)).select("pdb_id", *((F.col(f"i{k}") + F.col("_m")[k]).alias(f"i{k}") for k in range(3)), F.col("clearance").alias("other"))
-    best = offered.groupBy("pdb_id", "i0", "i1", "i2").agg(F.max("other").alias("other"))
-    kept = near.join(best, ["pdb_id", "i0", "i1", "i2"], "left").where(F.col("other").isNull() | (F.col("clearance") >= F.col("other")))
+        at = lambda x, c=c: F.floor((x - F.col(f"lo{c}")) / step)
+        rows = rows.withColumn(f"n{k}", at(F.col(f"hi{c}")).cast("int"))
+        # one point more at both ends than the atom reaches, and the points next to a block
+        first, last = F.floor((at(F.col(c) - reach) - 2) / block), F.floor((at(F.col(c) + reach) + 2) / block)
+        rows = rows.withColumn(f"b{k}", F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.floor(F.col(f"n{k}") / block)).cast("int"))))
+
+    def run(group: pa.Table) -> pa.Table:
+        first = group.slice(0, 1).to_pylist()[0]
+        points = np.stack([group[c].to_numpy() for c in AXES], axis=1)
+        begin = [first[f"b{k}"] * block for k in range(3)]
+        start = [max(b - 1, 0) for b in begin]
+        stop = [min(b + block + 1, first[f"n{k}"] + 1) for k, b in enumerate(begin)]
+        at = [first[f"lo{c}"] + np.arange(i, j) * step for c, i, j in zip(AXES, start, stop, strict=True)]
+        low = [np.searchsorted(x, points[:, k] - (reach + step)) for k, x in enumerate(at)]
+        high = [np.searchsorted(x, points[:, k] + (reach + step)) for k, x in enumerate(at)]
+        best = np.full([len(x) for x in at], np.inf)
+        for n, p in enumerate(points):
+            near = tuple(slice(low[k][n], high[k][n]) for k in range(3))
+            dx, dy, dz = (np.square(at[k][near[k]] - p[k]) for k in range(3))
+            part = best[near]
+            np.minimum(part, (dx[:, None, None] + dy[None, :, None]) + dz[None, None, :], out=part)
+        best = np.sqrt(best)
+        clear = np.pad(np.where(best <= reach, best, -1.0), 1, constant_values=-1.0)
+        # a point is kept unless one of its six neighbours has a larger clearance
+        other = np.max([clear[2:, 1:-1, 1:-1], clear[:-2, 1:-1, 1:-1], clear[1:-1, 2:, 1:-1], clear[1:-1, :-2, 1:-1], clear[1:-1, 1:-1, 2:], clear[1:-1, 1:-1, :-2]], axis=0)
+        clear = clear[1:-1, 1:-1, 1:-1]
+        kept = np.nonzero((clear >= 0) & (clear >= other))
+        index = [i + s for i, s in zip(kept, start, strict=True)]
+        own = np.all([(i >= b) & (i < b + block) for i, b in zip(index, begin, strict=True)], axis=0)
+        columns = {"pdb_id": pa.array([first["pdb_id"]] * int(own.sum()), pa.string())}
+        columns |= {f"i{k}": pa.array(i[own].astype(np.int32)) for k, i in enumerate(index)}
+        columns |= {c: pa.array(x[i[own]]) for c, x, i in zip(AXES, at, kept, strict=True)}
+        return pa.table(columns | {"clearance": pa.array(clear[kept][own])})
+
+    kept = rows.groupBy("pdb_id", "b0", "b1", "b2").applyInArrow(run, "pdb_id string, i0 int, i1 int, i2 int, x double, y double, z double, clearance double")
     ordinal = F.row_number().over(W.partitionBy("pdb_id").orderBy("i0", "i1", "i2"))
     return kept.select("pdb_id", ordinal.alias("ordinal"), *AXES, F.round("clearance", 4).alias("clearance"), F.round(S.sphere_volume("clearance"), 4).alias("volume"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from cavitas.operators import graph, spatial
+import numpy as np
+
+from cavitas.operators import geometry, graph, spatial
 from cavitas.sources import readers
 
 
@@ -28,3 +30,18 @@ def test_small_scores_in_tool_files_keep_their_exponent(spark, tmp_path):
     assert info == {"Score": 1e-4, "Druggability Score": 2.5e-5, "Volume": 81.0125}
     row = readers.tool_pockets(spark, str(tmp_path)).drop("file").first()
     assert row.asDict() == {"pocket_id": 7, "druggability_score": 2.5e-5, "volume": 81.0125, "score": 1e-4}
+
+
+def test_void_lattices_do_not_depend_on_blocks_and_shuffle_atoms_alone(spark):
+    rows = points(spark, 40)
+    xyz = np.asarray([r[-3:] for r in rows.collect()])
+    size = np.floor(np.ptp(xyz, axis=0) / 2).astype(int) + 1
+    at = np.stack(np.meshgrid(*map(np.arange, size), indexing="ij"), axis=-1)
+    near = np.sqrt((((xyz.min(axis=0) + at * 2.0)[..., None, :] - xyz) ** 2).sum(axis=-1)).min(axis=-1)
+    clear = np.pad(np.where(near <= 5, near, -1), 1, constant_values=-1)
+    around = np.max([np.roll(clear, d, axis=a) for a in range(3) for d in (1, -1)], axis=0)[1:-1, 1:-1, 1:-1]
+    want = [tuple(xyz.min(axis=0) + p * 2.0) for p in at[(near <= 5) & (near >= around)]]
+    for block in (3, 4, 32):
+        found = geometry.lattice_voids(rows, 2.0, 5.0, block)
+        assert [tuple(r[2:5]) for r in found.orderBy("ordinal").collect()] == want
+        assert "Join" not in plan(found)
