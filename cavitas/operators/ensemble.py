@@ -50,22 +50,25 @@ def consensus(pockets: DataFrame, top_n: int = 50, min_support: int = 2, reach:
             sizes[at] += 1
             own[i] = at
         rows = []
-        for c in range(k):
-            part = group[own == c]
-            support = part["frame"].nunique()
+        frames, scores, druggable, ids, volumes_of = (group[c].to_numpy() for c in ("frame", "bio_score", "druggable", "pocket_id", "volume"))
+        mean_of, place_of = (np.nanmean, np.nanargmax) if np.isnan(scores).any() else (np.mean, np.argmax)
+        by_cluster = np.argsort(own, kind="stable")
+        for c, part in enumerate(np.split(by_cluster, np.cumsum(np.bincount(own, minlength=k))[:-1])):
+            hits = np.unique(frames[part])
+            support = len(hits)
             if support < min_support and not with_all:
                 continue
-            xyz = part[list(CENTER)].to_numpy()
+            xyz = points[part]
             center = xyz.mean(axis=0)
             stability = float(np.sqrt(((xyz - center) ** 2).sum(axis=1)).mean())
-            volumes = part["volume"].tolist()
+            volumes = volumes_of[part].tolist()
             mean = math.fsum(volumes) / len(volumes)  # whatever the order
             std = math.sqrt(math.fsum((v - mean) ** 2 for v in volumes) / len(volumes))
             cv = std / mean if mean > 1e-8 else float("inf")
             steady = 0.5 * max(0.0, 1 - stability / stability_max) + 0.5 * max(0.0, 1 - cv / cv_max)
-            score = half_up(0.65 * float(part["bio_score"].mean()) + 0.25 * support / n_frames + 0.10 * steady)
-            best = part.loc[part["bio_score"].idxmax()]
-            rows.append((group["pdb_id"].iloc[0], c, *center, int(best["pocket_id"]), float(best["bio_score"]), bool(part["druggable"].any()), support, *map(half_up, (support / n_frames, stability, mean, std, cv)), score, sorted(set(part["frame"].astype(int))), 0))
+            score = half_up(0.65 * float(mean_of(scores[part])) + 0.25 * support / n_frames + 0.10 * steady)
+            best = part[place_of(scores[part])]
+            rows.append((group["pdb_id"].iloc[0], c, *center, int(ids[best]), float(scores[best]), bool(druggable[part].any()), support, *map(half_up, (support / n_frames, stability, mean, std, cv)), score, hits.astype(int).tolist(), 0))
         out = pd.DataFrame(rows, columns=[f.split()[0] for f in CONSENSUS.split(", ")])
         out = out.sort_values(["consensus_score", "bio_score", "support_frames", "cluster"], ascending=[False, False, False, True])
         return out.assign(rank=range(1, len(out) + 1))
@@ -73,7 +76,11 @@ def consensus(pockets: DataFrame, top_n: int = 50, min_support: int = 2, reach:
     total = (pockets if frames is None else frames).groupBy("pdb_id").agg(F.count_distinct("frame").alias("n_frames"))
     rows = pockets.where(S.valid_center(F.array(*CENTER))).join(total, "pdb_id")
     rows = rows.withColumn("frame_rank", F.row_number().over(by(desc("bio_score"), "pocket_id", partition=["pdb_id", "frame"]))).where(F.col("frame_rank") <= top_n)
-    return rows.select("pdb_id", "frame", "frame_rank", "n_frames", "pocket_id", "bio_score", "volume", "druggable", *CENTER).groupBy("pdb_id").applyInPandas(run, CONSENSUS)
+    rows = rows.select("pdb_id", "frame", "frame_rank", "n_frames", "pocket_id", "bio_score", "volume", "druggable", *CENTER)
+    # few bytes but much work a structure: by its bytes alone, Spark would give them all to one task
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, "pdb_id").groupBy("pdb_id").applyInPandas(run, CONSENSUS)
 
 
 def consensus_stats(rows: DataFrame) -> DataFrame:

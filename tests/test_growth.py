@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from cavitas.operators import geometry, graph, spatial
+from cavitas.operators import ensemble, geometry, graph, spatial
 from cavitas.sources import readers
 
 
@@ -45,3 +46,10 @@ def test_void_lattices_do_not_depend_on_blocks_and_shuffle_atoms_alone(spark):
         found = geometry.lattice_voids(rows, 2.0, 5.0, block)
         assert [tuple(r[2:5]) for r in found.orderBy("ordinal").collect()] == want
         assert "Join" not in plan(found)
+
+
+def test_consensus_is_worked_out_by_more_than_one_task(spark):
+    rows = spark.range(400).selectExpr("concat('P', cast(id % 50 as string)) as pdb_id", "cast(id % 4 as int) as frame", "id as pocket_id", "cast(0.5 as double) as bio_score", "cast(id % 9 as double) as volume", "true as druggable", *(f"cast(id % {n} as double) as center_{a}" for n, a in ((5, "x"), (7, "y"), (3, "z"))))
+    found = ensemble.consensus(rows.union(rows.limit(0)), min_support=1)
+    tasks = found.groupBy(F.spark_partition_id()).count()
+    assert tasks.count() > 4
