@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from cavitas.operators import ensemble, geometry, graph, spatial
+from cavitas.operators import ensemble, geometry, graph, ml, spatial
 from cavitas.sources import readers
 
 
@@ -53,3 +53,20 @@ def test_consensus_is_worked_out_by_more_than_one_task(spark):
     found = ensemble.consensus(rows.union(rows.limit(0)), min_support=1)
     tasks = found.groupBy(F.spark_partition_id()).count()
     assert tasks.count() > 4
+
+
+def test_a_calibration_runs_its_models_once_and_fits_points_of_scores(spark, monkeypatch):
+    seen, own = [], ml.stored
+    monkeypatch.setattr(ml, "stored", lambda df, name: seen.append(own(df, name)) or seen[-1])
+    rows = spark.range(900).selectExpr("concat('P', cast(id % 30 as string)) as pdb_id", "cast(id % 10 as double) as a", "cast(id % 10 >= 5 as int) as y_true")
+    model = ml.calibrated(rows, ("a",), "logistic")
+    assert seen[0].agg(F.sum("weight")).first()[0] == 900 and seen[0].count() == seen[0].select("y_proba").distinct().count()
+    assert list(model.predictions)[0] == 0.0 and list(model.predictions)[-1] == 1.0
+
+
+def test_training_rows_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ml, "TASK_ROWS", 10)
+    fitted = []
+    monkeypatch.setattr(ml, "estimator", lambda kind, seed: type("E", (), {"fit": lambda self, df: fitted.append(df)})())
+    ml.train(spark.range(100).coalesce(1).selectExpr("cast(id as double) as a", "cast(id % 2 as int) as y_true"), ("a",))
+    assert fitted[0].rdd.getNumPartitions() >= 8
