@@ -17,9 +17,13 @@ CRAWL = "pdb_id string, status string, runtime double, total_cavities int, drugg
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with their file and number."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return text.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
+    """Text lines with their file and place, which orders those of a file: the start of their split and their number in its task.
+
+    Files are split as Spark splits them, so a task holds a line and no whole file.
+    """
+    text = spark.read.text(path, lineSep="\n")
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("k"))
+    return text.select(F.col("_metadata.file_path").alias("file"), place.alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("value"))
 
 
 def _cut(first: int, last: int) -> Column:

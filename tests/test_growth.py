@@ -70,3 +70,18 @@ def test_training_rows_are_dealt_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(ml, "estimator", lambda kind, seed: type("E", (), {"fit": lambda self, df: fitted.append(df)})())
     ml.train(spark.range(100).coalesce(1).selectExpr("cast(id as double) as a", "cast(id % 2 as int) as y_true"), ("a",))
     assert fitted[0].rdd.getNumPartitions() >= 8
+
+
+def test_lines_of_one_file_come_from_many_tasks_in_their_order(spark, tmp_path):
+    (tmp_path / "one").write_text("".join(f"Pocket {k} :\r\n\tScore : \t{k}.5\r\n\tVolume : \t{k}\r\n" for k in range(500)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = readers.lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 4
+        ordered = [r["value"] for r in rows.orderBy("line_no").collect()]
+        assert ordered[:3] == ["Pocket 0 :", "\tScore : \t0.5", "\tVolume : \t0"] and ordered[-1] == "\tVolume : \t499"
+        found = {r["pocket_id"]: (r["score"], r["volume"]) for r in readers.tool_pockets(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found == {k: (k + 0.5, float(k)) for k in range(500)}
