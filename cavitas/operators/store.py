@@ -11,6 +11,7 @@ import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cavitas.operators import tables
@@ -104,24 +105,40 @@ class Atlas:
             keys = tables.KEYS[name]
             folder = f"data/{name}/c{version}-{uuid.uuid4().hex}"
             placed = rows.withColumn(BUCKET, self.bucket_of(F.col("pdb_id")))
-            touched = {r[BUCKET] for r in placed.select(BUCKET).distinct().collect()}  # a number per bucket at most
-            if not touched:
-                continue
-            old = self._read(before, name, touched)
+            old = touched = None
+            if name in held:  # only then the buckets must be known before they are written
+                touched = {r[BUCKET] for r in placed.select(BUCKET).distinct().collect()}  # a number per bucket at most
+                if not touched:
+                    continue
+                old = self._read(before, name, touched)
             merged = placed if old is None else old.withColumn(BUCKET, self.bucket_of(F.col("pdb_id"))).unionByName(placed, allowMissingColumns=True)
             slice_ = F.pmod(F.xxhash64(*keys), F.lit(self.slices))
             spread = merged.withColumn("_slice", slice_).repartition(BUCKET, "_slice")
-            last = tables.newest(spread, [BUCKET, "_slice", *keys], seq, CREATED).drop("_slice")
-            out = last.sortWithinPartitions(BUCKET, *keys)
+            # the sort that brings a key's rows together is also that of the files
+            own = W.partitionBy(BUCKET, *keys, "_slice")
+            if CREATED in spread.columns:
+                spread = spread.withColumn(CREATED, F.min(CREATED).over(own))
+            place = F.row_number().over(own.orderBy(F.coalesce(F.col(seq), F.lit(-1)).desc()))
+            out = spread.withColumn("_place", place).where("_place = 1").drop("_place", "_slice").sortWithinPartitions(BUCKET, *keys)
             out.write.partitionBy(BUCKET).option("compression", "zstd").parquet(f"{self.path}/{folder}")
+            if touched is None:
+                touched = self._written(folder)
+                if not touched:
+                    continue
             schema = ", ".join(f"`{c}` {t}" for c, t in out.drop(BUCKET).dtypes)
-            own = dict(held.get(name, {}).get("buckets", {})) | {str(b): f"{folder}/{BUCKET}={b}" for b in touched}
-            held[name] = {"schema": schema, "buckets": own}
+            paths = dict(held.get(name, {}).get("buckets", {})) | {str(b): f"{folder}/{BUCKET}={b}" for b in touched}
+            held[name] = {"schema": schema, "buckets": paths}
             counts[name] = sorted(touched)
         old_totals = before.get("totals", {})
         summed = {k: old_totals.get(k, 0) + (totals or {}).get(k, 0) for k in {*old_totals, *(totals or {})}}
         return self._publish({"version": version, "buckets": self.buckets, "batch": before.get("batch", -1) if batch is None else batch, "touched": counts, "totals": summed, "tables": held})
 
+    def _written(self, folder: str) -> set[int]:
+        """The buckets that a commit's folder holds."""
+        files, place = self._place(folder)
+        names = [f.getPath().getName() for f in files.listStatus(place)]
+        return {int(n.split("=")[1]) for n in names if n.startswith(f"{BUCKET}=")}
+
     def totals(self) -> dict[str, float]:
         """What all commits have added up to."""
         return self.manifest().get("totals", {})

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from cavitas.operators import ensemble, geometry, graph, ml, spatial
+from cavitas.operators import ensemble, geometry, graph, ml, spatial, store
 from cavitas.sources import readers
 
 
@@ -85,3 +85,19 @@ def test_lines_of_one_file_come_from_many_tasks_in_their_order(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert found == {k: (k + 0.5, float(k)) for k in range(500)}
+
+
+def test_a_first_commit_reads_its_rows_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(40).selectExpr("concat('P', cast(id % 5 as string)) as pdb_id", "id as pocket_id", "1L as ingest_seq").mapInArrow(count, "pdb_id string, pocket_id long, ingest_seq long")
+    made = store.Atlas(spark, str(tmp_path / "atlas"))
+    made.commit({"pockets": rows})
+    assert seen.value == 40 and made.read("pockets").count() == 40
+    made.commit({"pockets": rows.withColumn("ingest_seq", F.lit(2).cast("long")).where("pdb_id = 'P3'")})
+    assert sorted(r[0] for r in made.read("pockets").where("ingest_seq = 2").select("pdb_id").distinct().collect()) == ["P3"] and made.read("pockets").count() == 40
