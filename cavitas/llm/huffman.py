@@ -17,18 +17,20 @@ their ids; a null doc_id comes first. An empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cavitas.llm.shared import scratch_path, slices, stored, utf8
+from cavitas.llm.shared import scratch_path, slices, stored
 
 END_ID = 1
 #: Bits of the longest code; the decoding table has 2**LIMIT entries.
@@ -36,12 +38,11 @@ LIMIT = 16
 #: Ids between two checkpoints, and ids from which a block is closed.
 EVERY, BLOCK = 128, 1 << 18
 #: Bytes that a task holds at most in words and their ids before it forgets them, and bytes of an entry besides these.
-MOST_HELD, ENTRY = 272 << 20, 80
-MARKS = tuple(".,;:!?")
-#: What added tokens start with; they are matched before the tokenizer lowers case.
-SPECIAL = "<|"
-#: What the vocabulary's tokens that end a word end in.
-WORD_END = "</w>"
+MOST_HELD, ENTRY = 272 << 20, 160
+#: Latin letters in lower case.
+LETTERS = "".join(chr(c) for c in (*range(97, 123), *range(223, 247), *range(248, 256)))
+#: Words of Latin letters and the marks that end them. An apostrophe may start a contraction; no added token has this form.
+LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def _width(size: int) -> str:
@@ -52,9 +53,9 @@ class Tokens:
     """The library's tokenizer, asked once for each distinct word between blanks.
 
     Blanks and line feeds end a word for the tokenizer and leave no id, so the
-    ids of a text are those of its words, one after another. Words of ASCII
-    letters are asked for in lower case, and without a mark that ends them, as the
-    tokenizer lowers case and parts letters from marks itself. Added tokens are one id each.
+    ids of a text are those of its words, one after another. Words of Latin letters and
+    the marks that end them are asked for apart, the letters in lower case and of the model, as the tokenizer lowers
+    case and parts letters from marks itself. Added tokens are one id each.
     """
 
     def __init__(self, path: str):
@@ -63,54 +64,78 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = _width(self.tokenizer.get_vocab_size())
-        self.known: dict[str, bytes] = {}
-        self.held = 0
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
-
-    def _together(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Words of letters alone, asked for as running text: a word's last id is one that ends words."""
-        for i in range(0, len(words), 200):
-            some = words[i : i + 200]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.width)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(some):  # a letter that the tokenizer takes apart
-                yield from self._one_by_one(some)
-                continue
-            data, at = ids.tobytes(), (ends * ids.itemsize).tolist()
-            yield from zip(some, (data[x:y] for x, y in zip([0, *at[:-1]], at, strict=True)), strict=True)
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.held_words = self.held_parts = 0
+        #: What the pre-tokenizer makes of each letter, if it leaves their runs whole; the model may then be asked for such words directly.
+        self.forms = {ord(c): self._form(c) for c in LETTERS}
+        self.direct = self._form(LETTERS) == "".join(self.forms.values())
+
+    @property
+    def held(self) -> int:
+        return self.held_words + self.held_parts
+
+    def _form(self, text: str) -> str:
+        """What the model is asked for; with blanks between, if that is several words."""
+        text = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+        return " ".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)) if self.tokenizer.pre_tokenizer else text
+
+    def _letters(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words of LETTERS alone."""
+        tokenize, order = self.tokenizer.model.tokenize, np.dtype(self.width).char
+        for word in words:
+            ids = [t.id for t in tokenize(word if word.isascii() else word.translate(self.forms))]
+            yield word, struct.pack(f"<{len(ids)}{order}", *ids)
 
     def _one_by_one(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             yield word, np.asarray(found.ids, self.width).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        parts = {}
-        for word in words:
-            core = word if not word.isascii() or word.islower() or SPECIAL in word else word.lower()
-            if core[-1:] in MARKS and core[:-1].isascii() and core[:-1].isalpha():
-                parts[word] = core[:-1], core[-1]
-            elif core != word:
-                parts[word] = core, ""
-        new = {*words, *(x for p in parts.values() for x in p)} - parts.keys() - self.known.keys()
-        plain = [x for x in new if x.isalpha()]
-        self.known.update(self._together(plain))
-        self.known.update(self._one_by_one(list(new.difference(plain))))
-        for word, (core, mark) in parts.items():
-            self.known[word] = self.known[core] + self.known[mark] if mark else self.known[core]
-        for some in (new, parts):
-            self.held += sum(map(getsizeof, some)) + sum(map(getsizeof, map(self.known.__getitem__, some))) + ENTRY * len(some)
+    def _learn(self, words: list[bytes]) -> None:
+        letters, others, cores, marks = set(), set(), [], []
+        for raw in words:
+            word = raw.decode("utf-8", "replace")
+            found = LETTERS_MARKS.fullmatch(word) if self.direct else None
+            core, mark = (found[1].lower(), found[2]) if found else (word, "")
+            if core not in self.parts:
+                (letters if found else others).add(core)
+            if mark and mark not in self.parts:
+                others.add(mark)
+            cores.append(core)
+            marks.append(mark)
+        self.parts.update(self._letters(letters))
+        self.parts.update(self._one_by_one(list(others)))
+        for some, width in ((letters, 1), (others, 4)):
+            self.held_parts += width * sum(map(len, some)) + sum(map(len, map(self.parts.__getitem__, some))) + ENTRY * len(some)
+        own = [self.parts[core] + self.parts[mark] if mark else self.parts[core] for core, mark in zip(cores, marks, strict=True)]
+        self.known.update(zip(words, own, strict=True))
+        self.held_words += sum(map(len, words)) + sum(map(len, own)) + ENTRY * len(words)
+
+    def encode_column(self, texts: pa.Array) -> pa.Array:
+        """Each text's ids, with the end id, as little-endian integers of the tokenizer's width; null counts as empty."""
+        if not len(texts):
+            return pa.array([], pa.binary())
+        words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.binary()), b""), pattern=b"\n", replacement=b" "), pattern=b" ")
+        coded = words.flatten().dictionary_encode()
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.held > MOST_HELD:  # parts give words again without the tokenizer, so they stay longer
+            self.known.clear()
+            self.held_words = 0
+            if self.held_parts > MOST_HELD // 2:
+                self.parts.clear()
+                self.held_parts = 0
+        found = list(map(self.known.get, own))
+        if None in found:
+            self._learn([w for w, ids in zip(own, found, strict=True) if ids is None])
+            found = map(self.known.__getitem__, own)
+        ids = pa.array([*found, np.asarray([END_ID], self.width).tobytes()], pa.binary())
+        ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        taken = ids.take(pa.array(np.insert(coded.indices.to_numpy(), ends, len(own))))
+        places = np.frombuffer(taken.buffers()[1], np.int32)[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(places), taken.buffers()[2]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, with the end id, as little-endian integers of the tokenizer's width."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        if self.held > MOST_HELD:
-            self.known.clear()
-            self.held = 0
-        self._learn(list(set().union(*words) - self.known.keys()) if words else [])
-        end = np.asarray([END_ID], self.width).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) + end for ws in words]
+        return self.encode_column(pa.array(texts, pa.string())).to_pylist()
 
 
 @lru_cache(maxsize=1)
@@ -121,18 +146,27 @@ def tokens_of(path: str) -> Tokens:
 def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokens_of(path)
-        for batch in slices(batches, "text"):
-            ids = own.encode([t.decode("utf-8", "replace") for t in utf8(batch["text"])])
-            yield pa.record_batch([batch["doc_id"], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        for batch in slices(batches, "text", 8 << 20):
+            yield pa.record_batch([batch["doc_id"], own.encode_column(batch["text"])], names=["doc_id", "ids"])
 
     return run
 
 
+def _ids(column: pa.Array, size: int) -> np.ndarray:
+    """The ids of all rows, one after another."""
+    wide = column.cast(pa.large_binary())
+    if not len(wide):
+        return np.zeros(0, _width(size))
+    _, places, data = wide.buffers()
+    first, last = np.frombuffer(places, np.int64)[[wide.offset, wide.offset + len(wide)]]
+    return np.frombuffer(data or b"", np.uint8)[first:last].view(_width(size))
+
+
 def _count(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in slices(batches, "ids"):
-            total += np.bincount(np.frombuffer(b"".join(batch["ids"].to_pylist()), _width(size)), minlength=size)
+            total += np.bincount(_ids(batch["ids"], size), minlength=size)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
@@ -200,12 +234,13 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes
 
 def unpack(bits: list[bytes], points: list[np.ndarray], sizes: list[int], table: np.ndarray) -> np.ndarray:
     """The ids of several blocks, one after another; all stretches are decoded side by side."""
-    data = np.frombuffer(b"".join(bits) + b"\0" * 8, np.uint8).astype(np.int64)
+    data = np.frombuffer(b"".join(bits) + b"\0" * 8, np.uint8).astype(np.uint32)
     word = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]
     base = np.cumsum([0, *map(len, bits)])[:-1] * 8
     at = np.concatenate([p + b for p, b in zip(points, base, strict=True)]).astype(np.int64)
     left = np.concatenate([np.minimum(EVERY, n - np.arange(len(p)) * EVERY) for p, n in zip(points, sizes, strict=True)])
-    out = np.zeros((len(at), EVERY), np.int64)
+    table = table.astype(np.uint32)
+    out = np.zeros((EVERY, len(at)), np.uint32)
     order = np.argsort(-left, kind="stable")  # the shorter stretches end first
     at, live = at[order], np.searchsorted(-left[order], -np.arange(EVERY), side="left")
     for k in range(EVERY):
@@ -213,10 +248,12 @@ def unpack(bits: list[bytes], points: list[np.ndarray], sizes: list[int], table:
         if not n:
             break
         own = at[:n]
-        entry = table[word[own >> 3] >> (32 - LIMIT - (own & 7)) & ((1 << LIMIT) - 1)]
-        out[order[:n], k] = entry >> 5
-        at[:n] = own + (entry & 31)
-    return out[np.arange(EVERY) < left[:, None]]
+        entry = table[word[own >> 3] >> (32 - LIMIT - (own & 7)).astype(np.uint32) & ((1 << LIMIT) - 1)]
+        out[k, :n] = entry >> 5
+        own += entry & 31
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return out.T[back][np.arange(EVERY) < left[:, None]]
 
 
 def _write(size: int, model):

@@ -11,6 +11,7 @@ from fractions import Fraction
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -496,6 +497,37 @@ def test_token_files_hold_added_tokens_as_the_library_gives_them(spark):
     assert np.frombuffer(tokens.encode(["hello <|endoftext|> world"])[0], tokens.width).tolist() == [3306, 49407, 1002, 1]
 
 
+def test_words_that_differ_in_case_and_marks_are_asked_for_once():
+    """Letters of any Latin word go to the model once, marks once, whatever their combinations."""
+    cores = ["straße", "Straße", "ÉTÉ", "été", "word", "Word", "ñandú", "ÿþ"]
+    marks = ["", ".", "!!", "***", "&&&", ".,!!", "_", "<|", "$$$"]
+    lines = [c + m for c in cores for m in marks] + ["don't!!", "l'été***", "it's.", "x1!!", "é-é", "_a", "e\u0301!", "ǅ!!", "日本。", "a<|endoftext|>!", " \n a  b\n", ""]
+    tokens, library, asked = huffman.Tokens(WORDS), Tokenizer.from_file(WORDS), []
+    own = tokens.tokenizer
+
+    class Seen:
+        model = own.model
+
+        def encode_batch_fast(self, words, **options):
+            asked.extend(w for text in words for w in text.split(" "))
+            return own.encode_batch_fast(words, **options)
+
+    tokens.tokenizer = Seen()
+    for _ in range(2):
+        for line, ids in zip(lines, tokens.encode(lines), strict=True):
+            assert np.frombuffer(ids, tokens.width).tolist() == [*library.encode(line, add_special_tokens=False).ids, huffman.END_ID], line
+    assert len(asked) < 40 and len(asked) == len(set(asked))
+
+
+def test_ids_of_a_slice_are_those_of_its_rows():
+    rows = [np.arange(k, dtype="<u2").tobytes() for k in (3, 0, 5, 2, 0)]
+    for kind in (pa.binary(), pa.large_binary()):
+        column = pa.array(rows, kind)
+        for a in range(6):
+            for b in range(a, 6):
+                assert huffman._ids(column.slice(a, b - a), 49_408).tobytes() == b"".join(rows[a:b])
+
+
 def test_code_lengths_are_limited_and_best():
     rng = np.random.default_rng(9)
     counts = np.zeros(700, np.int64)
