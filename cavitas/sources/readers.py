@@ -60,7 +60,7 @@ def structures(spark: SparkSession, path: str, first_model: bool = True) -> Data
     return atom_columns(rows)
 
 
-def select_atoms(atoms: DataFrame, kind: str) -> DataFrame:
+def atom_kind(kind: str) -> Column:
     """Heavy, ca, polar, receptor or ligand atoms."""
     c = F.col
     conditions = {
@@ -70,7 +70,11 @@ def select_atoms(atoms: DataFrame, kind: str) -> DataFrame:
         "receptor": ~c("atom_name").startswith("H") & ~c("res_name").isin("HOH", "WAT"),
         "ligand": (c("record") == "HETATM") & ~c("res_name").isin(*NOT_LIGANDS),
     }
-    return atoms.where(conditions[kind])
+    return conditions[kind]
+
+
+def select_atoms(atoms: DataFrame, kind: str) -> DataFrame:
+    return atoms.where(atom_kind(kind))
 
 
 def pose_atoms(spark: SparkSession, path: str, k: int = 0) -> DataFrame:
@@ -82,6 +86,33 @@ def pose_atoms(spark: SparkSession, path: str, k: int = 0) -> DataFrame:
     return atom_columns(rows.withColumn("chosen", chosen).where("ordinal = chosen").select("file", "line_no", "value"))
 
 
+#: What ends a structure in a file of several: a line of its own.
+END = "\nEND\n"
+
+
+def archived(spark: SparkSession, path: str) -> DataFrame:
+    """Structures of files that hold any number: the id, from column 63 of the HEADER line on, and the text. A row holds one structure; files are split between them."""
+    name = F.upper(F.regexp_extract("value", r"(?md)^HEADER.{56}(\S+)", 1)).alias("pdb_id")
+    return spark.read.text(path, lineSep=END).where(F.col("value").rlike(r"\S")).select(name, F.concat(F.lit("\n"), "value").alias("value"))
+
+
+def _atoms_of(rows: DataFrame, text: Column) -> DataFrame:
+    return atom_columns(rows.select("pdb_id", F.explode(F.split(text, r"\r?\n")).alias("value")))
+
+
+def archived_structures(spark: SparkSession, path: str, first_model: bool = True) -> DataFrame:
+    """S01, S04 of files that hold any number of structures, each ended by END."""
+    models = F.split("value", r"(?md)^(?=MODEL)")  # the first is what stands before all models
+    return _atoms_of(archived(spark, path), F.array_join(F.slice(models, 1, 2), "") if first_model else F.col("value"))
+
+
+def archived_poses(spark: SparkSession, path: str, k: int = 0) -> DataFrame:
+    """S05 of files that hold any number of structures."""
+    blank = r"[\t\f\r ]"
+    models = F.filter(F.split("value", rf"(?md)^(?={blank}*MODEL{blank})"), lambda x: x.rlike(r"(?md)^(?:ATOM  |HETATM)"))
+    return _atoms_of(archived(spark, path), F.coalesce(F.get(models, F.lit(k)), F.get(models, F.lit(0))))
+
+
 #: The sites that stand in for a missing file.
 BUILT_IN_SITES = (
     ("1CBS", "Retinoic acid binding", "side-chain_flip", 12.5, 22.0, 18.5),
@@ -176,9 +207,9 @@ def tool_pockets(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("file", "pocket_id").agg(*map(last, ("druggability_score", "volume", "score")))
 
 
-def mean_centers(atoms: DataFrame) -> DataFrame:
-    """Mean atom position per file."""
-    return atoms.groupBy("file").agg(*(F.avg(a).alias(f"center_{a}") for a in "xyz"))
+def mean_centers(atoms: DataFrame, *more: Column, key: str = "file") -> DataFrame:
+    """Mean atom position per file or other key, with any more aggregates."""
+    return atoms.groupBy(key).agg(*(F.avg(a).alias(f"center_{a}") for a in "xyz"), *more)
 
 
 def pose_table(rows: DataFrame) -> DataFrame:

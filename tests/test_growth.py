@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cavitas.operators import ensemble, geometry, graph, ml, spatial, store
+from cavitas.plans.carriers import Carriers
+from cavitas.plans.registry import QUERIES
 from cavitas.sources import readers
 
 
@@ -101,3 +103,35 @@ def test_a_first_commit_reads_its_rows_once(spark, tmp_path):
     assert seen.value == 40 and made.read("pockets").count() == 40
     made.commit({"pockets": rows.withColumn("ingest_seq", F.lit(2).cast("long")).where("pdb_id = 'P3'")})
     assert sorted(r[0] for r in made.read("pockets").where("ingest_seq = 2").select("pdb_id").distinct().collect()) == ["P3"] and made.read("pockets").count() == 40
+
+
+def test_structures_lie_in_as_many_files_as_tasks_and_read_as_single_files_do(spark, tmp_path, monkeypatch):
+    vectors = spark.range(300).selectExpr("id as vec_id", "transform(sequence(1, 64), k -> cast((id * k % 17) / 20 as float)) as embedding", "cast(id % 10 as int) as label")
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("structure_files", "pose_models"):
+        monkeypatch.setattr(Carriers, "scratch", lambda self, _, name=name: str(tmp_path / name))
+        assert QUERIES[name](Carriers(spark, str(tmp_path))).count() == 300
+        assert len(list((tmp_path / name).rglob("*.txt"))) <= 16
+
+
+def test_archives_of_structures_equal_single_files(spark, tmp_path):
+    atom = "{:<6}{:5d}  CA  {:>3} A{:4d}    {:8.3f}{:8.3f}{:8.3f}  1.00  0.00           C"
+    line = lambda k, record="ATOM": atom.format(record, k, "GLY", k, k / 2, 1.0, 2.0)
+    texts = {
+        "AB1": f"REMARK x\n{line(1)}\nMODEL 1\n{line(2)}\r\n{line(3, 'HETATM')}\nENDMDL\nMODEL 2\n{line(4)}\nENDMDL",
+        "AB2": f"{line(5)}\n{line(6)}\nATOM  bad",
+        "AB3": f"MODEL 1\nENDMDL\n\n  MODEL 2\n{line(7)}\nENDMDL\nMODEL 3\n{line(8)}\nMODEL\n{line(9)}",
+    }
+    (tmp_path / "one").mkdir()
+    (tmp_path / "many").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "one" / f"{name}.pdb").write_bytes(text.encode())
+    whole = "".join(f"{'HEADER':<62}{name.lower()}\n{text}{readers.END}" for name, text in texts.items())
+    (tmp_path / "many" / "all.pdb").write_bytes(whole.encode())
+    bag = lambda df: sorted((r["res_id"], r["record"], r["x"]) for r in df.collect())
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    for first in (True, False):
+        assert bag(readers.archived_structures(spark, many, first)) == bag(readers.structures(spark, one, first))
+    for k in range(4):
+        assert bag(readers.archived_poses(spark, many, k)) == bag(readers.pose_atoms(spark, one, k))
+    assert {r[0] for r in readers.archived(spark, many).select("pdb_id").collect()} == set(texts)
