@@ -231,14 +231,14 @@ def pose_remarks(rows: DataFrame) -> DataFrame:
 def tool_blocks(text: DataFrame) -> DataFrame:
     """Pocket number, score and volume of the blocks of one text column, value."""
     kept = [c for c in text.columns if c != "value"]
-    rows = text.select(*kept, F.explode(F.split("value", "Pocket ")).alias("block")).select(*kept, F.split("block", r"\r?\n").alias("lines"))
+    rows = text.select(*kept, F.explode(F.split("value", "Pocket ")).alias("block"))
 
     def field(key: str) -> Column:
-        """The number after the first line of that key."""
-        own = F.filter("lines", lambda x: F.trim(F.substring_index(F.translate(x, "\t", " "), ":", 1)) == key)
-        return F.trim(F.translate(F.substring_index(F.get(own, F.lit(0)), ":", -1), "\t", " ")).try_cast("double")
+        """The number after the first line of that key, found by one expression over the block."""
+        own = F.regexp_extract("block", rf"(?md)^[ \t]*{key}[ \t]*(:[^\n]*?)?\r?$", 1)
+        return F.trim(F.translate(F.substring_index(own, ":", -1), "\t", " ")).try_cast("double")
 
-    number = F.trim(F.substring_index(F.get("lines", F.lit(0)), ":", 1)).try_cast("long")
+    number = F.trim(F.regexp_extract("block", r"\A((?:(?!\r?\n)[^:])*)", 1)).try_cast("long")
     return rows.select(*kept, number.alias("pocket_id"), field("Score").alias("score"), field("Volume").alias("volume")).dropna(subset=["pocket_id", "score", "volume"])
 
 

@@ -135,3 +135,18 @@ def test_archives_of_structures_equal_single_files(spark, tmp_path):
     for k in range(4):
         assert bag(readers.archived_poses(spark, many, k)) == bag(readers.pose_atoms(spark, one, k))
     assert {r[0] for r in readers.archived(spark, many).select("pdb_id").collect()} == set(texts)
+
+
+def test_tool_blocks_are_read_without_an_array_of_their_lines(spark):
+    """Blocks with odd line ends, keys without colons, several colons, and no number."""
+    blocks = {
+        1: ("Pocket 1 :\n\tScore : \t1.5\n\tVolume : \t2\n", (1, 1.5, 2.0)),
+        2: ("Pocket 2:\r\n Score:1e-4\r\n Volume : a:b: 7\r\nScore : 9\r\n", (2, 1e-4, 7.0)),
+        3: ("head\nPocket  3 \nDruggability Score : 4\nScore\nScore : 1\nVolume : 1", None),
+        4: ("Pocket x :\nScore : 1\nVolume : 1", None),
+        5: ("Pocket 5 :\nVolume score : 3\nVolume : -1.25\r\nScore :2\r", (5, 2.0, -1.25)),
+        6: ("Pocket 6\nScore : 1\nVolume :", None),
+    }
+    found = readers.tool_blocks(spark.createDataFrame([(k, text) for k, (text, _) in blocks.items()], "k int, value string"))
+    assert {r["k"]: tuple(r)[1:] for r in found.collect()} == {k: want for k, (_, want) in blocks.items() if want}
+    assert "lambda" not in plan(found)
