@@ -35,6 +35,7 @@ import re
 import tempfile
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cached_property, lru_cache
 from sys import getsizeof
 
@@ -48,6 +49,8 @@ from cavitas.llm.shared import slices, utf8
 
 #: Bytes that a task holds at most in chunks and words and their ids before it forgets them, and bytes of an entry besides these.
 MOST_HELD, ENTRY = 320 << 20, 80
+#: Bytes of these that a worker keeps when a task ends, as other operators' tasks run in it next.
+MOST_KEPT = 64 << 20
 #: A blank next to white space or to an end of the text; elsewhere blanks part the pattern's words.
 UNCLEAR = re.compile(r"\s (?=.)| \s|^ | $", re.DOTALL)
 PART = re.compile(r"(?<=\S)(?= \S)")
@@ -124,13 +127,31 @@ class Codec:
         self.words: dict[str, bytes] = {}
         self.held = 0
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        left, right, into = zip(*merges, strict=True) if merges else ((), (), ())
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})  # beyond that it spills to the task's own folder
-        self.db.execute("set temp_directory = ?", [tempfile.gettempdir()])
-        self._load("merges", l=pa.array(left, pa.int32()), r=pa.array(right, pa.int32()), rank=pa.array(into, pa.int32()), into_tok=pa.array(into, pa.int32()))
-        self._load("vocab", id=pa.array(self.ranks.values(), pa.int32()), chars=pa.array([t.decode("latin-1") for t in self.ranks], pa.string()))
+        left, right, into = (pa.array(c, pa.int32()) for c in (zip(*merges, strict=True) if merges else ((), (), ())))
+        chars = pa.array([t.decode("latin-1") for t in self.ranks], pa.string())
+        self.tables = {"merges": {"l": left, "r": right, "rank": into, "into_tok": into}, "vocab": {"id": pa.array(self.ranks.values(), pa.int32()), "chars": chars}}
         self.single = np.asarray([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
 
+    @cached_property
+    def db(self) -> duckdb.DuckDBPyConnection:
+        db = self.__dict__["db"] = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})  # beyond that it spills to the task's own folder
+        db.execute("set temp_directory = ?", [tempfile.gettempdir()])
+        for name, columns in self.tables.items():
+            self._load(name, **columns)
+        return db
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.words.clear()
+        self.held = 0
+
+    def rest(self) -> None:
+        """At a task's end: after much work, what was remembered and the database's memory go; the next task opens it anew."""
+        if self.held > MOST_KEPT:
+            self.forget()
+            if db := self.__dict__.pop("db", None):
+                db.close()
+
     def _load(self, name: str, **columns: pa.Array) -> None:
         table = pa.table(columns)
         self.db.register("arrow_rows", table)
@@ -191,9 +212,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self.chunks(t) if t else [] for t in texts]
         if self.held > MOST_HELD:
-            self.known.clear()
-            self.words.clear()
-            self.held = 0
+            self.forget()
         new = list(set().union(*parts) - self.known.keys())
         cut = [self.pattern.findall(c) for c in new]
         words = list({x for c in cut for x in c} - self.words.keys())
@@ -225,15 +244,25 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+@contextmanager
+def at_work(path: str, pattern: str) -> Iterator[Codec]:
+    """The worker's codec for one task."""
+    own = codec(path, pattern)
+    try:
+        yield own
+    finally:
+        own.rest()
+
+
 def _encode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in slices(batches, "text"):
-            ids = own.encode([t.decode("utf-8", "replace") for t in utf8(batch["text"])])
-            keys = [c for c in batch.schema.names if c != "text"]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keys), column], names=[*keys, "ids"])
+        with at_work(path, pattern) as own:
+            for batch in slices(batches, "text"):
+                ids = own.encode([t.decode("utf-8", "replace") for t in utf8(batch["text"])])
+                keys = [c for c in batch.schema.names if c != "text"]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in keys), column], names=[*keys, "ids"])
 
     return run
 
@@ -247,28 +276,28 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
 
 def _decode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids = batch["ids"]
-                flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum([len(x) if x.is_valid else 0 for x in ids])
-                column = pa.array(own.decode(np.split(flat, ends[:-1])), pa.binary())
-                keys = [c for c in batch.schema.names if c != "ids"]
-                yield pa.RecordBatch.from_arrays([*(batch[c] for c in keys), ids, column], names=[*keys, "ids", "bytes"])
+        with at_work(path, pattern) as own:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    batch = whole.slice(at, 256)
+                    ids = batch["ids"]
+                    flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum([len(x) if x.is_valid else 0 for x in ids])
+                    column = pa.array(own.decode(np.split(flat, ends[:-1])), pa.binary())
+                    keys = [c for c in batch.schema.names if c != "ids"]
+                    yield pa.RecordBatch.from_arrays([*(batch[c] for c in keys), ids, column], names=[*keys, "ids", "bytes"])
 
     return run
 
 
 def _round_trip(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        name = [str(i) for i in range(max(own.ranks.values()) + 1)].__getitem__
-        for batch in slices(batches, "text"):
-            ids = own.encode([t.decode("utf-8", "replace") for t in utf8(batch["text"])])
-            texts = [hashlib.sha256(",".join(map(name, x.tolist())).encode()).hexdigest() for x in ids]
-            out = [hashlib.sha256(x).hexdigest() for x in own.decode(ids)]
-            yield pa.record_batch([batch["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array(texts), pa.array(out)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with at_work(path, pattern) as own:
+            name = [str(i) for i in range(max(own.ranks.values()) + 1)].__getitem__
+            for batch in slices(batches, "text"):
+                ids = own.encode([t.decode("utf-8", "replace") for t in utf8(batch["text"])])
+                texts = [hashlib.sha256(",".join(map(name, x.tolist())).encode()).hexdigest() for x in ids]
+                out = [hashlib.sha256(x).hexdigest() for x in own.decode(ids)]
+                yield pa.record_batch([batch["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array(texts), pa.array(out)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 

@@ -93,6 +93,17 @@ def test_caches_are_bounded_in_bytes(monkeypatch):
         assert coder.held < 80_000 and len(coder.known) < 40 and tokens.held < 80_000 and len(tokens.known) < 60
 
 
+def test_a_task_leaves_little_in_its_worker(monkeypatch):
+    """After a task of many words neither they nor the database stay; the next task gives the same rows."""
+    monkeypatch.setattr(bpe, "MOST_KEPT", 10_000, raising=False)
+    own = bpe.codec(BPE, public_tokenizers.PATTERN)
+    rows = pa.record_batch([pa.array([1, 2]), pa.array([" ".join(f"wq{k}x" for k in range(500)), None])], names=["doc_id", "text"])
+    run = bpe._round_trip(BPE, public_tokenizers.PATTERN)
+    first = [b.to_pylist() for b in run(iter([rows]))]
+    assert own.held == 0 and not own.known and not own.words and "db" not in vars(own)
+    assert [b.to_pylist() for b in run(iter([rows]))] == first
+
+
 def test_long_words_equal_tiktoken():
     """Words of up to 100,000 bytes: random letters, runs, text without blanks, other scripts."""
     own = bpe.codec(BPE, public_tokenizers.PATTERN)
