@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from cavitas.functions import scalars as S
 
 CENTER = ("center_x", "center_y", "center_z")
+#: Rows that a task sorts at once, about, where rows are dealt by their number.
+TASK_ROWS = 1 << 20
 
 def by(*keys: Column | str, partition: str | list[str] | None = None) -> W:
     w = W.partitionBy(partition) if partition else W.partitionBy()
@@ -185,11 +187,21 @@ def contains_page(rows: DataFrame, text: str, page_no: int, size: int) -> DataFr
     return found.orderBy("pdb_id").offset((page_no - 1) * size).limit(size).crossJoin(F.broadcast(total))  # one row
 
 
-def middle_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The middle row of each group in the given order."""
-    n = F.count("*").over(W.partitionBy(key))
-    at = F.row_number().over(by(order, partition=key)) - 1
-    return rows.withColumns({"_n": n, "_at": at}).where(F.col("_at") == F.floor(F.col("_n") / 2)).drop("_n", "_at")
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """rows by their keys in parts of about TASK_ROWS of n rows, where the session's number of parts would leave more to one.
+
+    By their bytes Spark would join small rows of many a part into one task, and a fixed number of parts grows with the table.
+    """
+    parts = -(-n // TASK_ROWS)
+    return rows.repartition(max(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys) if parts > 1 else rows
+
+
+def middle_of_each(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+    """The middle row of each group of the keys in the given order, of n rows in all; rows are sorted once."""
+    group = by(order, partition=keys)
+    size = F.count("*").over(group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    at = F.row_number().over(group) - 1
+    return dealt(rows, n, *keys).withColumns({"_n": size, "_at": at}).where(F.col("_at") == F.floor(F.col("_n") / 2)).drop("_n", "_at")
 
 
 def flag_zero_centers(rows: DataFrame, metadata: str = "metadata_json") -> DataFrame:

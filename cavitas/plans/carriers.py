@@ -94,9 +94,12 @@ class Carriers:
     def _derived(self, name: str, **tables: DataFrame) -> DataFrame:
         return self.spark.sql(SQL[name].replace("c_base", "{c_base}").replace("from lineitem", "from {lineitem}").replace("from supplier", "from {supplier}").replace("from documents d join labels l", "from {documents} d join {labels} l").replace("from events", "from {events}"), **tables)
 
+    def base_of(self, lineitem: DataFrame) -> DataFrame:
+        return self._derived("c_base", lineitem=lineitem)
+
     @property
     def base(self) -> DataFrame:
-        return self._derived("c_base", lineitem=self.table("lineitem"))
+        return self.base_of(self.table("lineitem"))
 
     @property
     def pockets(self) -> DataFrame:

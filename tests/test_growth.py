@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from cavitas.operators import ensemble, geometry, graph, ml, spatial, store
+from cavitas.operators import atlas, ensemble, geometry, graph, ml, spatial, store
 from cavitas.plans.carriers import Carriers
 from cavitas.plans.registry import QUERIES
 from cavitas.sources import readers
@@ -150,3 +150,14 @@ def test_tool_blocks_are_read_without_an_array_of_their_lines(spark):
     found = readers.tool_blocks(spark.createDataFrame([(k, text) for k, (text, _) in blocks.items()], "k int, value string"))
     assert {r["k"]: tuple(r)[1:] for r in found.collect()} == {k: want for k, (_, want) in blocks.items() if want}
     assert "lambda" not in plan(found)
+
+
+def test_middle_rows_are_sorted_once_and_dealt_by_their_number(spark, monkeypatch):
+    """One sort of a group's rows for place and size; more rows, more tasks, which Spark does not join again."""
+    c = Carriers(spark, "/root/testdata/sf0.001")
+    few = QUERIES["middle_pick"](c)
+    assert plan(few).count("Window [") == 2 and plan(few).count("Sort [") == 2  # one of each numbers the pockets
+    monkeypatch.setattr(atlas, "TASK_ROWS", 200, raising=False)
+    many = QUERIES["middle_pick"](c)
+    assert many.rdd.getNumPartitions() == -(-c.table("lineitem").count() // 200)
+    assert sorted(many.collect()) == sorted(few.collect())
