@@ -85,7 +85,7 @@ def similar(query: DataFrame, candidates: DataFrame, top_n: int = 10, min_simila
     parts = F.array("volume_score", "hydrophobicity_score", "enclosure_score", "depth_score", F.lit(0.0) + F.col("sphericity"))
     q = F.broadcast(query.limit(1).select(F.col("pdb_id").alias("q_pdb"), F.col("pocket_id").alias("q_pocket"), parts.alias("q")))  # one row
     rows = candidates.withColumn("v", parts).crossJoin(q).where(~((F.col("pdb_id") == F.col("q_pdb")) & (F.col("pocket_id") == F.col("q_pocket"))))
-    rows = rows.select("pdb_id", "pocket_id", S.similarity("v", "q").alias("composite"), F.round(S.cosine("v", "q"), 4).alias("cosine"), F.round(S.euclid("v", "q"), 4).alias("euclid"))
+    rows = rows.select("pdb_id", "pocket_id", *(S.rounded(f("v", "q"), 4).alias(f.__name__) for f in (S.composite, S.cosine, S.euclid)))
     return rows.where(F.col("composite") >= min_similarity).orderBy(F.col("composite").desc(), "pdb_id", "pocket_id").limit(top_n)
 
 

@@ -17,10 +17,12 @@ ORDER = "l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity"
 RESIDUES = ("ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO", "SER", "THR", "TRP", "TYR", "VAL")
 TYPES = ("cryptic", "allosteric", "orthosteric", "interface", "surface")
 
+SCORE = "0.25 * volume_score + 0.25 * hydrophobicity_score + 0.25 * enclosure_score + 0.25 * depth_score"
+
 _POCKETS = f"""
 select *, case when bio_score >= 0.55 then 'high' when bio_score >= 0.30 then 'medium' else 'low' end as druggability_class
 from (
-  select *, round(0.25 * volume_score + 0.25 * hydrophobicity_score + 0.25 * enclosure_score + 0.25 * depth_score, 4) as bio_score
+  select *, round({SCORE}, 4) as bio_score
   from (
     select *, hydrophobic_ratio > 0.3 and polar_atoms < 6 as druggable, hydrophobic_ratio as hydrophobicity_score,
       case when volume < 80 then cast(0 as double) when volume > 2500 then cast(1 as double) else (volume - 80) / cast(2420 as double) end as volume_score
@@ -63,6 +65,11 @@ def with_sql(*names: str) -> str:
 _ATLASES: dict[tuple, store.Atlas] = {}
 
 
+def rounded(sql: str, places: int) -> str:
+    """For Spark, what round(sql, places) is on DuckDB: see scalars.rounded."""
+    return f"round(({sql}) * 1e{places}) / 1e{places}"
+
+
 class Carriers:
     """The derived tables of one folder of supplied tables, as DataFrames."""
 
@@ -92,7 +99,8 @@ class Carriers:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _derived(self, name: str, **tables: DataFrame) -> DataFrame:
-        return self.spark.sql(SQL[name].replace("c_base", "{c_base}").replace("from lineitem", "from {lineitem}").replace("from supplier", "from {supplier}").replace("from documents d join labels l", "from {documents} d join {labels} l").replace("from events", "from {events}"), **tables)
+        text = SQL[name].replace(f"round({SCORE}, 4)", rounded(SCORE, 4))
+        return self.spark.sql(text.replace("c_base", "{c_base}").replace("from lineitem", "from {lineitem}").replace("from supplier", "from {supplier}").replace("from documents d join labels l", "from {documents} d join {labels} l").replace("from events", "from {events}"), **tables)
 
     def base_of(self, lineitem: DataFrame) -> DataFrame:
         return self._derived("c_base", lineitem=lineitem)
