@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,62 +26,95 @@ def half_up(x: float, places: int = 4) -> float:
     return round(x * (1 + 1e-12), places)
 
 
-def consensus(pockets: DataFrame, top_n: int = 50, min_support: int = 2, reach: float = 6.0, stability_max: float = 4.0, cv_max: float = 0.35, with_all: bool = False, frames: DataFrame | None = None) -> DataFrame:
-    """Pockets of all frames joined into clusters in frame order, then scored and ranked per structure.
+def leaders(points: np.ndarray, reach: float) -> np.ndarray:
+    """The cluster of each point, in their order: that of the nearest running mean within reach, else a new one.
+
+    A cluster is listed in its mean's cell of the reach's size and those around, so a point meets the means near it alone.
+    """
+    side = reach * 1.000001 or 1.0
+    near: dict[tuple[int, int, int], set[int]] = defaultdict(set)
+    around = lambda i, j, k: [near[a, b, c] for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1) for c in (k - 1, k, k + 1)]
+    means, sizes, homes, own = [], [], [], []
+    for x, y, z in points.tolist():
+        best, at = reach, -1
+        for k in near[math.floor(x / side), math.floor(y / side), math.floor(z / side)]:
+            mx, my, mz = means[k]
+            dx, dy, dz = mx - x, my - y, mz - z
+            d = math.sqrt(dx * dx + dy * dy + dz * dz)
+            if d < best or (d == best and (at < 0 or k < at)):
+                best, at = d, k
+        if at < 0:
+            at = len(means)
+            means.append((x, y, z))
+            sizes.append(1)
+            homes.append(None)
+        else:
+            (mx, my, mz), m = means[at], sizes[at]
+            means[at] = mx, my, mz = (mx * m + x) / (m + 1), (my * m + y) / (m + 1), (mz * m + z) / (m + 1)
+            sizes[at] = m + 1
+            x, y, z = mx, my, mz
+        home = (math.floor(x / side), math.floor(y / side), math.floor(z / side))
+        if home != homes[at]:
+            for cell in around(*homes[at]) if homes[at] else ():
+                cell.discard(at)
+            for cell in around(*home):
+                cell.add(at)
+            homes[at] = home
+        own.append(at)
+    return np.asarray(own, int)
+
+
+def consensus(pockets: DataFrame, min_support: int = 2, reach: float = 6.0, stability_max: float = 4.0, cv_max: float = 0.35, with_all: bool = False, frames: DataFrame | None = None) -> DataFrame:
+    """All pockets of all frames joined into clusters in frame order, then scored and ranked per structure.
 
     Each pocket joins the nearest cluster whose running mean is within reach, else it starts one.
-    The group of a structure is bounded by frames x top_n. frames: pdb_id and frame of all frames that were analysed, those without a
+    A group is one structure's pockets. frames: pdb_id and frame of all frames that were analysed, those without a
     pocket, too; without it the frames are those that `pockets` names, whether their pockets have a centre or not.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["frame", "frame_rank"], kind="stable")
-        n_frames = int(group["n_frames"].iloc[0])
-        points = group[list(CENTER)].to_numpy()
-        means = np.empty((len(points), 3))
-        sizes = np.zeros(len(points), int)
-        own, k = np.empty(len(points), int), 0
-        for i, p in enumerate(points):
-            d = np.sqrt(((means[:k] - p) ** 2).sum(axis=1))
-            at = int(d.argmin()) if k and d.min() <= reach else k
-            if at == k:
-                means[k] = 0
-                k += 1
-            means[at] = (means[at] * sizes[at] + p) / (sizes[at] + 1)
-            sizes[at] += 1
-            own[i] = at
+    names = [f.split()[0] for f in CONSENSUS.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+    schema = pa.schema([(n, kinds[f.split()[1]]) for n, f in zip(names, CONSENSUS.split(", "), strict=True)])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("place")
+        n_frames, pdb_id = group["n_frames"][0].as_py(), group["pdb_id"][0].as_py()
+        points = np.stack([group[c].to_numpy() for c in CENTER], axis=1)
+        own = leaders(points, reach)
+        sizes = np.bincount(own)
+        centers = np.stack([np.bincount(own, x) / sizes for x in points.T], axis=1)
+        stability = np.bincount(own, np.sqrt(((points - centers[own]) ** 2).sum(axis=1))) / sizes
+        order = np.argsort(own, kind="stable")  # by clusters, and in each by frames
+        ends = np.cumsum(sizes).tolist()
+        places = pa.array(order)
+        scores = group["bio_score"].to_numpy()[order].tolist()
+        frame_of, volume_of, druggable, ids = (group[c].take(places).to_pylist() for c in ("frame", "volume", "druggable", "pocket_id"))
         rows = []
-        frames, scores, druggable, ids, volumes_of = (group[c].to_numpy() for c in ("frame", "bio_score", "druggable", "pocket_id", "volume"))
-        mean_of, place_of = (np.nanmean, np.nanargmax) if np.isnan(scores).any() else (np.mean, np.argmax)
-        by_cluster = np.argsort(own, kind="stable")
-        for c, part in enumerate(np.split(by_cluster, np.cumsum(np.bincount(own, minlength=k))[:-1])):
-            hits = np.unique(frames[part])
+        for c, (first, last) in enumerate(zip([0, *ends], ends, strict=False)):
+            hits = list(dict.fromkeys(frame_of[first:last]))
             support = len(hits)
             if support < min_support and not with_all:
                 continue
-            xyz = points[part]
-            center = xyz.mean(axis=0)
-            stability = float(np.sqrt(((xyz - center) ** 2).sum(axis=1)).mean())
-            volumes = volumes_of[part].tolist()
-            mean = math.fsum(volumes) / len(volumes)  # whatever the order
-            std = math.sqrt(math.fsum((v - mean) ** 2 for v in volumes) / len(volumes))
+            n = last - first
+            volumes = [math.nan if v is None else v for v in volume_of[first:last]]
+            mean = math.fsum(volumes) / n  # whatever the order
+            std = math.sqrt(math.fsum((v - mean) ** 2 for v in volumes) / n)
             cv = std / mean if mean > 1e-8 else float("inf")
-            steady = 0.5 * max(0.0, 1 - stability / stability_max) + 0.5 * max(0.0, 1 - cv / cv_max)
-            score = half_up(0.65 * float(mean_of(scores[part])) + 0.25 * support / n_frames + 0.10 * steady)
-            best = part[place_of(scores[part])]
-            rows.append((group["pdb_id"].iloc[0], c, *center, int(ids[best]), float(scores[best]), bool(druggable[part].any()), support, *map(half_up, (support / n_frames, stability, mean, std, cv)), score, hits.astype(int).tolist(), 0))
-        out = pd.DataFrame(rows, columns=[f.split()[0] for f in CONSENSUS.split(", ")])
-        out = out.sort_values(["consensus_score", "bio_score", "support_frames", "cluster"], ascending=[False, False, False, True])
-        return out.assign(rank=range(1, len(out) + 1))
+            steady = 0.5 * max(0.0, 1 - stability[c] / stability_max) + 0.5 * max(0.0, 1 - cv / cv_max)
+            known = [s for s in scores[first:last] if s == s]
+            top = max(known, default=math.nan)
+            score = half_up(0.65 * (math.fsum(known) / len(known) if known else math.nan) + 0.25 * support / n_frames + 0.10 * steady)
+            best = first + (scores[first:last].index(top) if known else 0)
+            rows.append((pdb_id, c, *centers[c].tolist(), ids[best], top, any(druggable[first:last]), support, *map(half_up, (support / n_frames, float(stability[c]), mean, std, cv)), score, hits))
+        rows.sort(key=lambda r: (r[-2] != r[-2], -r[-2], -r[6], -r[8], r[1]))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*((*r, at + 1) for at, r in enumerate(rows)), strict=True), schema.types, strict=True)], schema=schema) if rows else schema.empty_table()
 
     total = (pockets if frames is None else frames).groupBy("pdb_id").agg(F.count_distinct("frame").alias("n_frames"))
-    rows = pockets.where(S.valid_center(F.array(*CENTER))).join(total, "pdb_id")
-    rows = rows.withColumn("frame_rank", F.row_number().over(by(desc("bio_score"), "pocket_id", partition=["pdb_id", "frame"]))).where(F.col("frame_rank") <= top_n)
-    rows = rows.select("pdb_id", "frame", "frame_rank", "n_frames", "pocket_id", "bio_score", "volume", "druggable", *CENTER)
+    rows = pockets.where(S.valid_center(F.array(*CENTER))).select("pdb_id", "frame", "pocket_id", "bio_score", "volume", "druggable", *CENTER)
     # few bytes but much work a structure: by its bytes alone, Spark would give them all to one task
     spark = rows.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(tasks, "pdb_id").groupBy("pdb_id").applyInPandas(run, CONSENSUS)
+    rows = rows.repartition(tasks, "pdb_id").join(total, "pdb_id").withColumn("place", F.row_number().over(by("frame", desc("bio_score"), "pocket_id", partition="pdb_id")))
+    return rows.groupBy("pdb_id").applyInArrow(run, CONSENSUS)
 
 
 def consensus_stats(rows: DataFrame) -> DataFrame:
