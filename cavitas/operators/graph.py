@@ -10,7 +10,7 @@ from cavitas.functions import scalars as S
 from cavitas.operators import spatial
 from cavitas.operators.atlas import by, desc
 from cavitas.operators.spatial import AXES
-from cavitas.session import shared_folder
+from cavitas.session import shared_folder, stored
 
 FEATURES = ("hydrophobicity", "is_hydrophobic", "is_polar", "is_charged", "relative_position", "contact_count", "avg_contact_dist", "local_density", "exposure")
 
@@ -80,14 +80,18 @@ def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def clusters(residues: DataFrame, eps: float = 6.0, least: int = 3, score: str = "score") -> DataFrame:
-    """Density clusters: cores by neighbours including themselves, their components, borders to the least label; noise goes."""
+    """Density clusters: cores by neighbours including themselves, their components, borders to the least label; noise goes.
+
+    Neighbours are searched for once.
+    """
     spark = residues.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     found = spatial.pairs(residues.select("pdb_id", "res_id", *AXES), eps, "res_id", strict=False)
-    edges = found.select("pdb_id", F.col("a_res_id").alias("src"), F.col("b_res_id").alias("dst"))
+    # stored, as every round of the labels and the borders read them
+    edges = stored(found.select("pdb_id", F.col("a_res_id").alias("src"), F.col("b_res_id").alias("dst")), "edges")
     cores = edges.groupBy("pdb_id", F.col("src").alias("res_id")).agg(F.count("*").alias("n")).where(F.col("n") + 1 >= least).select("pdb_id", "res_id")
-    inner = edges.join(cores.withColumnRenamed("res_id", "src"), ["pdb_id", "src"], "left_semi").join(cores.withColumnRenamed("res_id", "dst"), ["pdb_id", "dst"], "left_semi")
+    inner = stored(edges.join(cores.withColumnRenamed("res_id", "src"), ["pdb_id", "src"], "left_semi").join(cores.withColumnRenamed("res_id", "dst"), ["pdb_id", "dst"], "left_semi"), "inner_edges")
     labels = _labels(cores, inner)
     border = edges.join(labels.withColumnRenamed("res_id", "src"), ["pdb_id", "src"]).join(cores.withColumnRenamed("res_id", "dst"), ["pdb_id", "dst"], "left_anti").groupBy("pdb_id", F.col("dst").alias("res_id")).agg(F.min("label").alias("label"))
     rows = labels.unionByName(border).join(residues, ["pdb_id", "res_id"])

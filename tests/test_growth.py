@@ -161,3 +161,11 @@ def test_middle_rows_are_sorted_once_and_dealt_by_their_number(spark, monkeypatc
     many = QUERIES["middle_pick"](c)
     assert many.rdd.getNumPartitions() == -(-c.table("lineitem").count() // 200)
     assert sorted(many.collect()) == sorted(few.collect())
+
+
+def test_clusters_search_for_neighbours_once(spark, monkeypatch):
+    seen, own = [], spatial.within
+    monkeypatch.setattr(spatial, "within", lambda *a, **k: seen.append(1) or own(*a, **k))
+    found = graph.clusters(points(spark).withColumn("score", F.col("z")), 9.0)
+    assert len(seen) == 1 and "_cell" not in plan(found) and "Generate" not in plan(found)
+    assert found.agg(F.sum("n")).first()[0] > 0
