@@ -6,6 +6,7 @@ import math
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from cavitas.functions import scalars as S
 from cavitas.operators import geometry
 from cavitas.operators.atlas import CENTER, by, desc
+from cavitas.operators.groups import map_keys
 from cavitas.session import stored
 
 CONSENSUS = "pdb_id string, cluster int, center_x double, center_y double, center_z double, pocket_id long, bio_score double, druggable boolean, support_frames int, support_ratio double, center_stability double, volume_mean double, volume_std double, volume_cv double, consensus_score double, frame_hits array<int>, rank int"
@@ -68,26 +70,24 @@ def consensus(pockets: DataFrame, min_support: int = 2, reach: float = 6.0, stab
     """All pockets of all frames joined into clusters in frame order, then scored and ranked per structure.
 
     Each pocket joins the nearest cluster whose running mean is within reach, else it starts one.
-    A group is one structure's pockets. frames: pdb_id and frame of all frames that were analysed, those without a
+    One structure's pockets are worked through at once. frames: pdb_id and frame of all frames that were analysed, those without a
     pocket, too; without it the frames are those that `pockets` names, whether their pockets have a centre or not.
     """
     names = [f.split()[0] for f in CONSENSUS.split(", ")]
     kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
     schema = pa.schema([(n, kinds[f.split()[1]]) for n, f in zip(names, CONSENSUS.split(", "), strict=True)])
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("place")
-        n_frames, pdb_id = group["n_frames"][0].as_py(), group["pdb_id"][0].as_py()
-        points = np.stack([group[c].to_numpy() for c in CENTER], axis=1)
+    def clusters(part: dict[str, list], points: np.ndarray) -> list[tuple]:
+        """One structure's rows, in the order of frames and scores."""
+        n_frames, pdb_id = part["n_frames"][0], part["pdb_id"][0]
         own = leaders(points, reach)
         sizes = np.bincount(own)
         centers = np.stack([np.bincount(own, x) / sizes for x in points.T], axis=1)
-        stability = np.bincount(own, np.sqrt(((points - centers[own]) ** 2).sum(axis=1))) / sizes
-        order = np.argsort(own, kind="stable")  # by clusters, and in each by frames
+        stability = (np.bincount(own, np.sqrt(((points - centers[own]) ** 2).sum(axis=1))) / sizes).tolist()
+        centers = centers.tolist()
+        order = np.argsort(own, kind="stable").tolist()  # by clusters, and in each by frames
         ends = np.cumsum(sizes).tolist()
-        places = pa.array(order)
-        scores = group["bio_score"].to_numpy()[order].tolist()
-        frame_of, volume_of, druggable, ids = (group[c].take(places).to_pylist() for c in ("frame", "volume", "druggable", "pocket_id"))
+        scores, frame_of, volume_of, druggable, ids = ([part[c][i] for i in order] for c in ("bio_score", "frame", "volume", "druggable", "pocket_id"))
         rows = []
         for c, (first, last) in enumerate(zip([0, *ends], ends, strict=False)):
             hits = list(dict.fromkeys(frame_of[first:last]))
@@ -100,21 +100,27 @@ def consensus(pockets: DataFrame, min_support: int = 2, reach: float = 6.0, stab
             std = math.sqrt(math.fsum((v - mean) ** 2 for v in volumes) / n)
             cv = std / mean if mean > 1e-8 else float("inf")
             steady = 0.5 * max(0.0, 1 - stability[c] / stability_max) + 0.5 * max(0.0, 1 - cv / cv_max)
-            known = [s for s in scores[first:last] if s == s]
+            known = [s for s in scores[first:last] if s is not None and s == s]
             top = max(known, default=math.nan)
             score = half_up(0.65 * (math.fsum(known) / len(known) if known else math.nan) + 0.25 * support / n_frames + 0.10 * steady)
             best = first + (scores[first:last].index(top) if known else 0)
-            rows.append((pdb_id, c, *centers[c].tolist(), ids[best], top, any(druggable[first:last]), support, *map(half_up, (support / n_frames, float(stability[c]), mean, std, cv)), score, hits))
+            rows.append((pdb_id, c, *centers[c], ids[best], top, any(druggable[first:last]), support, *map(half_up, (support / n_frames, stability[c], mean, std, cv)), score, hits))
         rows.sort(key=lambda r: (r[-2] != r[-2], -r[-2], -r[6], -r[8], r[1]))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*((*r, at + 1) for at, r in enumerate(rows)), strict=True), schema.types, strict=True)], schema=schema) if rows else schema.empty_table()
+        return [(*r, at + 1) for at, r in enumerate(rows)]
+
+    def run(rows: pa.Table, bounds: list[int]) -> pa.Table:
+        points = np.stack([rows[c].to_numpy() for c in CENTER], axis=1)
+        lists = {c: rows[c].to_pylist() for c in ("pdb_id", "n_frames", "bio_score", "frame", "volume", "druggable", "pocket_id")}
+        found = [r for a, b in pairwise(bounds) for r in clusters({c: x[a:b] for c, x in lists.items()}, points[a:b])]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema) if found else schema.empty_table()
 
     total = (pockets if frames is None else frames).groupBy("pdb_id").agg(F.count_distinct("frame").alias("n_frames"))
     rows = pockets.where(S.valid_center(F.array(*CENTER))).select("pdb_id", "frame", "pocket_id", "bio_score", "volume", "druggable", *CENTER)
     # few bytes but much work a structure: by its bytes alone, Spark would give them all to one task
     spark = rows.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(tasks, "pdb_id").join(total, "pdb_id").withColumn("place", F.row_number().over(by("frame", desc("bio_score"), "pocket_id", partition="pdb_id")))
-    return rows.groupBy("pdb_id").applyInArrow(run, CONSENSUS)
+    rows = rows.repartition(tasks, "pdb_id").join(total, "pdb_id")
+    return map_keys(rows, ("pdb_id",), ["frame", desc("bio_score"), "pocket_id"], run, CONSENSUS)
 
 
 def consensus_stats(rows: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cavitas.functions import scalars as S
 from cavitas.operators import spatial
+from cavitas.operators.groups import map_keys
 from cavitas.operators.spatial import AXES
 from cavitas.session import stored
 
@@ -26,8 +28,13 @@ def directions(k: int) -> list[tuple[float, float, float]]:
     return list(zip((flat * np.cos(turn)).tolist(), (flat * np.sin(turn)).tolist(), z.tolist(), strict=True))
 
 
-def _dots(k: int) -> Column:
-    return F.array(*(F.col("x") * a + F.col("y") * b + F.col("z") * c for a, b, c in directions(k)))
+def _dots(k: int) -> list[Column]:
+    return [F.col("x") * a + F.col("y") * b + F.col("z") * c for a, b, c in directions(k)]
+
+
+def _gap(k: int) -> Column:
+    """The least distance of a point from the extents h."""
+    return F.least(*(F.col("h")[n] - d for n, d in enumerate(_dots(k)))) if k > 1 else F.col("h")[0] - _dots(1)[0]
 
 
 def support(points: DataFrame, k: int = 64, key: tuple[str, ...] = ("pdb_id",)) -> DataFrame:
@@ -35,15 +42,12 @@ def support(points: DataFrame, k: int = 64, key: tuple[str, ...] = ("pdb_id",))
 
     The hull is described from outside, so depths are over-estimated for finite k.
     """
-    dots = points.select(*key, F.posexplode(_dots(k)).alias("dir", "dot"))
-    most = dots.groupBy(*key, "dir").agg(F.max("dot").alias("h"))
-    return most.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dir", "h"))), lambda x: x["h"]).alias("h"))
+    return points.groupBy(*key).agg(F.array(*map(F.max, _dots(k))).alias("h"))
 
 
 def buried(points: DataFrame, hull: DataFrame, k: int = 64, key: str = "pdb_id") -> DataFrame:
     """Each point with its distance to the hull; inside it is not negative."""
-    gaps = F.zip_with("h", _dots(k), lambda h, d: h - d)
-    rows = points.join(hull, key).withColumn("to_surface", F.array_min(gaps)).drop("h")
+    rows = points.join(hull, key).withColumn("to_surface", _gap(k)).drop("h")
     return rows.withColumn("inside", F.col("to_surface") >= 0)
 
 
@@ -54,8 +58,7 @@ def hull_volume(points: DataFrame, step: float = 1.0, k: int = 64, key: tuple[st
     for c in AXES:
         steps = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil((F.col(f"hi{c}") - F.col(f"lo{c}")) / step) - 1, F.lit(0))))
         rows = rows.withColumn("_i", steps).withColumn(c, F.col(f"lo{c}") + (F.col("_i") + 0.5) * step).drop("_i")
-    gaps = F.zip_with("h", _dots(k), lambda h, d: h - d)
-    inside = rows.where(F.array_min(gaps) >= 0)
+    inside = rows.where(_gap(k) >= 0)
     return box.select(*key).join(inside.groupBy(*key).agg((F.count("*") * step**3).alias("hull_volume")), list(key), "left").fillna(0.0, ["hull_volume"])
 
 
@@ -84,10 +87,10 @@ def sphericity(points: DataFrame, key: tuple[str, ...] = ("pdb_id", "cavity_id")
 BLOCK = 32
 
 
-def lattice_voids(atoms: DataFrame, step: float = 2.0, reach: float = 12.0, block: int = BLOCK) -> DataFrame:
+def lattice_voids(atoms: DataFrame, step: float = 2.0, reach: float = 12.0, block: int = BLOCK, within: tuple[float, float] = (0.0, np.inf)) -> DataFrame:
     """Lattice points of every structure's box with their clearance, those of locally largest clearance.
 
-    Points beyond the reach of every atom are no voids. Each atom goes to the blocks of the lattice that it reaches; a block
+    Points beyond the reach of every atom are no voids, and voids whose clearance is not within the limits are not given. Each atom goes to the blocks of the lattice that it reaches; a block
     computes the clearances of its points and of those next to it, so that its own can be compared, and lattice points are never shuffled.
     """
     whole = W.partitionBy("pdb_id")
@@ -99,39 +102,67 @@ def lattice_voids(atoms: DataFrame, step: float = 2.0, reach: float = 12.0, bloc
         first, last = F.floor((at(F.col(c) - reach) - 2) / block), F.floor((at(F.col(c) + reach) + 2) / block)
         rows = rows.withColumn(f"b{k}", F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.floor(F.col(f"n{k}") / block)).cast("int"))))
 
-    def run(group: pa.Table) -> pa.Table:
-        first = group.slice(0, 1).to_pylist()[0]
-        points = np.stack([group[c].to_numpy() for c in AXES], axis=1)
+    def voids(first: dict, points: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """The voids of one block: places in the lattice, coordinates, clearances. first: the block, and its structure's box."""
         begin = [first[f"b{k}"] * block for k in range(3)]
         start = [max(b - 1, 0) for b in begin]
         stop = [min(b + block + 1, first[f"n{k}"] + 1) for k, b in enumerate(begin)]
         at = [first[f"lo{c}"] + np.arange(i, j) * step for c, i, j in zip(AXES, start, stop, strict=True)]
-        low = [np.searchsorted(x, points[:, k] - (reach + step)) for k, x in enumerate(at)]
-        high = [np.searchsorted(x, points[:, k] + (reach + step)) for k, x in enumerate(at)]
+        low = [np.searchsorted(x, points[:, k] - (reach + step)).tolist() for k, x in enumerate(at)]
+        high = [np.searchsorted(x, points[:, k] + (reach + step)).tolist() for k, x in enumerate(at)]
+        apart = [np.square(x - points[:, k, None]) for k, x in enumerate(at)]
         best = np.full([len(x) for x in at], np.inf)
-        for n, p in enumerate(points):
-            near = tuple(slice(low[k][n], high[k][n]) for k in range(3))
-            dx, dy, dz = (np.square(at[k][near[k]] - p[k]) for k in range(3))
-            part = best[near]
-            np.minimum(part, (dx[:, None, None] + dy[None, :, None]) + dz[None, None, :], out=part)
+        for dx, dy, dz, i, j, u, v, m, n in zip(*apart, low[0], high[0], low[1], high[1], low[2], high[2], strict=True):
+            part = best[i:j, u:v, m:n]
+            np.minimum(part, (dx[i:j, None] + dy[u:v])[:, :, None] + dz[m:n], out=part)
         best = np.sqrt(best)
         clear = np.pad(np.where(best <= reach, best, -1.0), 1, constant_values=-1.0)
         # a point is kept unless one of its six neighbours has a larger clearance
-        other = np.max([clear[2:, 1:-1, 1:-1], clear[:-2, 1:-1, 1:-1], clear[1:-1, 2:, 1:-1], clear[1:-1, :-2, 1:-1], clear[1:-1, 1:-1, 2:], clear[1:-1, 1:-1, :-2]], axis=0)
+        other = np.maximum(clear[2:, 1:-1, 1:-1], clear[:-2, 1:-1, 1:-1])
+        for part in (clear[1:-1, 2:, 1:-1], clear[1:-1, :-2, 1:-1], clear[1:-1, 1:-1, 2:], clear[1:-1, 1:-1, :-2]):
+            np.maximum(other, part, out=other)
         clear = clear[1:-1, 1:-1, 1:-1]
-        kept = np.nonzero((clear >= 0) & (clear >= other))
+        kept = np.nonzero((clear >= within[0]) & (clear <= within[1]) & (clear >= other))
         index = [i + s for i, s in zip(kept, start, strict=True)]
         own = np.all([(i >= b) & (i < b + block) for i, b in zip(index, begin, strict=True)], axis=0)
-        columns = {"pdb_id": pa.array([first["pdb_id"]] * int(own.sum()), pa.string())}
-        columns |= {f"i{k}": pa.array(i[own].astype(np.int32)) for k, i in enumerate(index)}
-        columns |= {c: pa.array(x[i[own]]) for c, x, i in zip(AXES, at, kept, strict=True)}
-        return pa.table(columns | {"clearance": pa.array(clear[kept][own])})
-
-    kept = rows.groupBy("pdb_id", "b0", "b1", "b2").applyInArrow(run, "pdb_id string, i0 int, i1 int, i2 int, x double, y double, z double, clearance double")
+        return [i[own] for i in index], [x[i[own]] for x, i in zip(at, kept, strict=True)], clear[kept][own]
+
+    def run(rows: pa.Table, bounds: list[int]) -> pa.Table:
+        points = np.stack([rows[c].to_numpy() for c in AXES], axis=1)
+        firsts = rows.drop_columns([*AXES, "place"]).take(pa.array(bounds[:-1])).to_pylist()
+        found = [voids(first, points[a:b]) for first, (a, b) in zip(firsts, pairwise(bounds), strict=True)]
+        names = pa.array([first["pdb_id"] for first in firsts], pa.string()).take(pa.array(np.repeat(np.arange(len(found)), [len(f[2]) for f in found])))
+        columns = {f"i{k}": pa.array(np.concatenate([f[0][k] for f in found]).astype(np.int32)) for k in range(3)}
+        columns |= {c: pa.array(np.concatenate([f[1][k] for f in found])) for k, c in enumerate(AXES)}
+        return pa.table({"pdb_id": names} | columns | {"clearance": pa.array(np.concatenate([f[2] for f in found]))})
+
+    kept = map_keys(rows, ("pdb_id", "b0", "b1", "b2"), list(AXES), run, "pdb_id string, i0 int, i1 int, i2 int, x double, y double, z double, clearance double")
     ordinal = F.row_number().over(W.partitionBy("pdb_id").orderBy("i0", "i1", "i2"))
     return kept.select("pdb_id", ordinal.alias("ordinal"), *AXES, F.round("clearance", 4).alias("clearance"), F.round(S.sphere_volume("clearance"), 4).alias("volume"))
 
 
+#: Points up to which all their distances are worked out at once.
+FEW = 256
+
+
+def _pairs_within(xyz: np.ndarray, limit: float) -> Iterator[tuple[int, int, float]]:
+    """Pairs of points no further apart than the limit, with their distance."""
+    if len(xyz) <= FEW:
+        d = np.sqrt(((xyz[:, None] - xyz) ** 2).sum(axis=2))
+        near = np.nonzero(np.triu(d <= limit, 1))
+        yield from zip(*(x.tolist() for x in near), d[near].tolist(), strict=True)
+        return
+    cells: dict[tuple[int, ...], list[int]] = {}
+    places = [tuple(c) for c in np.floor(xyz / (limit * 1.000001)).astype(int).tolist()] if limit > 0 else [tuple(p) for p in xyz.tolist()]
+    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)] if limit > 0 else [(0, 0, 0)]
+    for i, at in enumerate(places):  # points before i are in the cells already
+        others = [j for a, b, c in steps for j in cells.get((at[0] + a, at[1] + b, at[2] + c), ())]
+        if others:
+            d = np.sqrt(((xyz[others] - xyz[i]) ** 2).sum(axis=1))
+            yield from ((j, i, x) for j, x in zip(others, d.tolist(), strict=True) if x <= limit)
+        cells.setdefault(at, []).append(i)
+
+
 def linkage(xyz: np.ndarray, limit: float) -> np.ndarray:
     """The cluster of each point by complete linkage up to a limit, named by its first point.
 
@@ -142,17 +173,8 @@ def linkage(xyz: np.ndarray, limit: float) -> np.ndarray:
     n = len(xyz)
     own = np.arange(n)
     near: list[dict[int, float]] = [{} for _ in range(n)]
-    cells: dict[tuple[int, ...], list[int]] = {}
-    places = [tuple(c) for c in np.floor(xyz / (limit * 1.000001)).astype(int).tolist()] if limit > 0 else [tuple(p) for p in xyz.tolist()]
-    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)] if limit > 0 else [(0, 0, 0)]
-    for i, at in enumerate(places):  # points before i are in the cells already
-        others = [j for a, b, c in steps for j in cells.get((at[0] + a, at[1] + b, at[2] + c), ())]
-        if others:
-            d = np.sqrt(((xyz[others] - xyz[i]) ** 2).sum(axis=1))
-            for j, x in zip(others, d.tolist(), strict=True):
-                if x <= limit:
-                    near[i][j] = near[j][i] = x
-        cells.setdefault(at, []).append(i)
+    for i, j, x in _pairs_within(xyz, limit):
+        near[i][j] = near[j][i] = x
     heap = [(d, i, j) for i in range(n) for j, d in near[i].items() if i < j]
     heapq.heapify(heap)
     alive = [True] * n
@@ -182,14 +204,16 @@ def merged(voids: DataFrame, threshold: float | str = 3.0) -> DataFrame:
     voids within the threshold.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ordinal", ignore_index=True)
-        own = linkage(group[list(AXES)].to_numpy(float), float(group["_t"].iloc[0]))
-        return group.drop(columns="_t").assign(cavity_id=pd.factorize(own)[0] + 1)
+    def run(rows: pa.Table, bounds: list[int]) -> pa.Table:
+        points = np.stack([rows[a].to_numpy() for a in AXES], axis=1).astype(float)
+        limits = rows["_t"].to_pylist()
+        # a cluster has its first point's name
+        numbers = [np.unique(linkage(points[a:b], float(limits[a])), return_inverse=True)[1] + 1 for a, b in pairwise(bounds)]
+        return rows.drop_columns(["_t", "place"]).append_column("cavity_id", pa.array(np.concatenate(numbers).astype(np.int32)))
 
     rows = voids.withColumn("_t", F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold)))
     schema = ", ".join(f"`{c}` {t}" for c, t in voids.dtypes) + ", cavity_id int"
-    return rows.groupBy("pdb_id").applyInPandas(run, schema)
+    return map_keys(rows, ("pdb_id",), ["ordinal"], run, schema)
 
 
 def unmerged(voids: DataFrame) -> DataFrame:
@@ -231,7 +255,8 @@ def cavities(atoms: DataFrame, step: float = 2.0, k: int = 64, min_volume: float
     from cavitas.operators import atlas
 
     sizes = atlas.thresholds(atoms.groupBy("pdb_id").agg(F.count("*").alias("n_atoms")), min_volume=min_volume)
-    found = lattice_voids(atoms, step).join(sizes.select("pdb_id", "clearance_max", "volume_min", "n_atoms"), "pdb_id")
+    # clearances a little beyond those that `voids` lets pass, so that it decides
+    found = lattice_voids(atoms, step, within=(2.4, (5001 * 0.75 / np.pi) ** (1 / 3))).join(sizes.select("pdb_id", "clearance_max", "volume_min", "n_atoms"), "pdb_id")
     found = buried(atlas.voids(found.where("volume >= volume_min")), support(atoms, k), k).where("inside")
     n = found.withColumn("n_voids", F.count("*").over(W.partitionBy("pdb_id")))
     own = stored(merged(atlas.thresholds(n, n_voids="n_voids", merge=merge), "merge_threshold"), "merged_voids")

@@ -15,21 +15,23 @@ def cells(rows: DataFrame, size: float, axes=AXES, name: str = "cell") -> DataFr
     return rows.withColumn(name, F.struct(*(F.floor(F.col(a) / size).alias(f"c{k}") for k, a in enumerate(axes))))
 
 
-def around(rows: DataFrame, size: float, axes=AXES, name: str = "cell") -> DataFrame:
-    """Each row once for its cell and each of the 26 cells around."""
+def around(rows: DataFrame, size: float, radius: float, axes=AXES, name: str = "cell") -> DataFrame:
+    """Each row once for each cell that its ball's box meets: eight where a cell is as wide as the ball."""
+    reach = radius * 1.000001  # more than rounding takes off a distance
     for k, a in enumerate(axes):
-        rows = rows.withColumn(f"_c{k}", F.explode(F.array(*(F.floor(F.col(a) / size) + d for d in (-1, 0, 1)))))
+        rows = rows.withColumn(f"_c{k}", F.explode(F.sequence(F.floor((F.col(a) - reach) / size), F.floor((F.col(a) + reach) / size))))
     return rows.withColumn(name, F.struct(*(F.col(f"_c{k}").alias(f"c{k}") for k in range(len(axes))))).drop(*(f"_c{k}" for k in range(len(axes))))
 
 
 def within(left: DataFrame, right: DataFrame, radius: float, key: str = "pdb_id", how: str = "inner", left_axes=AXES, right_axes=AXES) -> DataFrame:
     """Pairs of one key no further apart than radius; the columns of both sides must differ but for the key.
 
-    The right side, which should be the smaller, is repeated to the cells around it. Spark takes it for as small as it was before that,
-    so the join is told to sort and merge: a broadcast would bring 27 rows for each of its rows to the driver.
+    The right side, which should be the smaller, is repeated to the cells that its balls meet. Spark takes it for as small as it was before that,
+    so the join is told to sort and merge: a broadcast would bring eight rows for each of its rows to the driver.
     """
-    a = cells(left, radius, left_axes, "_cell").alias("a")
-    b = around(right, radius, right_axes, "_cell").withColumnRenamed(key, "_key").alias("b").hint("merge")
+    size = radius * 2.0
+    a = cells(left, size, left_axes, "_cell").alias("a")
+    b = around(right, size, radius, right_axes, "_cell").withColumnRenamed(key, "_key").alias("b").hint("merge")
     d = S.distance([f"a.{x}" for x in left_axes], [f"b.{x}" for x in right_axes])
     on = (F.col(f"a.{key}") == F.col("b._key")) & (F.col("a._cell") == F.col("b._cell")) & (d <= radius)
     return a.join(b, on, how).withColumn("dist", d).drop("_cell", "_key")
