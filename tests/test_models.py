@@ -56,3 +56,44 @@ def test_calibration_rises_and_models_are_compared(rows):
     assert {r["model"] for r in table} == {"rf", "gbt", "logistic"} and all(r["roc_auc"] >= 0.97 for r in table)
     best = max(r["average_precision"] for r in table)
     assert [r["average_precision"] for r in table if r["best"]] == [best]
+
+
+def test_a_forest_that_holds_nodes_has_the_same_trees(rows):
+    found = [ml.estimator(kind).fit(ml.assembled(ml.balanced(rows[0]), NAMES)).toDebugString.split("\n", 1)[1] for kind in ("rf", "rf_held")]
+    assert found[0] == found[1]
+
+
+def test_two_models_are_trained_at_once_unless_rows_are_many(rows, monkeypatch):
+    import threading
+
+    seen, both = [], threading.Barrier(2, timeout=60)
+
+    def work(n):
+        seen.append(n)
+        if len(seen) <= 2:
+            both.wait()
+        return n * 2
+
+    assert ml._each(rows[0], work, [1, 2, 3]) == [2, 4, 6]
+    monkeypatch.setattr(ml, "HELD_ROWS", 10)
+    names = []
+    assert ml._each(rows[0], lambda n: names.append(threading.current_thread().name) or n, [1, 2, 3]) == [1, 2, 3] and len(set(names)) == 1
+
+
+def test_training_rows_are_read_without_a_sort_of_pockets(spark, monkeypatch):
+    from cavitas.plans import secondary
+    from cavitas.plans.carriers import Carriers
+
+    plans, own = [], ml.dataset
+    monkeypatch.setattr(ml, "dataset", lambda rows, *a: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or own(rows, *a))
+    secondary._parts(Carriers(spark, "/root/testdata/sf0.001"))
+    assert "Window" not in plans[0]
+
+
+def test_few_bytes_of_much_work_go_to_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(ml, "WORK_ROWS", 50)
+    fitted = []
+    monkeypatch.setattr(ml, "estimator", lambda kind, seed: type("E", (), {"fit": lambda self, df: fitted.append(df)})())
+    for n in (40, 60):
+        ml.train(spark.range(n).coalesce(1).selectExpr("cast(id as double) as a", "cast(id % 2 as int) as y_true"), ("a",))
+    assert [df.rdd.getNumPartitions() for df in fitted] == [1, spark.sparkContext.defaultParallelism]
