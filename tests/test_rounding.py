@@ -21,3 +21,12 @@ def test_steps_of_rounding_are_those_of_the_sql(spark, tmp_path, name):
         want = db.execute(registry.ORACLES[name])
         columns = [d[0] for d in want.description]
         assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
+
+
+def test_a_pocket_without_parts_has_no_cosine(spark, tmp_path):
+    """As in the reference; the SQL's cosine is NaN there, and it puts that pocket first."""
+    rows = [(1, 42, 1, 1, 9.0, 40290.0, 0.09, 0.04, "N"), (2, 42, 2, 1, 8.0, 41663.3, 0.09, 0.04, "N"), (3, 100, 2, 1, 1.0, 1000.0, 0.0, 0.0, "A")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.queries()["pocket_similarity_topk"](spark, str(tmp_path)).collect()
+    assert [(r["pdb_id"], r["pocket_id"]) for r in got] == [("P000002", 1), ("P000002", 2)]
+    assert got[1]["cosine"] == 0.0 and got[1]["composite"] == 0.1533
